@@ -208,7 +208,12 @@ def missing_board(companies: DataFrame) -> DataFrame:
 
 
 def job_links(
-    links: DataFrame, page_key: Sequence[str], page_url: str = "page_url", per_page: int = 2
+    links: DataFrame,
+    page_key: Sequence[str],
+    page_url: str = "page_url",
+    per_page: int = 2,
+    wanted_pattern: str = JOBS_LINK,
+    skip_pattern: str = SKIP_LINK,
 ) -> DataFrame:
     """First jobs-like links of each page: no blanks, no self links, no repeats, no skip words.
 
@@ -217,8 +222,8 @@ def job_links(
     wanted = links.filter(
         (F.col("href") != "")
         & (F.col("href") != F.col(page_url))
-        & ~F.col("href").rlike(SKIP_LINK)
-        & F.col("href").rlike(JOBS_LINK)
+        & ~F.col("href").rlike(skip_pattern)
+        & F.col("href").rlike(wanted_pattern)
     )
     once = first_k(wanted, [*page_key, "href"], ["item_no"], 1)
     return first_k(once, list(page_key), ["item_no"], per_page)

@@ -129,12 +129,13 @@ class DailyRun:
         listed = first_companies(companies, company_limit)
 
         routes = stage(route_companies(listed, pages), "routes")
-        since = window_start(self.reports.read(), start, s.limits.first_run_lookback_days)
+        earlier = self.reports.read().filter(F.col("run_started_at") < start)
+        since = window_start(earlier, start, s.limits.first_run_lookback_days)
         landed = envelope(payloads, needs_answer=False)
         postings = company_postings(landed, pages, routes, s).unionByName(
             feed_postings(landed, since, s)
         )
-        stored = self.postings.read()
+        stored = self.postings.read(before=token)
         ranked = stage(
             rank_postings(postings, stored, self.applied.read(), s).withColumn(
                 "seen_at", F.coalesce("fetched_at", start)
@@ -153,7 +154,7 @@ class DailyRun:
 
         checks = routes.withColumn("last_checked_at", start)
         self.companies.write(
-            record_checks(upsert_companies(self.companies.read(), listed), checks), token
+            record_checks(upsert_companies(self.companies.read(before=token), listed), checks), token
         )
         self.postings.write(upsert_postings(stored, ranked), token)
         metrics = stage(metrics, "metrics")

@@ -70,14 +70,18 @@ class VersionedTable:
             if name.startswith("v") and path_exists(self.spark, f"{self.root}/{name}/_SUCCESS")
         ]
 
-    def read(self) -> DataFrame:
+    def read(self, before: str | None = None) -> DataFrame:
+        """The newest version, or the one that the version with token ``before`` started from."""
         found = self.versions()
+        tokens = [name.split("-", 1)[1] for name in found]
+        if before in tokens:
+            found = found[: tokens.index(before)]
         if not found:
             return self.spark.createDataFrame([], self.ddl)
         return self.spark.read.schema(self.ddl).parquet(f"{self.root}/{found[-1]}")
 
     def has(self, token: str) -> bool:
-        return any(name.split("-", 1)[1:] == [token] for name in self.versions())
+        return any(name.split("-", 1)[1] == token for name in self.versions())
 
     def write(self, df: DataFrame, token: str) -> None:
         if self.has(token):
