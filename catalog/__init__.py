@@ -1,6 +1,6 @@
 """The package's operators on the given tables, with equivalent SQL."""
 
-from catalog import ranking
+from catalog import boards, companies, ranking, runs  # noqa: F401  (fill the registry)
+from catalog.registry import ORACLE, QUERIES
 
-QUERIES = {**ranking.QUERIES}
-ORACLE = {**ranking.ORACLE}
+__all__ = ["ORACLE", "QUERIES"]

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalog.registry import query
 from catalog.views import (
     FULL_SQL,
     HASHED_SQL,
-    KNOWN_BEFORE,
     ORDER,
     ORDER_SQL,
     OTHERS_SQL,
@@ -25,6 +23,7 @@ from catalog.views import (
     postings,
     ranked,
     table,
+    tier,
 )
 from rolesift.functions.text import (
     SPACE_CLASS,
@@ -63,22 +62,9 @@ from rolesift.operators.selection import (
 from rolesift.operators.topk import first_k
 from rolesift.operators.upsert import record_checks, upsert_companies, upsert_postings
 from rolesift.schema import COMPANY_DDL, POSTING_STATE_DDL, REPORT_DDL, conform
+from rolesift.sources.companies import first_companies
 from rolesift.sources.feeds import is_topical
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return add
-
-
 P, R, L = SETTINGS.profile, SETTINGS.roles, SETTINGS.limits
 POSTS = f"WITH {POSTS_SQL}"
 HASHED = f"WITH {POSTS_SQL}, {HASHED_SQL}"
@@ -182,8 +168,6 @@ def _distinct(spark, sf_dir):
     SELECT * FROM boards UNION ALL SELECT * FROM feeds""",
 )
 def _union_passes(spark, sf_dir):
-    from catalog.views import tier
-
     lines = table(spark, sf_dir, "lineitem").select(*ORDER, "l_returnflag")
     companies = table(spark, sf_dir, "supplier").select(
         "s_suppkey", F.col("s_name").alias("company_name"), tier().alias("company_priority")
@@ -605,8 +589,6 @@ def _report_evolution(spark, sf_dir):
     "SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 20",
 )
 def _first_companies(spark, sf_dir):
-    from rolesift.sources.companies import first_companies
-
     listed = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_suppkey").alias("file_pos"))
     return first_companies(listed, 20).drop("file_pos")
 
@@ -621,5 +603,3 @@ def _first_deep(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(*ORDER, "l_returnflag")
     return first_k(rows, ["l_returnflag"], list(ORDER), 1500).select(*ORDER)
 
-
-__all__ = ["ORACLE", "QUERIES", "KNOWN_BEFORE", "reduce"]
