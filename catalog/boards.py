@@ -612,7 +612,7 @@ _TENANT_SQL = "regexp_extract(url, '^https?://([^./]*)', 1)"
     "norm_teamtailor",
     f"""WITH {_ANCHOR_SQL}, jobs AS (
       SELECT page_id, url, pos, CASE WHEN contains(txt, 'de') THEN '' ELSE txt END AS txt,
-        'https://' || {_TENANT_SQL} || '.teamtailor.com/jobs/7' || substr(lower(href), 2, 2) AS link_url FROM links)
+        'https://' || {_TENANT_SQL} || '.teamtailor.com/jobs/7' || substr(href, 2, 2) AS link_url FROM links)
     SELECT 'page ' || page_id AS company_name, txt AS title, link_url AS apply_url, FALSE AS remote,
       'teamtailor' AS ats_platform FROM (
       SELECT *, row_number() OVER (PARTITION BY page_id, link_url ORDER BY pos) AS nth FROM jobs
@@ -629,9 +629,9 @@ def _norm_teamtailor(spark, sf_dir):
         F.lit(200).alias("http_status"),
         html.alias("body"),
     )
-    rows = normalize_provider(landed, "teamtailor")
-    # the SQL lowers the rewritten path, so does this
-    return rows.select("company_name", "title", F.col("apply_url"), "remote", "ats_platform")
+    return normalize_provider(landed, "teamtailor").select(
+        "company_name", "title", "apply_url", "remote", "ats_platform"
+    )
 
 
 _WANTED, _SKIPPED = r"(?i)^/(the|de|en|la|st)", r"(?i)(nicht|than|tion)"

@@ -15,18 +15,12 @@ _ISO = (
 
 # Zone names that mail dates may carry instead of an offset.
 MAIL_ZONES = {
-    "GMT": "+0000",
-    "UTC": "+0000",
-    "UT": "+0000",
-    "Z": "+0000",
-    "EST": "-0500",
+    "GMT|UTC|UT|Z": "+0000",
     "EDT": "-0400",
-    "CST": "-0600",
-    "CDT": "-0500",
-    "MST": "-0700",
-    "MDT": "-0600",
+    "EST|CDT": "-0500",
+    "CST|MDT": "-0600",
+    "MST|PDT": "-0700",
     "PST": "-0800",
-    "PDT": "-0700",
 }
 
 
@@ -38,36 +32,21 @@ def from_iso_text(c: Column) -> Column:
     """ISO text to timestamp; text without an offset is UTC whatever the session zone is.
 
     The pattern is checked first because a cast also takes shapes that are not ISO
-    ('2026', a zone name after the time).
+    ('2026', a zone name after the time). Absent parts come out blank and are filled in.
     """
-
-    def part(group: int, default: str) -> Column:
-        return F.coalesce(F.nullif(F.regexp_extract(c, _ISO, group), F.lit("")), F.lit(default))
-
-    offset = F.regexp_replace(
-        F.replace(part(9, "Z"), F.lit("Z"), F.lit("+00:00")), r"^([+-]\d{2}):?(\d{2})?$", "$1:$2"
-    )
-    offset = F.when(F.length(offset) == 4, F.concat(offset, F.lit("00"))).otherwise(offset)
-    date = F.concat_ws("-", part(1, ""), part(3, ""), part(4, ""))
-    clock = F.concat_ws(":", part(5, "00"), part(6, "00"), part(7, "00"))
-    stamp = F.concat(date, F.lit(" "), clock, F.lit("."), part(8, "0"), offset)
-    return F.when(c.rlike(_ISO), stamp.try_cast("timestamp"))
+    text = F.regexp_replace(c, _ISO, "$1-$3-$4T$5:$6:$7.$8Z$9")
+    for blank, filled in (("T:", "T00:"), ("::", ":00:"), (":.", ":00."), (".Z", ".0Z")):
+        text = F.replace(text, F.lit(blank), F.lit(filled))
+    text = F.regexp_replace(text, r"Z(.+)$", "$1")
+    return F.when(c.rlike(_ISO), text.try_cast("timestamp"))
 
 
 def from_mail_text(c: Column) -> Column:
     """RSS date ('Thu, 30 Jul 2026 15:23:41 +0000') to timestamp."""
     text = F.regexp_replace(strip(c), r"^[A-Za-z]+,\s*", "")
-    zone = F.upper(F.regexp_extract(text, r"([A-Za-z]+)$", 1))
-    offset = F.lit(None).cast("string")
-    for name, value in MAIL_ZONES.items():
-        offset = F.when(zone == name, F.lit(value)).otherwise(offset)
-    numeric = F.when(zone == "", text).otherwise(
-        F.concat(F.regexp_replace(text, r"[A-Za-z]+$", ""), offset)
-    )
-    return F.coalesce(
-        F.try_to_timestamp(numeric, F.lit("d MMM yyyy HH:mm:ss Z")),
-        F.try_to_timestamp(numeric, F.lit("d MMM yyyy HH:mm Z")),
-    )
+    for names, offset in MAIL_ZONES.items():
+        text = F.regexp_replace(text, rf"(?i)\s*\b(?:{names})$", f" {offset}")
+    return F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm[:ss] Z"))
 
 
 def within_window(posted_at: Column, since: Column | None) -> Column:

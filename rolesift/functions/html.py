@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rolesift.functions.text import SPACE_CLASS, strip
 
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-_HREF = r"""(?is)^[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_HREF = r"""(?is)^[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _TAG_END = r"""(?s)^(?:(?:[^>"']++|"[^"]*"|'[^']*')*+>|[^>]*>)"""
 
 
@@ -49,12 +49,12 @@ def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
         ),
     ).filter(F.col("item_no") > 0)
     piece = F.col("_piece")
-    groups = [F.nullif(F.regexp_extract(piece, _HREF, g), F.lit("")) for g in (1, 2, 3)]
     body = F.regexp_extract(F.regexp_replace(piece, _TAG_END, ""), r"(?is)^(.*?)(?:</a\s*>|$)", 1)
-    return pieces.select(
+    linked = pieces.select(
         *kept,
         "item_no",
-        piece.rlike(_HREF).alias("_linked"),
-        decode_entities(F.coalesce(*groups, F.lit(""))).alias("href"),
+        F.regexp_extract(piece, _HREF, 1).alias("_quoted"),
         _inner_text(body).alias("link_text"),
-    ).filter("_linked").drop("_linked")
+    ).filter(F.col("_quoted") != "")
+    href = F.regexp_replace("_quoted", r"""^["']|["']$""", "")
+    return linked.select(*kept, "item_no", decode_entities(href).alias("href"), "link_text")

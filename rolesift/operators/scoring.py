@@ -37,11 +37,12 @@ def years_required(text: Column) -> Column:
     """
     lowered = F.lower(text)
     maybe = lowered.contains("yr") | lowered.contains("year") | lowered.contains("yoe")
+    # A pattern that does not match extracts a blank, which casts to null.
     found = F.coalesce(
-        blank_to_null(F.regexp_extract(text, YEARS_RANGE, 1)),
-        blank_to_null(F.regexp_extract(text, YEARS_SINGLE, 1)),
+        F.regexp_extract(text, YEARS_RANGE, 1).try_cast("int"),
+        F.regexp_extract(text, YEARS_SINGLE, 1).try_cast("int"),
     )
-    return F.when(maybe, found.try_cast("int"))
+    return F.when(maybe, found)
 
 
 def years_points(required: Column, max_years: int) -> Column:
