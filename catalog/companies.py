@@ -35,10 +35,10 @@ from rolesift.operators.discovery import (
     resolved_list,
     retry_rows,
     seed_identifiers,
-    slug_variants,
     stated_providers,
     tasks_of,
     unresolved_list,
+    with_slugs,
 )
 from rolesift.plans.boards import company_list_rows, write_csv
 from rolesift.plans.state import AppendTable, mark_applied, scratch_path
@@ -411,11 +411,12 @@ def _plain_sheet(spark, sf_dir) -> DataFrame:
       array_to_string({_STATED_SQL}, ',') AS stated FROM sheet""",
 )
 def _slug_variants(spark, sf_dir):
-    return _plain_sheet(spark, sf_dir).select(
+    rows = with_slugs(_plain_sheet(spark, sf_dir), "company").select(
         "row_no",
         F.array_join(stated_providers(F.col("ats_text")), ",").alias("stated"),
-        F.posexplode(slug_variants(F.col("company"))).alias("_p", "identifier"),
-    ).select("row_no", "identifier", (F.col("_p") + 1).alias("place"), "stated")
+        F.posexplode("slugs").alias("_p", "identifier"),
+    )
+    return rows.select("row_no", "identifier", (F.col("_p") + 1).alias("place"), "stated")
 
 
 @query(

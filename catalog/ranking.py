@@ -26,7 +26,6 @@ from catalog.views import (
     tier,
 )
 from rolesift.functions.text import (
-    SPACE_CLASS,
     count_contained,
     list_contained,
     normalize_text,
@@ -61,6 +60,7 @@ from rolesift.operators.selection import (
 )
 from rolesift.operators.topk import first_k
 from rolesift.operators.upsert import record_checks, upsert_companies, upsert_postings
+from rolesift.plans.state import stage
 from rolesift.schema import COMPANY_DDL, POSTING_STATE_DDL, REPORT_DDL, conform
 from rolesift.sources.companies import first_companies
 from rolesift.sources.feeds import is_topical
@@ -118,7 +118,12 @@ def _posting_hash(spark, sf_dir):
     return hashed(spark, sf_dir).select(*ORDER, "job_hash")
 
 
-_NORM = f"trim(regexp_replace(lower(text), '[{SPACE_CLASS}]+', ' ', 'g'))"
+# The SQL side has no flag for Unicode white space, so its class lists the code points.
+_SPACES = (
+    "\\x{9}-\\x{D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
+    "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+)
+_NORM = f"trim(regexp_replace(lower(text), '[{_SPACES}]+', ' ', 'g'))"
 
 
 @query(
@@ -292,7 +297,8 @@ def _rank_sort(spark, sf_dir):
 
 
 def _top(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    rows = ranked(spark, sf_dir)
+    """Ranked rows, written once as the daily run does, and the top of them."""
+    rows = stage(ranked(spark, sf_dir), "ranked")
     return rows, recommendations(rows, P.max_years, L.min_stars, L.top_n, ORDER)
 
 
@@ -335,7 +341,8 @@ _ITEMS = f"{_items_sql(TOP, 'recommended')} UNION ALL {_items_sql(OTHER, 'others
 def _items(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows, top = _top(spark, sf_dir)
     others = worth_looking_at(rows, top, P.max_years, L.worth_looking, ORDER)
-    return rows, report_items(TOP, top, ORDER).unionByName(report_items(OTHER, others, ORDER))
+    items = report_items(TOP, top, ORDER).unionByName(report_items(OTHER, others, ORDER))
+    return rows, stage(items, "items")
 
 
 @query("report_items", f"{FULL_SQL}, {TOP_SQL}, {OTHERS_SQL} {_ITEMS}")

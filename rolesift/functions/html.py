@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolesift.functions.text import SPACE_CLASS, strip
+from rolesift.functions.text import SPACE, strip
 
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 _HREF = r"""(?is)^[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
@@ -31,7 +31,7 @@ def decode_entities(c: Column) -> Column:
 def _inner_text(html: Column) -> Column:
     """Text nodes without tags, each stripped, put together without a separator."""
     nbsp = F.replace(html, F.lit("&nbsp;"), F.lit("\u00a0"))
-    bare = F.regexp_replace(nbsp, rf"(?s)[{SPACE_CLASS}]*<[^>]*>[{SPACE_CLASS}]*", "")
+    bare = F.regexp_replace(nbsp, rf"(?sU)[{SPACE}]*+<[^>]*>[{SPACE}]*", "")
     return strip(decode_entities(bare))
 
 

@@ -24,7 +24,8 @@ _SPACE_CODES = (
     0x3000,
 )
 SPACES = "".join(map(chr, _SPACE_CODES))
-SPACE_CLASS = "".join(rf"\x{{{code:X}}}" for code in _SPACE_CODES)
+# The same set inside a pattern; goes with the flag (?U), which makes \s cover Unicode.
+SPACE = r"\s\x1c-\x1f"
 
 
 def text_or_blank(c: Column) -> Column:
@@ -45,7 +46,7 @@ def blank_to_null(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Strip, lower, and turn each run of white space into one space."""
-    return F.trim(F.regexp_replace(F.lower(text_or_blank(c)), f"[{SPACE_CLASS}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(text_or_blank(c)), rf"(?U)[{SPACE}]+", " "))
 
 
 def posting_hash(company: Column, title: Column, location: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolesift.functions.text import SPACE_CLASS, strip_or_blank, text_or_blank
+from rolesift.functions.text import SPACE, strip_or_blank, text_or_blank
 from rolesift.operators.topk import first_k
 
 # Platforms a sheet may state, words dropped from slugs, affixes tried on slugs.
@@ -45,33 +45,39 @@ def stated_providers(ats_text: Column) -> Column:
     return F.filter(F.array(*[F.lit(p) for p in GUESSABLE]), lambda p: F.contains(lowered, p))
 
 
-def slug_variants(name: Column) -> Column:
-    """Ordered distinct identifiers a company might use."""
+def with_slugs(rows: DataFrame, name: str, out: str = "slugs") -> DataFrame:
+    """Adds the ordered distinct identifiers a company might use.
+
+    Words and slugs are columns of their own, so that each is computed once and not again inside
+    every variant.
+    """
     lowered = F.replace(F.lower(name), F.lit("&"), F.lit("and"))
-    bare = F.regexp_replace(lowered, f"[^a-z0-9{SPACE_CLASS}-]", "")
-    words = F.filter(F.split(bare, f"[{SPACE_CLASS}]+"), lambda w: w != "")
-    kept = F.filter(words, lambda w: ~w.isin(*DROP_WORDS))
-
-    whole, hyphen = F.array_join(words, ""), F.array_join(words, "-")
-    has_kept = F.size(kept) > 0
-    trimmed = F.when(has_kept, F.array_join(kept, "")).otherwise(whole)
-    trimmed_hyphen = F.when(has_kept, F.array_join(kept, "-")).otherwise(hyphen)
-    first = F.coalesce(F.get(words, F.lit(0)), whole)
-    two = F.size(words) >= 2
-    first_two = F.when(two, F.array_join(F.slice(words, 1, 2), "")).otherwise(whole)
-    first_two_hyphen = F.when(two, F.array_join(F.slice(words, 1, 2), "-")).otherwise(hyphen)
+    bare = F.regexp_replace(lowered, rf"(?U)[^a-z0-9{SPACE}-]", "")
+    words, kept, whole = F.col("_words"), F.col("_kept"), F.col("_whole")
+    hyphen, trimmed = F.col("_hyphen"), F.col("_trimmed")
+    two, trims = F.size(words) >= 2, F.size(kept) > 0
 
     def around(prefix: str, slug: Column, suffix: str) -> Column:
         return F.concat(F.lit(prefix), slug, F.lit(suffix))
 
+    split = rows.withColumn(
+        "_words", F.filter(F.split(bare, rf"(?U)[{SPACE}]+"), lambda w: w != "")
+    ).withColumns(
+        {
+            "_kept": F.filter(words, lambda w: ~w.isin(*DROP_WORDS)),
+            "_whole": F.array_join(words, ""),
+            "_hyphen": F.array_join(words, "-"),
+        }
+    )
+    joined = split.withColumn("_trimmed", F.when(trims, F.array_join(kept, "")).otherwise(whole))
     variants = F.array(
         whole,
         hyphen,
         trimmed,
-        trimmed_hyphen,
-        first,
-        first_two,
-        first_two_hyphen,
+        F.when(trims, F.array_join(kept, "-")).otherwise(hyphen),
+        F.coalesce(F.get(words, F.lit(0)), whole),
+        F.when(two, F.array_join(F.slice(words, 1, 2), "")).otherwise(whole),
+        F.when(two, F.array_join(F.slice(words, 1, 2), "-")).otherwise(hyphen),
         around("", whole, "ai"),
         around("", trimmed, "ai"),
         around("get", whole, ""),
@@ -84,7 +90,9 @@ def slug_variants(name: Column) -> Column:
         around("the", whole, ""),
         around("join", whole, ""),
     )
-    return F.array_distinct(F.filter(variants, lambda v: v != ""))
+    return joined.withColumn(
+        out, F.array_distinct(F.filter(variants, lambda v: v != ""))
+    ).drop("_words", "_kept", "_whole", "_hyphen", "_trimmed")
 
 
 def career_url(provider: Column, identifier: Column) -> Column:
@@ -135,16 +143,11 @@ def candidates(tasks: DataFrame, seeds: DataFrame) -> DataFrame:
         ).alias("position"),
     )
     guessed = (
-        tried.select(
-            "row_no", "company", F.posexplode("providers").alias("_p", "provider")
-        )
+        with_slugs(tried, "company")
+        .select("row_no", "company", "slugs", F.posexplode("providers").alias("_p", "provider"))
         .filter(F.col("provider") != "workday")  # host and site cannot be guessed
         .select(
-            "row_no",
-            "company",
-            "provider",
-            "_p",
-            F.posexplode(slug_variants(F.col("company"))).alias("_v", "identifier"),
+            "row_no", "company", "provider", "_p", F.posexplode("slugs").alias("_v", "identifier")
         )
         .select(
             "row_no",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.functions.text import (
-    SPACE_CLASS,
+    SPACE,
     blank_to_null,
     contains_any,
     count_contained,
@@ -19,8 +19,8 @@ from rolesift.settings import Profile, Roles
 # Years-of-experience patterns (range first, then a single number), points and
 # star thresholds.
 YEARS_UNIT = r"(?:years?|yrs?|yoe)\b"
-YEARS_RANGE = rf"(?i)(\d+)[{SPACE_CLASS}]*(?:-|to)[{SPACE_CLASS}]*(\d+)[{SPACE_CLASS}]*\+?[{SPACE_CLASS}]*{YEARS_UNIT}"
-YEARS_SINGLE = rf"(?i)(\d+)[{SPACE_CLASS}-]*\+?[{SPACE_CLASS}]*{YEARS_UNIT}"
+YEARS_RANGE = rf"(?iU)(\d+)[{SPACE}]*(?:-|to)[{SPACE}]*(\d+)[{SPACE}]*\+?[{SPACE}]*{YEARS_UNIT}"
+YEARS_SINGLE = rf"(?iU)(\d+)[{SPACE}-]*\+?[{SPACE}]*{YEARS_UNIT}"
 ROLE_POINTS = 40
 KEYWORD_POINTS, KEYWORD_POINTS_MAX, KEYWORDS_SHOWN = 5, 25, 5
 REMOTE_POINTS = {"strong": (15, "fully remote"), "soft": (8, "remote")}
