@@ -9,7 +9,8 @@ from rolesift.functions.text import SPACE, strip
 
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 _HREF = r"""(?is)^[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-_TAG_END = r"""(?s)^(?:(?:[^>"']++|"[^"]*"|'[^']*')*+>|[^>]*>)"""
+# The rest of a tag; quoted values may hold '>', an odd quote falls back to the next '>'.
+_TAG_REST = r"""(?:(?:[^>"']++|"[^"]*"|'[^']*')*+>|[^>]*>)"""
 
 
 def decode_entities(c: Column) -> Column:
@@ -31,7 +32,7 @@ def decode_entities(c: Column) -> Column:
 def _inner_text(html: Column) -> Column:
     """Text nodes without tags, each stripped, put together without a separator."""
     nbsp = F.replace(html, F.lit("&nbsp;"), F.lit("\u00a0"))
-    bare = F.regexp_replace(nbsp, rf"(?sU)[{SPACE}]*+<[^>]*>[{SPACE}]*", "")
+    bare = F.regexp_replace(nbsp, rf"(?sU)[{SPACE}]*+<{_TAG_REST}[{SPACE}]*", "")
     return strip(decode_entities(bare))
 
 
@@ -49,7 +50,7 @@ def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
         ),
     ).filter(F.col("item_no") > 0)
     piece = F.col("_piece")
-    body = F.regexp_extract(F.regexp_replace(piece, _TAG_END, ""), r"(?is)^(.*?)(?:</a\s*>|$)", 1)
+    body = F.regexp_extract(F.regexp_replace(piece, f"(?s)^{_TAG_REST}", ""), r"(?is)^(.*?)(?:</a\s*>|$)", 1)
     linked = pieces.select(
         *kept,
         "item_no",
