@@ -45,6 +45,7 @@ from rolesift.operators.reporting import (
     company_counters,
     digest_lines,
     evolve_reports,
+    one_row,
     posting_counters,
     report_items,
     source_checks,
@@ -382,12 +383,13 @@ def _report_items(spark, sf_dir):
 def _digest(spark, sf_dir):
     rows, items = _items(spark, sf_dir)
     checks = _supplier_checks(spark, sf_dir)
-    run = F.lit("2024-02-01").cast("date").alias("run_date")
-    metrics = (
-        posting_counters(rows)
-        .select(run, "*")
-        .join(company_counters(checks).select(run, "*"), "run_date")
-        .withColumns({"sources_checked": F.lit(4), "sources_failed": F.lit(0)})
+    counters = one_row([posting_counters(rows), company_counters(checks)])
+    metrics = counters.withColumns(
+        {
+            "run_date": F.lit("2024-02-01").cast("date"),
+            "sources_checked": F.lit(4),
+            "sources_failed": F.lit(0),
+        }
     )
     return digest_lines(metrics, items)
 

@@ -157,26 +157,28 @@ def route_companies(
         F.lit("ok:cached").alias("last_status"),
     )
 
-    landed = pages.select(
-        F.col("company_name").alias("name"),
-        "final_url",
-        "http_status",
-        "error",
-        "html",
+    # Pages are wide: keep the wanted ones, reduce each to its outcome, and only then join, so
+    # that no HTML goes through the outer join.
+    open_companies = companies.filter(~cached)
+    wanted = pages.withColumnRenamed("company_name", "name").join(
+        open_companies.select("name"), "name", "left_semi"
     )
-    checked = companies.filter(~cached).join(landed, "name", "left")
     failure = (
         F.when(F.col("error").isNotNull(), F.concat(F.lit("error: "), "error"))
         .when(F.col("http_status").isNull(), F.lit("error: not fetched"))
         .when(F.col("http_status") >= 400, F.concat(F.lit("error: HTTP "), F.col("http_status")))
     )
-    judged = checked.withColumn("_failure", failure).withColumn(
-        "_board",
-        F.when(F.col("_failure").isNull(), detect_board(F.col("html"), F.col("final_url"), rules)),
+    outcomes = wanted.select(
+        "name",
+        F.coalesce(failure, F.lit("")).alias("_failure"),
+        F.when(failure.isNull(), detect_board(F.col("html"), F.col("final_url"), rules)).alias("_board"),
+    )
+    judged = open_companies.join(outcomes, "name", "left").withColumn(
+        "_failure", F.coalesce("_failure", F.lit("error: not fetched"))
     )
     hit = F.col("_board.provider").isin(supported)
     hit = F.coalesce(hit, F.lit(False))
-    failed = F.col("_failure").isNotNull()
+    failed = F.col("_failure") != ""
     routed = judged.select(
         "name",
         "priority",

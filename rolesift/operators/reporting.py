@@ -48,6 +48,14 @@ def source_counters(checks: DataFrame) -> DataFrame:
     )
 
 
+def one_row(parts: Sequence[DataFrame]) -> DataFrame:
+    """Put one-row results with different columns side by side: stack them, take each value."""
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def star_text(stars: Column, padded: bool = False) -> Column:
     full = F.repeat(F.lit("★"), stars)
     return F.concat(full, F.repeat(F.lit("☆"), F.lit(5) - stars)) if padded else full

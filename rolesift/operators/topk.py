@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this k Spark cuts every partition to k rows per key before the exchange
-# (spark.sql.optimizer.windowGroupLimitThreshold, default).
-_GROUP_LIMIT = 1000
+# Up to this k Spark cuts every partition to k rows per key before the exchange.
+_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 _SALTS = 64
 
 
@@ -22,7 +21,7 @@ def first_k(
     most k rows of a key. Beyond the threshold of that rule the same cut is made by hand on salted
     keys first: the first k of a key are among the first k of each of its salts.
     """
-    if k > _GROUP_LIMIT:
+    if k > int(df.sparkSession.conf.get(_GROUP_LIMIT, "1000")):
         salt = F.pmod(F.xxhash64(*order_columns(order)), F.lit(_SALTS))
         df = _ranked_cut(df.withColumn("_salt", salt), [*keys, "_salt"], order, k).drop("_salt")
     return _ranked_cut(df, keys, order, k)

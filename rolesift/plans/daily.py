@@ -16,6 +16,7 @@ from rolesift.operators.reporting import (
     TOP,
     company_counters,
     digest_lines,
+    one_row,
     posting_counters,
     report_items,
     source_checks,
@@ -29,7 +30,6 @@ from rolesift.schema import APPLIED_DDL, ARRIVAL, COMPANY_DDL, POSTING_STATE_DDL
 from rolesift.settings import Settings
 from rolesift.sources import normalize
 from rolesift.sources.companies import first_companies
-from rolesift.sources.normalize import envelope
 from rolesift.sources.registry import board_names
 
 
@@ -131,9 +131,8 @@ class DailyRun:
         routes = stage(route_companies(listed, pages), "routes")
         earlier = self.reports.read().filter(F.col("run_started_at") < start)
         since = window_start(earlier, start, s.limits.first_run_lookback_days)
-        landed = envelope(payloads, needs_answer=False)
-        postings = company_postings(landed, pages, routes, s).unionByName(
-            feed_postings(landed, since, s)
+        postings = company_postings(payloads, pages, routes, s).unionByName(
+            feed_postings(payloads, since, s)
         )
         stored = self.postings.read(before=token)
         ranked = stage(
@@ -150,7 +149,7 @@ class DailyRun:
         items = stage(
             report_items(TOP, recommended).unionByName(report_items(OTHER, others)), "report"
         )
-        metrics = self._metrics(ranked, routes, landed, started_at)
+        metrics = self._metrics(ranked, routes, payloads, started_at)
 
         checks = routes.withColumn("last_checked_at", start)
         self.companies.write(
@@ -163,21 +162,19 @@ class DailyRun:
         return RunResult(ranked, recommended, others, metrics, items, digest)
 
     def _metrics(
-        self, ranked: DataFrame, routes: DataFrame, landed: DataFrame, started_at: datetime
+        self, ranked: DataFrame, routes: DataFrame, payloads: DataFrame, started_at: datetime
     ) -> DataFrame:
-        """One row: three one-row aggregates side by side, joined on the run they describe."""
-        run = F.lit(started_at).alias("run_started_at")
-        parts = [
-            counters.select(run, "*")
-            for counters in (
+        """One row with the counters of the run."""
+        counters = one_row(
+            [
                 posting_counters(ranked),
                 company_counters(routes),
-                source_counters(source_checks(landed, self.settings.feeds)),
-            )
-        ]
-        joined = parts[0].join(parts[1], "run_started_at").join(parts[2], "run_started_at")
-        return joined.withColumns(
+                source_counters(source_checks(payloads, self.settings.feeds)),
+            ]
+        )
+        return counters.withColumns(
             {
+                "run_started_at": F.lit(started_at),
                 "run_date": F.lit(started_at.date()),
                 "report_path": F.lit(f"{self.root}/reports/{started_at:%Y-%m-%d}"),
             }

@@ -31,7 +31,7 @@ def _typed(mapping: dict[str, Column], name: str) -> Column:
     return value.cast(dtype).alias(name)
 
 
-def envelope(payloads: DataFrame, needs_answer: bool = True) -> DataFrame:
+def envelope(payloads: DataFrame) -> DataFrame:
     """The landed table with the optional columns filled in; failed responses give no rows."""
     absent = {
         "query": F.lit(None).cast("string"),
@@ -43,9 +43,7 @@ def envelope(payloads: DataFrame, needs_answer: bool = True) -> DataFrame:
     for name, default in absent.items():
         if name not in payloads.columns:
             payloads = payloads.withColumn(name, default)
-    if needs_answer:
-        payloads = payloads.filter(F.col("http_status") == 200)
-    return payloads.withColumn("batch_no", F.col("ordinal"))
+    return payloads.filter(F.col("http_status") == 200).withColumn("batch_no", F.col("ordinal"))
 
 
 def _provider_items(landed: DataFrame, provider: Provider) -> DataFrame:
