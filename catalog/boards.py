@@ -12,7 +12,13 @@ from catalog.registry import query
 from catalog.views import table
 from rolesift.functions.html import anchors
 from rolesift.functions.text import compact_slug
-from rolesift.operators.detection import Rule, detect_board, job_links, route_companies
+from rolesift.operators.detection import (
+    Rule,
+    detect_along_links,
+    detect_board,
+    job_links,
+    route_companies,
+)
 from rolesift.operators.discovery import boards_from_payloads
 from rolesift.sources.normalize import normalize, normalize_provider
 from rolesift.sources.pages import role_links
@@ -772,3 +778,43 @@ def _route_status(spark, sf_dir):
         )
     )
     return route_companies(companies, pages).select("name", "ats_provider", "ats_identifier", "last_status")
+
+
+_COMPANY_SQL = "regexp_extract(url, '^https?://(?:[a-z]+\\.)?([a-z-]+)\\.example\\.', 1)"
+
+
+@query(
+    "detect_along_links",
+    f"""WITH seen AS (
+      SELECT {_COMPANY_SQL} AS name, page_id, url, contains(url, '/fr/') AS signal,
+        {_rules_sql(HOST_RULES[:3])} FROM pages WHERE NOT contains(url, '.html')),
+    hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY page_id) AS nth
+      FROM seen WHERE provider IS NOT NULL) WHERE nth = 1),
+    boards AS (SELECT DISTINCT {_COMPANY_SQL} AS identifier FROM pages WHERE NOT contains(url, '.org'))
+    SELECT name, provider AS ats_provider, identifier AS ats_identifier,
+      CASE WHEN page_id = 0 THEN 'found on landing page' ELSE 'found after following link ' || url END AS note
+    FROM hits
+    UNION ALL
+    SELECT DISTINCT name, 'greenhouse', replace(name, '-', ''), 'found via verified guess' FROM seen
+    WHERE signal AND replace(name, '-', '') IN (SELECT identifier FROM boards)
+      AND name NOT IN (SELECT name FROM hits)""",
+)
+def _along_links(spark, sf_dir):
+    """Pages of one domain as the landing page and followed links of one company."""
+    company = F.regexp_extract("url", r"^https?://(?:[a-z]+\.)?([a-z-]+)\.example\.", 1)
+    rows = table(spark, sf_dir, "pages").withColumn("company_name", company)
+    signal = F.when(F.contains("url", F.lit("/fr/")), '"greenhouseId" : 1').otherwise("")
+    pages = rows.select(
+        "company_name",
+        F.col("page_id").alias("page_no"),
+        F.col("url").alias("final_url"),
+        F.when(F.contains("url", F.lit(".html")), 404).otherwise(200).alias("http_status"),
+        F.lit(None).cast("string").alias("error"),
+        F.concat("html", signal).alias("html"),
+    )
+    boards = rows.select(
+        F.lit("greenhouse").alias("provider"),
+        F.col("company_name").alias("identifier"),
+        F.when(F.contains("url", F.lit(".org")), 0).otherwise(3).alias("job_count"),
+    )
+    return detect_along_links(pages, boards, HOST_RULES[:3])

@@ -549,11 +549,14 @@ def _unresolved_csv(spark, sf_dir):
     FROM part GROUP BY 1""",
 )
 def _mark_applied(spark, sf_dir):
-    """Two appends; repeats stay."""
+    """Two appends, one by hash and one by company and title; repeats stay."""
     applied = AppendTable(spark, scratch_path(spark, "applied"), APPLIED_DDL)
     parts = table(spark, sf_dir, "part").select(
-        posting_hash(F.col("p_brand"), F.col("p_name"), F.lit("")).alias("job_hash"), "p_type"
+        F.col("p_brand").alias("company_name"), F.col("p_name").alias("title"), "p_type"
     )
-    mark_applied(applied, parts.filter(F.col("p_type") == "PROMO"), "sent")
+    by_hash = parts.filter(F.col("p_type") == "PROMO").select(
+        posting_hash(F.col("company_name"), F.col("title"), F.lit("")).alias("job_hash")
+    )
+    mark_applied(applied, by_hash, "sent")
     mark_applied(applied, parts.filter(F.col("p_type") != "PROMO"), "sent")
     return applied.read().groupBy("job_hash", "notes").agg(F.count("*").alias("times"))

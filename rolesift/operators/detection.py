@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolesift.functions.text import text_or_blank
+from rolesift.functions.text import compact_slug, text_or_blank
 from rolesift.operators.topk import first_k
 from rolesift.sources.registry import board_names
 
@@ -90,6 +90,10 @@ SKIP_LINK = (
     r"academy|docs|facebook|twitter|linkedin|instagram|youtube|mailto:|tel:)"
 )
 
+# The mark of pages that embed board data without naming the board.
+HEADLESS_PROVIDER = "greenhouse"
+HEADLESS_SIGNAL = r'"greenhouseId"\s*:'
+
 
 def _rule_array(rules: Sequence[Rule]) -> Column:
     """The rules as a constant array, each once for the URL and once for the page."""
@@ -207,6 +211,51 @@ def detection_results(pages: DataFrame, rules: Sequence[Rule] = BOARD_RULES) ->
     )
 
 
+def detect_along_links(
+    pages: DataFrame, boards: DataFrame, rules: Sequence[Rule] = BOARD_RULES
+) -> DataFrame:
+    """(name, ats_provider, ats_identifier, note): a closer look at companies without a board.
+
+    ``pages`` holds, per company, the landing page and the pages its job links led to, numbered by
+    ``page_no``; the first page with a board counts. Failing that, a page that embeds board data
+    without naming the board gives a guess, the compact company name, which is taken only if
+    ``boards`` has it with open jobs.
+    """
+    ok = F.col("error").isNull() & (F.col("http_status") < 400)
+    seen = pages.filter(ok).select(
+        F.col("company_name").alias("name"),
+        "page_no",
+        "final_url",
+        detect_board(F.col("html"), F.col("final_url"), rules).alias("_board"),
+        F.col("html").rlike(HEADLESS_SIGNAL).alias("_signal"),
+    )
+    hits = first_k(seen.filter(F.col("_board").isNotNull()), ["name"], ["page_no", "final_url"], 1)
+    found = hits.select(
+        "name",
+        F.col("_board.provider").alias("ats_provider"),
+        F.col("_board.identifier").alias("ats_identifier"),
+        F.when(F.col("page_no") == 0, "found on landing page")
+        .otherwise(F.concat(F.lit("found after following link "), "final_url"))
+        .alias("note"),
+    )
+    open_boards = boards.filter((F.col("provider") == HEADLESS_PROVIDER) & (F.col("job_count") > 0))
+    guesses = (
+        seen.filter("_signal")
+        .select("name", compact_slug(F.col("name")).alias("identifier"))
+        .distinct()
+        .filter(F.col("identifier") != "")
+        .join(open_boards.select("identifier").distinct(), "identifier", "left_semi")
+        .join(found.select("name"), "name", "left_anti")
+        .select(
+            "name",
+            F.lit(HEADLESS_PROVIDER).alias("ats_provider"),
+            F.col("identifier").alias("ats_identifier"),
+            F.lit("found via verified guess").alias("note"),
+        )
+    )
+    return found.unionByName(guesses)
+
+
 def write_back_detection(companies: DataFrame, results: DataFrame) -> DataFrame:
     """ATS columns of the checked companies; a blank result overwrites a cached value."""
     found = results.select("name", F.struct("ats_provider", "ats_identifier").alias("_found"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolesift.functions.text import posting_hash
 from rolesift.schema import conform
 
 
@@ -115,8 +116,17 @@ class AppendTable:
         conform(df, self.ddl).write.mode("overwrite").parquet(f"{self.root}/part={part}")
 
 
-def mark_applied(table: AppendTable, hashed: DataFrame, notes: str = "") -> None:
-    """Append applied postings; repeats are allowed."""
-    table.append(
-        hashed.select("job_hash", F.current_timestamp().alias("applied_at"), F.lit(notes).alias("notes"))
+def mark_applied(table: AppendTable, postings: DataFrame, notes: str = "") -> None:
+    """Append applied postings, named by job_hash or by company_name, title and location (which
+    may be absent); repeats are allowed."""
+
+    def cell(name: str) -> Column:
+        return F.col(name) if name in postings.columns else F.lit(None).cast("string")
+
+    computed = posting_hash(cell("company_name"), cell("title"), cell("location"))
+    rows = postings.select(
+        F.coalesce(cell("job_hash"), computed).alias("job_hash"),
+        F.current_timestamp().alias("applied_at"),
+        F.lit(notes).alias("notes"),
     )
+    table.append(rows)

@@ -63,6 +63,7 @@ register(
         source="weworkremotely",
         source_rank=1,
         body="xml",
+        blank_titles=True,
         ddl="channel struct<item:array<struct<title:string,link:string,pubDate:string,"
         "description:string>>>",
         items=lambda parsed: parsed["channel"]["item"],
@@ -98,6 +99,7 @@ register(
         name="himalayas",
         source="himalayas",
         source_rank=3,
+        claims=True,
         ddl="jobs array<struct<guid:string,title:string,companyName:string,"
         "locationRestrictions:array<string>,pubDate:bigint,applicationLink:string,"
         "description:string,excerpt:string>>",

@@ -9,103 +9,83 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.functions.dates import within_window
-from rolesift.functions.text import strip_or_blank, text_or_blank
+from rolesift.functions.text import text_or_blank
 from rolesift.operators.topk import first_k
-from rolesift.schema import ARRIVAL, POSTING_COLUMNS
+from rolesift.schema import POSTING_COLUMNS
 from rolesift.sources import boards, feeds  # noqa: F401  (fill the registry)
 from rolesift.sources.pages import page_items
-from rolesift.sources.registry import ITEM_FIELDS, PROVIDERS, Provider
-
-# Columns of the response that go with each item.
-_ENVELOPE = ("provider", "identifier", "company_name", "company_priority", "batch_no", "fetched_at")
-_CLAIM_SCOPE = ("provider", "claim")
-
-
-def _typed(mapping: dict[str, Column], name: str) -> Column:
-    dtype, default = ITEM_FIELDS[name]
-    value = mapping.get(name, F.lit(default))
-    if name == "title":
-        value = strip_or_blank(value)
-    elif dtype == "string" and default == "":
-        value = text_or_blank(value)
-    return value.cast(dtype).alias(name)
+from rolesift.sources.registry import PROVIDERS, RESPONSE_COLUMNS, Provider, item_columns
 
 
 def envelope(payloads: DataFrame) -> DataFrame:
     """The landed table with the optional columns filled in; failed responses give no rows."""
     absent = {
-        "query": F.lit(None).cast("string"),
         "ordinal": F.lit(0),
-        "company_name": F.lit("").cast("string"),
+        "company_name": F.lit(""),
         "company_priority": F.lit(""),
         "fetched_at": F.lit(None).cast("timestamp"),
     }
     for name, default in absent.items():
         if name not in payloads.columns:
             payloads = payloads.withColumn(name, default)
-    return payloads.filter(F.col("http_status") == 200).withColumn("batch_no", F.col("ordinal"))
+    landed = payloads.filter(F.col("http_status") == 200)
+    return landed.select(
+        "provider",
+        "identifier",
+        F.col("company_name").alias("response_company"),
+        "company_priority",
+        F.col("ordinal").alias("batch_no"),
+        "fetched_at",
+        "body",
+    )
 
 
-def _provider_items(landed: DataFrame, provider: Provider) -> DataFrame:
-    """Parse, explode and map the responses of one provider."""
-    rows = landed.filter(F.col("provider") == provider.name)
-    if provider.accepts is not None:
-        rows = rows.filter(provider.accepts(F.col("identifier")))
-    items = rows.select(
-        *_ENVELOPE, F.posexplode(provider.items(provider.parse(F.col("body")))).alias("item_no", "_item")
-    )
-    mapping = provider.fields(F.col("_item"), F.col("identifier"))
-    kept = [c for c in _ENVELOPE if c != "company_name"]
-    return items.select(
-        *kept,
-        "item_no",
-        F.col("company_name").alias("_company"),
-        *[_typed(mapping, name) for name in ITEM_FIELDS],
-    )
+def _mapped_items(provider: Provider) -> Column:
+    """The items of one response as an array of canonical structs."""
 
+    def mapped(item: Column, position: Column) -> Column:
+        fields = provider.fields(item, F.col("identifier"))
+        return F.struct(position.alias("item_no"), *item_columns(provider, fields))
 
-def _finish(items: DataFrame, provider: Provider, since: Column | None) -> DataFrame:
-    keep = F.col("keep")
-    if provider.name != "weworkremotely":
-        keep = keep & (F.col("title") != "")
-    if provider.is_feed:
-        keep = keep & within_window(F.col("posted_at"), since)
-    company = F.col("company_name") if provider.is_feed else F.col("_company")
-    return items.filter(keep).select(
-        text_or_blank(company).alias("company_name"),
-        "title",
-        "location",
-        "description",
-        "remote",
-        "apply_url",
-        F.lit(provider.source).alias("source"),
-        F.lit(provider.platform).cast("string").alias("ats_platform"),
-        "posted_date",
-        text_or_blank(F.col("company_priority")).alias("company_priority"),
-        "fetched_at",
-        F.lit(provider.source_rank).alias("source_rank"),
-        (F.lit("") if provider.is_feed else F.concat_ws("\x01", "_company", "identifier")).alias("board_key"),
-        "batch_no",
-        "item_no",
+    return F.transform(provider.items(provider.parse(F.col("body"))), mapped)
+
+
+def parsed_items(landed: DataFrame, providers: Sequence[Provider]) -> DataFrame:
+    """Items of JSON and XML providers, all of them in one scan.
+
+    Each response is parsed and mapped by the branch of its provider, and the mapped items come
+    out of one explode. However the landed table is laid out, a body is read once.
+    """
+    items = None
+    for provider in providers:
+        test = F.col("provider") == provider.name
+        if provider.accepts is not None:
+            test = test & provider.accepts(F.col("identifier"))
+        array = _mapped_items(provider)
+        items = F.when(test, array) if items is None else items.when(test, array)
+    rows = landed.filter(F.col("provider").isin([p.name for p in providers]))
+    return rows.select(*RESPONSE_COLUMNS, F.explode(items).alias("_item")).select(
+        *RESPONSE_COLUMNS, "_item.*"
     )
 
 
-def normalize_provider(
-    payloads: DataFrame, name: str, since: Column | None = None, role_words: Sequence[str] = ()
-) -> DataFrame:
-    """Canonical postings of one provider."""
-    provider = PROVIDERS[name]
-    landed = envelope(payloads)
-    if provider.body == "html":
-        items = page_items(landed, provider, role_words)
-    else:
-        items = _provider_items(landed, provider)
-    if provider.name == "himalayas":
-        # The claim spans all queries of a run and comes before the title and window tests.
-        items = first_k(
-            items.filter(F.col("claim") != ""), _CLAIM_SCOPE, ["batch_no", "item_no"], 1
+def _canonical(items: DataFrame, since: Column | None) -> DataFrame:
+    """Drop what a reader drops and name the columns of a posting. Boards are not windowed."""
+    is_feed = F.col("source_rank") > 0
+    fresh = ~is_feed | within_window(F.col("posted_at"), since)
+    company = F.when(is_feed, F.col("company_name")).otherwise(F.col("response_company"))
+    key = F.when(is_feed, "").otherwise(F.concat_ws("\x01", "response_company", "identifier"))
+    return (
+        items.filter(F.col("keep") & fresh)
+        .withColumns(
+            {
+                "company_name": text_or_blank(company),
+                "company_priority": text_or_blank(F.col("company_priority")),
+                "board_key": key,
+            }
         )
-    return _finish(items, provider, since).select(*POSTING_COLUMNS)
+        .select(*POSTING_COLUMNS)
+    )
 
 
 def normalize(
@@ -114,14 +94,29 @@ def normalize(
     since: Column | None = None,
     role_words: Sequence[str] = (),
 ) -> DataFrame:
-    """Union of all providers' postings.
+    """Postings of the named providers (default: all that are registered).
 
-    Each branch filters on ``provider``: on a landed table partitioned by that column every file
-    is read by one branch only.
+    One branch for everything that is parsed, one for each provider that needs a first-wins step
+    of its own. Every branch filters on ``provider``, so a table partitioned by it is pruned.
     """
-    names = list(PROVIDERS) if providers is None else list(providers)
-    branches = [normalize_provider(payloads, n, since, role_words) for n in names]
-    return reduce(DataFrame.unionByName, branches)
+    chosen = [PROVIDERS[n] for n in (PROVIDERS if providers is None else providers)]
+    landed = envelope(payloads)
+    branches = []
+    plain = [p for p in chosen if p.body != "html" and not p.claims]
+    if plain:
+        branches.append(parsed_items(landed, plain))
+    for provider in chosen:
+        if provider.body == "html":
+            branches.append(page_items(landed, provider, role_words))
+        elif provider.claims:
+            # The claim spans all responses of a run and comes before the title and window tests.
+            claimed = parsed_items(landed, [provider]).filter(F.col("claim") != "")
+            branches.append(first_k(claimed, ["claim"], ["batch_no", "item_no"], 1))
+    return reduce(DataFrame.unionByName, [_canonical(b, since) for b in branches])
 
 
-__all__ = ["ARRIVAL", "envelope", "normalize", "normalize_provider"]
+def normalize_provider(
+    payloads: DataFrame, name: str, since: Column | None = None, role_words: Sequence[str] = ()
+) -> DataFrame:
+    """Canonical postings of one provider."""
+    return normalize(payloads, [name], since, role_words)

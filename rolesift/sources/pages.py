@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.functions.html import anchors
 from rolesift.functions.text import contains_any
 from rolesift.functions.urls import resolve_url
 from rolesift.operators.topk import first_k
-from rolesift.sources.registry import ITEM_FIELDS, Provider, register
+from rolesift.sources.registry import RESPONSE_COLUMNS, Provider, item_columns, register
 
 _MAX_LINK_TEXT = 120
 _JOB_PATH = r"/jobs/\d+"
@@ -57,25 +57,15 @@ def board_links(pages: DataFrame, identifier: str, html: str) -> DataFrame:
 
 
 def page_items(landed: DataFrame, provider: Provider, role_words: Sequence[str]) -> DataFrame:
-    """Items in the shape of ITEM_FIELDS from responses whose body is a page."""
-    kept = ["provider", "identifier", "company_name", "company_priority", "batch_no", "fetched_at"]
-    pages = landed.filter(F.col("provider") == provider.name).select(*kept, "body")
+    """Items, like those of parsed responses, from responses whose body is a page."""
+    pages = landed.filter(F.col("provider") == provider.name).select(*RESPONSE_COLUMNS, "body")
     if provider.name == "generic":
         links = role_links(pages, "identifier", "body", role_words)
     else:
         links = board_links(pages, "identifier", "body")
-
-    values: dict[str, Column] = {
+    fields = {
         "title": F.col("link_text"),
         "apply_url": F.col("link_url"),
         "remote": F.lower("link_text").contains("remote"),
     }
-    return links.select(
-        *[c for c in kept if c != "company_name"],
-        "item_no",
-        F.col("company_name").alias("_company"),
-        *[
-            values.get(name, F.lit(default)).cast(dtype).alias(name)
-            for name, (dtype, default) in ITEM_FIELDS.items()
-        ],
-    )
+    return links.select(*RESPONSE_COLUMNS, "item_no", *item_columns(provider, fields))

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rolesift.functions.text import strip_or_blank, text_or_blank
+
 # What a mapping yields for one item; absent keys get the default.
 ITEM_FIELDS: dict[str, tuple[str, object]] = {
     "title": ("string", ""),
@@ -39,6 +41,8 @@ class Provider:
     source_rank: int = 0
     body: str = "json"  # json | xml | html
     accepts: Callable[[Column], Column] | None = None  # test on the identifier
+    claims: bool = False  # repeats of an item's claim are dropped across responses
+    blank_titles: bool = False  # the mapping tests titles itself
 
     @property
     def is_feed(self) -> bool:
@@ -54,6 +58,37 @@ class Provider:
 
 PROVIDERS: dict[str, Provider] = {}
 
+# Columns of the response that go with each item.
+RESPONSE_COLUMNS = (
+    "provider",
+    "identifier",
+    "response_company",
+    "company_priority",
+    "batch_no",
+    "fetched_at",
+)
+
+
+def item_columns(provider: Provider, fields: dict[str, Column]) -> list[Column]:
+    """The mapped fields of an item with types and defaults, plus the constants of its provider."""
+
+    def value(name: str) -> Column:
+        dtype, default = ITEM_FIELDS[name]
+        column = fields.get(name, F.lit(default))
+        if name == "title":
+            column = strip_or_blank(column)
+        elif dtype == "string" and default == "":
+            column = text_or_blank(column)
+        return column.cast(dtype)
+
+    columns = {name: value(name) for name in ITEM_FIELDS}
+    if not provider.blank_titles:
+        columns["keep"] = columns["keep"] & (columns["title"] != "")
+    columns["source"] = F.lit(provider.source)
+    columns["ats_platform"] = F.lit(provider.platform).cast("string")
+    columns["source_rank"] = F.lit(provider.source_rank)
+    return [column.alias(name) for name, column in columns.items()]
+
 
 def register(provider: Provider) -> Provider:
     """Add or replace a provider; normalize() and routing look it up by name."""

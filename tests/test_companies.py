@@ -17,6 +17,7 @@ from rolesift.operators.coverage import (
     with_coverage,
 )
 from rolesift.operators.detection import (
+    detect_along_links,
     detect_board,
     detection_results,
     job_links,
@@ -106,6 +107,20 @@ def test_detection_write_back_overwrites_with_blanks(spark):
     assert detection_summary(results).first().asDict() == {"checked": 3, "matched": 1, "no_match": 2}
 
 
+def test_detection_along_links(spark):
+    signal = '{"greenhouseId": 7}'
+    landed = pages(
+        spark, {"company_name": "Two Hits", "html": "jobs.lever.co/late", "final_url": "u1"}, {"company_name": "Two Hits", "html": "jobs.lever.co/first"},
+        {"company_name": "My Co.", "html": signal}, {"company_name": "Dead", "html": signal}, {"company_name": "Gone", "html": "jobs.lever.co/g", "http_status": 404},
+        {"company_name": "Both", "html": signal + "jobs.ashbyhq.com/b"})
+    landed = landed.withColumn("page_no", F.when(F.col("final_url") == "u1", 1).otherwise(0))
+    boards = spark.createDataFrame([("greenhouse", "myco", 2), ("greenhouse", "dead", 0), ("greenhouse", "both", 2)], "provider string, identifier string, job_count int")
+    got = {r.name: (r.ats_provider, r.ats_identifier, r.note) for r in detect_along_links(landed, boards).collect()}
+    assert got == {
+        "Two Hits": ("lever", "first", "found on landing page"), "My Co.": ("greenhouse", "myco", "found via verified guess"),
+        "Both": ("ashby", "b", "found on landing page")}
+
+
 def test_job_links(spark):
     html = "".join(f'<a href="{h}">x</a>' for h in (
         "", "https://a.com/careers/jobs", "/blog/jobs", "/team", "/careers/search", "/careers/search", "/positions", "/openings"))
