@@ -618,16 +618,18 @@ _TENANT_SQL = "regexp_extract(url, '^https?://([^./]*)', 1)"
     "norm_teamtailor",
     f"""WITH {_ANCHOR_SQL}, jobs AS (
       SELECT page_id, url, pos, CASE WHEN contains(txt, 'de') THEN '' ELSE txt END AS txt,
-        'https://' || {_TENANT_SQL} || '.teamtailor.com/jobs/7' || substr(href, 2, 2) AS link_url FROM links)
+        'https://' || {_TENANT_SQL} || '.teamtailor.com/jobs/7' || ltrim(href, '/') AS link_url FROM links)
     SELECT 'page ' || page_id AS company_name, txt AS title, link_url AS apply_url, FALSE AS remote,
       'teamtailor' AS ats_platform FROM (
       SELECT *, row_number() OVER (PARTITION BY page_id, link_url ORDER BY pos) AS nth FROM jobs
     ) WHERE nth = 1 AND txt <> ''""",
 )
 def _norm_teamtailor(spark, sf_dir):
-    """Links are rewritten to board paths that repeat within a page; some texts become images."""
-    html = F.regexp_replace("html", r'<a href="/([^"]{0,2})[^"]*">', r'<a href="/jobs/7$1">')
-    html = F.regexp_replace(html, r'(<a href="/jobs/7)([^"]*)">([^<]*de[^<]*)</a>', r'$1$2"><img alt="$3"></a>')
+    """Links become board links and the page is doubled; in its first half some links are images,
+    which hide the titled link that comes later."""
+    titled = F.regexp_replace("html", r'<a href="/([^"]*)">', r'<a href="/jobs/7$1">')
+    imaged = F.regexp_replace(titled, r'(<a href="/jobs/7[^"]*">)([^<]*de[^<]*)</a>', r'$1<img alt="$2"></a>')
+    html = F.concat(imaged, titled)
     landed = table(spark, sf_dir, "pages").select(
         F.lit("teamtailor").alias("provider"),
         F.regexp_extract("url", r"^https?://([^./]*)", 1).alias("identifier"),

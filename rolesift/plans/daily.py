@@ -25,7 +25,7 @@ from rolesift.operators.reporting import (
 from rolesift.operators.scoring import score_postings
 from rolesift.operators.selection import cap_per_company, recommendations, worth_looking_at
 from rolesift.operators.upsert import record_checks, upsert_companies, upsert_postings
-from rolesift.plans.state import AppendTable, VersionedTable, stage
+from rolesift.plans.state import AppendTable, VersionedTable, drop_path, scratch_path, stage
 from rolesift.schema import APPLIED_DDL, ARRIVAL, COMPANY_DDL, POSTING_STATE_DDL, REPORT_DDL
 from rolesift.settings import Settings
 from rolesift.sources import normalize
@@ -94,12 +94,18 @@ def window_start(reports: DataFrame, now: Column, lookback_days: int) -> Column:
 
 @dataclass(frozen=True)
 class RunResult:
+    """Results of a run; they read staged tables until ``release`` drops those."""
+
     ranked: DataFrame
     recommended: DataFrame
     others: DataFrame
     metrics: DataFrame
     items: DataFrame
     digest: DataFrame
+    scratch: str
+
+    def release(self) -> None:
+        drop_path(self.ranked.sparkSession, self.scratch)
 
 
 class DailyRun:
@@ -126,9 +132,10 @@ class DailyRun:
         s = self.settings
         token = started_at.strftime("%Y%m%dT%H%M%S")
         start = F.lit(started_at)
+        scratch = scratch_path(self.spark, f"run-{token}")
         listed = first_companies(companies, company_limit)
 
-        routes = stage(route_companies(listed, pages), "routes")
+        routes = stage(route_companies(listed, pages), "routes", scratch)
         earlier = self.reports.read().filter(F.col("run_started_at") < start)
         since = window_start(earlier, start, s.limits.first_run_lookback_days)
         postings = company_postings(payloads, pages, routes, s).unionByName(
@@ -140,6 +147,7 @@ class DailyRun:
                 "seen_at", F.coalesce("fetched_at", start)
             ),
             "ranked",
+            scratch,
         )
 
         recommended = recommendations(
@@ -147,7 +155,9 @@ class DailyRun:
         )
         others = worth_looking_at(ranked, recommended, s.profile.max_years, s.limits.worth_looking)
         items = stage(
-            report_items(TOP, recommended).unionByName(report_items(OTHER, others)), "report"
+            report_items(TOP, recommended).unionByName(report_items(OTHER, others)),
+            "report",
+            scratch,
         )
         metrics = self._metrics(ranked, routes, payloads, started_at)
 
@@ -156,10 +166,22 @@ class DailyRun:
             record_checks(upsert_companies(self.companies.read(before=token), listed), checks), token
         )
         self.postings.write(upsert_postings(stored, ranked), token)
-        metrics = stage(metrics, "metrics")
+        metrics = stage(metrics, "metrics", scratch)
         self.reports.append(metrics, token)
         digest = digest_lines(metrics, items)
-        return RunResult(ranked, recommended, others, metrics, items, digest)
+        self._publish(items, digest, started_at)
+        return RunResult(ranked, recommended, others, metrics, items, digest, scratch)
+
+    def report_path(self, started_at: datetime) -> str:
+        return f"{self.root}/reports/{started_at:%Y-%m-%d}"
+
+    def _publish(self, items: DataFrame, digest: DataFrame, started_at: datetime) -> None:
+        """Report rows and text; a later run of the same day replaces them. Their number is bound
+        by two settings, so the text may go to one file."""
+        path = self.report_path(started_at)
+        items.write.mode("overwrite").parquet(f"{path}/items")
+        lines = digest.repartition(1).sortWithinPartitions("part", "position").select("text")
+        lines.write.mode("overwrite").text(f"{path}/digest")
 
     def _metrics(
         self, ranked: DataFrame, routes: DataFrame, payloads: DataFrame, started_at: datetime
@@ -176,6 +198,6 @@ class DailyRun:
             {
                 "run_started_at": F.lit(started_at),
                 "run_date": F.lit(started_at.date()),
-                "report_path": F.lit(f"{self.root}/reports/{started_at:%Y-%m-%d}"),
+                "report_path": F.lit(self.report_path(started_at)),
             }
         )

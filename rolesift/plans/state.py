@@ -28,27 +28,34 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``. Only where it is unset, as in
-    tests on one machine, a temporary folder stands in and is set for the session."""
+    tests on one machine, a temporary folder stands in."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="rolesift-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="rolesift-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/rolesift/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/rolesift/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write a result that several outputs read, and read it back.
 
     It cuts the lineage, survives lost executors, and stays columnar, so each reader gets only
-    the columns it needs.
+    the columns it needs. ``folder`` keeps what belongs together, so it can be dropped at once.
     """
-    path = scratch_path(df.sparkSession, label)
+    path = f"{folder}/{label}" if folder else scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -95,8 +102,7 @@ class VersionedTable:
     def drop_old(self, keep: int) -> None:
         """Delete all but the newest ``keep`` versions."""
         for name in self.versions()[:-keep] if keep > 0 else []:
-            fs, p = _fs(self.spark, f"{self.root}/{name}")
-            fs.delete(p, True)
+            drop_path(self.spark, f"{self.root}/{name}")
 
 
 class AppendTable:

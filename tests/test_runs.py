@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rolesift.operators.reporting import evolve_reports
 from rolesift.operators.upsert import record_checks, upsert_companies, upsert_postings
 from rolesift.plans.daily import DailyRun, rank_postings, window_start
-from rolesift.plans.state import AppendTable, VersionedTable, mark_applied, stage
+from rolesift.plans.state import AppendTable, VersionedTable, mark_applied, path_exists, stage
 from rolesift.schema import APPLIED_DDL, COMPANY_DDL, PAYLOAD_DDL, POSTING_STATE_DDL, REPORT_DDL, conform
 from rolesift.settings import Limits, Settings
 from rolesift.sources import normalize
@@ -139,6 +139,8 @@ def test_two_runs(spark, tmp_path):
     assert (metrics.total_jobs_found, metrics.new_jobs_found, metrics.companies_checked, metrics.companies_failed, metrics.sources_checked, metrics.sources_failed) == (4, 4, 3, 1, 2, 1)
     text = "\n".join(r.text for r in first.digest.collect())
     assert "## Top 2 Recommendations" in text and "### 1. AI Engineer — Acme ★★★★★" in text and "## Other jobs worth looking at (2)" in text
+    published = [r.value for r in spark.read.text(run.report_path(DAY) + "/digest").collect()]
+    assert published[0] == "# AI Job Digest — 2026-07-30" and "### 2. Machine Learning Engineer — Feedco ★★★★" in published
     stored = {r.apply_url: (r.first_seen_at, r.last_seen_at) for r in run.postings.read().collect()}
 
     again = run.run(*inputs, started_at=DAY)  # a replay changes nothing
@@ -163,6 +165,9 @@ def test_two_runs(spark, tmp_path):
 def test_company_limit(spark, tmp_path):
     result = DailyRun(spark, str(tmp_path), SETTINGS).run(*_inputs(spark), started_at=DAY, company_limit=1)
     assert result.metrics.first().companies_checked == 1
+    assert path_exists(spark, result.scratch)
+    result.release()
+    assert not path_exists(spark, result.scratch)
 
 
 # -- stream ----------------------------------------------------------------------------------
