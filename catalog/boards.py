@@ -724,7 +724,7 @@ _KIND_SQL = f"""CASE
     WHEN regexp_matches(h, '^www\\.[a-z-]+\\.example\\.org$') THEN 'workday'
     WHEN regexp_matches(h, '^www\\.[a-z-]+\\.example\\.com$') THEN 'greenhouse'
     WHEN regexp_matches(h, '^m\\.[a-z-]+\\.example\\.com$') THEN 'lever' END"""
-_BOARD_PAGES_SQL = f"""
+BOARD_PAGES_SQL = f"""
 hosts AS (SELECT page_id, url, {_HOST_SQL} AS h FROM pages),
 kinds AS (SELECT page_id, {_KIND_SQL} AS provider, split_part(h, '.', 2) AS tenant FROM hosts),
 boards AS (SELECT page_id, provider, CASE WHEN provider = 'workday'
@@ -732,7 +732,7 @@ boards AS (SELECT page_id, provider, CASE WHEN provider = 'workday'
   FROM kinds)"""
 
 
-@query("detect_boards", f"WITH {_BOARD_PAGES_SQL} SELECT page_id, provider, identifier FROM boards")
+@query("detect_boards", f"WITH {BOARD_PAGES_SQL} SELECT page_id, provider, identifier FROM boards")
 def _detect_boards(spark, sf_dir):
     """The platform rules themselves, on rewritten hosts."""
     board = detect_board(F.col("html"), F.col("final_url"))
@@ -745,7 +745,7 @@ def _detect_boards(spark, sf_dir):
 
 @query(
     "route_status",
-    f"""WITH {_BOARD_PAGES_SQL}, c AS (
+    f"""WITH {BOARD_PAGES_SQL}, c AS (
       SELECT s_name AS name, s_suppkey, s_nationkey, CASE WHEN s_acctbal > 7000 THEN 'ashby'
         WHEN s_acctbal > 5000 THEN 'unheard_of' END AS cached FROM supplier)
     SELECT name,

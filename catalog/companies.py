@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.boards import _BOARD_PAGES_SQL, board_pages
+from catalog.boards import BOARD_PAGES_SQL, board_pages
 from catalog.registry import query
 from catalog.views import POSTS_SQL, postings, table, tier
 from rolesift.functions.text import posting_hash
@@ -228,7 +228,7 @@ def _untested(spark, sf_dir):
 
 # -- detection results and their way back into the list --------------------------------------
 
-_RESULTS_SQL = f"""{_BOARD_PAGES_SQL},
+_RESULTS_SQL = f"""{BOARD_PAGES_SQL},
 results AS (
   SELECT s_name AS name, CASE WHEN s_nationkey = 3 THEN '' ELSE coalesce(provider, '') END AS ats_provider,
     CASE WHEN s_nationkey = 3 THEN '' ELSE coalesce(identifier, '') END AS ats_identifier

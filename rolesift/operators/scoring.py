@@ -53,7 +53,7 @@ def years_points(required: Column, max_years: int) -> Column:
     )
 
 
-def _above_text(required: Column, max_years: int) -> Column:
+def above_text(required: Column, max_years: int) -> Column:
     return F.concat(
         F.lit("needs ~"),
         required.cast("string"),
@@ -68,7 +68,7 @@ def years_reason(required: Column, max_years: int) -> Column:
         F.lit(f" yrs experience (within your {max_years}-yr preference)"),
     )
     return F.when(required <= max_years, within).when(
-        required > max_years, _above_text(required, max_years)
+        required > max_years, above_text(required, max_years)
     )
 
 
@@ -82,14 +82,6 @@ def remote_reason(remote: Column, preference: str) -> Column:
     return F.when(remote, F.lit(reason).cast("string"))
 
 
-def country_points(location: Column, remote: Column, countries: tuple[str, ...]) -> Column:
-    return (
-        F.when(contains_any(F.lower(location), countries), COUNTRY_POINTS)
-        .when(remote, REMOTE_ANYWHERE_POINTS)
-        .otherwise(0)
-    )
-
-
 def stars(score: Column) -> Column:
     rating = None
     for floor, value in STARS:

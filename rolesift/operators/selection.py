@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.functions.text import strip
-from rolesift.operators.scoring import _above_text
+from rolesift.operators.scoring import above_text
 from rolesift.operators.topk import first_k
 from rolesift.schema import ARRIVAL
 
@@ -44,7 +44,7 @@ def not_recommended_reason(max_years: int) -> Column:
     years = F.col("required_years_experience")
     notes = F.concat_ws(
         "; ",
-        F.when(years > max_years, _above_text(years, max_years)),
+        F.when(years > max_years, above_text(years, max_years)),
         F.when(~F.col("remote"), F.lit("on-site / not remote")),
         F.when(~F.col("has_stack_overlap"), F.lit("no direct tech-stack overlap detected")),
     )

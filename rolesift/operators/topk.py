@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this k Spark cuts every partition to k rows per key before the exchange.
-_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+# Above this k a hot key is cut on salted keys first.
+_DIRECT_K = 100
 _SALTS = 64
 
 
@@ -18,10 +18,11 @@ def first_k(
     """Keep the first ``k`` rows of each key in the given (total) order.
 
     A row_number filter lets Spark push the limit below the shuffle, so each map task sends at
-    most k rows of a key. Beyond the threshold of that rule the same cut is made by hand on salted
-    keys first: the first k of a key are among the first k of each of its salts.
+    most k rows of a key (up to spark.sql.optimizer.windowGroupLimitThreshold). With a large k
+    that still adds up over many tasks, so the same cut is made on salted keys first: the first k
+    of a key are among the first k of each of its salts.
     """
-    if k > int(df.sparkSession.conf.get(_GROUP_LIMIT, "1000")):
+    if k > _DIRECT_K:
         salt = F.pmod(F.xxhash64(*order_columns(order)), F.lit(_SALTS))
         df = _ranked_cut(df.withColumn("_salt", salt), [*keys, "_salt"], order, k).drop("_salt")
     return _ranked_cut(df, keys, order, k)
