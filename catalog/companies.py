@@ -37,8 +37,8 @@ from rolesift.operators.discovery import (
     seed_identifiers,
     stated_providers,
     tasks_of,
+    slug_rows,
     unresolved_list,
-    with_slugs,
 )
 from rolesift.plans.boards import company_list_rows, write_csv
 from rolesift.plans.state import AppendTable, mark_applied, scratch_path
@@ -411,12 +411,12 @@ def _plain_sheet(spark, sf_dir) -> DataFrame:
       array_to_string({_STATED_SQL}, ',') AS stated FROM sheet""",
 )
 def _slug_variants(spark, sf_dir):
-    rows = with_slugs(_plain_sheet(spark, sf_dir), "company").select(
+    return slug_rows(_plain_sheet(spark, sf_dir), "company").select(
         "row_no",
+        "identifier",
+        (F.col("place") + 1).alias("place"),
         F.array_join(stated_providers(F.col("ats_text")), ",").alias("stated"),
-        F.posexplode("slugs").alias("_p", "identifier"),
     )
-    return rows.select("row_no", "identifier", (F.col("_p") + 1).alias("place"), "stated")
 
 
 @query(

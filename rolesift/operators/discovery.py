@@ -45,11 +45,12 @@ def stated_providers(ats_text: Column) -> Column:
     return F.filter(F.array(*[F.lit(p) for p in GUESSABLE]), lambda p: F.contains(lowered, p))
 
 
-def with_slugs(rows: DataFrame, name: str, out: str = "slugs") -> DataFrame:
-    """Adds the ordered distinct identifiers a company might use.
+def slug_rows(rows: DataFrame, name: str) -> DataFrame:
+    """One row per identifier a company might use, with its place: ordered, no repeats.
 
     Words and slugs are columns of their own, so that each is computed once and not again inside
-    every variant.
+    every variant. The variants are exploded as an expression: for a plain column Spark adds a
+    filter on its size, which would compute all of it a second time, inlined.
     """
     lowered = F.replace(F.lower(name), F.lit("&"), F.lit("and"))
     bare = F.regexp_replace(lowered, rf"(?U)[^a-z0-9{SPACE}-]", "")
@@ -90,9 +91,8 @@ def with_slugs(rows: DataFrame, name: str, out: str = "slugs") -> DataFrame:
         around("the", whole, ""),
         around("join", whole, ""),
     )
-    return joined.withColumn(
-        out, F.array_distinct(F.filter(variants, lambda v: v != ""))
-    ).drop("_words", "_kept", "_whole", "_hyphen", "_trimmed")
+    distinct = F.array_distinct(F.filter(variants, lambda v: v != ""))
+    return joined.select(*rows.columns, F.posexplode(distinct).alias("place", "identifier"))
 
 
 def career_url(provider: Column, identifier: Column) -> Column:
@@ -143,19 +143,16 @@ def candidates(tasks: DataFrame, seeds: DataFrame) -> DataFrame:
         ).alias("position"),
     )
     guessed = (
-        with_slugs(tried, "company")
-        .select("row_no", "company", "slugs", F.posexplode("providers").alias("_p", "provider"))
+        slug_rows(tried.select("row_no", "company", "providers"), "company")
+        .select("*", F.posexplode("providers").alias("_p", "provider"))
         .filter(F.col("provider") != "workday")  # host and site cannot be guessed
-        .select(
-            "row_no", "company", "provider", "_p", F.posexplode("slugs").alias("_v", "identifier")
-        )
         .select(
             "row_no",
             "company",
             "provider",
             "identifier",
             F.struct(
-                F.lit(1).alias("kind"), F.col("_p").cast("bigint").alias("major"), F.col("_v").alias("minor")
+                F.lit(1).alias("kind"), F.col("_p").cast("bigint").alias("major"), F.col("place").alias("minor")
             ).alias("position"),
         )
     )

@@ -36,9 +36,9 @@ from rolesift.operators.discovery import (
     seed_identifiers,
     spread_join,
     stated_providers,
+    slug_rows,
     tasks_of,
     unresolved_list,
-    with_slugs,
 )
 from rolesift.plans.boards import company_list_rows, enriched_rows, write_csv
 from rolesift.sources.companies import first_companies, read_companies, read_csv, read_sample_sheet
@@ -148,8 +148,10 @@ def plain_variants(name):
 
 def test_slugs_and_stated_providers(spark):
     df = spark.createDataFrame(list(enumerate(NAMES)), "i int, company string")
-    got = with_slugs(df, "company").orderBy("i").collect()
-    assert [r.slugs for r in got] == [plain_variants(n) for n in NAMES]
+    got = {}
+    for row in slug_rows(df, "company").orderBy("i", "place").collect():
+        got.setdefault(row.i, []).append(row.identifier)
+    assert [got.get(i, []) for i in range(len(NAMES))] == [plain_variants(n) for n in NAMES]
     assert values(spark, stated_providers, ["Workable / Greenhouse ", "custom", None]) == [["greenhouse", "workable"], [], []]
 
 
