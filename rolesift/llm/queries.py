@@ -7,6 +7,8 @@ import public_tokenizers
 from rolesift.llm.bpe import round_trip
 from rolesift.llm.exact_dedup import exact_duplicates
 from rolesift.llm.registry import ORACLE, QUERIES, query, read
+from rolesift.llm.sharding import even_tree, shard_documents
+from rolesift.llm.url_filter import UrlRule, judge_urls
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -31,3 +33,34 @@ def _byte_bpe(spark, sf_dir):
     return round_trip(
         read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     )
+
+
+_HOST = r"translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+URL_RULES = [
+    UrlRule("net", "/", "block"),
+    UrlRule("example.net", "/en/", "allow"),
+    UrlRule("example.com", "/de/", "block"),
+    UrlRule("org", "/fr/", "allow"),
+]
+
+
+@query(
+    "op2_url_filter",
+    rf"""WITH u AS (SELECT page_id, coalesce({_HOST}, '') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+      r AS (SELECT *, CASE
+          WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+          WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+          WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+          WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM u)
+    SELECT page_id, host, path, rule,
+      CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+)
+def _url_filter(spark, sf_dir):
+    return judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op10_sharding")
+def _sharding(spark, sf_dir):
+    """No SQL: it has no crc32; tests hold it against brute force."""
+    return shard_documents(read(spark, sf_dir, "documents"), even_tree(24), even_tree(25))
