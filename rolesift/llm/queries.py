@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from rolesift.llm.bpe import round_trip
+from rolesift.llm.decontamination import decontaminate
 from rolesift.llm.exact_dedup import exact_duplicates
 from rolesift.llm.registry import ORACLE, QUERIES, query, read
 from rolesift.llm.sharding import even_tree, shard_documents
@@ -64,3 +65,29 @@ def _url_filter(spark, sf_dir):
 def _sharding(spark, sf_dir):
     """No SQL: it has no crc32; tests hold it against brute force."""
     return shard_documents(read(spark, sf_dir, "documents"), even_tree(24), even_tree(25))
+
+
+def _sql_words(table: str, key: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    text = f"translate(coalesce(text, ''), '{upper}', '{upper.lower()}')"
+    return rf"SELECT {key}, regexp_extract_all({text}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table}"
+
+
+@query(
+    "op4_decontamination",
+    f"""WITH d AS ({_sql_words("documents", "doc_id")}), i AS ({_sql_words("benchmark", "item_id")}),
+      iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[a : a + least(10, len(w)) - 1], ' ') AS win
+        FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS a FROM i WHERE len(w) > 0)),
+      dw AS (SELECT doc_id, k, a, array_to_string(w[a : a + k - 1], ' ') AS win
+        FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
+      hit AS (SELECT doc_id, item_id, k, a FROM dw JOIN iw USING (k, win)),
+      pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+        FROM (SELECT doc_id, unnest(range(a, a + k)) AS p FROM hit) GROUP BY doc_id),
+      its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids
+        FROM hit GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+)
+def _decontamination(spark, sf_dir):
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
