@@ -7,6 +7,7 @@ import public_tokenizers
 from rolesift.llm.bpe import round_trip
 from rolesift.llm.decontamination import decontaminate
 from rolesift.llm.exact_dedup import exact_duplicates
+from rolesift.llm.language_id import identify_languages
 from rolesift.llm.registry import ORACLE, QUERIES, query, read
 from rolesift.llm.sharding import even_tree, shard_documents
 from rolesift.llm.url_filter import UrlRule, judge_urls
@@ -91,3 +92,9 @@ def _sql_words(table: str, key: str) -> str:
 )
 def _decontamination(spark, sf_dir):
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op1_language_id")
+def _language_id(spark, sf_dir):
+    """No SQL: learned profiles; tests hold it against brute force and held-out accuracy."""
+    return identify_languages(read(spark, sf_dir, "documents"))
