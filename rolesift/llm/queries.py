@@ -8,6 +8,7 @@ from rolesift.llm.bpe import round_trip
 from rolesift.llm.decontamination import decontaminate
 from rolesift.llm.exact_dedup import exact_duplicates
 from rolesift.llm.language_id import identify_languages
+from rolesift.llm.quality import score_quality
 from rolesift.llm.registry import ORACLE, QUERIES, query, read
 from rolesift.llm.sharding import even_tree, shard_documents
 from rolesift.llm.url_filter import UrlRule, judge_urls
@@ -98,3 +99,9 @@ def _decontamination(spark, sf_dir):
 def _language_id(spark, sf_dir):
     """No SQL: learned profiles; tests hold it against brute force and held-out accuracy."""
     return identify_languages(read(spark, sf_dir, "documents"))
+
+
+@query("op8_quality")
+def _quality(spark, sf_dir):
+    """No SQL: a learned model; tests hold it against brute force and held-out accuracy."""
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
