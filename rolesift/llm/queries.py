@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from rolesift.llm.bpe import round_trip
 from rolesift.llm.decontamination import decontaminate
@@ -11,6 +12,7 @@ from rolesift.llm.language_id import identify_languages
 from rolesift.llm.quality import score_quality
 from rolesift.llm.registry import ORACLE, QUERIES, query, read
 from rolesift.llm.sharding import even_tree, shard_documents
+from rolesift.llm.toxicity import score_toxicity
 from rolesift.llm.url_filter import UrlRule, judge_urls
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -105,3 +107,10 @@ def _language_id(spark, sf_dir):
 def _quality(spark, sf_dir):
     """No SQL: a learned model; tests hold it against brute force and held-out accuracy."""
     return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op3_toxicity")
+def _toxicity(spark, sf_dir):
+    """No SQL: a learned model; tests hold it against brute force and held-out accuracy."""
+    scored = score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
