@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+SLICE_ROWS = 1 << 13
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2**64
@@ -27,11 +28,14 @@ LOWER[65:91] += 32
 def slices(
     batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each piece has about ``most`` bytes of text, one row at least."""
+    """Cut batches so that each piece has about ``most`` bytes of text and at most ``SLICE_ROWS``
+    rows, one row at least."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         piece = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
-        starts = np.flatnonzero(np.diff(piece, prepend=-1))
+        cut = np.diff(piece, prepend=-1) > 0
+        cut[::SLICE_ROWS] = True
+        starts = np.flatnonzero(cut)
         for start, end in zip(starts, [*starts[1:], batch.num_rows]):
             yield batch.slice(int(start), int(end - start))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rolesift.llm.bpe import round_trip
 from rolesift.llm.decontamination import decontaminate
 from rolesift.llm.exact_dedup import exact_duplicates
+from rolesift.llm.jaccard_join import near_duplicates
 from rolesift.llm.language_id import identify_languages
 from rolesift.llm.quality import score_quality
 from rolesift.llm.registry import ORACLE, QUERIES, query, read
@@ -114,3 +115,27 @@ def _toxicity(spark, sf_dir):
     """No SQL: a learned model; tests hold it against brute force and held-out accuracy."""
     scored = score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@query(
+    "op6_jaccard_join",
+    rf"""WITH RECURSIVE d AS (SELECT doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+      s AS (SELECT DISTINCT doc_id, array_to_string(w[a : a + least(5, len(w)) - 1], ' ') AS g
+        FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS a FROM d WHERE len(w) > 0)),
+      n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+      o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y USING (g)
+        WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+      l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+        WHERE 100 * common >= 75 * (x.n + y.n - common)),
+      r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+      m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, m.least) AS component_id
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id""",
+)
+def _jaccard_join(spark, sf_dir):
+    found = near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
