@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolesift.llm.filtering import text_digest
 from rolesift.llm.shared import staged
 
 #: On text as it stands: what would be a word once A-Z are lower-cased.
@@ -75,18 +76,21 @@ def prefix_index(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def find_windows(docs: DataFrame, id_col: str, text_col: str, index: DataFrame) -> DataFrame:
-    """row, id, n_words and one row per occurrence of a window: start, size, window. Every document
-    has one row more, whose start is null.
+    """row, id, digest (of the text), n_words and one row per occurrence of a window: start, size,
+    window. Every document has one row more, whose start is null.
 
     Join keys are lower-cased by all of Unicode, which keeps the words apart where they were apart;
     the check of the whole window folds A-Z alone.
     """
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w")
+        F.monotonically_increasing_id().alias("row"),
+        F.col(id_col).alias("id"),
+        text_digest(F.col(text_col)).alias("digest"),
+        words_of(F.col(text_col)).alias("w"),
     ).withColumn("n_words", F.size("w"))
     end = F.array(F.lit(None).cast("string"))
     placed = rows.select(
-        "row", "id", "w", "n_words", F.posexplode(F.concat("w", end)).alias("pos", "one")
+        "row", "id", "digest", "w", "n_words", F.posexplode(F.concat("w", end)).alias("pos", "one")
     ).withColumn("word", F.lower("one"))
     start = F.col("pos") - F.col("offset")
     inside = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
@@ -98,7 +102,7 @@ def find_windows(docs: DataFrame, id_col: str, text_col: str, index: DataFrame)
         kept = (is_end | (inside & same)) if i == 0 else inside & same
         found.append(
             joined.filter(kept).select(
-                "row", "id", "n_words", F.when(~is_end, start).alias("start"), "size", "window"
+                "row", "id", "digest", "n_words", F.when(~is_end, start).alias("start"), "size", "window"
             )
         )
     return reduce(DataFrame.unionAll, found)
@@ -117,7 +121,8 @@ def decontaminate(
 
     Words are runs of letters and digits of ASCII and of all other characters, A-Z lower-cased.
     Returns one row per input row: ``<id_col>``, n_words, n_hit (words inside any occurrence of a
-    window), n_items, items_sha256 (of the sorted ids of those items, comma-joined), contaminated.
+    window), n_items, items_sha256 (of the sorted ids of those items, comma-joined), contaminated,
+    text_digest (xxhash64 of the text).
 
     * A null or empty text has no words and no hit; texts of any length are read whole.
     * An item without words, or a null one, has no window. An item with a null id marks words, but
@@ -149,7 +154,7 @@ def decontaminate(
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return (
         found.filter(F.col("start").isNull())
-        .select("row", "id", "n_words")
+        .select("row", "id", "digest", "n_words")
         .join(covered, "row", "left")
         .join(of_row, "row", "left")
         .select(
@@ -159,5 +164,6 @@ def decontaminate(
             F.size(ids).cast("long").alias("n_items"),
             F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
             (n_hit > 0).alias("contaminated"),
+            F.col("digest").alias("text_digest"),
         )
     )

@@ -171,7 +171,8 @@ def exact_duplicates(
     Texts are equal when identical after each run of white space (space, tab to carriage return)
     has become one space. Of equal texts the row with the smallest id stays.
 
-    Returns one row per input row: ``<id_col>``, keep_id, group_size, kept, text_sha256.
+    Returns one row per input row: ``<id_col>``, keep_id, group_size, kept, text_sha256,
+    text_digest (xxhash64 of the normal text).
 
     * A null text counts as empty; empty texts are equal to each other.
     * A null id counts as larger than every other id, so such a row stays only if all rows of its
@@ -207,4 +208,5 @@ def exact_duplicates(
         "group_size",
         (F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        F.col("digest").alias("text_digest"),
     )

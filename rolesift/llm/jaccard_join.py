@@ -28,6 +28,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,8 +113,8 @@ def _send_shingles(size: int, ranges: int):
                 for r in np.flatnonzero(np.diff(cuts)).tolist()
             ]
             ids, *columns = zip(*docs)
-            counts, one, two, first = (np.concatenate(c) for c in columns)
-            listed = np.stack([one, two]).astype("<i8").tobytes()
+            counts, one, two, raw, first = (np.concatenate(c) for c in columns)
+            listed = np.stack([one, two, raw]).astype("<i8").tobytes()
             rows.append(
                 (-1 - chunk, chunk, _ids(ids), counts.astype("<i8").tobytes(), listed, first.astype(np.int8).tobytes())
             )
@@ -138,7 +139,8 @@ def _send_shingles(size: int, ranges: int):
             keep = np.repeat(first, counts)
             digests.append(own[keep])
             places.append(np.repeat(np.arange(len(counts)) + base, counts)[keep])
-            docs.append((batch.column("id"), counts, one, two, first))
+            raw = [xxhash.xxh64_intdigest((t or "").encode(), 42) for t in batch.column("text").to_pylist()]
+            docs.append((batch.column("id"), counts, one, two, np.array(raw, dtype=_U).view(np.int64), first))
             held += int(keep.sum())
             if held >= CHUNK_SHINGLES or base + len(counts) + SLICE_ROWS > CHUNK_DOCS:
                 yield out()
@@ -196,7 +198,7 @@ def _gather(percent: int):
         raw = listed["a"]
         ids = np.frombuffer(raw, dtype="<i8", count=len(n))
         null = np.frombuffer(raw, dtype=np.int8, offset=8 * len(n)) == 1
-        prints = np.frombuffer(listed["c"], dtype="<i8").reshape(2, -1)
+        prints = np.frombuffer(listed["c"], dtype="<i8").reshape(3, -1)
         sends = np.frombuffer(listed["d"], dtype=np.int8) == 1
         tokens = [unpack(a) + (_U(k) << _U(32)) for k, a in zip(answers["key"], answers["a"])]
         token = np.concatenate([*tokens, np.zeros(0, _U)])
@@ -220,6 +222,7 @@ def _gather(percent: int):
                 "n": n,
                 "print_1": prints[0],
                 "print_2": prints[1],
+                "digest": prints[2],
                 "sends": sends,
                 "unshared": n - shared,
                 "tokens": sets,
@@ -231,7 +234,7 @@ def _gather(percent: int):
 
 
 _NODES = (
-    "node long, id long, n long, print_1 long, print_2 long, sends boolean, unshared long, "
+    "node long, id long, n long, print_1 long, print_2 long, digest long, sends boolean, unshared long, "
     "tokens binary, prefix array<long>"
 )
 
@@ -357,8 +360,8 @@ def near_duplicates(
 
     Words are runs without white space (space, tab to carriage return), A-Z lower-cased. Returns one
     row per input row: ``<id_col>``, n_shingles, component_id (the smallest id in the component),
-    node (a number of the row) and kept (of each component one row stays: that with the smallest
-    id, and of several rows with it the first).
+    kept (of each component one row stays: that with the smallest id, and of several rows with it
+    the first) and text_digest (xxhash64 of the text).
 
     * A null or empty text, or one of white space, has no shingles and is linked with nothing.
     * Fewer words than ``shingle_words`` are one shingle; texts of any length are read whole.
@@ -380,8 +383,8 @@ def near_duplicates(
     first = full.groupBy(*key).agg(F.min("node").alias("first"))
     classes = first.join(of_class, key, "left").select(*key, F.coalesce("component", "first").alias("component"))
     placed = staged(
-        nodes.select("node", "id", *key).join(classes, key, "left")
-        .select("node", "id", "n", F.coalesce("component", "node").alias("component")),
+        nodes.select("node", "id", "digest", *key).join(classes, key, "left")
+        .select("node", "id", "digest", "n", F.coalesce("component", "node").alias("component")),
         "placed",
     )
     heads = placed.groupBy("component").agg(
@@ -392,6 +395,6 @@ def near_duplicates(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         "component_id",
-        "node",
         (F.col("node") == F.col("head")).alias("kept"),
+        F.col("digest").alias("text_digest"),
     )

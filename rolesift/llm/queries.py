@@ -30,7 +30,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
     FROM t WINDOW w AS (PARTITION BY text_sha256)""",
 )
 def _exact_dedup(spark, sf_dir):
-    return exact_duplicates(read(spark, sf_dir, "documents"))
+    return exact_duplicates(read(spark, sf_dir, "documents")).drop("text_digest")
 
 
 @query("op9_byte_bpe")
@@ -95,7 +95,8 @@ def _sql_words(table: str, key: str) -> str:
     FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
 )
 def _decontamination(spark, sf_dir):
-    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    judged = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return judged.drop("text_digest")
 
 
 @query("op1_language_id")
