@@ -99,7 +99,9 @@ class Profiles:
         at = np.minimum(np.searchsorted(self.codes, top), len(self.codes) - 1)
         known = self.codes[at] == top
         own = np.arange(len(top))[:, None]
-        apart = np.where(known[:, None], np.abs(self.ranks[at] - own), self.length)
+        ranks = self.ranks[at]
+        ranked = known[:, None] & (ranks < self.length)
+        apart = np.where(ranked, np.abs(ranks - own), self.length)
         sums = apart.sum(axis=0)
         best = int(np.argmin(sums))
         return self.languages[best], 1.0 - float(sums[best]) / (self.length * len(top))
