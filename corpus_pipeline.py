@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rolesift.llm.bpe import decode_ids, encode_texts
 from rolesift.llm.decontamination import decontaminate
 from rolesift.llm.exact_dedup import exact_duplicates, normal_text
-from rolesift.llm.filtering import drop_all, keep_one, text_digest
+from rolesift.llm.filtering import drop_all, free_name, keep_one, text_digest
 from rolesift.llm.jaccard_join import near_duplicates
 from rolesift.llm.language_id import UNDETERMINED, with_language
 from rolesift.llm.shared import staged
@@ -26,8 +26,9 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep every document of which some language is recognised, and its columns as they are."""
-    judged = with_language(docs, out=("__lang_pred", "__score"))
-    return judged.filter(F.col("__lang_pred") != UNDETERMINED).select(*docs.columns)
+    pred, score = free_name(docs.columns, "__lang_pred"), free_name(docs.columns, "__score")
+    judged = with_language(docs, out=(pred, score))
+    return judged.filter(F.col(pred) != UNDETERMINED).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from rolesift.llm.decontamination import decontaminate
 from rolesift.llm.exact_dedup import exact_duplicates
 from rolesift.llm.jaccard_join import near_duplicates
 from rolesift.llm.language_id import identify_languages
+from rolesift.llm.line_dedup import drop_boilerplate
 from rolesift.llm.quality import score_quality
 from rolesift.llm.registry import ORACLE, QUERIES, query, read
 from rolesift.llm.sharding import even_tree, shard_documents
@@ -140,3 +141,24 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def _jaccard_join(spark, sf_dir):
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query(
+    "op5_line_dedup",
+    """WITH d AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents),
+      e AS (SELECT doc_id, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+      l AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM e),
+      c AS (SELECT source, bare, count(DISTINCT doc_id) AS n FROM l WHERE bare <> '' GROUP BY source, bare),
+      t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+      b AS (SELECT source, bare FROM c JOIN t USING (source) WHERE n >= 3 AND n > 0.05 * total),
+      m AS (SELECT l.*, b.bare IS NOT NULL AS bad FROM l LEFT JOIN b USING (source, bare)),
+      r AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT bad) AS kept,
+        count(*) FILTER (WHERE bare <> '') AS n_lines, count(*) FILTER (WHERE bad) AS n_dropped FROM m GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
+      sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)""",
+)
+def _line_dedup(spark, sf_dir):
+    """The site of a document is its source."""
+    cut = drop_boilerplate(read(spark, sf_dir, "documents"), "source")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return cut.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))

@@ -20,6 +20,7 @@ from rolesift.llm.components import components
 from rolesift.llm.decontamination import decontaminate
 from rolesift.llm.exact_dedup import ENTRY, exact_duplicates, merge_tree, send
 from rolesift.llm.jaccard_join import near_duplicates
+from rolesift.llm.line_dedup import drop_boilerplate
 from rolesift.llm.packing import pack, pack_sorted, unpack, unpack_sorted
 from rolesift.llm.sharding import Shard, even_tree, place, shard_documents
 from rolesift.llm.url_filter import DigestArray, UrlRule, judge_urls, pack_rules
@@ -350,6 +351,36 @@ def test_components_of_paths_stars_and_circles(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+# line dedup
+
+
+@pytest.mark.parametrize("ratio, least", [(0.05, 3), (0.3, 2), (0.0, 1)])
+def test_lines_against_a_plain_count(spark, ratio, least):
+    rng = random.Random(9)
+    common = [" menu ", "menu", "imprint\t", "a  b", "", "  ", "\u00a0"]
+    rows = []
+    for i in range(200):
+        host = rng.choice(["hot", "hot", "h1", "h2", "", None, f"own{i}"])
+        lines = [rng.choice(common) if rng.random() < 0.4 else prose(rng, 2, 40) for _ in range(rng.randrange(9))]
+        rows.append((i, host, "\n".join(lines) if rng.random() < 0.95 else None))
+    rows.append((200, "hot", "menu\n" * 30_000))
+    bare = lambda line: line.strip(" \t\n\x0b\x0c\r")
+    pages, seen = {}, {}
+    for _, host, text in rows:
+        pages[host] = pages.get(host, 0) + 1
+        for line in {bare(x) for x in (text or "").split("\n")} - {""}:
+            seen[host, line] = seen.get((host, line), 0) + 1
+    bad = {k for k, n in seen.items() if n >= least and n > ratio * pages[k[0]]}
+    found = drop_boilerplate(spark.createDataFrame(rows, "doc_id long, site string, text string"), "site", max_ratio=ratio, min_pages=least)
+    got = {r.doc_id: (r.site, r.text, r.n_lines, r.n_dropped) for r in found.collect()}
+    assert len(got) == len(rows)
+    for i, host, text in rows:
+        lines = text.split("\n") if text is not None else []
+        stay = [x for x in lines if (host, bare(x)) not in bad]
+        expected = (host, None if text is None else "\n".join(stay), sum(bare(x) != "" for x in lines), len(lines) - len(stay))
+        assert got[i] == expected
+
+
 # exact dedup
 
 
