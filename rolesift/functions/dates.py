@@ -24,8 +24,26 @@ MAIL_ZONES = {
 }
 
 
+# Seconds of the years 1 to 9999, beyond which there is no date.
+_FIRST_SECOND, _LAST_SECOND = -62_135_596_800, 253_402_300_799
+
+_NUMBER = r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"
+
+
 def from_epoch_seconds(c: Column) -> Column:
-    return F.timestamp_seconds(c)
+    """Seconds since 1970, as a number or as its text, fractions included; null when out of range."""
+    seconds = c.try_cast("decimal(30,6)")
+    return F.when(seconds.between(_FIRST_SECOND, _LAST_SECOND), F.timestamp_seconds(seconds))
+
+
+def from_number_or_iso(c: Column) -> Column:
+    """A date whose shape decides how it is read: digits are epoch seconds, the rest ISO text."""
+    return F.when(c.rlike(_NUMBER), from_epoch_seconds(c)).otherwise(from_iso_text(c))
+
+
+def stated(c: Column) -> Column:
+    """The text of a date that is given; blank and zero count as not given."""
+    return F.when((c != "") & F.coalesce(c.try_cast("double") != 0, F.lit(True)), c)
 
 
 def from_iso_text(c: Column) -> Column:

@@ -36,26 +36,31 @@ def _inner_text(html: Column) -> Column:
     return strip(decode_entities(bare))
 
 
-def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row per ``<a href>``: all columns but ``html``, plus item_no, href, link_text.
+def anchor_array(html: Column) -> Column:
+    """All ``<a href>`` of a page in document order: array<struct<item_no,href,link_text>>.
 
     The text is cut at every anchor start and each piece ends at its closing tag or at the next
     anchor, so the work is linear in the page even when closing tags are missing.
     """
+
+    def anchor(piece: Column, item_no: Column) -> Column:
+        body = F.regexp_extract(F.regexp_replace(piece, f"(?s)^{_TAG_REST}", ""), r"(?is)^(.*?)(?:</a\s*>|$)", 1)
+        href = F.regexp_replace(F.regexp_extract(piece, _HREF, 1), r"""^["']|["']$""", "")
+        return F.struct(
+            item_no.alias("item_no"),
+            decode_entities(href).alias("href"),
+            _inner_text(body).alias("link_text"),
+        )
+
+    pieces = F.split(F.regexp_replace(html, _HIDDEN, ""), r"(?i)<a(?=\s)")
+    linked = F.filter(
+        F.transform(pieces, lambda piece, i: F.struct(i.alias("i"), piece.alias("piece"))),
+        lambda p: (p["i"] > 0) & (F.regexp_extract(p["piece"], _HREF, 1) != ""),
+    )
+    return F.transform(linked, lambda p: anchor(p["piece"], p["i"]))
+
+
+def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
+    """One row per anchor of a page: all columns but ``html``, plus item_no, href, link_text."""
     kept = [c for c in pages.columns if c != html]
-    pieces = pages.select(
-        *kept,
-        F.posexplode(F.split(F.regexp_replace(F.col(html), _HIDDEN, ""), r"(?i)<a(?=\s)")).alias(
-            "item_no", "_piece"
-        ),
-    ).filter(F.col("item_no") > 0)
-    piece = F.col("_piece")
-    body = F.regexp_extract(F.regexp_replace(piece, f"(?s)^{_TAG_REST}", ""), r"(?is)^(.*?)(?:</a\s*>|$)", 1)
-    linked = pieces.select(
-        *kept,
-        "item_no",
-        F.regexp_extract(piece, _HREF, 1).alias("_quoted"),
-        _inner_text(body).alias("link_text"),
-    ).filter(F.col("_quoted") != "")
-    href = F.regexp_replace("_quoted", r"""^["']|["']$""", "")
-    return linked.select(*kept, "item_no", decode_entities(href).alias("href"), "link_text")
+    return pages.select(*kept, F.inline(anchor_array(F.col(html))))

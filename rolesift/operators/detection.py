@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolesift.functions.text import compact_slug, text_or_blank
@@ -138,19 +138,28 @@ def detect_board(html: Column, final_url: Column, rules: Sequence[Rule] = BOARD_
     return F.get(F.transform(allowed, lambda c: F.struct(c["provider"], c["identifier"])), F.lit(0))
 
 
+def page_digest() -> Column:
+    """What tells pages of one company apart."""
+    return F.xxhash64("page_url", "final_url", "http_status", "error", "html")
+
+
 def route_companies(
     companies: DataFrame, pages: DataFrame, rules: Sequence[Rule] = BOARD_RULES
 ) -> DataFrame:
-    """(name, priority, career_page, ats_provider, ats_identifier, last_status) of a run.
+    """(name, priority, career_page, ats_provider, ats_identifier, last_status, page_digest) of a run.
 
     A cached, supported board skips the page. Otherwise the page decides: error, detected board,
     or the generic reader. Companies with a cached board never reach the page join, so detection
     runs only where it is needed.
+
+    One row per name: the last row of the list, and of several pages of a company the first by
+    URL. ``page_digest`` tells which page that was; it is null where no page was looked at.
     """
+    order = [F.col("file_pos").desc()] if "file_pos" in companies.columns else []
+    rest = ("career_page", "priority", "ats_provider", "ats_identifier")
+    companies = first_k(companies, ["name"], [*order, *rest], 1)
     supported = board_names()
-    cached = (
-        F.col("ats_provider").isin(supported) & F.col("ats_identifier").isNotNull()
-    )
+    cached = F.col("ats_provider").isin(supported) & (text_or_blank(F.col("ats_identifier")) != "")
     cached = F.coalesce(cached, F.lit(False))
     direct = companies.filter(cached).select(
         "name",
@@ -159,6 +168,7 @@ def route_companies(
         "ats_provider",
         "ats_identifier",
         F.lit("ok:cached").alias("last_status"),
+        F.lit(None).cast("long").alias("page_digest"),
     )
 
     # Pages are wide: keep the wanted ones, reduce each to its outcome, and only then join, so
@@ -174,9 +184,13 @@ def route_companies(
     )
     outcomes = wanted.select(
         "name",
+        "page_url",
+        "final_url",
+        page_digest().alias("page_digest"),
         F.coalesce(failure, F.lit("")).alias("_failure"),
         F.when(failure.isNull(), detect_board(F.col("html"), F.col("final_url"), rules)).alias("_board"),
     )
+    outcomes = first_k(outcomes, ["name"], ["page_url", "final_url", "page_digest"], 1)
     judged = open_companies.join(outcomes, "name", "left").withColumn(
         "_failure", F.coalesce("_failure", F.lit("error: not fetched"))
     )
@@ -196,6 +210,7 @@ def route_companies(
         .when(hit, F.lit("ok"))
         .otherwise("ok:generic")
         .alias("last_status"),
+        "page_digest",
     )
     return direct.unionByName(routed)
 
@@ -229,35 +244,43 @@ def detect_along_links(
         detect_board(F.col("html"), F.col("final_url"), rules).alias("_board"),
         F.col("html").rlike(HEADLESS_SIGNAL).alias("_signal"),
     )
-    hits = first_k(seen.filter(F.col("_board").isNotNull()), ["name"], ["page_no", "final_url"], 1)
-    found = hits.select(
-        "name",
-        F.col("_board.provider").alias("ats_provider"),
-        F.col("_board.identifier").alias("ats_identifier"),
-        F.when(F.col("page_no") == 0, "found on landing page")
-        .otherwise(F.concat(F.lit("found after following link "), "final_url"))
-        .alias("note"),
+    hit = F.struct("page_no", "final_url", F.col("_board.provider"), F.col("_board.identifier"))
+    per_company = (
+        seen.groupBy("name")
+        .agg(
+            F.min(F.when(F.col("_board").isNotNull(), hit)).alias("_hit"),
+            F.bool_or(F.coalesce("_signal", F.lit(False))).alias("_signal"),
+        )
+        .filter(F.col("_hit").isNotNull() | F.col("_signal"))
+        .withColumn("_guess", F.when(F.col("_hit").isNull(), compact_slug(F.col("name"))))
     )
-    open_boards = boards.filter((F.col("provider") == HEADLESS_PROVIDER) & (F.col("job_count") > 0))
-    guesses = (
-        seen.filter("_signal")
-        .select("name", compact_slug(F.col("name")).alias("identifier"))
+    open_boards = (
+        boards.filter((F.col("provider") == HEADLESS_PROVIDER) & (F.col("job_count") > 0))
+        .select(F.col("identifier").alias("_guess"), F.lit(True).alias("_open"))
         .distinct()
-        .filter(F.col("identifier") != "")
-        .join(open_boards.select("identifier").distinct(), "identifier", "left_semi")
-        .join(found.select("name"), "name", "left_anti")
+    )
+    guessed = F.col("_hit").isNull()
+    where = F.when(F.col("_hit.page_no") == 0, "found on landing page").otherwise(
+        F.concat(F.lit("found after following link "), "_hit.final_url")
+    )
+    return (
+        per_company.join(open_boards, "_guess", "left")
+        .filter(~guessed | (F.col("_open") & (F.col("_guess") != "")))
         .select(
             "name",
-            F.lit(HEADLESS_PROVIDER).alias("ats_provider"),
-            F.col("identifier").alias("ats_identifier"),
-            F.lit("found via verified guess").alias("note"),
+            F.when(guessed, HEADLESS_PROVIDER).otherwise(F.col("_hit.provider")).alias("ats_provider"),
+            F.when(guessed, F.col("_guess")).otherwise(F.col("_hit.identifier")).alias("ats_identifier"),
+            F.when(guessed, "found via verified guess").otherwise(where).alias("note"),
         )
     )
-    return found.unionByName(guesses)
 
 
 def write_back_detection(companies: DataFrame, results: DataFrame) -> DataFrame:
-    """ATS columns of the checked companies; a blank result overwrites a cached value."""
+    """ATS columns of the checked companies; a blank result overwrites a cached value.
+
+    Of several results of one name one that found a board counts."""
+    blank = text_or_blank(F.col("ats_provider")) == ""
+    results = first_k(results, ["name"], [blank, "ats_provider", "ats_identifier"], 1)
     found = results.select("name", F.struct("ats_provider", "ats_identifier").alias("_found"))
     joined = companies.join(found, "name", "left")
     return joined.select(
@@ -292,5 +315,8 @@ def job_links(
         & ~F.col("href").rlike(skip_pattern)
         & F.col("href").rlike(wanted_pattern)
     )
-    once = first_k(wanted, [*page_key, "href"], ["item_no"], 1)
+    # both steps work on the rows of a page, so they share one exchange
+    of_page = Window.partitionBy(*page_key).orderBy("href", "item_no")
+    before = wanted.withColumn("_before", F.lag("href").over(of_page))
+    once = before.filter(~F.col("_before").eqNullSafe(F.col("href"))).drop("_before")
     return first_k(once, list(page_key), ["item_no"], per_page)

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Above this k a hot key is cut on salted keys first.
+# Above this k, or the session's limit for cutting below the shuffle, salted keys are cut first.
 _DIRECT_K = 100
+_PUSHED_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 _SALTS = 64
 
 
@@ -22,7 +23,7 @@ def first_k(
     that still adds up over many tasks, so the same cut is made on salted keys first: the first k
     of a key are among the first k of each of its salts.
     """
-    if k > _DIRECT_K:
+    if k > min(_DIRECT_K, int(df.sparkSession.conf.get(_PUSHED_LIMIT))):
         salt = F.pmod(F.xxhash64(*order_columns(order)), F.lit(_SALTS))
         df = _ranked_cut(df.withColumn("_salt", salt), [*keys, "_salt"], order, k).drop("_salt")
     return _ranked_cut(df, keys, order, k)

@@ -46,7 +46,10 @@ def upsert(target: DataFrame, batch: DataFrame, key: str, update_columns: Sequen
 
 
 def update_only(target: DataFrame, batch: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Overwrite ``columns`` of the rows the batch names, nulls included; never insert."""
+    """Overwrite ``columns`` of the rows the batch names, nulls included; never insert.
+
+    Of several batch rows with one key the least counts, so the target keeps its number of rows."""
+    batch = first_k(batch, [key], list(columns), 1)
     new = batch.select(F.col(key), F.struct(*columns).alias("_new"))
     joined = target.join(new, key, "left")
     return joined.select(

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.operators.detection import route_companies
+from rolesift.operators.detection import page_digest, route_companies
 from rolesift.operators.identity import dedupe_and_mark, with_hash
 from rolesift.operators.relevance import relevant_postings
 from rolesift.operators.reporting import (
@@ -70,9 +70,12 @@ def company_postings(
         F.col("name").alias("company_name"),
         F.col("priority").alias("company_priority"),
         F.col("career_page").alias("identifier"),
+        "page_digest",
     )
-    page_rows = pages.select("company_name", "http_status", F.col("html").alias("body")).join(
-        open_pages, "company_name"
+    page_rows = (
+        pages.select("company_name", "http_status", F.col("html").alias("body"), page_digest().alias("page_digest"))
+        .join(open_pages, ["company_name", "page_digest"])
+        .drop("page_digest")
     )
     from_pages = normalize(
         page_rows.withColumn("provider", F.lit("generic")),

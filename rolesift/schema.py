@@ -38,8 +38,9 @@ REPORT_DDL = (
 
 BOARD_DDL = "provider string, identifier string, job_count int"
 
-# Columns that put postings in arrival order: boards before feeds, then company, response, item.
-ARRIVAL = ("source_rank", "board_key", "batch_no", "item_no")
+# Columns that put postings in arrival order: boards before feeds, then company, response, item. The
+# digest of the response comes last, so the order is the same however the input is read.
+ARRIVAL = ("source_rank", "board_key", "batch_no", "item_no", "response_digest")
 
 POSTING_COLUMNS = (
     "company_name",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rolesift.functions.dates import stated
 from rolesift.functions.text import blank_to_null, join_parts, text_or_blank
 from rolesift.sources.registry import Provider, register
 
@@ -41,14 +42,14 @@ register(
     Provider(
         name="lever",
         ddl="array<struct<text:string,categories:struct<location:string,commitment:string>,"
-        "hostedUrl:string,createdAt:bigint,descriptionPlain:string>>",
+        "hostedUrl:string,createdAt:string,descriptionPlain:string>>",
         items=lambda parsed: parsed,
         fields=lambda it, _: {
             "title": it["text"],
             "location": it["categories"]["location"],
             "remote": _says_remote(it["categories"]["location"], it["categories"]["commitment"]),
             "apply_url": it["hostedUrl"],
-            "posted_date": F.nullif(it["createdAt"], F.lit(0)).cast("string"),  # epoch ms, as text
+            "posted_date": stated(it["createdAt"]),  # epoch ms, as text
             "description": it["descriptionPlain"],
         },
     )

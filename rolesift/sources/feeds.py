@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolesift.functions.dates import from_epoch_seconds, from_iso_text, from_mail_text
+from rolesift.functions.dates import from_iso_text, from_mail_text, from_number_or_iso, stated
 from rolesift.functions.text import blank_to_null, contains_any, strip_or_blank, text_or_blank
 from rolesift.sources.registry import Provider, register
 
@@ -101,7 +101,7 @@ register(
         source_rank=3,
         claims=True,
         ddl="jobs array<struct<guid:string,title:string,companyName:string,"
-        "locationRestrictions:array<string>,pubDate:bigint,applicationLink:string,"
+        "locationRestrictions:array<string>,pubDate:string,applicationLink:string,"
         "description:string,excerpt:string>>",
         items=lambda parsed: parsed["jobs"],
         fields=lambda it, _: {
@@ -113,8 +113,8 @@ register(
             ).otherwise("Worldwide"),
             "remote": F.lit(True),
             "apply_url": F.coalesce(blank_to_null(it["applicationLink"]), it["guid"]),
-            "posted_date": F.nullif(it["pubDate"], F.lit(0)).cast("string"),
-            "posted_at": from_epoch_seconds(it["pubDate"]),
+            "posted_date": stated(it["pubDate"]),
+            "posted_at": from_number_or_iso(it["pubDate"]),
             "description": F.coalesce(blank_to_null(it["description"]), it["excerpt"]),
             "claim": text_or_blank(it["guid"]),
         },

@@ -36,6 +36,7 @@ def envelope(payloads: DataFrame) -> DataFrame:
         "company_priority",
         F.col("ordinal").alias("batch_no"),
         "fetched_at",
+        F.xxhash64("provider", "identifier", "fetched_at", "body").alias("response_digest"),
         "body",
     )
 
@@ -111,7 +112,7 @@ def normalize(
         elif provider.claims:
             # The claim spans all responses of a run and comes before the title and window tests.
             claimed = parsed_items(landed, [provider]).filter(F.col("claim") != "")
-            branches.append(first_k(claimed, ["claim"], ["batch_no", "item_no"], 1))
+            branches.append(first_k(claimed, ["claim"], ["batch_no", "item_no", "response_digest"], 1))
     return reduce(DataFrame.unionByName, [_canonical(b, since) for b in branches])
 
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolesift.functions.html import anchors
+from rolesift.functions.html import anchor_array
 from rolesift.functions.text import contains_any
 from rolesift.functions.urls import resolve_url
-from rolesift.operators.topk import first_k
 from rolesift.sources.registry import RESPONSE_COLUMNS, Provider, item_columns, register
 
 _MAX_LINK_TEXT = 120
@@ -28,32 +27,49 @@ for _name in ("teamtailor", "generic"):
     )
 
 
+def _first_per_url(pages: DataFrame, kept: Sequence[str], links: Column) -> DataFrame:
+    """Links of each page, the first one of each URL. ``links`` is an array of (link_url, item_no,
+    link_text); repeats go inside the row, so pages are never shuffled."""
+    sorted_links = pages.select(*kept, F.array_sort(links).alias("_links"))
+    first = F.filter(
+        "_links",
+        lambda x, i: (i == 0) | ~F.get(F.col("_links"), i - 1)["link_url"].eqNullSafe(x["link_url"]),
+    )
+    return sorted_links.select(*kept, F.inline(first))
+
+
+def _link(url: Column, anchor: Column) -> Column:
+    return F.struct(url.alias("link_url"), anchor["item_no"], anchor["link_text"])
+
+
 def role_links(pages: DataFrame, page_url: str, html: str, role_words: Sequence[str]) -> DataFrame:
     """Anchors of any page whose text names a role, first per resolved URL of a page.
 
-    Adds item_no, link_text, link_url to the columns of ``pages`` (which must identify a page).
+    Adds item_no, link_text, link_url to the other columns of ``pages``.
     """
     kept = [c for c in pages.columns if c != html]
-    named = anchors(pages, html).filter(
-        (F.length("link_text") > 0)
-        & (F.length("link_text") <= _MAX_LINK_TEXT)
-        & contains_any(F.lower("link_text"), role_words)
-    )
-    resolved = named.withColumn("link_url", resolve_url(F.col(page_url), F.col("href"))).drop("href")
-    return first_k(resolved, [*kept, "link_url"], ["item_no"], 1)
+
+    def named(a: Column) -> Column:
+        text = a["link_text"]
+        size = F.length(text)
+        return (size > 0) & (size <= _MAX_LINK_TEXT) & contains_any(F.lower(text), role_words)
+
+    wanted = F.filter(anchor_array(F.col(html)), named)
+    links = F.transform(wanted, lambda a: _link(resolve_url(F.col(page_url), a["href"]), a))
+    return _first_per_url(pages, kept, links)
 
 
 def board_links(pages: DataFrame, identifier: str, html: str) -> DataFrame:
     """Job links of a hosted board page; a link claims its URL even when its text is blank."""
     kept = [c for c in pages.columns if c != html]
-    href = F.col("href")
-    found = anchors(pages, html).filter(href.rlike(_JOB_PATH))
-    url = F.when(href.startswith("http"), href).otherwise(
-        F.concat(F.lit("https://"), F.col(identifier), F.lit(".teamtailor.com"), href)
-    )
-    return first_k(
-        found.withColumn("link_url", url).drop("href"), [*kept, "link_url"], ["item_no"], 1
-    ).filter(F.col("link_text") != "")
+
+    def target(a: Column) -> Column:
+        own = F.concat(F.lit("https://"), F.col(identifier), F.lit(".teamtailor.com"), a["href"])
+        return F.when(a["href"].startswith("http"), a["href"]).otherwise(own)
+
+    wanted = F.filter(anchor_array(F.col(html)), lambda a: a["href"].rlike(_JOB_PATH))
+    links = F.transform(wanted, lambda a: _link(target(a), a))
+    return _first_per_url(pages, kept, links).filter(F.col("link_text") != "")
 
 
 def page_items(landed: DataFrame, provider: Provider, role_words: Sequence[str]) -> DataFrame:

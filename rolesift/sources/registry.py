@@ -66,6 +66,7 @@ RESPONSE_COLUMNS = (
     "company_priority",
     "batch_no",
     "fetched_at",
+    "response_digest",
 )
 
 

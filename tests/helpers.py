@@ -19,7 +19,7 @@ POSTING_DDL = (
     "company_name string, title string, location string, description string, remote boolean, "
     "apply_url string, source string, ats_platform string, posted_date string, "
     "company_priority string, fetched_at timestamp, source_rank int, board_key string, "
-    "batch_no int, item_no int"
+    "batch_no int, item_no int, response_digest bigint"
 )
 
 
@@ -40,6 +40,7 @@ def postings(spark, *rows):
         source_rank=0,
         board_key="b",
         batch_no=0,
+        response_digest=0,
     )
     names = [part.split()[0] for part in POSTING_DDL.split(", ")]
     data = []
