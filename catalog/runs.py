@@ -115,10 +115,10 @@ def _stream_ingest(spark, sf_dir):
     state = VersionedTable(spark, scratch_path(spark, "stream-state"), POSTING_STATE_DDL)
     applied = AppendTable(spark, scratch_path(spark, "stream-applied"), APPLIED_DDL)
 
-    def prepare(batch: DataFrame, stored: DataFrame) -> DataFrame:
-        return first_seen_only(_as_postings(batch), stored, applied.read(), _ORDER)
+    def rank(prepared: DataFrame, stored: DataFrame) -> DataFrame:
+        return first_seen_only(prepared, stored, applied.read(), _ORDER)
 
-    merge_stream(source, state, scratch_path(spark, "stream-offsets"), prepare)
+    merge_stream(source, state, scratch_path(spark, "stream-offsets"), _as_postings, rank)
     return state.read().select(
         "company_name",
         "title",

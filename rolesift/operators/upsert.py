@@ -21,8 +21,15 @@ COMPANY_UPDATES = ("career_page", "region", "priority", "notes")
 CHECK_UPDATES = ("ats_provider", "ats_identifier", "last_checked_at", "last_status")
 
 
-def upsert(target: DataFrame, batch: DataFrame, key: str, update_columns: Sequence[str]) -> DataFrame:
+def upsert(
+    target: DataFrame,
+    batch: DataFrame,
+    key: str,
+    update_columns: Sequence[str],
+    never_back: Sequence[str] = (),
+) -> DataFrame:
     """Insert new keys with all columns; on known keys take only ``update_columns`` of the batch.
+    Columns in ``never_back`` keep the greater value.
 
     The key must be unique in both. Columns missing in the batch stay null for inserts.
     """
@@ -38,6 +45,8 @@ def upsert(target: DataFrame, batch: DataFrame, key: str, update_columns: Sequen
         if name not in offered:
             return stored.alias(name)
         given = F.col(f"_new.{name}").cast(target.schema[name].dataType)
+        if name in never_back:
+            return F.greatest(stored, given).alias(name)
         if name in update_columns:
             return F.when(F.col("_new").isNotNull(), given).otherwise(stored).alias(name)
         return F.when(F.col("_old").isNull(), given).otherwise(stored).alias(name)
@@ -64,10 +73,12 @@ def update_only(target: DataFrame, batch: DataFrame, key: str, columns: Sequence
     )
 
 
-def upsert_postings(state: DataFrame, batch: DataFrame, seen_at: str = "seen_at") -> DataFrame:
-    """first_seen_at stays, last_seen_at moves to the time the batch row was fetched."""
-    stamped = batch.withColumns({"first_seen_at": F.col(seen_at), "last_seen_at": F.col(seen_at)})
-    return upsert(state, stamped, "job_hash", POSTING_UPDATES)
+def upsert_postings(state: DataFrame, batch: DataFrame, seen_at: str = "seen_at", first_seen: str | None = None) -> DataFrame:
+    """first_seen_at stays, last_seen_at moves to the time the batch row was fetched, never back.
+
+    ``first_seen`` names the column with the first time, where it is not ``seen_at``."""
+    times = {"first_seen_at": F.col(first_seen or seen_at), "last_seen_at": F.col(seen_at)}
+    return upsert(state, batch.withColumns(times), "job_hash", POSTING_UPDATES, never_back=("last_seen_at",))
 
 
 def upsert_companies(state: DataFrame, companies: DataFrame) -> DataFrame:

@@ -40,14 +40,29 @@ def rank_postings(
     settings: Settings,
     order: tuple[str, ...] = ARRIVAL,
 ) -> DataFrame:
-    """Filter, score, dedupe, mark, cap.
+    """Filter, score, dedupe, mark, cap."""
+    return rank_scored(scored_postings(postings, settings), known, applied, settings, order)
 
-    Scoring looks at one row only, so it moves ahead of the dedupe: descriptions, the bulk of the
+
+def scored_postings(postings: DataFrame, settings: Settings) -> DataFrame:
+    """Relevant postings with score and hash, without descriptions.
+
+    Scoring looks at one row only, so it comes ahead of the dedupe: descriptions, the bulk of the
     bytes, end in the scan stage and never enter a shuffle.
     """
     scored = score_postings(relevant_postings(postings, settings.roles), settings.profile, settings.roles)
-    slim = with_hash(scored.drop("description"))
-    marked = dedupe_and_mark(slim, known, applied, order)
+    return with_hash(scored.drop("description"))
+
+
+def rank_scored(
+    scored: DataFrame,
+    known: DataFrame,
+    applied: DataFrame,
+    settings: Settings,
+    order: tuple[str, ...] = ARRIVAL,
+) -> DataFrame:
+    """Dedupe, mark and cap all scored postings of a run together."""
+    marked = dedupe_and_mark(scored, known, applied, order)
     return cap_per_company(marked, settings.limits.per_company, order)
 
 
@@ -111,6 +126,10 @@ class RunResult:
         drop_path(self.ranked.sparkSession, self.scratch)
 
 
+#: Versions of a state table that stay: a replay of the last run reads the one before it.
+KEPT_VERSIONS = 3
+
+
 class DailyRun:
     """State tables under one root and the run that reads and advances them."""
 
@@ -133,7 +152,7 @@ class DailyRun:
         """One run. ``started_at`` names the run: doing it again with the same inputs changes
         nothing that the first time wrote."""
         s = self.settings
-        token = started_at.strftime("%Y%m%dT%H%M%S")
+        token = started_at.strftime("%Y%m%dT%H%M%S.%f")
         start = F.lit(started_at)
         scratch = scratch_path(self.spark, f"run-{token}")
         listed = first_companies(companies, company_limit)
@@ -165,10 +184,10 @@ class DailyRun:
         metrics = self._metrics(ranked, routes, payloads, started_at)
 
         checks = routes.withColumn("last_checked_at", start)
-        self.companies.write(
-            record_checks(upsert_companies(self.companies.read(before=token), listed), checks), token
-        )
-        self.postings.write(upsert_postings(stored, ranked), token)
+        self.companies.merge(lambda now: record_checks(upsert_companies(now, listed), checks), token)
+        self.postings.merge(lambda now: upsert_postings(now, ranked), token)
+        for table in (self.companies, self.postings):
+            table.drop_old(KEPT_VERSIONS)
         metrics = stage(metrics, "metrics", scratch)
         self.reports.append(metrics, token)
         digest = digest_lines(metrics, items)

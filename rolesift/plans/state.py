@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ def _fs(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
 
 
+# Stands in for spark.checkpoint.dir on a local master.
+_LOCAL_FOLDER = "/tmp/rolesift-shared"
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.exists(p)
@@ -28,21 +34,38 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def _claim(spark: SparkSession, path: str, owner: str) -> str:
+    """Create a file that holds ``owner`` unless there is one; whose it is then."""
+    fs, p = _fs(spark, path)
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError:
+        if not fs.exists(p):
+            raise
+        return spark.read.text(path).agg({"value": "max"}).first()[0] or ""
+    try:
+        out.write(owner.encode())
+    finally:
+        out.close()
+    return owner
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``. Only where it is unset, as in
-    tests on one machine, a temporary folder stands in."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors see: ``spark.checkpoint.dir``. Where it is unset, a local master,
+    as in tests, gets a fixed folder; on a cluster, whose machines share no local folder, it is an
+    error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="rolesift-"))
-    return context.getCheckpointDir().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(_LOCAL_FOLDER)
+    return _LOCAL_FOLDER
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -66,10 +89,15 @@ class VersionedTable:
     Spark cannot overwrite what it reads, so a merge writes the next version; the newest directory
     with a success marker is the table. A token names the cause of a version (a run, a stream
     batch): writing the same token again is a no-op, which makes replays harmless.
+
+    A writer claims the number of its version with a file that only one can create, and merges into
+    the version before that number. One that comes second waits for the first and merges into its
+    result, so no merge is lost. A writer that failed goes on under its token.
     """
 
-    def __init__(self, spark: SparkSession, root: str, ddl: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, ddl: str, wait_seconds: float = 600.0) -> None:
         self.spark, self.root, self.ddl = spark, root.rstrip("/"), ddl
+        self.wait_seconds = wait_seconds
 
     def versions(self) -> list[str]:
         return [
@@ -91,13 +119,24 @@ class VersionedTable:
     def has(self, token: str) -> bool:
         return any(name.split("-", 1)[1] == token for name in self.versions())
 
+    def merge(self, plan: Callable[[DataFrame], DataFrame], token: str) -> None:
+        """Write ``plan(current rows)`` as the next version, unless the token has been written."""
+        deadline = time.monotonic() + self.wait_seconds
+        while not self.has(token):
+            found = self.versions()
+            number = int(found[-1][1:].split("-", 1)[0]) + 1 if found else 1
+            owner = _claim(self.spark, f"{self.root}/_claims/{number:09d}", token)
+            if owner == token:
+                target = f"{self.root}/v{number:09d}-{token}"
+                conform(plan(self.read()), self.ddl).write.mode("overwrite").parquet(target)
+                return
+            if time.monotonic() > deadline:
+                raise TimeoutError(f"version {number} of {self.root} was claimed by {owner} and is not done")
+            time.sleep(0.2)
+
     def write(self, df: DataFrame, token: str) -> None:
-        if self.has(token):
-            return
-        found = self.versions()
-        number = int(found[-1][1:].split("-", 1)[0]) + 1 if found else 1
-        target = f"{self.root}/v{number:09d}-{token}"
-        conform(df, self.ddl).write.mode("overwrite").parquet(target)
+        """The rows as the next version; ``merge`` is the way to build on the current ones."""
+        self.merge(lambda _: df, token)
 
     def drop_old(self, keep: int) -> None:
         """Delete all but the newest ``keep`` versions."""

@@ -1,55 +1,74 @@
-"""Structured Streaming ingest: each micro-batch goes through the batch operators."""
+"""Structured Streaming ingest: micro-batches are staged, and the trigger is merged as a whole."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolesift.operators.identity import drop_applied, first_arrivals, mark_new
 from rolesift.operators.upsert import upsert_postings
-from rolesift.plans.daily import rank_postings
-from rolesift.plans.state import AppendTable, VersionedTable
+from rolesift.plans.daily import KEPT_VERSIONS, rank_scored, scored_postings
+from rolesift.plans.state import AppendTable, VersionedTable, drop_path, list_names
 from rolesift.schema import ARRIVAL, PAYLOAD_DDL
 from rolesift.settings import Settings
 from rolesift.sources import normalize
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps in a checkpoint; streams into one table differ by it."""
+    text = spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0]
+    return json.loads(text)["id"].replace("-", "")
+
+
+def _upserted(stored: DataFrame, ranked: DataFrame) -> DataFrame:
+    first = "first_seen" if "first_seen" in ranked.columns else None
+    return upsert_postings(stored, ranked, first_seen=first)
+
+
 def merge_stream(
     source: DataFrame,
     state: VersionedTable,
     checkpoint: str,
-    prepare: Callable[[DataFrame, DataFrame], DataFrame],
+    prepare: Callable[[DataFrame], DataFrame],
+    rank: Callable[[DataFrame, DataFrame], DataFrame],
 ) -> None:
-    """Run all available input through ``prepare(batch, state)`` and upsert the result.
+    """Run all available input through ``prepare(batch)`` and upsert ``rank(prepared, state)``.
 
-    Seen hashes are kept in the state table without a time limit; a watermarked dedupe would
-    forget them. The version token carries the batch number, so a replayed batch is not merged
-    twice.
+    A micro-batch only writes its prepared rows beside the checkpoint, under its number, so one that
+    is replayed replaces itself. Whatever looks across rows, the cap per company above all, sees the
+    rows of the whole trigger at once; the result does not depend on how files fall into batches.
+    Rows that a broken-off trigger has staged are merged first. Seen hashes are kept in the state
+    without a time limit; a watermarked dedupe would forget them.
+
+    The version token is the query's id with the number of the last batch, so a trigger is merged
+    once, and a second stream into the same table, or a new checkpoint, has tokens of its own.
     """
+    spark, staging = state.spark, f"{checkpoint.rstrip('/')}-staged"
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        token = f"b{batch_id:09d}"
-        if state.has(token):
+    def finish() -> None:
+        names = list_names(spark, staging)
+        if not names:
             return
-        stored = state.read()
-        # The batch is read once although every provider has its own branch; lost blocks are
-        # computed again from the source files.
-        held = batch.persist(StorageLevel.DISK_ONLY)
-        try:
-            state.write(upsert_postings(stored, prepare(held, stored)), token)
-        finally:
-            held.unpersist()
+        prepared = spark.read.option("mergeSchema", "false").parquet(*[f"{staging}/{n}" for n in names])
+        state.merge(lambda stored: _upserted(stored, rank(prepared, stored)), f"{_query_id(spark, checkpoint)}{names[-1]}")
+        drop_path(spark, staging)
+        state.drop_old(KEPT_VERSIONS)
+
+    def stage_batch(batch: DataFrame, batch_id: int) -> None:
+        prepare(batch).write.mode("overwrite").parquet(f"{staging}/b{batch_id:09d}")
 
+    finish()
     query = (
-        source.writeStream.foreachBatch(merge)
+        source.writeStream.foreachBatch(stage_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+    finish()
 
 
 def payload_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -67,16 +86,21 @@ def ingest_payloads(
 ) -> None:
     """Landed payloads to ranked, stored postings."""
 
-    def prepare(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    def prepare(batch: DataFrame) -> DataFrame:
         postings = normalize(batch, role_words=settings.roles.include)
-        ranked = rank_postings(postings, stored, applied.read(), settings)
-        return ranked.withColumn("seen_at", F.col("fetched_at"))
+        return scored_postings(postings, settings).withColumn("seen_at", F.col("fetched_at"))
+
+    def rank(prepared: DataFrame, stored: DataFrame) -> DataFrame:
+        # copies of a posting may come from several fetches, of which the first and the last count
+        times = prepared.groupBy("job_hash").agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("seen_at"))
+        ranked = rank_scored(prepared, stored, applied.read(), settings)
+        return ranked.drop("seen_at").join(times, "job_hash")
 
-    merge_stream(source, state, checkpoint, prepare)
+    merge_stream(source, state, checkpoint, prepare, rank)
 
 
 def first_seen_only(
     batch: DataFrame, stored: DataFrame, applied: DataFrame, order: tuple[str, ...] = ARRIVAL
 ) -> DataFrame:
-    """Dedupe of a hashed micro-batch within itself and against everything stored."""
+    """Dedupe of hashed rows within themselves and against everything stored."""
     return mark_new(drop_applied(first_arrivals(batch, order), applied), stored)

@@ -1,6 +1,8 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from rolesift.operators.reporting import evolve_reports
@@ -196,8 +198,11 @@ def test_stream_equals_batch_and_replay_is_harmless(spark, tmp_path):
     assert len(got) == 4 and got[("Feedco", "Machine Learning Engineer")][0] == "f2"
 
     before = sorted(map(str, state.read().collect()))
-    consume("offsets-lost")  # all batches come again
+    consume("offsets-lost")  # all files come again, under a new query id: merged again, to the same rows
+    assert len(state.versions()) == 3
     assert sorted(map(str, state.read().collect())) == before
+    consume("offsets-lost")  # nothing new, no version
+    assert len(state.versions()) == 3
 
     # all files in one micro-batch give what the batch plan gives
     landed = spark.read.schema(PAYLOAD_DDL).parquet(landing)
@@ -206,4 +211,96 @@ def test_stream_equals_batch_and_replay_is_harmless(spark, tmp_path):
     empty = spark.createDataFrame([], POSTING_STATE_DDL)
     ranked = rank_postings(normalize(landed), empty, applied.read(), SETTINGS).withColumn("seen_at", F.col("fetched_at"))
     expected = conform(upsert_postings(empty, ranked), POSTING_STATE_DDL)
-    assert sorted(map(str, whole.read().collect())) == sorted(map(str, expected.collect()))
+    timeless = lambda df: sorted(map(str, df.drop("first_seen_at", "last_seen_at").collect()))
+    assert timeless(whole.read()) == timeless(expected)
+    times = {r.title: (r.first_seen_at.day, r.last_seen_at.day) for r in whole.read().filter("lower(company_name) = 'acme'").collect()}
+    assert times["AI Engineer"] == (30, 31) and times["AI Engineer II"] == (30, 30)
+
+
+def _capped(n, company, day):
+    """A response with n postings of one company that all pass the filters."""
+    items = [{"text": f"AI Engineer {i}", "hostedUrl": f"{company}{i}", "descriptionPlain": "python llm " * (i % 3)} for i in range(n)]
+    return {"provider": "lever", "identifier": company, "company_name": company, "body": json.dumps(items), "fetched_at": DAY + timedelta(days=day)}
+
+
+def test_state_does_not_depend_on_files_per_batch(spark, tmp_path):
+    landing = str(tmp_path / "landing")
+    for i in range(4):
+        payloads(spark, _capped(3, "one", i), _capped(2, f"c{i}", i)).coalesce(1).write.mode("append").parquet(landing)
+    applied = AppendTable(spark, str(tmp_path / "applied"), APPLIED_DDL)
+    states = []
+    for files in (1, 2, 1000):
+        state = VersionedTable(spark, str(tmp_path / f"state{files}"), POSTING_STATE_DDL)
+        ingest_payloads(payload_stream(spark, landing, files), state, applied, str(tmp_path / f"offsets{files}"), SETTINGS)
+        assert len(state.versions()) == 1
+        states.append(sorted(map(str, state.read().collect())))
+    assert states[0] == states[1] == states[2]
+    assert sum("company_name='one'" in row for row in states[0]) == SETTINGS.limits.per_company
+
+
+def test_second_stream_into_one_state_loses_nothing(spark, tmp_path):
+    state = VersionedTable(spark, str(tmp_path / "state"), POSTING_STATE_DDL)
+    applied = AppendTable(spark, str(tmp_path / "applied"), APPLIED_DDL)
+    for name in ("a", "b"):
+        payloads(spark, _capped(2, name, 0)).write.parquet(str(tmp_path / name))
+        ingest_payloads(payload_stream(spark, str(tmp_path / name)), state, applied, str(tmp_path / f"offsets-{name}"), SETTINGS)
+    assert sorted(r.apply_url for r in state.read().collect()) == ["a0", "a1", "b0", "b1"]
+
+
+def test_staged_batches_of_a_broken_trigger_are_merged_once(spark, tmp_path, monkeypatch):
+    state = VersionedTable(spark, str(tmp_path / "state"), POSTING_STATE_DDL)
+    applied = AppendTable(spark, str(tmp_path / "applied"), APPLIED_DDL)
+    landing, offsets = str(tmp_path / "landing"), str(tmp_path / "offsets")
+    payloads(spark, _capped(2, "a", 0)).write.parquet(landing)
+    with monkeypatch.context() as broken:
+        broken.setattr(state, "merge", lambda plan, token: (_ for _ in ()).throw(RuntimeError("down")))
+        with pytest.raises(RuntimeError):
+            ingest_payloads(payload_stream(spark, landing), state, applied, offsets, SETTINGS)
+    assert state.read().count() == 0
+    payloads(spark, _capped(2, "b", 0)).write.mode("append").parquet(landing)
+    ingest_payloads(payload_stream(spark, landing), state, applied, offsets, SETTINGS)
+    assert sorted(r.apply_url for r in state.read().collect()) == ["a0", "a1", "b0", "b1"]
+
+
+def test_concurrent_merges_are_both_kept(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), APPLIED_DDL)
+    row = lambda h: spark.createDataFrame([(h, DAY, "")], APPLIED_DDL)
+    with ThreadPoolExecutor(4) as pool:
+        jobs = [pool.submit(table.merge, lambda now, h=h: now.union(row(h)), f"w{h}") for h in "abcd"]
+        for job in jobs:
+            job.result(timeout=120)
+    assert sorted(r.job_hash for r in table.read().collect()) == ["a", "b", "c", "d"]
+    assert len(table.versions()) == 4
+
+
+def test_claims_of_failed_writers(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), APPLIED_DDL, wait_seconds=0.5)
+    row = spark.createDataFrame([("a", DAY, "")], APPLIED_DDL)
+
+    def fails(now):
+        raise RuntimeError("down")
+
+    with pytest.raises(RuntimeError):
+        table.merge(fails, "mine")
+    with pytest.raises(TimeoutError):
+        table.write(row, "other")
+    table.write(row, "mine")  # its own claim
+    table.write(row, "other")
+    assert len(table.versions()) == 2
+
+
+def test_repeated_names_do_not_multiply_companies(spark, tmp_path):
+    run = DailyRun(spark, str(tmp_path), SETTINGS)
+    companies, landed_pages, landed = _inputs(spark)
+    again = companies.withColumn("file_pos", F.col("file_pos") + 10).withColumn("priority", F.lit("Tier 9"))
+    for hours in range(3):
+        run.run(companies.union(again), landed_pages.union(landed_pages), landed, started_at=DAY + timedelta(hours=hours))
+        assert sorted((r.name, r.priority) for r in run.companies.read().collect()) == [("Acme", "Tier 9"), ("Gone", "Tier 9"), ("Page", "Tier 9")]
+
+
+def test_runs_in_one_second_are_two_runs(spark, tmp_path):
+    run = DailyRun(spark, str(tmp_path), SETTINGS)
+    inputs = _inputs(spark)
+    run.run(*inputs, started_at=DAY)
+    run.run(*inputs, started_at=DAY + timedelta(milliseconds=1))
+    assert run.reports.read().count() == 2 and len(run.postings.versions()) == 2
