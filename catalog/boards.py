@@ -85,7 +85,7 @@ def _slug() -> Column:
     return compact_slug(F.col("p_brand"))
 
 
-def _wrapped(name: str) -> Callable[[Column], Column]:
+def wrapped(name: str) -> Callable[[Column], Column]:
     return lambda items: F.to_json(F.struct(items.alias(name)))
 
 
@@ -93,6 +93,15 @@ def _s(**fields: Column) -> Column:
     return F.struct(*[v.alias(k) for k, v in fields.items()])
 
 
+def _bare(number: Column) -> Column:
+    """Marks a text that shall stand in JSON as a number; see ``_unquoted``."""
+    return F.concat(F.lit("#"), number, F.lit("#"))
+
+
+def _unquoted(body: Column) -> Column:
+    return F.regexp_replace(body, r'"#([^"#]*)#"', "$1")
+
+
 def _key() -> Column:
     return F.col("p_partkey")
 
@@ -137,7 +146,7 @@ BOARDS: dict[str, tuple[Callable[[], Column], Callable, Callable[[], Column], st
             updated_at=_day(),
             content=F.col("p_type"),
         ),
-        _wrapped("jobs"),
+        wrapped("jobs"),
         _slug,
         _board_sql("greenhouse", description="p_type"),
     ),
@@ -146,15 +155,18 @@ BOARDS: dict[str, tuple[Callable[[], Column], Callable, Callable[[], Column], st
             text=_title(),
             categories=_s(location=_city(), commitment=F.when(_flag(), "Full REMOTE")),
             hostedUrl=_url(),
-            createdAt=_key() * 1000,
+            createdAt=F.when(_flag(), _day()).otherwise(
+                _bare(F.concat((_key() * 1000).cast("string"), F.when(F.col("p_size") % 2 == 1, ".5").otherwise("")))
+            ),
             descriptionPlain=F.col("p_type"),
         ),
-        lambda items: F.to_json(items),
+        lambda items: _unquoted(F.to_json(items)),
         _slug,
         _board_sql(
             "lever",
             remote=f"{_FAR_SQL} OR {_FLAG}",
-            posted_date="CASE WHEN p_partkey <> 0 THEN CAST(p_partkey * 1000 AS VARCHAR) END",
+            posted_date=f"""CASE WHEN {_FLAG} THEN {_DAY_SQL} WHEN p_size % 2 = 1 THEN p_partkey * 1000 || '.5'
+              WHEN p_partkey <> 0 THEN CAST(p_partkey * 1000 AS VARCHAR) END""",
             description="p_type",
         ),
     ),
@@ -167,7 +179,7 @@ BOARDS: dict[str, tuple[Callable[[], Column], Callable, Callable[[], Column], st
             publishedAt=_day(),
             descriptionHtml=F.col("p_type"),
         ),
-        _wrapped("jobs"),
+        wrapped("jobs"),
         _slug,
         _board_sql("ashby", remote=f"{_FAR_SQL} OR {_FLAG}", description="p_type"),
     ),
@@ -178,7 +190,7 @@ BOARDS: dict[str, tuple[Callable[[], Column], Callable, Callable[[], Column], st
             externalPath=F.concat(F.lit("/job/"), _key()),
             postedOn=_day(),
         ),
-        _wrapped("jobPostings"),
+        wrapped("jobPostings"),
         # one brand has an identifier without a site
         lambda: F.when(F.col("p_brand") == "Brand#1", _slug()).otherwise(
             F.concat(_slug(), F.lit(".wd5.myworkdayjobs.com/Site/A"))
@@ -196,7 +208,7 @@ BOARDS: dict[str, tuple[Callable[[], Column], Callable, Callable[[], Column], st
             releasedDate=_day(),
             location=_s(city=_city(), country=F.when(_flag(), "IN"), remote=_flag()),
         ),
-        _wrapped("content"),
+        wrapped("content"),
         _slug,
         _board_sql(
             "smartrecruiters",
@@ -212,7 +224,7 @@ BOARDS: dict[str, tuple[Callable[[], Column], Callable, Callable[[], Column], st
             locationLabel=_city(),
             departmentLabel=F.col("p_type"),
         ),
-        _wrapped("result"),
+        wrapped("result"),
         _slug,
         _board_sql(
             "bamboohr",
@@ -231,7 +243,7 @@ BOARDS: dict[str, tuple[Callable[[], Column], Callable, Callable[[], Column], st
             telecommuting=_flag(),
             published_on=_day(),
         ),
-        _wrapped("jobs"),
+        wrapped("jobs"),
         _slug,
         _board_sql(
             "workable",
@@ -251,7 +263,7 @@ BOARDS: dict[str, tuple[Callable[[], Column], Callable, Callable[[], Column], st
             careers_apply_url=F.when(_flag(), _url()),
             sharing_description=F.col("p_type"),
         ),
-        _wrapped("offers"),
+        wrapped("offers"),
         _slug,
         _board_sql(
             "recruitee",
@@ -443,20 +455,24 @@ _GUID_SQL = "p_name || '/' || p_type || '/' || p_size"
     "norm_himalayas",
     _feed_sql(
         "himalayas",
-        where=f"p_size > 5 AND {_DAY_SQL} >= '{SINCE}'",
+        where=f"p_size > 5 AND ({_DAY_SQL} >= '{SINCE}' OR p_size % 5 = 3)",
         table_sql=f"""(SELECT *, row_number() OVER (PARTITION BY {_GUID_SQL}
           ORDER BY p_partkey) AS nth FROM part
           WHERE p_brand <> '{FAILED_BRAND}' AND p_type <> 'LARGE') AS p""",
         location="CASE WHEN p_size > 30 THEN 'Worldwide' ELSE 'A, B, ' || p_type END",
-        posted_date=f"CAST({_EPOCH_SQL} AS VARCHAR)",
+        posted_date=f"""CASE p_size % 5 WHEN 1 THEN {_DAY_SQL} WHEN 2 THEN {_EPOCH_SQL} || '.5'
+          WHEN 3 THEN '99999999999999999999' ELSE CAST({_EPOCH_SQL} AS VARCHAR) END""",
         apply_url=f"CASE WHEN {_FLAG} THEN {_GUID_SQL} ELSE 'https://x.example.com/' || p_partkey END",
     )
     + " AND nth = 1",
 )
 def _norm_himalayas(spark, sf_dir):
+    """Dates as epoch seconds, whole and with a fraction, as ISO text, and as a number that is no
+    date; an undatable item is kept."""
     parts = table(spark, sf_dir, "part")
     size = F.col("p_size")
     guid = F.concat_ws("/", "p_name", "p_type", "p_size")
+    epoch = (F.unix_date(F.date_add(F.lit("2026-01-01").cast("date"), size)).cast("long") * 86_400).cast("string")
     item = _s(
         guid=F.when(F.col("p_type") == "LARGE", "").otherwise(guid),
         title=_title(),
@@ -464,9 +480,10 @@ def _norm_himalayas(spark, sf_dir):
         locationRestrictions=F.when(
             size <= 30, F.array(F.lit("A"), F.lit("B"), F.col("p_type"), F.lit("D"))
         ),
-        pubDate=F.unix_seconds(
-            F.date_add(F.lit("2026-01-01").cast("date"), size).cast("timestamp_ntz").cast("timestamp")
-        ),
+        pubDate=F.when(size % 5 == 1, _day())
+        .when(size % 5 == 2, _bare(F.concat(epoch, F.lit(".5"))))
+        .when(size % 5 == 3, _bare(F.lit("99999999999999999999")))
+        .otherwise(_bare(epoch)),
         applicationLink=F.when(_flag(), "").otherwise(_url()),
         description=F.when(_flag(), F.col("p_type")),
         excerpt=F.col("p_type"),
@@ -484,13 +501,31 @@ def _norm_himalayas(spark, sf_dir):
             F.lit(None).cast("string").alias("company_name"),
             F.col("ordinal").cast("int").alias("ordinal"),
             F.lit(200).alias("http_status"),
-            F.to_json(F.struct(F.col("items.item").alias("jobs"))).alias("body"),
+            _unquoted(F.to_json(F.struct(F.col("items.item").alias("jobs")))).alias("body"),
         )
     )
     two = one.withColumn("ordinal", F.col("ordinal") + 1_000_000_000)
     return normalize_provider(one.unionByName(two), "himalayas", _since()).select(*POSTING)
 
 
+JOBICY_SQL = _feed_sql("jobicy", where="p_size > 5", posted_date=_UNDATABLE_SQL)
+# from the day after SINCE on, or undatable: what a run that starts within that day keeps
+JOBICY_WINDOW_SQL = _feed_sql(
+    "jobicy", where=f"p_size > 5 AND ({_DAY_SQL} > '{SINCE}' OR p_type = 'SMALL')", posted_date=_UNDATABLE_SQL
+)
+
+
+def jobicy_item() -> Column:
+    return _s(
+        url=_url(),
+        jobTitle=_title(),
+        companyName=F.concat(F.col("p_brand"), F.lit(" ")),
+        jobGeo=_city(),
+        jobExcerpt=F.col("p_type"),
+        pubDate=_undatable(),
+    )
+
+
 @query(
     "norm_jobicy",
     _feed_sql(
@@ -500,15 +535,7 @@ def _norm_himalayas(spark, sf_dir):
     ),
 )
 def _norm_jobicy(spark, sf_dir):
-    item = _s(
-        url=_url(),
-        jobTitle=_title(),
-        companyName=F.concat(F.col("p_brand"), F.lit(" ")),
-        jobGeo=_city(),
-        jobExcerpt=F.col("p_type"),
-        pubDate=_undatable(),
-    )
-    landed = responses(table(spark, sf_dir, "part"), "jobicy", item, _wrapped("jobs"), _slug())
+    landed = responses(table(spark, sf_dir, "part"), "jobicy", jobicy_item(), wrapped("jobs"), _slug())
     return normalize_provider(landed, "jobicy", _since()).select(*POSTING)
 
 
@@ -552,7 +579,7 @@ def _payload_sizes(spark, sf_dir):
 
 # -- pages ---------------------------------------------------------------------------------
 
-_ANCHOR_SQL = """
+ANCHOR_SQL = """
 links AS (
   SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href,
     unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS txt,
@@ -562,9 +589,16 @@ links AS (
 _ORIGIN_SQL = "regexp_extract(url, '^(https?://[^/?#]*)', 1)"
 
 
+# Anchors that name a role of the run's settings, first per URL of a page.
+PAGE_LINKS_SQL = f"""SELECT page_id, pos, txt, link_url FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id, link_url ORDER BY pos) AS nth FROM (
+    SELECT page_id, pos, txt, {_ORIGIN_SQL} || href AS link_url FROM links WHERE length(txt) BETWEEN 1 AND 120
+      AND (txt ILIKE '%widget%' OR txt ILIKE '%ring%' OR txt ILIKE '%gear%' OR txt ILIKE '%gizmo%'))) WHERE nth = 1"""
+
+
 @query(
     "page_all_anchors",
-    f"WITH {_ANCHOR_SQL} SELECT page_id, CAST(pos AS INTEGER) AS item_no, href, txt AS link_text FROM links",
+    f"WITH {ANCHOR_SQL} SELECT page_id, CAST(pos AS INTEGER) AS item_no, href, txt AS link_text FROM links",
 )
 def _anchors(spark, sf_dir):
     return anchors(table(spark, sf_dir, "pages").select("page_id", "html"))
@@ -575,7 +609,7 @@ ROLE_LINK_WORDS = ("En", "the", "de", "ing")
 
 @query(
     "page_anchors",
-    f"""WITH {_ANCHOR_SQL}, named AS (
+    f"""WITH {ANCHOR_SQL}, named AS (
       SELECT page_id, pos, txt, {_ORIGIN_SQL} || href AS link_url FROM links
       WHERE length(txt) BETWEEN 1 AND 120 AND (contains(lower(txt), 'en') OR contains(lower(txt), 'the')
         OR contains(lower(txt), 'de') OR contains(lower(txt), 'ing')))
@@ -590,7 +624,7 @@ def _page_anchors(spark, sf_dir):
 
 @query(
     "norm_generic",
-    f"""WITH {_ANCHOR_SQL}, named AS (
+    f"""WITH {ANCHOR_SQL}, named AS (
       SELECT page_id, pos, txt, {_ORIGIN_SQL} || href AS link_url FROM links
       WHERE length(txt) BETWEEN 1 AND 120 AND contains(lower(txt), 'en'))
     SELECT 'page ' || page_id AS company_name, txt AS title, link_url AS apply_url, FALSE AS remote,
@@ -616,7 +650,7 @@ _TENANT_SQL = "regexp_extract(url, '^https?://([^./]*)', 1)"
 
 @query(
     "norm_teamtailor",
-    f"""WITH {_ANCHOR_SQL}, jobs AS (
+    f"""WITH {ANCHOR_SQL}, jobs AS (
       SELECT page_id, url, pos, CASE WHEN contains(txt, 'de') THEN '' ELSE txt END AS txt,
         'https://' || {_TENANT_SQL} || '.teamtailor.com/jobs/7' || ltrim(href, '/') AS link_url FROM links)
     SELECT 'page ' || page_id AS company_name, txt AS title, link_url AS apply_url, FALSE AS remote,
@@ -647,7 +681,7 @@ _WANTED, _SKIPPED = r"(?i)^/(the|de|en|la|st)", r"(?i)(nicht|than|tion)"
 
 @query(
     "page_job_links",
-    f"""WITH {_ANCHOR_SQL}, wanted AS (
+    f"""WITH {ANCHOR_SQL}, wanted AS (
       SELECT page_id, href, min(pos) AS pos FROM links
       WHERE href <> '' AND href <> url AND regexp_matches(href, '{_WANTED}')
         AND NOT regexp_matches(href, '{_SKIPPED}') GROUP BY page_id, href)
@@ -708,6 +742,18 @@ _REWRITES = (
 )
 
 
+def seller_pages(spark, sf_dir) -> DataFrame:
+    """Every page with the supplier it is dealt to, page_id modulo their number; the keys count up
+    from 0. A supplier has several pages when there are more of them than suppliers."""
+    sellers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    number = sellers.agg(F.count("*").alias("n")).scalar()
+    dealt = board_pages(spark, sf_dir).withColumn("s_suppkey", F.col("page_id") % number)
+    return dealt.join(sellers, "s_suppkey")
+
+
+DEALT_SQL = """dealt AS (SELECT boards.*, page_id % (SELECT count(*) FROM supplier) AS s_suppkey FROM boards)"""
+
+
 def board_pages(spark, sf_dir) -> DataFrame:
     """The given pages with some hosts replaced by hosts of known platforms."""
     url, html = F.col("url"), F.col("html")
@@ -745,9 +791,11 @@ def _detect_boards(spark, sf_dir):
 
 @query(
     "route_status",
-    f"""WITH {BOARD_PAGES_SQL}, c AS (
-      SELECT s_name AS name, s_suppkey, s_nationkey, CASE WHEN s_acctbal > 7000 THEN 'ashby'
-        WHEN s_acctbal > 5000 THEN 'unheard_of' END AS cached FROM supplier)
+    f"""WITH {BOARD_PAGES_SQL}, {DEALT_SQL}, c AS (
+      SELECT s_name AS name, s_suppkey, s_nationkey, CASE WHEN s_acctbal > 8000 THEN 'ashby'
+        WHEN s_acctbal > 5000 THEN 'unheard_of' END AS cached FROM supplier),
+    first_page AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY page_id) AS nth
+      FROM dealt) WHERE nth = 1)
     SELECT name,
       CASE WHEN cached = 'ashby' THEN cached WHEN page_id IS NULL OR s_nationkey IN (3, 5) THEN NULL
         ELSE coalesce(provider, 'generic') END AS ats_provider,
@@ -756,9 +804,11 @@ def _detect_boards(spark, sf_dir):
       CASE WHEN cached = 'ashby' THEN 'ok:cached' WHEN page_id IS NULL THEN 'error: not fetched'
         WHEN s_nationkey = 5 THEN 'error: timeout' WHEN s_nationkey = 3 THEN 'error: HTTP 404'
         WHEN provider IS NOT NULL THEN 'ok' ELSE 'ok:generic' END AS last_status
-    FROM c LEFT JOIN boards ON page_id = s_suppkey""",
+    FROM c LEFT JOIN first_page USING (s_suppkey)""",
 )
 def _route_status(spark, sf_dir):
+    """The list gives each name twice, of which the last row counts; a blank identifier is none; and
+    of several pages the first by URL counts."""
     sellers = table(spark, sf_dir, "supplier")
     balance = F.col("s_acctbal")
     companies = sellers.select(
@@ -766,18 +816,18 @@ def _route_status(spark, sf_dir):
         F.lit("").alias("priority"),
         F.lit("https://x.example.com").alias("career_page"),
         F.when(balance > 7000, "ashby").when(balance > 5000, "unheard_of").alias("ats_provider"),
-        F.when(balance > 5000, F.lower("s_name")).alias("ats_identifier"),
+        F.when(balance > 8000, F.lower("s_name")).when(balance > 7000, " ").when(balance > 5000, "x").alias("ats_identifier"),
+        F.col("s_suppkey").alias("file_pos"),
     )
-    pages = (
-        board_pages(spark, sf_dir)
-        .join(sellers, F.col("page_id") == F.col("s_suppkey"))
-        .select(
-            F.col("s_name").alias("company_name"),
-            "final_url",
-            F.when(F.col("s_nationkey") == 3, 404).otherwise(200).alias("http_status"),
-            F.when(F.col("s_nationkey") == 5, "timeout").alias("error"),
-            "html",
-        )
+    earlier = companies.withColumns({"file_pos": F.col("file_pos") - 1_000_000_000_000, "ats_provider": F.lit("lever"), "ats_identifier": F.lit("old")})
+    companies = companies.unionByName(earlier)
+    pages = seller_pages(spark, sf_dir).select(
+        F.col("s_name").alias("company_name"),
+        F.format_string("https://x.example.com/%018d", "page_id").alias("page_url"),
+        "final_url",
+        F.when(F.col("s_nationkey") == 3, 404).otherwise(200).alias("http_status"),
+        F.when(F.col("s_nationkey") == 5, "timeout").alias("error"),
+        "html",
     )
     return route_companies(companies, pages).select("name", "ats_provider", "ats_identifier", "last_status")
 

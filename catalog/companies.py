@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.boards import BOARD_PAGES_SQL, board_pages
+from catalog.boards import BOARD_PAGES_SQL, DEALT_SQL, seller_pages
 from catalog.registry import query
 from catalog.views import POSTS_SQL, postings, table, tier
 from rolesift.functions.text import posting_hash
@@ -41,7 +41,7 @@ from rolesift.operators.discovery import (
     unresolved_list,
 )
 from rolesift.plans.boards import company_list_rows, write_csv
-from rolesift.plans.state import AppendTable, mark_applied, scratch_path
+from rolesift.plans.state import AppendTable, mark_applied, scratch_path, stage
 from rolesift.schema import APPLIED_DDL
 from rolesift.sources.companies import read_companies, read_csv, read_sample_sheet
 
@@ -110,12 +110,13 @@ def _coverage_buckets(spark, sf_dir):
 
 @query(
     "coverage_sorted",
-    f"""WITH {_COVERED_SQL} SELECT bucket, priority, name, last_status FROM covered
+    f"""WITH {_COVERED_SQL} SELECT CASE bucket WHEN 'unsupported_ats' THEN 0 WHEN 'failing' THEN 1 ELSE 2 END
+      AS section, bucket, priority, name, last_status FROM covered
     WHERE bucket <> 'covered' ORDER BY bucket,
       CASE priority WHEN 'Tier 1' THEN 0 WHEN 'Tier 2' THEN 1 WHEN 'Tier 3' THEN 2 ELSE 9 END, name""",
 )
 def _coverage_sorted(spark, sf_dir):
-    return coverage_report(_covered(spark, sf_dir)).select("bucket", "priority", "name", "last_status")
+    return coverage_report(_covered(spark, sf_dir)).select("section", "bucket", "priority", "name", "last_status")
 
 
 @query(
@@ -228,26 +229,21 @@ def _untested(spark, sf_dir):
 
 # -- detection results and their way back into the list --------------------------------------
 
-_RESULTS_SQL = f"""{BOARD_PAGES_SQL},
+_RESULTS_SQL = f"""{BOARD_PAGES_SQL}, {DEALT_SQL},
 results AS (
   SELECT s_name AS name, CASE WHEN s_nationkey = 3 THEN '' ELSE coalesce(provider, '') END AS ats_provider,
     CASE WHEN s_nationkey = 3 THEN '' ELSE coalesce(identifier, '') END AS ats_identifier
-  FROM boards JOIN supplier ON page_id = s_suppkey WHERE s_nationkey > 1
+  FROM dealt JOIN supplier USING (s_suppkey)
 )"""
 
 
 def _results(spark, sf_dir) -> DataFrame:
-    sellers = table(spark, sf_dir, "supplier").filter(F.col("s_nationkey") > 1)
-    pages = (
-        board_pages(spark, sf_dir)
-        .join(sellers, F.col("page_id") == F.col("s_suppkey"))
-        .select(
-            F.col("s_name").alias("company_name"),
-            "final_url",
-            F.when(F.col("s_nationkey") == 3, 503).otherwise(200).alias("http_status"),
-            F.lit(None).cast("string").alias("error"),
-            "html",
-        )
+    pages = seller_pages(spark, sf_dir).select(
+        F.col("s_name").alias("company_name"),
+        "final_url",
+        F.when(F.col("s_nationkey") == 3, 503).otherwise(200).alias("http_status"),
+        F.lit(None).cast("string").alias("error"),
+        "html",
     )
     return detection_results(pages)
 
@@ -257,7 +253,8 @@ def _results(spark, sf_dir) -> DataFrame:
     f"""WITH {_RESULTS_SQL}, {_COMPANIES_SQL}
     SELECT c.name, CASE WHEN r.name IS NULL THEN c.ats_provider ELSE r.ats_provider END AS ats_provider,
       CASE WHEN r.name IS NULL THEN c.ats_identifier ELSE r.ats_identifier END AS ats_identifier
-    FROM companies c LEFT JOIN results r ON c.name = r.name""",
+    FROM companies c LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name
+      ORDER BY ats_provider = '', ats_provider, ats_identifier) AS nth FROM results) WHERE nth = 1) r ON c.name = r.name""",
 )
 def _writeback(spark, sf_dir):
     listed = companies(spark, sf_dir).select("name", "ats_provider", "ats_identifier")
@@ -488,8 +485,26 @@ def _summary(spark, sf_dir):
     UNION ALL SELECT company, provider, identifier, job_count FROM rehits""",
 )
 def _retry(spark, sf_dir):
-    """Second pass over failed rows only, with boards that appeared since."""
-    outcome = _outcome(spark, sf_dir)
+    return _retried(spark, sf_dir)[0].select("company", "ats_provider", "ats_identifier", "job_count")
+
+
+@query(
+    "retry_unresolved",
+    f"""WITH {_OUTCOME_SQL}, again AS (
+      SELECT s.row_no, s.company FROM outcome s WHERE reason = '{NOT_FOUND}'),
+    rehits AS (SELECT DISTINCT row_no FROM tried t JOIN again USING (row_no)
+      WHERE t.identifier LIKE 'the%' AND t.provider = 'ashby')
+    SELECT company, '{NOT_FOUND}' AS reason FROM again WHERE row_no NOT IN (SELECT row_no FROM rehits)
+    UNION ALL SELECT company, reason FROM outcome WHERE reason <> '{NOT_FOUND}'""",
+)
+def _retry_unresolved(spark, sf_dir):
+    return _retried(spark, sf_dir)[1].select("company", "reason")
+
+
+def _retried(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Second pass over failed rows only, with boards that appeared since. Both lists and the retry
+    read the first outcome, so it is written once."""
+    outcome = stage(_outcome(spark, sf_dir), "outcome")
     sheet = retry_rows(_plain_sheet(spark, sf_dir), unresolved_list(outcome))
     later = table(spark, sf_dir, "customer").select(
         F.lit("ashby").alias("provider"),
@@ -497,8 +512,7 @@ def _retry(spark, sf_dir):
         F.lit(9).alias("job_count"),
     )
     retried = resolve(sheet, _seeds(spark, sf_dir), later)
-    merged, _ = merge_retry(resolved_list(outcome), unresolved_list(outcome), retried)
-    return merged.select("company", "ats_provider", "ats_identifier", "job_count")
+    return merge_retry(resolved_list(outcome), unresolved_list(outcome), stage(retried, "retried"))
 
 
 # -- files and append-only tables --------------------------------------------------------------

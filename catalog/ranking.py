@@ -159,39 +159,6 @@ def _distinct(spark, sf_dir):
     return distinct_hashes(hashed(spark, sf_dir))
 
 
-@query(
-    "union_passes",
-    """WITH boards AS (
-      SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 0 AS source_rank, s_name AS company_name,
-        CASE WHEN s_acctbal >= 5000 THEN 'Tier 1' WHEN s_acctbal >= 0 THEN 'Tier 2' ELSE 'Tier 3' END
-          AS company_priority
-      FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag <> 'R'
-    ), feeds AS (
-      SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 2 AS source_rank,
-        'Supplier#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS company_name, '' AS company_priority
-      FROM lineitem WHERE l_returnflag = 'R'
-    )
-    SELECT * FROM boards UNION ALL SELECT * FROM feeds""",
-)
-def _union_passes(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(*ORDER, "l_returnflag")
-    companies = table(spark, sf_dir, "supplier").select(
-        "s_suppkey", F.col("s_name").alias("company_name"), tier().alias("company_priority")
-    )
-    boards = (
-        lines.filter(F.col("l_returnflag") != "R")
-        .join(companies, F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(*ORDER, F.lit(0).alias("source_rank"), "company_name", "company_priority")
-    )
-    feeds = lines.filter(F.col("l_returnflag") == "R").select(
-        *ORDER,
-        F.lit(2).alias("source_rank"),
-        F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("company_name"),
-        F.lit("").alias("company_priority"),
-    )
-    return boards.unionByName(feeds)
-
-
 @query(
     "drop_applied_mark_new",
     f"""{HASHED} SELECT job_hash, {ORDER_SQL}, job_hash NOT IN (SELECT job_hash FROM known) AS is_new

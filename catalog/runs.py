@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalog.boards import (
+    ANCHOR_SQL,
+    BOARDS,
+    JOBICY_SQL,
+    JOBICY_WINDOW_SQL,
+    PAGE_LINKS_SQL,
+    SINCE,
+    jobicy_item,
+    responses,
+    wrapped,
+)
 from catalog.registry import query
-from catalog.views import table
+from catalog.views import HASH_SQL, RELEVANT, SCORED_SQL, SETTINGS, table
 from rolesift.functions.dates import from_iso_text, within_window
+from rolesift.functions.text import compact_slug
+from rolesift.operators.detection import route_companies
 from rolesift.operators.identity import with_hash
 from rolesift.operators.topk import first_k
-from rolesift.plans.daily import window_start
+from rolesift.plans.daily import DailyRun, company_postings, feed_postings, window_start
 from rolesift.plans.state import AppendTable, VersionedTable, scratch_path
 from rolesift.schema import APPLIED_DDL, POSTING_STATE_DDL
-from rolesift.streaming.ingest import first_seen_only, merge_stream
+from rolesift.streaming.ingest import first_seen_only, ingest_payloads, merge_stream, payload_stream
 
 _SINCE = "2024-01-15 12:00:00"
 
@@ -126,3 +141,131 @@ def _stream_ingest(spark, sf_dir):
         F.unix_micros("first_seen_at").alias("first_seen"),
         F.unix_micros("last_seen_at").alias("last_seen"),
     )
+
+
+# -- the real flow on landed payloads ------------------------------------------------------------
+
+_LANDED_AT = "2026-01-23 06:00:00"
+
+
+def _landed(spark, sf_dir) -> DataFrame:
+    """Responses of one board provider and of one feed, built from ``part``."""
+    parts = table(spark, sf_dir, "part")
+    item, wrap, identifier, _ = BOARDS["greenhouse"]
+    boards = responses(parts, "greenhouse", item(), wrap, identifier())
+    feed = responses(parts, "jobicy", jobicy_item(), wrapped("jobs"), identifier())
+    return boards.unionByName(feed).withColumns(
+        {
+            "query": F.lit(None).cast("string"),
+            "error": F.lit(None).cast("string"),
+            "fetched_at": F.lit(f"{_LANDED_AT}+00:00").cast("timestamp"),
+        }
+    )
+
+
+def _flow_sql(boards: str, feed: str, pages: bool) -> str:
+    """Postings of all passes, scored, deduped in arrival order and capped per company."""
+    page_sql = (
+        f"""UNION ALL SELECT 0 AS source_rank, pos, page_id, 'page ' || page_id AS company_name, txt AS title,
+        '' AS location, '' AS description, contains(lower(txt), 'remote') AS remote, link_url AS apply_url,
+        'company_ats' AS source, 'Tier 2' AS company_priority FROM ({PAGE_LINKS_SQL})"""
+        if pages
+        else ""
+    )
+    pick = "company_name, title, location, description, remote, apply_url, source"
+    return f"""WITH {ANCHOR_SQL}, passes AS (
+      SELECT 0 AS source_rank, CAST(split_part(apply_url, '/', 4) AS BIGINT) AS pos, 0 AS page_id, {pick},
+        'Tier 1' AS company_priority FROM ({boards})
+      UNION ALL SELECT 4, CAST(split_part(apply_url, '/', 4) AS BIGINT), 0, {pick}, '' FROM ({feed})
+      {page_sql}),
+    hashed AS (SELECT *, {HASH_SQL} AS job_hash FROM passes), {SCORED_SQL},
+    fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_hash ORDER BY source_rank, pos) AS nth
+      FROM starred WHERE {RELEVANT}) WHERE nth = 1),
+    kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(company_name))
+      ORDER BY rank_score DESC, source_rank, pos) AS place FROM fresh) WHERE place <= 5)"""
+
+
+_STORED = ("company_name", "title", "location", "apply_url", "source", "rank_score", "rank_stars", "rank_reason")
+_ALL_PASSES = _flow_sql(BOARDS["greenhouse"][3], JOBICY_SQL, False)
+_WINDOWED_PASSES = _flow_sql(BOARDS["greenhouse"][3], JOBICY_WINDOW_SQL, True)
+
+
+@query("stream_run", f"{_ALL_PASSES} SELECT {', '.join(_STORED)} FROM kept")
+def _stream_run(spark, sf_dir):
+    """Landed payloads as a stream in several micro-batches; the cap sees the whole trigger."""
+    landing = scratch_path(spark, "landing")
+    _landed(spark, sf_dir).repartition(7).write.parquet(landing)
+    state = VersionedTable(spark, scratch_path(spark, "run-state"), POSTING_STATE_DDL)
+    applied = AppendTable(spark, scratch_path(spark, "run-applied"), APPLIED_DDL)
+    ingest_payloads(payload_stream(spark, landing, 3), state, applied, scratch_path(spark, "run-offsets"), SETTINGS)
+    return state.read().select(*_STORED)
+
+
+def _daily_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Brands with a known board and every page as the career page of a company of its own."""
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct()
+    blank = {c: F.lit("") for c in ("region", "notes")}
+    listed = brands.select(
+        "name",
+        F.lit("https://x.example.com").alias("career_page"),
+        F.lit("Tier 1").alias("priority"),
+        F.lit("greenhouse").alias("ats_provider"),
+        compact_slug(F.col("name")).alias("ats_identifier"),
+    )
+    rows = table(spark, sf_dir, "pages")
+    name = F.concat(F.lit("page "), "page_id")
+    paged = rows.select(
+        name.alias("name"),
+        F.col("url").alias("career_page"),
+        F.lit("Tier 2").alias("priority"),
+        F.lit(None).cast("string").alias("ats_provider"),
+        F.lit(None).cast("string").alias("ats_identifier"),
+    )
+    companies = listed.unionByName(paged).withColumns({**blank, "file_pos": F.lit(0).cast("long")})
+    landed_pages = rows.select(
+        name.alias("company_name"),
+        F.col("url").alias("page_url"),
+        F.col("url").alias("final_url"),
+        F.lit(200).alias("http_status"),
+        F.lit(None).cast("string").alias("error"),
+        "html",
+    )
+    return companies, landed_pages, _landed(spark, sf_dir)
+
+
+def _daily_run(spark, sf_dir) -> DailyRun:
+    run = DailyRun(spark, scratch_path(spark, "daily-state"), SETTINGS)
+    started = datetime.fromisoformat(f"{_LANDED_AT}+00:00")
+    run.run(*_daily_inputs(spark, sf_dir), started_at=started).release()
+    return run
+
+
+@query("daily_run", f"{_WINDOWED_PASSES} SELECT {', '.join(_STORED)} FROM kept")
+def _daily_run_state(spark, sf_dir):
+    """Stored postings after a whole run: boards, career pages and a windowed feed."""
+    return _daily_run(spark, sf_dir).postings.read().select(*_STORED)
+
+
+@query(
+    "daily_run_report",
+    f"""{_WINDOWED_PASSES} SELECT count(*) AS total_jobs_found, count(*) AS new_jobs_found,
+      (SELECT count(DISTINCT p_brand) FROM part) + (SELECT count(*) FROM pages) AS companies_checked,
+      CAST(0 AS BIGINT) AS companies_failed FROM kept""",
+)
+def _daily_run_report(spark, sf_dir):
+    """The row that the run appends to the daily reports."""
+    columns = ("total_jobs_found", "new_jobs_found", "companies_checked", "companies_failed")
+    return _daily_run(spark, sf_dir).reports.read().select(*columns)
+
+
+@query(
+    "union_passes",
+    f"{_WINDOWED_PASSES} SELECT source_rank, company_name, title, apply_url, company_priority FROM passes",
+)
+def _union_passes(spark, sf_dir):
+    """What both passes of a run give before anything is filtered."""
+    companies, pages, landed = _daily_inputs(spark, sf_dir)
+    since = F.lit(f"{SINCE} 06:00:00+00:00").cast("timestamp")
+    routes = route_companies(companies, pages)
+    rows = company_postings(landed, pages, routes, SETTINGS).unionByName(feed_postings(landed, since, SETTINGS))
+    return rows.select("source_rank", "company_name", "title", "apply_url", "company_priority")

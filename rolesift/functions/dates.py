@@ -42,7 +42,11 @@ def from_number_or_iso(c: Column) -> Column:
 
 
 def stated(c: Column) -> Column:
-    """The text of a date that is given; blank and zero count as not given."""
+    """The text of a date that is given; blank and zero count as not given.
+
+    A number with a fraction comes out of JSON in powers of ten and is written out again."""
+    plain = F.regexp_replace(c.try_cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
+    c = F.when(c.rlike(r"^[+-]?\d+(\.\d+)?[eE]"), F.coalesce(plain, c)).otherwise(c)
     return F.when((c != "") & F.coalesce(c.try_cast("double") != 0, F.lit(True)), c)
 
 

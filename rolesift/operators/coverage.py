@@ -53,10 +53,10 @@ def coverage_counts(covered: DataFrame) -> DataFrame:
 
 
 def coverage_report(covered: DataFrame) -> DataFrame:
-    """Companies without reliable coverage, by bucket, tier, name."""
-    return covered.filter(F.col("bucket") != COVERED).orderBy(
-        "bucket", tier_rank(F.col("priority")), "name"
-    )
+    """Companies without reliable coverage, by ``section`` (no reader, failing, no board), tier, name."""
+    section = F.when(F.col("bucket") == NO_READER, 0).when(F.col("bucket") == FAILING, 1).otherwise(2)
+    open_ones = covered.filter(F.col("bucket") != COVERED).withColumn("section", section)
+    return open_ones.orderBy("section", tier_rank(F.col("priority")), "name")
 
 
 def provider_breakdown(results: DataFrame) -> DataFrame:

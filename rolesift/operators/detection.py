@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolesift.functions.text import compact_slug, text_or_blank
+from rolesift.functions.text import compact_slug, strip_or_blank, text_or_blank
 from rolesift.operators.topk import first_k
 from rolesift.sources.registry import board_names
 
@@ -159,7 +159,7 @@ def route_companies(
     rest = ("career_page", "priority", "ats_provider", "ats_identifier")
     companies = first_k(companies, ["name"], [*order, *rest], 1)
     supported = board_names()
-    cached = F.col("ats_provider").isin(supported) & (text_or_blank(F.col("ats_identifier")) != "")
+    cached = F.col("ats_provider").isin(supported) & (strip_or_blank(F.col("ats_identifier")) != "")
     cached = F.coalesce(cached, F.lit(False))
     direct = companies.filter(cached).select(
         "name",

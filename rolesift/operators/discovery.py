@@ -110,7 +110,9 @@ def seed_identifiers(companies: DataFrame) -> DataFrame:
         strip_or_blank(F.col("ats_identifier")).alias("identifier"),
         F.col("file_pos").alias("seed_pos"),
     ).filter((F.col("name") != "") & (F.col("provider") != "") & (F.col("identifier") != ""))
-    return rows.select(F.lower("name").alias("name_key"), "provider", "identifier", "seed_pos")
+    keyed = rows.select(F.lower("name").alias("name_key"), "provider", "identifier", "seed_pos")
+    # a list that repeats a company must not multiply its candidates
+    return keyed.groupBy("name_key", "provider", "identifier").agg(F.min("seed_pos").alias("seed_pos"))
 
 
 def tasks_of(sheet: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -207,19 +209,20 @@ def resolve(sheet: DataFrame, seeds: DataFrame, boards: DataFrame) -> DataFrame:
     )
 
 
+def resolved_rows(outcome: DataFrame) -> DataFrame:
+    """Rows of the new company list."""
+    return outcome.filter(F.col("provider").isNotNull()).select(
+        F.col("company"),
+        career_url(F.col("provider"), F.col("identifier")).alias("career_page"),
+        F.col("provider").alias("ats_provider"),
+        F.col("identifier").alias("ats_identifier"),
+        "job_count",
+    )
+
+
 def resolved_list(outcome: DataFrame) -> DataFrame:
     """Rows of the new company list, by name."""
-    return (
-        outcome.filter(F.col("provider").isNotNull())
-        .select(
-            F.col("company"),
-            career_url(F.col("provider"), F.col("identifier")).alias("career_page"),
-            F.col("provider").alias("ats_provider"),
-            F.col("identifier").alias("ats_identifier"),
-            "job_count",
-        )
-        .orderBy("company", "ats_provider", "ats_identifier")
-    )
+    return resolved_rows(outcome).orderBy("company", "ats_provider", "ats_identifier")
 
 
 def unresolved_list(outcome: DataFrame) -> DataFrame:
@@ -258,7 +261,7 @@ def merge_retry(
     kept = resolved.select(
         "company", "career_page", "ats_provider", "ats_identifier", F.lit(0).alias("job_count")
     )
-    new_resolved = kept.unionByName(resolved_list(retried)).orderBy("company", "ats_provider", "ats_identifier")
+    new_resolved = kept.unionByName(resolved_rows(retried)).orderBy("company", "ats_provider", "ats_identifier")
     failed = retried.filter(F.col("attempt") & F.col("reason").isNotNull()).select("company", "reason")
     stays = unresolved.filter(F.startswith("reason", F.lit(UNSUPPORTED.rstrip()))).select("company", "reason")
     return new_resolved, failed.unionByName(stays)

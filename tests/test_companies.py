@@ -218,7 +218,7 @@ def test_coverage(spark):
     state = spark.createDataFrame([("f", "error: HTTP 500"), ("ok", "ok"), ("u", "error: x"), ("z", None)], "name string, last_status string")
     covered = with_coverage(listed, state)
     assert {r.bucket: r.companies for r in coverage_counts(covered).collect()} == {"no_ats": 3, "unsupported_ats": 1, "failing": 1, "covered": 2}
-    assert [r.name for r in coverage_report(covered).collect()] == ["f", "b", "z", "a", "u"]
+    assert [r.name for r in coverage_report(covered).collect()] == ["u", "f", "b", "z", "a"]
     share = {r.provider: (r.companies, r.percent) for r in provider_share(listed).collect()}
     assert share == {"lever": (2, 28.6), "ashby": (1, 14.3), "Total confirmed": (3, 42.9)}
     kinds = postings(spark, {}, {"ats_platform": "generic"}, {"source": "jobicy", "ats_platform": None}, {})
@@ -271,3 +271,15 @@ def test_resolved_list_is_a_company_list(spark, tmp_path):
     write_csv(company_list_rows(resolved), str(tmp_path / "out"))
     row = read_companies(spark, str(tmp_path / "out")).first()
     assert (row.name, row.career_page, row.ats_provider, row.ats_identifier) == ("Acme", "https://jobs.lever.co/a", "lever", "a")
+
+
+def test_rows_keep_their_place_over_files_of_any_size(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for part, n in (("b", 400), ("a", 2), ("c", 30)):
+        lines = "".join(f"{part}{i:03d},https://x.com,\n" for i in range(n))
+        (folder / f"part-{part}.csv").write_text("Company,Careers / Job Board URL,ATS\n" + lines, encoding="utf-8")
+    names = [r.name for r in read_companies(spark, str(folder)).orderBy("file_pos").collect()]
+    assert names == [f"{p}{i:03d}" for p, n in (("a", 2), ("b", 400), ("c", 30)) for i in range(n)]
+    assert [r.name for r in first_companies(read_companies(spark, str(folder)), 3).collect()] == ["a000", "a001", "b000"]
+    assert [r.company for r in read_sample_sheet(spark, str(folder)).orderBy("row_no").limit(3).collect()] == ["a000", "a001", "b000"]
