@@ -1,5 +1,3 @@
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,47 +48,30 @@ def test_points_and_stars_at_the_edges(spark):
     assert values(spark, stars, [80.0, 79.9, 65.0, 50.0, 30.0, 29.9], "v double") == [5, 4, 4, 3, 2, 1]
 
 
-def plain_score(row, profile, roles):
-    """The rules once more, over one dict."""
-    text = f"{row['title']}\n{row['location']}\n{row['description']}".lower()
-    parts, why = [], []
-    role = [r for r in roles.include if r.lower() in row["title"].lower()][:1]
-    parts.append(40 * len(role))
-    why += [f'title matches "{r}"' for r in role]
-    hits = [k for k in profile.keywords if k.lower() in text]
-    parts.append(min(25, 5 * len(hits)))
-    if hits:
-        why.append("stack overlap: " + ", ".join(hits[:5]))
-    bonus, label = {"strong": (15, "fully remote"), "soft": (8, "remote")}.get(profile.remote_preference, (0, None))
-    if row["remote"]:
-        parts.append(bonus)
-        why += [label] if label else []
-    fits = any(c.lower() in row["location"].lower() for c in profile.countries)
-    parts.append(10 if fits else 5 if row["remote"] else 0)
-    if fits:
-        why.append(f"location fits ({row['location']})")
-    return sum(parts), why, bool(hits)
-
-
-def test_scores_equal_a_plain_computation(spark):
-    rng = random.Random(5)
-    rows = [
-        {
-            "title": rng.choice(["AI Engineer", "Lead Machine Learning Engineer", "Cook", "ai engineer and machine learning engineer"]),
-            "location": rng.choice(["", "Remote, India", "Berlin", "INDIA"]),
-            "description": " ".join(rng.sample(["Python", "LLM", "storage", "PyTorch", "nothing"], rng.randint(0, 5))),
-            "remote": rng.random() < 0.5,
-        }
-        for _ in range(120)
-    ]
+# title, location, description, remote, remote preference; score (5 of it for unstated years), reason
+SCORES = [
+    ("AI Engineer", "", "", False, "strong", 45.0, 'title matches "AI Engineer"'),
+    ("Cook", "Berlin", "storage", False, "strong", 10.0, "stack overlap: rag"),
+    ("Cook", "Berlin", "nothing", False, "strong", 5.0, "General AI/ML role match"),
+    ("Cook", "Berlin", "nothing", True, "strong", 25.0, "fully remote"),
+    ("Cook", "Berlin", "nothing", True, "soft", 18.0, "remote"),
+    ("Cook", "Berlin", "nothing", True, "none", 10.0, "General AI/ML role match"),
+    ("Cook", "INDIA", "", False, "soft", 15.0, "location fits (INDIA)"),
+    ("Lead Machine Learning Engineer", "Remote, India", "Python LLM", True, "strong", 80.0,
+     'title matches "Machine Learning Engineer"; stack overlap: python, llm; fully remote; location fits (Remote, India)'),
+    ("ai engineer and machine learning engineer", "Berlin", "PyTorch storage LLM Python", False, "none", 65.0,
+     'title matches "AI Engineer"; stack overlap: python, llm, rag, pytorch'),
+]
+
+
+def test_scores_and_reasons(spark):
     for preference in ("strong", "soft", "none"):
+        cases = [case for case in SCORES if case[4] == preference]
+        rows = [dict(zip(("title", "location", "description", "remote"), case)) for case in cases]
         profile = type(PROFILE)(3, PROFILE.countries, preference, PROFILE.keywords)
         got = score_postings(postings(spark, *rows), profile, ROLES).orderBy("item_no").collect()
-        for row, out in zip(rows, got):
-            score, why, overlap = plain_score(row, profile, ROLES)
-            assert out.rank_score == score + 5.0  # no years in the text
-            assert out.rank_reason == ("; ".join(why) or "General AI/ML role match")
-            assert out.has_stack_overlap == overlap
+        assert [(r.rank_score, r.rank_reason) for r in got] == [case[5:] for case in cases]
+        assert [r.has_stack_overlap for r in got] == ["stack overlap" in case[6] for case in cases]
 
 
 def test_known_scores(spark):
