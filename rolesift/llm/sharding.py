@@ -133,9 +133,8 @@ def shard_documents(
       rows get theirs in any order.
     * Other columns are not read. An empty table gives an empty result.
 
-    Slots of a shard are dealt in slices (see ``with_slots``), and rows of one repeated id share
-    one slice: only a single id that fills much of the table could make a slice large, and its rows
-    are 40 bytes each, which Spark sorts with spilling.
+    Slots of a shard are dealt in slices (see ``with_slots``); only rows equal in id and text share
+    a slice whatever their number, at 40 bytes each, which Spark sorts with spilling.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(
@@ -145,7 +144,9 @@ def shard_documents(
     )
     placed = place(slim, F.col("_id"), shards, "shard")
     placed = place(placed, F.col("_id"), grown, "grown_shard")
-    head = F.substring(F.md5(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(":slot"))), 1, 8)
+    # rows that repeat an id are spread as well, as long as their texts differ
+    row_key = F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("")), "size", "text_crc32", F.lit("slot"))
+    head = F.substring(F.md5(row_key), 1, 8)
     placed = staged(placed.withColumn("draw", F.conv(head, 16, 10).cast("long")), "shards")
     slotted = with_slots(placed, "shard", ["_id", "size", "text_crc32"], slice_rows)
     return slotted.select(
