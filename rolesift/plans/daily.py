@@ -25,7 +25,7 @@ from rolesift.operators.reporting import (
 from rolesift.operators.scoring import score_postings
 from rolesift.operators.selection import cap_per_company, recommendations, worth_looking_at
 from rolesift.operators.upsert import record_checks, upsert_companies, upsert_postings
-from rolesift.plans.state import AppendTable, VersionedTable, drop_path, scratch_path, stage
+from rolesift.plans.state import AppendTable, BucketedTable, VersionedTable, drop_path, scratch_path, stage
 from rolesift.schema import APPLIED_DDL, ARRIVAL, COMPANY_DDL, POSTING_STATE_DDL, REPORT_DDL
 from rolesift.settings import Settings
 from rolesift.sources import normalize
@@ -137,7 +137,7 @@ class DailyRun:
         root = root.rstrip("/")
         self.spark, self.settings, self.root = spark, settings, root
         self.companies = VersionedTable(spark, f"{root}/companies", COMPANY_DDL)
-        self.postings = VersionedTable(spark, f"{root}/postings", POSTING_STATE_DDL)
+        self.postings = BucketedTable(spark, f"{root}/postings", POSTING_STATE_DDL, "job_hash")
         self.applied = AppendTable(spark, f"{root}/applied", APPLIED_DDL)
         self.reports = AppendTable(spark, f"{root}/daily_reports", REPORT_DDL)
 
@@ -185,7 +185,7 @@ class DailyRun:
 
         checks = routes.withColumn("last_checked_at", start)
         self.companies.merge(lambda now: record_checks(upsert_companies(now, listed), checks), token)
-        self.postings.merge(lambda now: upsert_postings(now, ranked), token)
+        self.postings.merge(lambda now: upsert_postings(now, ranked), token, ranked)
         for table in (self.companies, self.postings):
             table.drop_old(KEPT_VERSIONS)
         metrics = stage(metrics, "metrics", scratch)

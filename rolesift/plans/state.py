@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable
@@ -95,6 +96,8 @@ class VersionedTable:
     result, so no merge is lost. A writer that failed goes on under its token.
     """
 
+    done = "_SUCCESS"  # the file that a finished version has
+
     def __init__(self, spark: SparkSession, root: str, ddl: str, wait_seconds: float = 600.0) -> None:
         self.spark, self.root, self.ddl = spark, root.rstrip("/"), ddl
         self.wait_seconds = wait_seconds
@@ -103,7 +106,7 @@ class VersionedTable:
         return [
             name
             for name in list_names(self.spark, self.root)
-            if name.startswith("v") and path_exists(self.spark, f"{self.root}/{name}/_SUCCESS")
+            if name.startswith("v") and path_exists(self.spark, f"{self.root}/{name}/{self.done}")
         ]
 
     def read(self, before: str | None = None) -> DataFrame:
@@ -114,36 +117,122 @@ class VersionedTable:
             found = found[: tokens.index(before)]
         if not found:
             return self.spark.createDataFrame([], self.ddl)
-        return self.spark.read.schema(self.ddl).parquet(f"{self.root}/{found[-1]}")
+        return self._read_version(found[-1])
+
+    def _read_version(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.ddl).parquet(f"{self.root}/{name}")
 
     def has(self, token: str) -> bool:
         return any(name.split("-", 1)[1] == token for name in self.versions())
 
-    def merge(self, plan: Callable[[DataFrame], DataFrame], token: str) -> None:
-        """Write ``plan(current rows)`` as the next version, unless the token has been written."""
+    def merge(
+        self, plan: Callable[[DataFrame], DataFrame], token: str, batch: DataFrame | None = None
+    ) -> None:
+        """Write ``plan(current rows)`` as the next version, unless the token has been written.
+
+        ``batch`` has the keys that the plan may change or add; here all rows are written anyway."""
         deadline = time.monotonic() + self.wait_seconds
         while not self.has(token):
             found = self.versions()
             number = int(found[-1][1:].split("-", 1)[0]) + 1 if found else 1
             owner = _claim(self.spark, f"{self.root}/_claims/{number:09d}", token)
             if owner == token:
-                target = f"{self.root}/v{number:09d}-{token}"
-                conform(plan(self.read()), self.ddl).write.mode("overwrite").parquet(target)
+                self._write_version(plan, f"v{number:09d}-{token}", batch)
                 return
             if time.monotonic() > deadline:
                 raise TimeoutError(f"version {number} of {self.root} was claimed by {owner} and is not done")
             time.sleep(0.2)
 
+    def _write_version(
+        self, plan: Callable[[DataFrame], DataFrame], name: str, batch: DataFrame | None
+    ) -> None:
+        conform(plan(self.read()), self.ddl).write.mode("overwrite").parquet(f"{self.root}/{name}")
+
     def write(self, df: DataFrame, token: str) -> None:
         """The rows as the next version; ``merge`` is the way to build on the current ones."""
         self.merge(lambda _: df, token)
 
     def drop_old(self, keep: int) -> None:
-        """Delete all but the newest ``keep`` versions."""
+        """Delete all but the newest ``keep`` versions. Their tokens are forgotten with them."""
         for name in self.versions()[:-keep] if keep > 0 else []:
             drop_path(self.spark, f"{self.root}/{name}")
 
 
+class BucketedTable(VersionedTable):
+    """A versioned table cut into hash buckets of its key; a merge writes only buckets it touches.
+
+    Each version has a list that says which version holds each bucket, so the rest of the table stays
+    where it is. The number of buckets is fixed for the life of a table.
+    """
+
+    done = "buckets.json"
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        ddl: str,
+        key: str,
+        buckets: int = 64,
+        wait_seconds: float = 600.0,
+    ) -> None:
+        super().__init__(spark, root, ddl, wait_seconds)
+        self.key, self.buckets = key, buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def places(self, name: str) -> dict[int, str]:
+        """Bucket to the version directory that holds it."""
+        text = self.spark.read.text(f"{self.root}/{name}/{self.done}", wholetext=True).first()[0]
+        return {int(bucket): where for bucket, where in json.loads(text).items()}
+
+    def _read_buckets(self, places: dict[int, str]) -> DataFrame:
+        paths = [f"{self.root}/{where}/bucket={bucket}" for bucket, where in sorted(places.items())]
+        if not paths:
+            return self.spark.createDataFrame([], self.ddl)
+        return self.spark.read.schema(self.ddl).parquet(*paths)
+
+    def _read_version(self, name: str) -> DataFrame:
+        return self._read_buckets(self.places(name))
+
+    def _write_version(
+        self, plan: Callable[[DataFrame], DataFrame], name: str, batch: DataFrame | None
+    ) -> None:
+        found = self.versions()
+        places = self.places(found[-1]) if found else {}
+        touched = set(range(self.buckets))
+        if batch is not None:  # at most as many rows as there are buckets
+            touched = {row[0] for row in batch.select(self._bucket()).distinct().collect()}
+        current = self._read_buckets({b: where for b, where in places.items() if b in touched})
+        rows = conform(plan(current), self.ddl).withColumn("bucket", self._bucket())
+        target = f"{self.root}/{name}"
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        written = {int(d.split("=")[1]) for d in list_names(self.spark, target) if d.startswith("bucket=")}
+        kept = {b: where for b, where in places.items() if b not in touched}
+        fs, path = _fs(self.spark, f"{target}/{self.done}")
+        out = fs.create(path, True)
+        try:
+            out.write(json.dumps(kept | dict.fromkeys(written, name)).encode())
+        finally:
+            out.close()
+
+    def drop_old(self, keep: int) -> None:
+        """Delete buckets that none of the newest ``keep`` versions holds, and the lists before."""
+        found = self.versions()
+        if keep <= 0 or len(found) <= keep:
+            return
+        held = {(where, b) for name in found[-keep:] for b, where in self.places(name).items()}
+        for name in found[:-keep]:
+            used = {b for where, b in held if where == name}
+            names = list_names(self.spark, f"{self.root}/{name}")
+            for part in names:
+                if part == self.done or part.startswith("bucket=") and int(part.split("=")[1]) not in used:
+                    drop_path(self.spark, f"{self.root}/{name}/{part}")
+            if not used:
+                drop_path(self.spark, f"{self.root}/{name}")
+
+
 class AppendTable:
     """Rows are only ever added; every append is a directory named by its token."""
 

@@ -53,7 +53,8 @@ def merge_stream(
         if not names:
             return
         prepared = spark.read.option("mergeSchema", "false").parquet(*[f"{staging}/{n}" for n in names])
-        state.merge(lambda stored: _upserted(stored, rank(prepared, stored)), f"{_query_id(spark, checkpoint)}{names[-1]}")
+        token = f"{_query_id(spark, checkpoint)}{names[-1]}"
+        state.merge(lambda stored: _upserted(stored, rank(prepared, stored)), token, prepared)
         drop_path(spark, staging)
         state.drop_old(KEPT_VERSIONS)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rolesift.operators.reporting import evolve_reports
 from rolesift.operators.upsert import record_checks, upsert_companies, upsert_postings
 from rolesift.plans.daily import DailyRun, rank_postings, window_start
-from rolesift.plans.state import AppendTable, VersionedTable, mark_applied, path_exists, stage
+from rolesift.plans.state import AppendTable, BucketedTable, VersionedTable, list_names, mark_applied, path_exists, stage
 from rolesift.schema import APPLIED_DDL, COMPANY_DDL, PAYLOAD_DDL, POSTING_STATE_DDL, REPORT_DDL, conform
 from rolesift.settings import Limits, Settings
 from rolesift.sources import normalize
@@ -304,3 +304,29 @@ def test_runs_in_one_second_are_two_runs(spark, tmp_path):
     run.run(*inputs, started_at=DAY)
     run.run(*inputs, started_at=DAY + timedelta(milliseconds=1))
     assert run.reports.read().count() == 2 and len(run.postings.versions()) == 2
+
+
+def test_merge_leaves_untouched_buckets_where_they_are(spark, tmp_path):
+    table = BucketedTable(spark, str(tmp_path / "t"), POSTING_STATE_DDL, "job_hash", buckets=8)
+    rows = lambda ids, url: conform(spark.createDataFrame([(f"h{i}", url) for i in ids], "job_hash string, apply_url string"), POSTING_STATE_DDL).withColumn("seen_at", F.lit(DAY))
+    first = rows(range(60), "old")
+    table.merge(lambda now: upsert_postings(now, first), "a", first)
+    assert len(table.places(table.versions()[0])) == 8
+    second = rows([3, 100], "new")
+    table.merge(lambda now: upsert_postings(now, second), "b", second)
+    table.merge(lambda now: upsert_postings(now, second), "b", second)  # a replay
+    old, new = table.versions()
+    places = table.places(new)
+    assert set(places) == set(range(8)) and 1 <= sum(where == new for where in places.values()) <= 2
+    assert sorted(n for n in list_names(spark, f"{table.root}/{new}") if n.startswith("bucket=")) == sorted(f"bucket={b}" for b, where in places.items() if where == new)
+    got = {r.job_hash: r.apply_url for r in table.read().collect()}
+    assert got == {**{f"h{i}": "old" for i in range(60)}, "h3": "new", "h100": "new"}
+    assert table.read(before="b").count() == 60
+    for token in ("c", "d", "e"):
+        table.merge(lambda now: upsert_postings(now, second), token, second)
+    table.drop_old(2)
+    assert len(table.versions()) == 2 and {r.job_hash: r.apply_url for r in table.read().collect()} == got
+    assert list_names(spark, f"{table.root}/{new}") == []  # all its buckets were written again since
+    empty = first.limit(0)
+    table.merge(lambda now: upsert_postings(now, empty), "none", empty)
+    assert table.read().count() == 61
