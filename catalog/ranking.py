@@ -26,8 +26,9 @@ from catalog.views import (
     tier,
 )
 from rolesift.functions.text import (
-    count_contained,
-    list_contained,
+    contained_words,
+    how_many,
+    listed,
     normalize_text,
     posting_hash,
     searchable_text,
@@ -204,8 +205,8 @@ def _keywords(spark, sf_dir):
     )
     return rows.select(
         *ORDER,
-        count_contained(F.col("_text"), P.keywords).alias("n_hits"),
-        list_contained(F.col("_text"), P.keywords, 5).alias("shown"),
+        how_many(contained_words(F.col("_text"), P.keywords)).alias("n_hits"),
+        listed(contained_words(F.col("_text"), P.keywords), 5).alias("shown"),
     )
 
 

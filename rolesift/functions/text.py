@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,23 +80,29 @@ def first_contained(lowered: Column, words: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(lowered.contains(w.lower()), F.lit(w)) for w in words])
 
 
-def count_contained(lowered: Column, words: Sequence[str]) -> Column:
-    if not words:
-        return F.lit(0)
-    return reduce(lambda a, b: a + b, [lowered.contains(w.lower()).cast("int") for w in words])
+_MARK = "\x01"
 
 
-def list_contained(lowered: Column, words: Sequence[str], shown: int) -> Column:
-    """The first ``shown`` contained words joined by comma; blank if none.
+def contained_words(lowered: Column, words: Sequence[str]) -> Column:
+    """All contained words, in list order, as one marked text; ``how_many`` and ``listed`` read it,
+    so that the text itself is searched once.
 
     Written with concat_ws and substring_index instead of array functions with lambdas, which
     would leave generated code.
     """
     if not words:
         return F.lit("")
-    mark = "\x01"
-    hits = F.concat_ws(mark, *[F.when(lowered.contains(w.lower()), F.lit(w)) for w in words])
-    return F.replace(F.substring_index(hits, mark, shown), F.lit(mark), F.lit(", "))
+    return F.concat_ws(_MARK, *[F.when(lowered.contains(w.lower()), F.lit(w)) for w in words])
+
+
+def how_many(contained: Column) -> Column:
+    marks = F.length(contained) - F.length(F.replace(contained, F.lit(_MARK), F.lit("")))
+    return F.when(contained == "", 0).otherwise(marks + 1)
+
+
+def listed(contained: Column, shown: int) -> Column:
+    """The first ``shown`` words joined by comma; blank if none."""
+    return F.replace(F.substring_index(contained, _MARK, shown), F.lit(_MARK), F.lit(", "))
 
 
 def join_parts(sep: str, *parts: Column) -> Column:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from rolesift.functions.text import (
     SPACE,
     blank_to_null,
+    contained_words,
     contains_any,
-    count_contained,
     first_contained,
-    list_contained,
+    how_many,
+    listed,
     searchable_text,
 )
 from rolesift.settings import Profile, Roles
@@ -103,12 +104,12 @@ def score_postings(postings: DataFrame, profile: Profile, roles: Roles) -> DataF
     )
     found = base.withColumns(
         {
-            "_hits": count_contained(F.col("_text"), profile.keywords),
-            "_shown": list_contained(F.col("_text"), profile.keywords, KEYWORDS_SHOWN),
+            "_words": contained_words(F.col("_text"), profile.keywords),
             "required_years_experience": years_required(F.col("_text")),
             "_fits": contains_any(F.lower(location), profile.countries),
         }
     )
+    found = found.withColumns({"_hits": how_many(F.col("_words")), "_shown": listed(F.col("_words"), KEYWORDS_SHOWN)})
     years = F.col("required_years_experience")
     score = (
         F.when(F.col("_role").isNotNull(), ROLE_POINTS).otherwise(0)
@@ -136,5 +137,5 @@ def score_postings(postings: DataFrame, profile: Profile, roles: Roles) -> DataF
             }
         )
         .withColumn("rank_stars", stars(F.col("rank_score")))
-        .drop("_text", "_role", "_hits", "_shown", "_fits")
+        .drop("_text", "_role", "_words", "_hits", "_shown", "_fits")
     )

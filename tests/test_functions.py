@@ -11,7 +11,9 @@ from rolesift.functions.html import anchors
 from rolesift.functions.text import (
     contains_any,
     first_contained,
-    list_contained,
+    contained_words,
+    how_many,
+    listed,
     normalize_text,
     posting_hash,
     strip,
@@ -58,7 +60,9 @@ def test_substring_helpers(spark):
     assert values(spark, lambda c: contains_any(c, words), texts) == [True, False, True]
     assert values(spark, lambda c: contains_any(c, ()), texts) == [False] * 3
     assert values(spark, lambda c: first_contained(c, words), texts) == ["RAG", None, "RAG"]
-    assert values(spark, lambda c: list_contained(c, words, 2), texts) == ["RAG, gpt", "", "RAG, python"]
+    assert values(spark, lambda c: listed(contained_words(c, words), 2), texts) == ["RAG, gpt", "", "RAG, python"]
+    assert values(spark, lambda c: how_many(contained_words(c, words)), texts) == [len([w for w in words if w.lower() in t]) for t in texts]
+    assert values(spark, lambda c: how_many(contained_words(c, ())), texts) == [0, 0, 0]
 
 
 def test_iso_dates(spark):
