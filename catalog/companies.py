@@ -14,12 +14,14 @@ from rolesift.operators.coverage import (
     coverage_counts,
     coverage_report,
     detection_summary,
+    failed_boards,
     health_list,
     health_rows,
     health_sample,
     health_summary,
     provider_breakdown,
     provider_share,
+    silent_boards,
     source_share,
     untested_providers,
     with_coverage,
@@ -163,12 +165,13 @@ _HEALTH_SQL = f"""{_COMPANIES_SQL},
 sampled AS (SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY ats_provider ORDER BY file_pos) AS nth FROM companies
   WHERE ats_provider IN ('greenhouse', 'lever', 'ashby') AND ats_identifier IS NOT NULL) WHERE nth <= 5),
-answers AS (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_suppkey),
+answers AS (SELECT l_suppkey, CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE count(*) END AS n, min(l_orderkey) AS first_order FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_suppkey),
 health AS (
   SELECT ats_provider, name AS company_name, ats_identifier,
     CASE WHEN s_acctbal < 4000 THEN 'error' ELSE 'ok' END AS status,
     CASE WHEN s_acctbal < 4000 THEN 0 ELSE coalesce(n, 0) END AS job_count,
-    CASE WHEN s_acctbal < 4000 THEN 'timeout' ELSE '' END AS error
+    CASE WHEN s_acctbal < 4000 THEN 'timeout' ELSE '' END AS error,
+    CASE WHEN s_acctbal < 4000 OR first_order IS NULL THEN '' ELSE 'order ' || first_order END AS sample_title
   FROM sampled LEFT JOIN answers ON l_suppkey = file_pos
 )"""
 
@@ -179,7 +182,7 @@ def _health(spark, sf_dir) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .filter(F.col("l_returnflag") == "A")
         .groupBy(F.col("l_suppkey").alias("s_suppkey"))
-        .agg(F.count("*").alias("job_count"))
+        .agg(F.count("*").alias("job_count"), F.concat(F.lit("order "), F.min("l_orderkey")).alias("sample_title"))
     )
     answers = (
         table(spark, sf_dir, "supplier")
@@ -187,7 +190,8 @@ def _health(spark, sf_dir) -> DataFrame:
         .select(
             F.expr(_PROVIDER_SQL).alias("provider"),
             F.lower("s_name").alias("identifier"),
-            "job_count",
+            F.when(F.col("s_suppkey") % 3 == 0, 0).otherwise(F.col("job_count")).alias("job_count"),
+            "sample_title",
             F.when(F.col("s_acctbal") < 4000, "timeout").alias("error"),
         )
     )
@@ -212,6 +216,24 @@ def _health_list(spark, sf_dir):
     return health_list(_health(spark, sf_dir))
 
 
+@query(
+    "health_failures",
+    f"""WITH {_HEALTH_SQL} SELECT ats_provider, company_name, ats_identifier, status, error
+    FROM health WHERE status = 'error'""",
+)
+def _health_failures(spark, sf_dir):
+    return failed_boards(_health(spark, sf_dir))
+
+
+@query(
+    "health_silent",
+    f"""WITH {_HEALTH_SQL} SELECT ats_provider, company_name, ats_identifier, status, job_count
+    FROM health WHERE status = 'ok' AND job_count = 0""",
+)
+def _health_silent(spark, sf_dir):
+    return silent_boards(_health(spark, sf_dir))
+
+
 @query(
     "untested_providers",
     f"""SELECT n_name AS ats_provider FROM nation EXCEPT

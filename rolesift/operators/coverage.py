@@ -135,14 +135,16 @@ def health_sample(companies: DataFrame, per_provider: int, supported: Sequence[s
 def health_rows(sample: DataFrame, answers: DataFrame) -> DataFrame:
     """One row per sampled company: status, job count, error.
 
-    ``answers`` has provider, identifier, job_count, error (null when the reader went through),
-    once per board.
+    ``answers`` has provider, identifier, job_count, error (null when the reader went through) and
+    may have sample_title, once per board.
     """
+    title = F.col("sample_title") if "sample_title" in answers.columns else F.lit(None).cast("string")
     answer = answers.select(
         F.col("provider").alias("ats_provider"),
         F.col("identifier").alias("ats_identifier"),
         "job_count",
         "error",
+        title.alias("sample_title"),
     )
     failed = F.col("error").isNotNull()
     return sample.join(answer, ["ats_provider", "ats_identifier"], "left").select(
@@ -152,6 +154,7 @@ def health_rows(sample: DataFrame, answers: DataFrame) -> DataFrame:
         F.when(failed, "error").otherwise("ok").alias("status"),
         F.when(failed, 0).otherwise(F.coalesce("job_count", F.lit(0))).cast("bigint").alias("job_count"),
         F.coalesce("error", F.lit("")).alias("error"),
+        F.when(failed, "").otherwise(F.coalesce("sample_title", F.lit(""))).alias("sample_title"),
     )
 
 
@@ -170,6 +173,16 @@ def health_list(rows: DataFrame) -> DataFrame:
     return rows.orderBy("ats_provider", "company_name", "ats_identifier")
 
 
+def failed_boards(rows: DataFrame) -> DataFrame:
+    """Sampled boards whose reader failed, with the error."""
+    return health_list(rows.filter(F.col("status") != "ok")).drop("job_count", "sample_title")
+
+
+def silent_boards(rows: DataFrame) -> DataFrame:
+    """Sampled boards that answered without any job: perhaps a wrong identifier."""
+    return health_list(rows.filter((F.col("status") == "ok") & (F.col("job_count") == 0))).drop("error", "sample_title")
+
+
 def untested_providers(companies: DataFrame, supported: DataFrame) -> DataFrame:
     """Supported providers (one column, ``ats_provider``) no company is routed to."""
     return supported.join(companies.select("ats_provider").distinct(), "ats_provider", "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,17 +14,7 @@ from rolesift.sources.registry import RESPONSE_COLUMNS, Provider, item_columns,
 
 _MAX_LINK_TEXT = 120
 _JOB_PATH = r"/jobs/\d+"
-
-for _name in ("teamtailor", "generic"):
-    register(
-        Provider(
-            name=_name,
-            ddl="",
-            items=lambda parsed: parsed,
-            fields=lambda it, _: {},
-            body="html",
-        )
-    )
+_BOARD_HOST = ".teamtailor.com"
 
 
 def _first_per_url(pages: DataFrame, kept: Sequence[str], links: Column) -> DataFrame:
@@ -59,12 +49,12 @@ def role_links(pages: DataFrame, page_url: str, html: str, role_words: Sequence[
     return _first_per_url(pages, kept, links)
 
 
-def board_links(pages: DataFrame, identifier: str, html: str) -> DataFrame:
+def board_links(pages: DataFrame, identifier: str, html: str, host: str = _BOARD_HOST) -> DataFrame:
     """Job links of a hosted board page; a link claims its URL even when its text is blank."""
     kept = [c for c in pages.columns if c != html]
 
     def target(a: Column) -> Column:
-        own = F.concat(F.lit("https://"), F.col(identifier), F.lit(".teamtailor.com"), a["href"])
+        own = F.concat(F.lit("https://"), F.col(identifier), F.lit(host), a["href"])
         return F.when(a["href"].startswith("http"), a["href"]).otherwise(own)
 
     wanted = F.filter(anchor_array(F.col(html)), lambda a: a["href"].rlike(_JOB_PATH))
@@ -75,13 +65,20 @@ def board_links(pages: DataFrame, identifier: str, html: str) -> DataFrame:
 def page_items(landed: DataFrame, provider: Provider, role_words: Sequence[str]) -> DataFrame:
     """Items, like those of parsed responses, from responses whose body is a page."""
     pages = landed.filter(F.col("provider") == provider.name).select(*RESPONSE_COLUMNS, "body")
-    if provider.name == "generic":
-        links = role_links(pages, "identifier", "body", role_words)
-    else:
-        links = board_links(pages, "identifier", "body")
+    links = provider.links(pages, role_words)
     fields = {
         "title": F.col("link_text"),
         "apply_url": F.col("link_url"),
         "remote": F.lower("link_text").contains("remote"),
     }
     return links.select(*RESPONSE_COLUMNS, "item_no", *item_columns(provider, fields))
+
+
+def _page_provider(name: str, links: Callable[[DataFrame, Sequence[str]], DataFrame]) -> Provider:
+    return register(
+        Provider(name=name, ddl="", items=lambda parsed: parsed, fields=lambda it, _: {}, body="html", links=links)
+    )
+
+
+_page_provider("teamtailor", lambda pages, _: board_links(pages, "identifier", "body"))
+_page_provider("generic", lambda pages, words: role_links(pages, "identifier", "body", words))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesift.functions.text import strip_or_blank, text_or_blank
@@ -43,6 +43,8 @@ class Provider:
     accepts: Callable[[Column], Column] | None = None  # test on the identifier
     claims: bool = False  # repeats of an item's claim are dropped across responses
     blank_titles: bool = False  # the mapping tests titles itself
+    # html only: pages (RESPONSE_COLUMNS and body) and role words to item_no, link_text, link_url
+    links: Callable[[DataFrame, Sequence[str]], DataFrame] | None = None
 
     @property
     def is_feed(self) -> bool:
