@@ -191,3 +191,9 @@ def test_stages_on_odd_rows(spark, sf_dir, name, stage):
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
     assert sorted((r.doc_id for r in out.collect()), key=str) == sorted(STAGE_KEEPS[name], key=str)
     assert stage(spark, documents(spark, []), sf_dir).collect() == []
+
+
+def test_no_benchmark_items(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    found = decontaminate(documents(spark), none).collect()
+    assert len(found) == len(ROWS) and not any(r.contaminated or r.n_items for r in found)
