@@ -11,10 +11,10 @@ reaches ``percent``. The join is exact up to 64-bit digests of shingles, and goe
    first two shared ones are among the first n - need + 2, the extended prefix. It is what a
    document is indexed under.
 3. *Star rounds.* Under each shingle all members are held against one drawn leader, and those that
-   verify join its component. Families of near-copies melt into one component this way without
-   their pairs ever being made. A shingle all of whose documents are in one component has no new
-   link to offer and leaves the index.
-4. *Join.* What is left is joined in full, members of one component excepted. A shingle that would
+   verify take its label. Families of near-copies come under one label this way without their pairs
+   ever being made. A shingle all of whose documents have one label has no new link to offer and
+   leaves the index.
+4. *Join.* What is left is joined in full, documents of one label excepted. A shingle that would
    make few pairs is indexed by itself; a pair of sets that shares none of these in its first two
    shares two frequent ones, so those are indexed by their combinations of two.
 5. *Verify.* Pairs that pass the bounds on length and position are verified by intersecting both
@@ -41,7 +41,7 @@ from rolesift.llm.packing import pack, pack_sorted, unpack, unpack_sorted
 from rolesift.llm.shared import staged
 
 #: Shingles of a chunk, and of a range: what one task holds at a time.
-CHUNK_SHINGLES = 2_000_000
+CHUNK_SHINGLES = 800_000
 CHUNK_DOCS = 1 << 16
 #: Pairs that a shingle may make in the join by itself; beyond that it counts as frequent.
 RARE_PAIRS = 20_000
@@ -104,7 +104,7 @@ def _send_shingles(size: int, ranges: int):
         def out() -> pa.RecordBatch:
             nonlocal chunk, held
             digest = np.concatenate([*digests, np.zeros(0, _U)])
-            place = np.concatenate([*places, np.zeros(0, np.int64)])
+            place = np.concatenate([*places, np.zeros(0, np.int32)]).astype(np.int32)
             order = np.argsort(digest, kind="stable")
             digest, place = digest[order], place[order]
             cuts = np.searchsorted(_range_of(digest, ranges), np.arange(ranges + 1))
@@ -138,7 +138,7 @@ def _send_shingles(size: int, ranges: int):
             base = sum(len(d[1]) for d in docs)
             keep = np.repeat(first, counts)
             digests.append(own[keep])
-            places.append(np.repeat(np.arange(len(counts)) + base, counts)[keep])
+            places.append(np.repeat(np.arange(len(counts), dtype=np.int32) + base, counts)[keep])
             raw = [xxhash.xxh64_intdigest((t or "").encode(), 42) for t in batch.column("text").to_pylist()]
             docs.append((batch.column("id"), counts, one, two, np.array(raw, dtype=_U).view(np.int64), first))
             held += int(keep.sum())
@@ -166,16 +166,18 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     digest = [unpack_sorted(a) for a in pdf["a"]]
     sizes = [len(d) for d in digest]
     digest = np.concatenate(digest)
-    place = np.concatenate([unpack(b) for b in pdf["b"]])
-    message = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.concatenate([unpack(b).astype(np.int32) for b in pdf["b"]])
+    message = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     order = np.argsort(digest, kind="stable")
     digest, place, message = digest[order], place[order], message[order]
     starts = np.flatnonzero(np.concatenate([[True], digest[1:] != digest[:-1]]))
     counts = np.diff(starts, append=len(digest))
     shared = counts >= 2
-    number = np.repeat(np.cumsum(shared) - 1, counts)
     keep = np.repeat(shared, counts)
-    number, place, message, count = number[keep], place[keep], message[keep], np.repeat(counts, counts)[keep]
+    place, message = place[keep], message[keep]
+    counts = counts[shared]
+    number = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    count = np.repeat(counts.astype(np.int32), counts)
     order = np.lexsort((number, place, message))
     number, place, message, count = number[order], place[order], message[order], count[order]
     cuts = np.searchsorted(message, np.arange(len(sizes) + 1))
@@ -278,24 +280,37 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(check, "a long, b long")
 
 
-def _with_components(index: DataFrame, known: DataFrame) -> DataFrame:
-    """Refresh ``comp`` and drop shingles whose documents are all in one component."""
-    found = index.drop("comp").join(known, "node", "left")
-    fresh = found.select("token", "node", "n", "at", F.coalesce("component", "node").alias("comp"))
+def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Every document takes the least label among its own and those it is linked with.
+
+    A label is a document that the labelled one is connected to, so equal labels mean one component,
+    though not the other way round. Star rounds need no more; components are made once, at the end.
+    """
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    offered = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
+    offered = offered.agg(F.min("comp").alias("least"))
+    found = labels.join(offered, "node", "left")
+    return staged(found.select("node", F.least("comp", "least").alias("comp")), "labels")
+
+
+def _with_labels(index: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Refresh ``comp`` and drop shingles whose documents all have one label."""
+    fresh = index if labels is None else index.drop("comp").join(labels, "node")
+    fresh = fresh.select("token", "node", "n", "at", "comp")
     apart = fresh.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
     apart = apart.filter("least <> most").select("token")
     return staged(fresh.join(apart, "token", "left_semi"), "index")
 
 
 def _pairs_to_make(index: DataFrame) -> DataFrame:
-    """token, pairs: pairs of documents of different components under each shingle."""
+    """token, pairs: pairs of documents of different labels under each shingle."""
     per = index.groupBy("token", "comp").agg(F.count("*").alias("k"))
     total = per.groupBy("token").agg(F.sum("k").alias("g"), F.sum(F.col("k") * F.col("k")).alias("s"))
     return total.select("token", ((F.col("g") * F.col("g") - F.col("s")) / 2).cast("long").alias("pairs"))
 
 
 def _joined(index: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Pairs of documents of different components that share a key and pass the bounds."""
+    """Pairs of documents of different labels that share a key and pass the bounds."""
     x, y = index.alias("x"), index.alias("y")
     on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
     ordered = F.col("x.node") < F.col("y.node")
@@ -318,7 +333,8 @@ def find_links(nodes: DataFrame, percent: int, rare_pairs: int = RARE_PAIRS) ->
     )
     spark = nodes.sparkSession
     links = spark.createDataFrame([], "a long, b long")
-    index = _with_components(index, spark.createDataFrame([], "node long, component long"))
+    labels = sets.select("node", F.col("node").alias("comp"))
+    index = _with_labels(index, None)
     n_docs = sets.count()
     for turn in range(STAR_ROUNDS):
         to_make = _pairs_to_make(index).agg(F.sum("pairs")).first()[0] or 0
@@ -335,7 +351,8 @@ def find_links(nodes: DataFrame, percent: int, rare_pairs: int = RARE_PAIRS) ->
         if new.isEmpty():
             break
         links = links.union(new)
-        index = _with_components(index, components(links))
+        labels = _relabel(labels, new)
+        index = _with_labels(index, labels)
     costs = _pairs_to_make(index)
     rare = index.join(costs.filter(F.col("pairs") <= rare_pairs).select("token"), "token", "left_semi")
     frequent = index.join(costs.filter(F.col("pairs") > rare_pairs).select("token"), "token", "left_semi")

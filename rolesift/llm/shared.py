@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,21 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/llm/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps.
+
+    Spark deletes the files of a shuffle once the driver has no more reference to it, which it only
+    notices when it collects its garbage. An iterative operator would pile them up until then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a result that several steps read, and read it back: this cuts the lineage and lost
     executors cost no more than the tasks they ran."""
-    path = new_path(df.sparkSession, label)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, schema = df.sparkSession, df.schema
+    path = new_path(spark, label)
+    df.write.parquet(path)
+    del df
+    free_shuffles(spark)
+    return spark.read.schema(schema).parquet(path)
