@@ -26,7 +26,7 @@ from rolesift.llm.sample import fold_of, labelled_sample
 BUCKETS = 1 << 18
 PREFIX_BYTES = (4, 5, 6)
 #: Learn from so many documents of each label at most.
-DOCS_PER_LABEL = 4_000
+DOCS_PER_LABEL = 2_500
 #: Words of a stretch that the field is trained on, and of a block in scoring.
 STRETCH, BLOCK = 128, 64
 EPOCHS, RATE, DECAY = 60, 0.5, 1e-5
