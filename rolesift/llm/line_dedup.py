@@ -1,7 +1,9 @@
 """Boilerplate lines of a site, by their frequency relative to the site.
 
 Pages are grouped by host. A line's ratio is the number of the host's pages that contain it, divided
-by the number of the host's pages. Lines above a ratio are dropped from all pages of that host.
+by the number of the host's pages. Lines above a ratio are dropped from all pages of that host. The
+pages that a ratio asks for grow with the host, so a number of pages can be set as well, above which
+a line goes however large the host is.
 
 A page gives each of its lines once, as a digest, so the counts are partial sums before they are
 shuffled, however common a line is. A host's total is spread over salts for its join with the
@@ -30,8 +32,11 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def boilerplate(lines: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
-    """host, line of what is above the ratio, from one row (host, lines) per page."""
+def boilerplate(lines: DataFrame, max_ratio: float, min_pages: int, max_pages: int | None = None) -> DataFrame:
+    """host, line of what is above the ratio or ``max_pages``, from one row (host, lines) per page."""
+    most = max_ratio * F.col("total")
+    if max_pages is not None:
+        most = F.least(most, F.lit(float(max_pages)))
     pages = lines.groupBy("host").agg(F.count("*").alias("total"))
     totals = pages.select("host", "total", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     counted = (
@@ -40,7 +45,7 @@ def boilerplate(lines: DataFrame, max_ratio: float, min_pages: int) -> DataFrame
         .filter(F.col("line").isNotNull() & (F.col("n") >= min_pages))
         .withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int"))
     )
-    return counted.join(totals, ["host", "salt"]).filter(F.col("n") > max_ratio * F.col("total")).select("host", "line")
+    return counted.join(totals, ["host", "salt"]).filter(F.col("n") > most).select("host", "line")
 
 
 def drop_boilerplate(
@@ -51,11 +56,13 @@ def drop_boilerplate(
     max_ratio: float = 0.05,
     min_pages: int = 3,
     counts: tuple[str, str] = ("n_lines", "n_dropped"),
+    max_pages: int | None = None,
 ) -> DataFrame:
     """``docs`` with boilerplate lines cut out of ``text_col``, and how many lines there were and went.
 
     Lines end at line feeds. They are compared without white space at their ends; a line on fewer
-    than ``min_pages`` pages of its host is no boilerplate, so small hosts keep their texts.
+    than ``min_pages`` pages of its host is no boilerplate, so small hosts keep their texts. A line on
+    more than ``max_pages`` pages of its host (None: no such bound) goes whatever its ratio.
 
     * Empty lines, and lines of white space, are neither counted nor dropped.
     * A null text stays null and has no lines, but counts as a page. A text all of whose lines go is
@@ -77,7 +84,7 @@ def drop_boilerplate(
         ),
         "lines",
     )
-    found = boilerplate(lines, max_ratio, min_pages)
+    found = boilerplate(lines, max_ratio, min_pages, max_pages)
     hits = (
         lines.select("id", "host", "digest", F.explode(F.array_distinct("lines")).alias("line"))
         .join(found, ["host", "line"])

@@ -381,6 +381,14 @@ def test_lines_against_a_plain_count(spark, ratio, least):
         assert got[i] == expected
 
 
+def test_a_bound_in_pages_does_not_loosen_as_a_host_grows(spark):
+    for pages in (40, 400):
+        rows = [(i, "h", f"own {i}\nseldom" if i < 12 else f"own {i}") for i in range(pages)]
+        docs = spark.createDataFrame(rows, "doc_id long, site string, text string")
+        cut = {m: drop_boilerplate(docs, "site", max_pages=m).agg({"n_dropped": "sum"}).first()[0] for m in (None, 10, 12)}
+        assert cut == {None: 12 if pages == 40 else 0, 10: 12, 12: 12 if pages == 40 else 0}
+
+
 # exact dedup
 
 
