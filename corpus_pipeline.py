@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over documents, each written and read again by the next.
 
-1. language ID: documents in no language (null, or without a letter) go
+1. language ID: documents without a letter (or null) go, whatever profiles could be learned
 2. exact dedup: of texts equal but for white space the smallest id stays
 3. near dedup: of each component of near-duplicates one document stays
 4. decontamination: documents with words of a benchmark window go
@@ -18,16 +18,17 @@ from rolesift.llm.decontamination import decontaminate
 from rolesift.llm.exact_dedup import exact_duplicates, normal_text
 from rolesift.llm.filtering import drop_all, free_name, keep_one, text_digest
 from rolesift.llm.jaccard_join import near_duplicates
-from rolesift.llm.language_id import UNDETERMINED, with_language
+from rolesift.llm.language_id import UNDETERMINED, UNKNOWN, with_language
 from rolesift.llm.shared import staged
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep every document of which some language is recognised, and its columns as they are."""
+    """Keep every document that has a letter, and its columns as they are. Profiles reject nothing, and
+    a corpus that none can be learned from loses no more than any other."""
     pred, score = free_name(docs.columns, "__lang_pred"), free_name(docs.columns, "__score")
-    judged = with_language(docs, out=(pred, score))
+    judged = with_language(docs, out=(pred, score), unlearned=UNKNOWN)
     return judged.filter(F.col(pred) != UNDETERMINED).select(*docs.columns)
 
 

@@ -22,6 +22,8 @@ from rolesift.llm.arrays import slices, text_bytes
 from rolesift.llm.sample import fold_of, labelled_sample
 
 UNDETERMINED = "und"
+#: For texts with letters while no profile exists, where these should not be ``und``.
+UNKNOWN = "mis"
 MAX_N = 4
 PROFILE_GRAMS = 400
 #: Learn from so many documents of each language at most.
@@ -94,7 +96,7 @@ class Profiles:
         greatest distance. Equally near languages: the first by name."""
         distinct, counts = runs(codes)
         top = most_frequent(distinct, counts, self.length)
-        if not len(top) or not self.languages:
+        if not len(top) or not len(self.codes):
             return UNDETERMINED, 0.0
         at = np.minimum(np.searchsorted(self.codes, top), len(self.codes) - 1)
         known = self.codes[at] == top
@@ -141,6 +143,7 @@ def with_language(
     lang_col: str = "lang",
     docs_per_language: int = DOCS_PER_LANGUAGE,
     out: tuple[str, str] = ("lang_pred", "score"),
+    unlearned: str = UNDETERMINED,
 ) -> DataFrame:
     """Add the predicted language of every whole text and its score (0 to 1) to the given columns.
 
@@ -149,7 +152,8 @@ def with_language(
     is not 1. Labels, ids and all other columns are no input of a prediction.
 
     * A text that is null or has no letter (by Unicode) is ``und`` with score 0.
-    * A null language is not learned from; if nothing can be learned, all texts are ``und``.
+    * A null language is not learned from; if nothing can be learned, all texts with a letter are
+      ``unlearned``, with score 0.
     * Equally near languages: the first by name. Repeated rows stay and get the same answer.
     * Columns that have the names in ``out`` are replaced; all others stay as they are.
     * An empty table gives an empty result.
@@ -167,7 +171,7 @@ def with_language(
             texts = batch.column(text_col)
             codes, starts = gram_codes(texts)
             said = [
-                model.judge(codes[a:b]) if b > a else (UNDETERMINED, 0.0)
+                (model.judge(codes[a:b]) if len(model.codes) else (unlearned, 0.0)) if b > a else (UNDETERMINED, 0.0)
                 for a, b in zip(starts[:-1], starts[1:])
             ]
             # bytes above 127 need not be letters: look where no ASCII letter is

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import zlib
 
 import public_tokenizers
 import pytest
@@ -197,3 +198,13 @@ def test_no_benchmark_items(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     found = decontaminate(documents(spark), none).collect()
     assert len(found) == len(ROWS) and not any(r.contaminated or r.n_items for r in found)
+
+
+@pytest.mark.parametrize("ids, lang", [(range(1, 30), None), ([i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 3 == 1], "en"), ([i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 3 == 1], "blank")])
+def test_first_stage_keeps_clean_documents_without_any_profile(spark, ids, lang):
+    ids = list(ids)
+    rows = [(i, f"a clean text {i}", lang) for i in ids] + ([(1, "12", lang)] if lang == "blank" else []) + [(ids[0], None, lang), (ids[0], "12 !? \u3000", lang), (ids[0], "\u65e5\u672c", lang)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.known_language(spark, docs, "").collect()
+    assert sorted(r.text for r in kept) == sorted([f"a clean text {i}" for i in ids] + ["\u65e5\u672c"])
+    assert {r.lang_pred for r in with_language(docs).collect()} == {"und"}
