@@ -1,8 +1,10 @@
 """Byte-level BPE with the tiktoken library: encoding, and decoding of raw bytes.
 
-The ranks come from a local file of ``base64 rank`` lines. Long texts are cut before a run of white
-space, where no match of the pattern can span the cut: a match that ends in white space starts in
-it, and its look-ahead only looks right. The pieces are encoded one by one, so no text is too long.
+The ranks come from a local file of ``base64 rank`` lines. Long texts are cut before a plain space
+after a character that is not white space, if the pattern is one of ``CUTTABLE``. None of their
+matches spans such a cut: a space that is not first in its match follows white space, what may end a
+match after other characters is line breaks and slashes, and look-ahead only looks right. Pieces are
+encoded one by one, so memory follows the piece. With any other pattern a text is encoded whole.
 """
 
 from __future__ import annotations
@@ -21,7 +23,20 @@ from pyspark.sql import functions as F
 from rolesift.llm.arrays import slices
 
 PIECE_CHARS = 1 << 16
-_WHITE = " \t\n\r\v\f"
+_CASED = r"[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]"
+_UNCASED = r"[\p{Ll}\p{Lm}\p{Lo}\p{M}]"
+_ENDING = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)?"
+_GAPS = r"|\s*[\r\n]+|\s+(?!\S)|\s+"
+#: Patterns of GPT-2, cl100k and o200k, which the cut is safe for.
+GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CL100K = (
+    r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*" + _GAPS
+)
+O200K = (
+    rf"[^\r\n\p{{L}}\p{{N}}]?{_CASED}*{_UNCASED}+{_ENDING}|[^\r\n\p{{L}}\p{{N}}]?{_CASED}+{_UNCASED}*{_ENDING}"
+    r"|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n/]*" + _GAPS
+)
+CUTTABLE = frozenset([GPT2, CL100K, O200K])
 
 
 def read_ranks(path: str) -> bytes:
@@ -38,12 +53,12 @@ def encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
 
 
 def safe_pieces(text: str, most: int = PIECE_CHARS) -> list[str]:
-    """Cut a text after at least ``most`` characters, always between a character that is not white
-    space and one that is. A stretch without such a place stays whole."""
+    """Cut a text after at least ``most`` characters, always before a plain space that follows a
+    character that is not white space. A stretch without such a place stays whole."""
     pieces, start, n = [], 0, len(text)
     while n - start > most:
         at = start + most
-        while at < n and not (text[at] in _WHITE and not text[at - 1].isspace()):
+        while at < n and not (text[at] == " " and not text[at - 1].isspace()):
             at += 1
         pieces.append(text[start:at])
         start = at
@@ -54,7 +69,7 @@ def safe_pieces(text: str, most: int = PIECE_CHARS) -> list[str]:
 
 def encode(tokenizer: tiktoken.Encoding, text: str, most: int = PIECE_CHARS) -> np.ndarray:
     """Token ids as little-endian unsigned 32-bit integers; no special tokens."""
-    if len(text) <= most:
+    if len(text) <= most or tokenizer._pat_str not in CUTTABLE:
         return np.array(tokenizer.encode_ordinary(text), dtype="<u4")
     parts = [tokenizer.encode_ordinary(piece) for piece in safe_pieces(text, most)]
     return np.array([i for part in parts for i in part], dtype="<u4")

@@ -487,6 +487,19 @@ def test_pieces_encode_like_the_whole_text():
         assert bpe.decode(tokenizer, np.array(whole, "<u4")) == text.encode()
 
 
+@pytest.mark.parametrize("pattern", [bpe.GPT2, bpe.CL100K, bpe.O200K, r"\S+\s*|\s+", r"[^\n]+|\n"])
+def test_long_texts_encode_like_the_whole_with_other_patterns(pattern):
+    tokenizer = bpe.encoding(bpe.read_ranks(RANKS), pattern)
+    rng = random.Random(1)
+    alphabet = ["ab", "Cd", "\u00e9", " ", " ", "  ", "\n", "\r\n", "\t", "12", "!!!", "?/", "'S", "\u00a0", "\u3000", "\x1c", "\u0301"]
+    for _ in range(400):
+        text = "".join(rng.choices(alphabet, k=rng.randrange(60))) + "!!!\n a"
+        whole = tokenizer.encode_ordinary(text)
+        for most in (1, 2, 5, 13):
+            assert bpe.encode(tokenizer, text, most).tolist() == whole
+    assert len(bpe.safe_pieces("ab cd\n" * 100, 7)) > 50
+
+
 def test_round_trip_is_the_library(spark):
     ranks = {__import__("base64").b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     library = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
