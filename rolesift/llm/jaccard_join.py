@@ -16,7 +16,8 @@ reaches ``percent``. The join is exact up to 64-bit digests of shingles, and goe
    leaves the index.
 4. *Join.* What is left is joined in full, documents of one label excepted. A shingle that would
    make few pairs is indexed by itself; a pair of sets that shares none of these in its first two
-   shares two frequent ones, so those are indexed by their combinations of two.
+   shares two frequent ones, so those are indexed by their combinations of two. Up to 50 percent, sets
+   that need only one common shingle are joined by single frequent ones as well.
 5. *Verify.* Pairs that pass the bounds on length and position are verified by intersecting both
    sets. Links make components.
 """
@@ -212,7 +213,9 @@ def _gather(percent: int):
         shared = np.diff(cuts)
         need = -(-percent * n // 100)
         sets, prefixes = [None] * len(n), [None] * len(n)
-        for i in np.flatnonzero(sends & (shared >= np.maximum(need, 2))).tolist():
+        # above 50, sets of one shingle are linked only with equal ones
+        least = np.maximum(need, 1 if percent <= 50 else 2)
+        for i in np.flatnonzero(sends & (shared >= least)).tolist():
             own = token[cuts[i] : cuts[i + 1]]
             prefixes[i] = own[: max(0, shared[i] - need[i] + 2)].view(np.int64)
             sets[i] = pack_sorted(np.sort(own))
@@ -362,7 +365,10 @@ def find_links(nodes: DataFrame, percent: int, rare_pairs: int = RARE_PAIRS) ->
         .select("node", "n", "comp", "one", F.explode(F.slice("f", F.col("i") + 2, F.size("f"))).alias("two"))
         .select(F.col("one.token").alias("token"), F.col("two.token").alias("second"), "node", "n", F.col("one.at").alias("at"), "comp")
     )
-    pairs = _joined(rare, ["token"], percent).union(_joined(combos, ["token", "second"], percent)).distinct()
+    pairs = _joined(rare, ["token"], percent).union(_joined(combos, ["token", "second"], percent))
+    if percent <= 50:  # two sets that need no more than one common shingle may have no second one
+        pairs = pairs.union(_joined(frequent.filter(F.col("n") * percent <= 100), ["token"], percent))
+    pairs = pairs.distinct()
     return links.union(staged(_verify(pairs, sets, percent), "join-links"))
 
 
@@ -373,7 +379,7 @@ def near_duplicates(
     shingle_words: int = 5,
     percent: int = 75,
 ) -> DataFrame:
-    """Components of documents linked by a Jaccard similarity of ``percent`` hundredths or more.
+    """Components of documents linked by a Jaccard similarity of ``percent`` (1 to 100) hundredths or more.
 
     Words are runs without white space (space, tab to carriage return), A-Z lower-cased. Returns one
     row per input row: ``<id_col>``, n_shingles, component_id (the smallest id in the component),
@@ -389,6 +395,8 @@ def near_duplicates(
     ``docs`` should be a table that is read the same way twice, as files are: after the loss of an
     executor a chunk is made again, and must have its documents in the same order.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     nodes = shingle_nodes(docs, id_col, text_col, shingle_words, percent)
     known = components(find_links(nodes, percent))
     full = nodes.filter(F.col("n") > 0)

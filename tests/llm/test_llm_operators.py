@@ -344,6 +344,23 @@ def test_join_alone_finds_every_link(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in found} == dict(enumerate(plain_components(texts)[1]))
 
 
+@pytest.mark.parametrize("percent, rare_pairs", [(50, 10**9), (50, 0), (30, 0)])
+def test_links_by_one_common_shingle(spark, monkeypatch, percent, rare_pairs):
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 0)
+    real = jaccard_join.find_links
+    monkeypatch.setattr(jaccard_join, "find_links", lambda nodes, percent: real(nodes, percent, rare_pairs))
+    rng = random.Random(percent)
+    texts = ["a", "a b", "c d", "c e f", "g", "g h i"] + [prose(rng, rng.randrange(1, 6), 200) for _ in range(60)]
+    found = near_duplicates(frame(spark, texts), shingle_words=1, percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(plain_components(texts, 1, percent)[1]))
+
+
+def test_percent_is_checked(spark):
+    for percent in (0, 101):
+        with pytest.raises(ValueError):
+            near_duplicates(frame(spark, ["a"]), percent=percent)
+
+
 def test_components_of_paths_stars_and_circles(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(50)] + [(203, 201), (201, 202), (202, 203), (203, 203)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
