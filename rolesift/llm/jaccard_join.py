@@ -3,10 +3,12 @@
 A document is its set of distinct shingles. Two sets are linked when their Jaccard similarity
 reaches ``percent``. The join is exact up to 64-bit digests of shingles, and goes like this:
 
-1. *Count.* Chunks of documents send their shingles, sorted, to ranges of the digest space. A range
-   counts in how many documents each shingle stands and answers with the shared ones alone: a
-   shingle of one document can link nothing. A document too few of whose shingles are shared has no
-   partner and leaves here. Equal sets are one class from here on; copies in a chunk send nothing.
+1. *Count.* Chunks of documents send their distinct shingles, each with the number of documents in
+   the chunk that have it, to ranges of the digest space. A range sums these numbers and answers each
+   chunk with the totals of the shared shingles alone: a shingle of one document can link nothing.
+   Which documents have a shingle stays with the chunk, so a hot one is one entry per chunk in its
+   range. A document too few of whose shingles are shared has no partner and leaves here. Equal sets
+   are one class from here on; copies in a chunk send nothing.
 2. *Index.* Shingles are ordered by rarity. Of n shingles a partner shares ``need`` at least, so the
    first two shared ones are among the first n - need + 2, the extended prefix. It is what a
    document is indexed under.
@@ -50,7 +52,7 @@ RARE_PAIRS = 20_000
 PAIRS_PER_DOC = 20
 STAR_ROUNDS = 6
 
-_MESSAGE = "key long, chunk long, a binary, b binary, c binary, d binary"
+_MESSAGE = "key long, chunk long, a binary, b binary, c binary, d binary, e binary, f binary"
 _U = np.uint64
 
 
@@ -94,8 +96,9 @@ def _range_of(digests: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _send_shingles(size: int, ranges: int):
-    """Rows to ranges (key: the range; a: digests, b: places of documents in the chunk) and one row
-    per chunk (negative key) that lists its documents."""
+    """Rows to ranges (key: the range; a: distinct digests, b: documents of the chunk that have each,
+    c: how many of the chunk's digests come before) and one row per chunk (negative key) that lists
+    its documents (a to d), and by digest how many (e) and which (f) documents have it."""
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 20
@@ -108,17 +111,20 @@ def _send_shingles(size: int, ranges: int):
             place = np.concatenate([*places, np.zeros(0, np.int32)]).astype(np.int32)
             order = np.argsort(digest, kind="stable")
             digest, place = digest[order], place[order]
-            cuts = np.searchsorted(_range_of(digest, ranges), np.arange(ranges + 1))
+            starts = np.flatnonzero(np.concatenate([[True], digest[1:] != digest[:-1]])[: len(digest)])
+            local = np.diff(starts, append=len(digest))
+            digest = digest[starts]
+            cuts = np.searchsorted(_range_of(digest, ranges), np.arange(ranges + 1)).tolist()
             rows = [
-                (r, chunk, pack_sorted(digest[cuts[r] : cuts[r + 1]]), pack(place[cuts[r] : cuts[r + 1]]), None, None)
-                for r in np.flatnonzero(np.diff(cuts)).tolist()
+                (r, chunk, pack_sorted(digest[x:y]), pack(local[x:y]), pack(np.array([x])), None, None, None)
+                for r, (x, y) in enumerate(zip(cuts[:-1], cuts[1:]))
+                if y > x
             ]
             ids, *columns = zip(*docs)
             counts, one, two, raw, first = (np.concatenate(c) for c in columns)
             listed = np.stack([one, two, raw]).astype("<i8").tobytes()
-            rows.append(
-                (-1 - chunk, chunk, _ids(ids), counts.astype("<i8").tobytes(), listed, first.astype(np.int8).tobytes())
-            )
+            lists = _ids(ids), counts.astype("<i8").tobytes(), listed, first.astype(np.int8).tobytes()
+            rows.append((-1 - chunk, chunk, *lists, pack(local), pack(place)))
             digests.clear(), places.clear(), docs.clear(), seen.clear()
             chunk, held = chunk + 1, 0
             names = [part.split()[0] for part in _MESSAGE.split(", ")]
@@ -160,34 +166,30 @@ def _ids(ids: tuple[pa.Array, ...]) -> bytes:
 
 def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     """A range: answer every chunk with its shared shingles (a: number of the shingle in the range,
-    b: place, c: documents that have it). Lists of documents pass through."""
+    b: place among the chunk's digests, c: documents that have it). Lists of documents pass through."""
     key = int(pdf["key"].iloc[0])
     if key < 0:
         return pdf
     digest = [unpack_sorted(a) for a in pdf["a"]]
     sizes = [len(d) for d in digest]
     digest = np.concatenate(digest)
-    place = np.concatenate([unpack(b).astype(np.int32) for b in pdf["b"]])
-    message = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    local = np.concatenate([unpack(b) for b in pdf["b"]]).astype(np.int64)
     order = np.argsort(digest, kind="stable")
-    digest, place, message = digest[order], place[order], message[order]
-    starts = np.flatnonzero(np.concatenate([[True], digest[1:] != digest[:-1]]))
-    counts = np.diff(starts, append=len(digest))
-    shared = counts >= 2
-    keep = np.repeat(shared, counts)
-    place, message = place[keep], message[keep]
-    counts = counts[shared]
-    number = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-    count = np.repeat(counts.astype(np.int32), counts)
-    order = np.lexsort((number, place, message))
-    number, place, message, count = number[order], place[order], message[order], count[order]
-    cuts = np.searchsorted(message, np.arange(len(sizes) + 1))
-    chunks = pdf["chunk"].tolist()
-    rows = [
-        (key, chunks[i], pack(number[x:y]), pack_sorted(place[x:y]), pack(count[x:y]), None)
-        for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:]))
-        if y > x
-    ]
+    digest = digest[order]
+    first = np.concatenate([[True], digest[1:] != digest[:-1]])
+    total = np.add.reduceat(local[order], np.flatnonzero(first))
+    shared = total >= 2
+    number = np.cumsum(shared) - 1
+    of = np.empty(len(order), dtype=np.int64)  # each entry's digest, in the order of the messages
+    of[order] = np.cumsum(first) - 1
+    rows = []
+    ends = np.cumsum(sizes)
+    for chunk, before, x, y in zip(pdf["chunk"].tolist(), pdf["c"], (ends - sizes).tolist(), ends.tolist()):
+        own = of[x:y]
+        at = np.flatnonzero(shared[own])
+        if len(at):
+            own, at = own[at], at + int(unpack(before)[0])
+            rows.append((key, chunk, pack_sorted(number[own]), pack_sorted(at), pack(total[own]), None, None, None))
     return pd.DataFrame(rows, columns=list(pdf.columns))
 
 
@@ -203,10 +205,16 @@ def _gather(percent: int):
         null = np.frombuffer(raw, dtype=np.int8, offset=8 * len(n)) == 1
         prints = np.frombuffer(listed["c"], dtype="<i8").reshape(3, -1)
         sends = np.frombuffer(listed["d"], dtype=np.int8) == 1
-        tokens = [unpack(a) + (_U(k) << _U(32)) for k, a in zip(answers["key"], answers["a"])]
+        tokens = [unpack_sorted(a) + (_U(k) << _U(32)) for k, a in zip(answers["key"], answers["a"])]
         token = np.concatenate([*tokens, np.zeros(0, _U)])
-        place = np.concatenate([*[unpack_sorted(b) for b in answers["b"]], np.zeros(0, _U)]).astype(np.int64)
+        at = np.concatenate([*[unpack_sorted(b) for b in answers["b"]], np.zeros(0, _U)]).astype(np.int64)
         count = np.concatenate([*[unpack(c) for c in answers["c"]], np.zeros(0, _U)])
+        # an answer stands for all documents of the chunk that have the shingle
+        local = unpack(listed["e"]).astype(np.int64)
+        holders = local[at]
+        begins = (np.cumsum(local) - local)[at] - (np.cumsum(holders) - holders)
+        place = unpack(listed["f"]).astype(np.int64)[np.repeat(begins, holders) + np.arange(holders.sum())]
+        token, count = np.repeat(token, holders), np.repeat(count, holders)
         order = np.lexsort((token, count, place))
         token, place = token[order], place[order]
         cuts = np.searchsorted(place, np.arange(len(n) + 1))

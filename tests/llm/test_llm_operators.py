@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pandas as pd
 import pyarrow as pa
 import pytest
 import tiktoken
@@ -355,6 +356,19 @@ def test_links_by_one_common_shingle(spark, monkeypatch, percent, rare_pairs):
     assert {r.doc_id: r.component_id for r in found} == dict(enumerate(plain_components(texts, 1, percent)[1]))
 
 
+def test_a_hot_shingle_is_one_entry_per_chunk_in_its_range(spark):
+    rng = random.Random(4)
+    passage = prose(rng, 30)
+    texts = [f"{passage} {prose(rng, 8)}" for _ in range(300)]
+    slim = frame(spark, texts, parts=2).withColumnRenamed("doc_id", "id")
+    sent = slim.mapInArrow(jaccard_join._send_shingles(5, 16), jaccard_join._MESSAGE).collect()
+    digests = [(r.chunk, d) for r in sent if r.key >= 0 for d in unpack_sorted(bytes(r.a)).tolist()]
+    assert len(digests) == len(set(digests)) and len({c for c, _ in digests}) == 2
+    pdf = pd.DataFrame([r for r in sent if r.key >= 0], columns=sent[0].__fields__)
+    totals = [unpack(c).tolist() for _, g in pdf.groupby("key") for c in jaccard_join._count(g)["c"]]
+    assert sum(n == 300 for ns in totals for n in ns) == 2 * 26  # each chunk is told the total
+
+
 def test_percent_is_checked(spark):
     for percent in (0, 101):
         with pytest.raises(ValueError):
