@@ -162,7 +162,8 @@ class BucketedTable(VersionedTable):
     """A versioned table cut into hash buckets of its key; a merge writes only buckets it touches.
 
     Each version has a list that says which version holds each bucket, so the rest of the table stays
-    where it is. The number of buckets is fixed for the life of a table.
+    where it is. The number of buckets is fixed for the life of a table. A bucket is written by up to
+    ``salts`` tasks, which may differ from merge to merge.
     """
 
     done = "buckets.json"
@@ -175,9 +176,10 @@ class BucketedTable(VersionedTable):
         key: str,
         buckets: int = 64,
         wait_seconds: float = 600.0,
+        salts: int = 16,
     ) -> None:
         super().__init__(spark, root, ddl, wait_seconds)
-        self.key, self.buckets = key, buckets
+        self.key, self.buckets, self.salts = key, buckets, salts
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
@@ -207,7 +209,8 @@ class BucketedTable(VersionedTable):
         current = self._read_buckets({b: where for b, where in places.items() if b in touched})
         rows = conform(plan(current), self.ddl).withColumn("bucket", self._bucket())
         target = f"{self.root}/{name}"
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        salt = F.pmod(F.xxhash64(F.lit("salt"), self.key), F.lit(self.salts))
+        rows.repartition("bucket", salt).write.mode("overwrite").partitionBy("bucket").parquet(target)
         written = {int(d.split("=")[1]) for d in list_names(self.spark, target) if d.startswith("bucket=")}
         kept = {b: where for b, where in places.items() if b not in touched}
         fs, path = _fs(self.spark, f"{target}/{self.done}")

@@ -330,3 +330,16 @@ def test_merge_leaves_untouched_buckets_where_they_are(spark, tmp_path):
     empty = first.limit(0)
     table.merge(lambda now: upsert_postings(now, empty), "none", empty)
     assert table.read().count() == 61
+
+
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
+    table = BucketedTable(spark, str(tmp_path / "t"), POSTING_STATE_DDL, "job_hash", buckets=1)
+    rows = conform(spark.createDataFrame([(f"h{i}",) for i in range(400)], "job_hash string"), POSTING_STATE_DDL)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        table.merge(lambda now: rows, "a", rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    files = [n for n in list_names(spark, f"{table.root}/{table.versions()[0]}/bucket=0") if n.endswith(".parquet")]
+    assert len(files) > 1 and table.read().count() == 400
