@@ -330,8 +330,11 @@ def _joined(index: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def find_links(nodes: DataFrame, percent: int, rare_pairs: int = RARE_PAIRS) -> DataFrame:
-    """Links (a, b) between class representatives, enough to connect whatever is connected."""
+def find_links(
+    nodes: DataFrame, percent: int, rare_pairs: int = RARE_PAIRS, star_rounds: int | None = None
+) -> DataFrame:
+    """Links (a, b) between class representatives, enough to connect whatever is connected. With no
+    star rounds every representative has a label of its own, no pair is skipped, and it is all links."""
     cand = nodes.filter(F.col("tokens").isNotNull())
     rep = cand.groupBy("print_1", "print_2", "n").agg(F.min("node").alias("node"))
     sets = staged(
@@ -347,7 +350,7 @@ def find_links(nodes: DataFrame, percent: int, rare_pairs: int = RARE_PAIRS) ->
     labels = sets.select("node", F.col("node").alias("comp"))
     index = _with_labels(index, None)
     n_docs = sets.count()
-    for turn in range(STAR_ROUNDS):
+    for turn in range(STAR_ROUNDS if star_rounds is None else star_rounds):
         to_make = _pairs_to_make(index).agg(F.sum("pairs")).first()[0] or 0
         if to_make == 0 or (turn and to_make <= PAIRS_PER_DOC * n_docs):
             break
@@ -380,6 +383,31 @@ def find_links(nodes: DataFrame, percent: int, rare_pairs: int = RARE_PAIRS) ->
     return links.union(staged(_verify(pairs, sets, percent), "join-links"))
 
 
+def _checked_nodes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
+    return shingle_nodes(docs, id_col, text_col, size, percent)
+
+
+def similar_pairs(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle_words: int = 5,
+    percent: int = 75,
+) -> DataFrame:
+    """All pairs of the Jaccard join between different sets of shingles: ``<id_col>_a``, ``<id_col>_b``.
+
+    Every set is stood for by one of the documents that have it, so copies make no pairs. Each pair of
+    sets comes once, in any order of its ids. Texts and sets are as in ``near_duplicates``. The result,
+    and the pairs held against each other, grow with the square of a family of near-copies; no pair
+    is skipped."""
+    nodes = _checked_nodes(docs, id_col, text_col, shingle_words, percent)
+    links = find_links(nodes, percent, star_rounds=0)
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("id").alias(f"{id_col}_{x}"))
+    return links.join(side("a"), "a").join(side("b"), "b").select(f"{id_col}_a", f"{id_col}_b")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -403,9 +431,7 @@ def near_duplicates(
     ``docs`` should be a table that is read the same way twice, as files are: after the loss of an
     executor a chunk is made again, and must have its documents in the same order.
     """
-    if not 1 <= percent <= 100:
-        raise ValueError("percent must be from 1 to 100")
-    nodes = shingle_nodes(docs, id_col, text_col, shingle_words, percent)
+    nodes = _checked_nodes(docs, id_col, text_col, shingle_words, percent)
     known = components(find_links(nodes, percent))
     full = nodes.filter(F.col("n") > 0)
     key = ["print_1", "print_2", "n"]

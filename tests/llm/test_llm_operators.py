@@ -369,6 +369,21 @@ def test_a_hot_shingle_is_one_entry_per_chunk_in_its_range(spark):
     assert sum(n == 300 for ns in totals for n in ns) == 2 * 26  # each chunk is told the total
 
 
+def test_all_links_of_a_family_are_offered(spark):
+    rng = random.Random(3)
+    base = prose(rng, 120)
+    texts = [edited(rng, base, rng.randrange(1, 3)) for _ in range(25)] + [prose(rng, 30) for _ in range(10)] + ["", None]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in ((t or "").split() for t in texts)]
+    expected = {
+        (a, b) for a, b in itertools.combinations(range(len(texts)), 2)
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    }
+    found = [tuple(sorted(r)) for r in jaccard_join.similar_pairs(frame(spark, texts)).collect()]
+    assert len(expected) > 100 and sorted(found) == sorted(expected)
+    with pytest.raises(ValueError):
+        jaccard_join.similar_pairs(frame(spark, texts), percent=0)
+
+
 def test_percent_is_checked(spark):
     for percent in (0, 101):
         with pytest.raises(ValueError):
