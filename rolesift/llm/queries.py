@@ -14,6 +14,7 @@ from rolesift.llm.line_dedup import drop_boilerplate
 from rolesift.llm.quality import score_quality
 from rolesift.llm.registry import ORACLE, QUERIES, query, read
 from rolesift.llm.sharding import even_tree, shard_documents
+from rolesift.llm.simhash import simhash_duplicates
 from rolesift.llm.toxicity import score_toxicity
 from rolesift.llm.url_filter import UrlRule, judge_urls
 
@@ -162,3 +163,9 @@ def _line_dedup(spark, sf_dir):
     cut = drop_boilerplate(read(spark, sf_dir, "documents"), "source")
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     return cut.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
+
+
+@query("op13_simhash")
+def _simhash(spark, sf_dir):
+    """No SQL: it has no seeded XXH64; tests hold it against brute force."""
+    return simhash_duplicates(read(spark, sf_dir, "documents"))
