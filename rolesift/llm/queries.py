@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from rolesift.llm.bpe import round_trip
+from rolesift.llm.conversation_repair import repair_damaged
 from rolesift.llm.decontamination import decontaminate
 from rolesift.llm.exact_dedup import exact_duplicates
 from rolesift.llm.jaccard_join import near_duplicates
@@ -169,3 +170,9 @@ def _line_dedup(spark, sf_dir):
 def _simhash(spark, sf_dir):
     """No SQL: it has no seeded XXH64; tests hold it against brute force."""
     return simhash_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair")
+def _conversation_repair(spark, sf_dir):
+    """No SQL: a search for edits; tests hold it against dynamic programming over whole strings."""
+    return repair_damaged(read(spark, sf_dir, "conversations"))
