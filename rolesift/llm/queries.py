@@ -16,6 +16,7 @@ from rolesift.llm.quality import score_quality
 from rolesift.llm.registry import ORACLE, QUERIES, query, read
 from rolesift.llm.sharding import even_tree, shard_documents
 from rolesift.llm.simhash import simhash_duplicates
+from rolesift.llm.token_alignment import align_tokens
 from rolesift.llm.toxicity import score_toxicity
 from rolesift.llm.url_filter import UrlRule, judge_urls
 
@@ -176,3 +177,10 @@ def _simhash(spark, sf_dir):
 def _conversation_repair(spark, sf_dir):
     """No SQL: a search for edits; tests hold it against dynamic programming over whole strings."""
     return repair_damaged(read(spark, sf_dir, "conversations"))
+
+
+@query("op11_token_alignment")
+def _token_alignment(spark, sf_dir):
+    """No SQL: the ids come from two libraries; tests hold it against plain interval overlaps."""
+    files = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align_tokens(read(spark, sf_dir, "documents"), *files)
