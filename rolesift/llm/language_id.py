@@ -28,42 +28,82 @@ MAX_N = 4
 PROFILE_GRAMS = 400
 #: Learn from so many documents of each language at most.
 DOCS_PER_LANGUAGE = 1_000
+#: Learn the languages that most documents have.
+MOST_LANGUAGES = 1_000
+#: Text held at a time; longer texts are counted in pieces of ``PIECE_CHARS``.
+SLICE_TEXT_BYTES = 256 << 10
+PIECE_CHARS = 256 << 10
 
 _SPACE = 32
 #: What a profile sees: ASCII letters and all bytes of other characters; the rest is space.
-_SEEN = np.full(256, _SPACE, dtype=np.uint32)
+_SEEN = np.full(256, _SPACE, dtype=np.uint8)
 _SEEN[65:91] = np.arange(97, 123)
 _SEEN[97:123] = np.arange(97, 123)
 _SEEN[128:] = np.arange(128, 256)
 
 
-def gram_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all n-grams of each text, sorted by text, and where each text's codes start.
+def gram_codes(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Codes of all n-grams of each text, one array per text.
 
-    A code is the bytes of the n-gram with zeros before them, so codes of all lengths differ."""
+    A code is the bytes of the n-gram with zeros before them, so codes of all lengths differ. The texts lie in
+    one array with a space before, between and behind them; of several spaces in a row one is left. A space may
+    only begin or end an n-gram, so none spans two texts, and the place where it begins tells whose it is."""
     body, starts = text_bytes(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())))
     n_texts = len(starts) - 1
-    seen = np.full(len(body) + 2 * n_texts, _SPACE, dtype=np.uint32)
-    owner = np.repeat(np.arange(n_texts), np.diff(starts))
-    seen[np.arange(len(body)) + 2 * owner + 1] = _SEEN[body]
-    owner = np.repeat(np.arange(n_texts), np.diff(starts) + 2)
-    keep = np.ones(len(seen), dtype=bool)  # of several spaces in a row one stays
-    keep[1:] = (seen[1:] != _SPACE) | (seen[:-1] != _SPACE) | (owner[1:] != owner[:-1])
-    seen, owner = seen[keep], owner[keep]
-    codes, owners, code = [], [], np.zeros(len(seen), dtype=np.uint32)
+    seen = np.full(len(body) + n_texts + 1, _SPACE, dtype=np.uint8)
+    between = starts + np.arange(n_texts + 1)  # the spaces around the texts
+    inside = np.ones(len(seen), dtype=bool)
+    inside[between] = False
+    seen[inside] = _SEEN[body]
+    del inside, body
+    space = seen == _SPACE
+    keep = ~space
+    keep[0] = True
+    keep[1:] |= ~space[:-1]
+    between = np.cumsum(keep, dtype=np.int32)[between] - 1
+    seen = seen[keep]
+    space = seen == _SPACE
+    codes, cuts, code = [], [], np.zeros(len(seen), dtype=np.uint32)
     for n in range(1, MAX_N + 1):
+        if len(seen) < n:
+            break
         code = code[: len(seen) - n + 1] << np.uint32(8) | seen[n - 1 :]
-        own = owner[: len(code)] == owner[n - 1 :]
-        if n == 1:
-            own = own & (seen != _SPACE)
-        else:  # a space may only begin or end an n-gram
-            for k in range(1, n - 1):
-                own &= seen[k : k + len(code)] != _SPACE
-        codes.append(code[own])
-        owners.append(owner[: len(code)][own])
-    code, owner = np.concatenate(codes), np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return code[order], np.searchsorted(owner[order], np.arange(n_texts + 1))
+        valid = ~space[: len(code)] if n <= 2 else np.ones(len(code), dtype=bool)
+        if n == 2:  # one of the two
+            valid |= ~space[1:]
+        for k in range(1, n - 1):
+            valid &= ~space[k : k + len(code)]
+        at = np.flatnonzero(valid)
+        cuts.append(np.searchsorted(at, between))
+        codes.append(code[at])
+    for text in range(n_texts):
+        yield np.concatenate([own[cut[text] : cut[text + 1]] for own, cut in zip(codes, cuts)])
+
+
+def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
+    """Cut a text before the first space after each ``most`` characters; n-grams of the pieces are its own."""
+    start = 0
+    while len(text) - start > most:
+        end = text.find(" ", start + most)
+        if end < 0:
+            break
+        yield text[start:end]
+        start = end
+    yield text[start:]
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of a long text and their counts, piece by piece."""
+    totals = (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    for piece in pieces(text):
+        totals = _added(totals, runs(next(gram_codes(pa.array([piece], pa.large_string())))))
+    return totals
+
+
+def _added(totals: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    distinct, place = np.unique(np.concatenate([totals[0], more[0]]), return_inverse=True)
+    sums = np.bincount(place, np.concatenate([totals[1], more[1]]), len(distinct))
+    return distinct, sums.astype(np.int64)
 
 
 def most_frequent(codes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
@@ -91,10 +131,9 @@ class Profiles:
     ranks: np.ndarray
     length: int
 
-    def judge(self, codes: np.ndarray) -> tuple[str, float]:
+    def judge(self, distinct: np.ndarray, counts: np.ndarray) -> tuple[str, float]:
         """The language of a text with these n-grams, and how near it is: 1 less the part of the
         greatest distance. Equally near languages: the first by name."""
-        distinct, counts = runs(codes)
         top = most_frequent(distinct, counts, self.length)
         if not len(top) or not len(self.codes):
             return UNDETERMINED, 0.0
@@ -118,12 +157,8 @@ def learn_profiles(sample: pa.Table, length: int = PROFILE_GRAMS) -> Profiles:
     for language in languages:
         totals: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         own = pa.record_batch([texts.filter(pa.array(labels == language))], names=["text"])
-        for piece in slices([own]):
-            codes, counts = runs(gram_codes(piece.column("text"))[0])
-            both = np.concatenate([totals[0], codes])
-            distinct, place = np.unique(both, return_inverse=True)
-            sums = np.bincount(place, np.concatenate([totals[1], counts]), len(distinct))
-            totals = distinct, sums.astype(np.int64)
+        for piece in slices([own], most=SLICE_TEXT_BYTES):
+            totals = _added(totals, runs(np.concatenate(list(gram_codes(piece.column("text"))))))
         tops.append(most_frequent(*totals, length))
     codes = np.unique(np.concatenate([*tops, np.zeros(0, np.uint32)]))
     ranks = np.full((len(codes), len(languages)), length, dtype=np.int64)
@@ -142,6 +177,7 @@ def with_language(
     text_col: str = "text",
     lang_col: str = "lang",
     docs_per_language: int = DOCS_PER_LANGUAGE,
+    most_languages: int = MOST_LANGUAGES,
     out: tuple[str, str] = ("lang_pred", "score"),
     unlearned: str = UNDETERMINED,
 ) -> DataFrame:
@@ -149,17 +185,19 @@ def with_language(
 
     Profiles are learned from text and ``lang_col`` of at most ``docs_per_language`` documents of
     each language, those with the least digests of their id, among documents whose crc32(id) mod 3
-    is not 1. Labels, ids and all other columns are no input of a prediction.
+    is not 1. If there are more than ``most_languages``, those with the most documents are learned; ``sample``
+    says how the bytes of the sample are bounded. Labels, ids and all other columns are no input of a prediction.
 
     * A text that is null or has no letter (by Unicode) is ``und`` with score 0.
     * A null language is not learned from; if nothing can be learned, all texts with a letter are
       ``unlearned``, with score 0.
+    * Texts of any length are judged whole, with all their n-grams; long ones are counted in pieces.
     * Equally near languages: the first by name. Repeated rows stay and get the same answer.
     * Columns that have the names in ``out`` are replaced; all others stay as they are.
     * An empty table gives an empty result.
     """
     learnable = docs.filter(fold_of(id_col, 3) != 1)
-    sample = labelled_sample(learnable, learnable, id_col, text_col, lang_col, docs_per_language)
+    sample = labelled_sample(learnable, learnable, id_col, text_col, lang_col, docs_per_language, most_languages)
     profiles = docs.sparkSession.sparkContext.broadcast(learn_profiles(sample))
     pred, score = out
     docs = docs.drop(*out)
@@ -167,13 +205,18 @@ def with_language(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = profiles.value
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, SLICE_TEXT_BYTES):
             texts = batch.column(text_col)
-            codes, starts = gram_codes(texts)
-            said = [
-                (model.judge(codes[a:b]) if len(model.codes) else (unlearned, 0.0)) if b > a else (UNDETERMINED, 0.0)
-                for a, b in zip(starts[:-1], starts[1:])
-            ]
+            said = []
+            if (pc.max(pc.binary_length(texts)).as_py() or 0) > PIECE_CHARS:
+                counted = (gram_counts(text or "") for text in texts.to_pylist())
+            else:
+                counted = map(runs, gram_codes(texts))
+            for codes, counts in counted:
+                if not len(codes):
+                    said.append((UNDETERMINED, 0.0))
+                else:
+                    said.append(model.judge(codes, counts) if len(model.codes) else (unlearned, 0.0))
             # bytes above 127 need not be letters: look where no ASCII letter is
             plain = pc.fill_null(pc.match_substring_regex(texts, "[A-Za-z]"), False).to_pylist()
             for row, ascii_letter in enumerate(plain):

@@ -17,6 +17,8 @@ from rolesift.llm.language_id import identify_languages, with_language
 from rolesift.llm.line_dedup import drop_boilerplate
 from rolesift.llm.quality import score_quality
 from rolesift.llm.sharding import even_tree, shard_documents
+from rolesift.llm.simhash import simhash_duplicates
+from rolesift.llm.token_alignment import align_tokens
 from rolesift.llm.toxicity import score_toxicity
 from rolesift.llm.url_filter import UrlRule, judge_urls
 
@@ -52,6 +54,8 @@ OPERATORS = {
     "op8": lambda d, lab: score_quality(d, lab),
     "op9": lambda d, lab: round_trip(d, RANKS, PATTERN),
     "op10": lambda d, lab: shard_documents(d, even_tree(24), even_tree(25)),
+    "op11": lambda d, lab: align_tokens(d, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")),
+    "op13": lambda d, lab: simhash_duplicates(d),
 }
 
 

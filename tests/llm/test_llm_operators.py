@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import re
 import zlib
 
@@ -24,6 +25,7 @@ from rolesift.llm.jaccard_join import near_duplicates
 from rolesift.llm.line_dedup import drop_boilerplate
 from rolesift.llm.packing import pack, pack_sorted, unpack, unpack_sorted
 from rolesift.llm.sharding import Shard, even_tree, place, shard_documents
+from rolesift.llm.sample import labelled_sample
 from rolesift.llm.url_filter import DigestArray, UrlRule, judge_urls, pack_rules
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -89,11 +91,44 @@ def plain_grams(text):
 
 def test_grams_are_those_of_padded_words():
     texts = ["Ab c", "", "\u00c9t\u00e9!", "12 34", "a-b  cde"]
-    codes, starts = language_id.gram_codes(pa.array(texts))
-    for text, a, b in zip(texts, starts[:-1], starts[1:]):
+    found = list(language_id.gram_codes(pa.array(texts)))
+    assert len(found) == len(texts)
+    for text, codes in zip(texts, found):
         expected = sorted(int.from_bytes(g, "big") for g in plain_grams(text))
         # words share the space between them, so runs of one word and its spaces are the same
-        assert sorted(codes[a:b].tolist()) == expected
+        assert sorted(codes.tolist()) == expected
+    assert list(language_id.gram_codes(pa.array([], pa.string()))) == []
+
+
+def test_grams_of_long_texts_are_counted_in_pieces(monkeypatch):
+    rng = random.Random(2)
+    text = "".join(rng.choices(["ab", "c ", "é", "  ", "1 ", " x"], k=2_000))
+    whole = language_id.runs(next(language_id.gram_codes(pa.array([text]))))
+    for most in (1, 7, 100, 10_000):
+        assert "".join(language_id.pieces(text, most)) == text
+        monkeypatch.setattr(language_id.pieces, "__defaults__", (most,))
+        codes, counts = language_id.gram_counts(text)
+        assert codes.tolist() == whole[0].tolist() and counts.tolist() == whole[1].tolist()
+
+
+def test_gram_codes_hold_little_beside_the_text():
+    text = " ".join(f"word{i}" for i in range(200_000))
+    tracemalloc.start()
+    list(language_id.gram_codes(pa.array([text])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(text)
+
+
+def test_samples_are_bounded_in_classes_and_bytes(spark):
+    rows = [(i, "x" * (i % 7 + 1), f"l{i % 5}" if i < 50 else "l9") for i in range(70)] + [(99, "y" * 1_000, "l9")]
+    docs = spark.createDataFrame(rows, "id long, text string, label string")
+    sample = labelled_sample(docs, docs, "id", "text", "label", 6, max_classes=3).to_pylist()
+    assert sorted((r["label"], r["n"]) for r in sample) == [("l0", 10)] * 6 + [("l1", 10)] * 6 + [("l9", 21)] * 6
+    small = labelled_sample(docs, docs, "id", "text", "label", 6, max_classes=2, max_bytes=80).to_pylist()
+    sizes = {label: sum(len(r["text"]) for r in small if r["label"] == label) for label in ("l0", "l9")}
+    assert 30 <= sizes["l0"] <= 40 or len([r for r in small if r["label"] == "l0"]) == 6
+    assert 0 < sizes["l9"] <= 40 and all(len(r["text"]) < 8 for r in small)
 
 
 def test_judge_is_the_out_of_place_distance():
@@ -115,7 +150,7 @@ def test_judge_is_the_out_of_place_distance():
             ranks = {c: i for i, c in enumerate(top(known))}
             sums[lang] = sum(abs(ranks[c] - i) if c in ranks else 20 for i, c in enumerate(own))
         best = min(sorted(sums), key=sums.get)
-        lang, score = model.judge(language_id.gram_codes(pa.array([text]))[0])
+        lang, score = model.judge(*language_id.runs(next(language_id.gram_codes(pa.array([text])))))
         assert lang == best and math.isclose(score, 1 - sums[best] / (20 * len(own)))
 
 
