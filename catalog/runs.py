@@ -26,7 +26,7 @@ from rolesift.operators.detection import route_companies
 from rolesift.operators.identity import with_hash
 from rolesift.operators.topk import first_k
 from rolesift.plans.daily import DailyRun, company_postings, feed_postings, window_start
-from rolesift.plans.state import AppendTable, VersionedTable, scratch_path
+from rolesift.plans.state import AppendTable, KeyedTable, scratch_path
 from rolesift.schema import APPLIED_DDL, POSTING_STATE_DDL
 from rolesift.streaming.ingest import first_seen_only, ingest_payloads, merge_stream, payload_stream
 
@@ -127,7 +127,7 @@ def _stream_ingest(spark, sf_dir):
     source = (
         spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     )
-    state = VersionedTable(spark, scratch_path(spark, "stream-state"), POSTING_STATE_DDL)
+    state = KeyedTable(spark, scratch_path(spark, "stream-state"), POSTING_STATE_DDL, "job_hash")
     applied = AppendTable(spark, scratch_path(spark, "stream-applied"), APPLIED_DDL)
 
     def rank(prepared: DataFrame, stored: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def _stream_run(spark, sf_dir):
     """Landed payloads as a stream in several micro-batches; the cap sees the whole trigger."""
     landing = scratch_path(spark, "landing")
     _landed(spark, sf_dir).repartition(7).write.parquet(landing)
-    state = VersionedTable(spark, scratch_path(spark, "run-state"), POSTING_STATE_DDL)
+    state = KeyedTable(spark, scratch_path(spark, "run-state"), POSTING_STATE_DDL, "job_hash")
     applied = AppendTable(spark, scratch_path(spark, "run-applied"), APPLIED_DDL)
     ingest_payloads(payload_stream(spark, landing, 3), state, applied, scratch_path(spark, "run-offsets"), SETTINGS)
     return state.read().select(*_STORED)

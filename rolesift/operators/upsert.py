@@ -26,10 +26,11 @@ def upsert(
     batch: DataFrame,
     key: str,
     update_columns: Sequence[str],
-    never_back: Sequence[str] = (),
+    never_back: str | None = None,
 ) -> DataFrame:
     """Insert new keys with all columns; on known keys take only ``update_columns`` of the batch.
-    Columns in ``never_back`` keep the greater value.
+    ``never_back`` names a column that only grows: a batch row with a smaller value in it is late, and changes
+    nothing of a known key.
 
     The key must be unique in both. Columns missing in the batch stay null for inserts.
     """
@@ -39,16 +40,20 @@ def upsert(
     offered = [c for c in target.columns if c != key and c in batch.columns]
     new = batch.select(F.col(key), F.struct(*offered).alias("_new"))
     joined = old.join(new, key, "full_outer")
+    taken = F.col("_new").isNotNull()
+    if never_back in offered:
+        late = F.col(f"_new.{never_back}").cast(target.schema[never_back].dataType) < F.col(f"_old.{never_back}")
+        taken = taken & ~F.coalesce(late, F.lit(False))
 
     def value(name: str):
         stored = F.col(f"_old.{name}")
         if name not in offered:
             return stored.alias(name)
         given = F.col(f"_new.{name}").cast(target.schema[name].dataType)
-        if name in never_back:
+        if name == never_back:
             return F.greatest(stored, given).alias(name)
         if name in update_columns:
-            return F.when(F.col("_new").isNotNull(), given).otherwise(stored).alias(name)
+            return F.when(taken, given).otherwise(stored).alias(name)
         return F.when(F.col("_old").isNull(), given).otherwise(stored).alias(name)
 
     return joined.select(*[F.col(key) if c == key else value(c) for c in target.columns])
@@ -74,11 +79,12 @@ def update_only(target: DataFrame, batch: DataFrame, key: str, columns: Sequence
 
 
 def upsert_postings(state: DataFrame, batch: DataFrame, seen_at: str = "seen_at", first_seen: str | None = None) -> DataFrame:
-    """first_seen_at stays, last_seen_at moves to the time the batch row was fetched, never back.
+    """first_seen_at stays, last_seen_at moves to the time the batch row was fetched, never back. A row that was
+    fetched before the stored one was changes nothing.
 
     ``first_seen`` names the column with the first time, where it is not ``seen_at``."""
     times = {"first_seen_at": F.col(first_seen or seen_at), "last_seen_at": F.col(seen_at)}
-    return upsert(state, batch.withColumns(times), "job_hash", POSTING_UPDATES, never_back=("last_seen_at",))
+    return upsert(state, batch.withColumns(times), "job_hash", POSTING_UPDATES, never_back="last_seen_at")
 
 
 def upsert_companies(state: DataFrame, companies: DataFrame) -> DataFrame:

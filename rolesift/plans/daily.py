@@ -25,7 +25,7 @@ from rolesift.operators.reporting import (
 from rolesift.operators.scoring import score_postings
 from rolesift.operators.selection import cap_per_company, recommendations, worth_looking_at
 from rolesift.operators.upsert import record_checks, upsert_companies, upsert_postings
-from rolesift.plans.state import AppendTable, BucketedTable, VersionedTable, drop_path, scratch_path, stage
+from rolesift.plans.state import AppendTable, KeyedTable, drop_path, scratch_path, stage
 from rolesift.schema import APPLIED_DDL, ARRIVAL, COMPANY_DDL, POSTING_STATE_DDL, REPORT_DDL
 from rolesift.settings import Settings
 from rolesift.sources import normalize
@@ -126,18 +126,17 @@ class RunResult:
         drop_path(self.ranked.sparkSession, self.scratch)
 
 
-#: Versions of a state table that stay: a replay of the last run reads the one before it.
-KEPT_VERSIONS = 3
-
-
 class DailyRun:
-    """State tables under one root and the run that reads and advances them."""
+    """State tables under one root and the run that reads and advances them.
+
+    One run at a time may write under a root. A run that broke off does not keep the next one waiting; done
+    again, later, it finishes what it had not done and leaves alone what newer runs have written."""
 
     def __init__(self, spark: SparkSession, root: str, settings: Settings) -> None:
         root = root.rstrip("/")
         self.spark, self.settings, self.root = spark, settings, root
-        self.companies = VersionedTable(spark, f"{root}/companies", COMPANY_DDL)
-        self.postings = BucketedTable(spark, f"{root}/postings", POSTING_STATE_DDL, "job_hash")
+        self.companies = KeyedTable(spark, f"{root}/companies", COMPANY_DDL, "name", buckets=1)
+        self.postings = KeyedTable(spark, f"{root}/postings", f"{POSTING_STATE_DDL}, first_run_at timestamp", "job_hash")
         self.applied = AppendTable(spark, f"{root}/applied", APPLIED_DDL)
         self.reports = AppendTable(spark, f"{root}/daily_reports", REPORT_DDL)
 
@@ -150,7 +149,8 @@ class DailyRun:
         company_limit: int | None = None,
     ) -> RunResult:
         """One run. ``started_at`` names the run: doing it again with the same inputs changes
-        nothing that the first time wrote."""
+        nothing that the first time wrote, whatever runs came in between. New is what no earlier run has stored,
+        so a posting is new in the run that stored it, however often that is done again."""
         s = self.settings
         token = started_at.strftime("%Y%m%dT%H%M%S.%f")
         start = F.lit(started_at)
@@ -163,7 +163,9 @@ class DailyRun:
         postings = company_postings(payloads, pages, routes, s).unionByName(
             feed_postings(payloads, since, s)
         )
-        stored = self.postings.read(before=token)
+        for table in (self.companies, self.postings):
+            table.recover()
+        stored = self.postings.read().filter(F.col("first_run_at") < start)
         ranked = stage(
             rank_postings(postings, stored, self.applied.read(), s).withColumn(
                 "seen_at", F.coalesce("fetched_at", start)
@@ -184,14 +186,17 @@ class DailyRun:
         metrics = self._metrics(ranked, routes, payloads, started_at)
 
         checks = routes.withColumn("last_checked_at", start)
-        self.companies.merge(lambda now: record_checks(upsert_companies(now, listed), checks), token)
-        self.postings.merge(lambda now: upsert_postings(now, ranked), token, ranked)
-        for table in (self.companies, self.postings):
-            table.drop_old(KEPT_VERSIONS)
+        if max(self.companies.tokens(), default="") < token:  # lists and checks of newer runs stay
+            self.companies.merge(lambda now: record_checks(upsert_companies(now, listed), checks), token)
+        batch = ranked.withColumn("first_run_at", start)
+        self.postings.merge(lambda now: upsert_postings(now, batch), token, ranked)
         metrics = stage(metrics, "metrics", scratch)
-        self.reports.append(metrics, token)
         digest = digest_lines(metrics, items)
-        self._publish(items, digest, started_at)
+        if not self.reports.has(token):
+            same_day = self.reports.read().filter(F.col("run_date") == F.lit(started_at.date()))
+            if same_day.filter(F.col("run_started_at") > start).isEmpty():
+                self._publish(items, digest, started_at)
+            self.reports.append(metrics, token)  # the run is done with this
         return RunResult(ranked, recommended, others, metrics, items, digest, scratch)
 
     def report_path(self, started_at: datetime) -> str:

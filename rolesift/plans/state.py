@@ -1,13 +1,10 @@
-"""Parquet state: versioned tables, append-only tables, staged results."""
+"""Parquet state: keyed tables, append-only tables, staged results."""
 
 from __future__ import annotations
 
-import json
-import time
 import uuid
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,22 +32,6 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def _claim(spark: SparkSession, path: str, owner: str) -> str:
-    """Create a file that holds ``owner`` unless there is one; whose it is then."""
-    fs, p = _fs(spark, path)
-    try:
-        out = fs.create(p, False)
-    except Py4JJavaError:
-        if not fs.exists(p):
-            raise
-        return spark.read.text(path).agg({"value": "max"}).first()[0] or ""
-    try:
-        out.write(owner.encode())
-    finally:
-        out.close()
-    return owner
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
@@ -84,160 +65,93 @@ def stage(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-class VersionedTable:
-    """A keyed table kept as one directory per version.
+class KeyedTable:
+    """A keyed table as plain Parquet, partitioned by a hash bucket of its key; one writer at a time.
 
-    Spark cannot overwrite what it reads, so a merge writes the next version; the newest directory
-    with a success marker is the table. A token names the cause of a version (a run, a stream
-    batch): writing the same token again is a no-op, which makes replays harmless.
+    A merge reads the buckets that its batch touches, writes the merged rows to ``pending/<token>`` and then lets
+    Spark overwrite those partitions from there (``partitionOverwriteMode`` dynamic). The number of buckets is part
+    of the path (``of=``), so a table keeps the one it was made with. A bucket is written by up to ``salts`` tasks.
 
-    A writer claims the number of its version with a file that only one can create, and merges into
-    the version before that number. One that comes second waits for the first and merges into its
-    result, so no merge is lost. A writer that failed goes on under its token.
+    A merge that breaks off while it is staged has changed nothing, and the next one clears it away. Once
+    staged, it is finished by whoever comes next, as overwriting partitions from the same rows again does no
+    harm. ``done`` holds an empty file per finished token, so a merge that is asked for again is none. Merges must
+    not empty a bucket, which upserts never do.
     """
 
-    done = "_SUCCESS"  # the file that a finished version has
-
-    def __init__(self, spark: SparkSession, root: str, ddl: str, wait_seconds: float = 600.0) -> None:
-        self.spark, self.root, self.ddl = spark, root.rstrip("/"), ddl
-        self.wait_seconds = wait_seconds
-
-    def versions(self) -> list[str]:
-        return [
-            name
-            for name in list_names(self.spark, self.root)
-            if name.startswith("v") and path_exists(self.spark, f"{self.root}/{name}/{self.done}")
-        ]
-
-    def read(self, before: str | None = None) -> DataFrame:
-        """The newest version, or the one that the version with token ``before`` started from."""
-        found = self.versions()
-        tokens = [name.split("-", 1)[1] for name in found]
-        if before in tokens:
-            found = found[: tokens.index(before)]
-        if not found:
-            return self.spark.createDataFrame([], self.ddl)
-        return self._read_version(found[-1])
-
-    def _read_version(self, name: str) -> DataFrame:
-        return self.spark.read.schema(self.ddl).parquet(f"{self.root}/{name}")
-
-    def has(self, token: str) -> bool:
-        return any(name.split("-", 1)[1] == token for name in self.versions())
-
-    def merge(
-        self, plan: Callable[[DataFrame], DataFrame], token: str, batch: DataFrame | None = None
-    ) -> None:
-        """Write ``plan(current rows)`` as the next version, unless the token has been written.
-
-        ``batch`` has the keys that the plan may change or add; here all rows are written anyway."""
-        deadline = time.monotonic() + self.wait_seconds
-        while not self.has(token):
-            found = self.versions()
-            number = int(found[-1][1:].split("-", 1)[0]) + 1 if found else 1
-            owner = _claim(self.spark, f"{self.root}/_claims/{number:09d}", token)
-            if owner == token:
-                self._write_version(plan, f"v{number:09d}-{token}", batch)
-                return
-            if time.monotonic() > deadline:
-                raise TimeoutError(f"version {number} of {self.root} was claimed by {owner} and is not done")
-            time.sleep(0.2)
-
-    def _write_version(
-        self, plan: Callable[[DataFrame], DataFrame], name: str, batch: DataFrame | None
+    def __init__(
+        self, spark: SparkSession, root: str, ddl: str, key: str, buckets: int = 16, salts: int = 16
     ) -> None:
-        conform(plan(self.read()), self.ddl).write.mode("overwrite").parquet(f"{self.root}/{name}")
+        self.spark, self.root, self.ddl = spark, root.rstrip("/"), ddl
+        self.key, self.new_buckets, self.salts = key, buckets, salts
 
-    def write(self, df: DataFrame, token: str) -> None:
-        """The rows as the next version; ``merge`` is the way to build on the current ones."""
-        self.merge(lambda _: df, token)
+    @property
+    def rows(self) -> str:
+        return f"{self.root}/rows"
 
-    def drop_old(self, keep: int) -> None:
-        """Delete all but the newest ``keep`` versions. Their tokens are forgotten with them."""
-        for name in self.versions()[:-keep] if keep > 0 else []:
-            drop_path(self.spark, f"{self.root}/{name}")
+    def buckets(self) -> int:
+        """How many buckets the table has, or would get."""
+        found = [int(n[3:]) for n in list_names(self.spark, self.rows) if n.startswith("of=")]
+        return found[0] if found else self.new_buckets
 
+    def _parts(self, path: str) -> DataFrame:
+        return self.spark.read.schema(f"{self.ddl}, of int, bucket int").parquet(path)
 
-class BucketedTable(VersionedTable):
-    """A versioned table cut into hash buckets of its key; a merge writes only buckets it touches.
+    def _stored(self) -> DataFrame:
+        if not list_names(self.spark, self.rows):
+            return self.spark.createDataFrame([], f"{self.ddl}, of int, bucket int")
+        return self._parts(self.rows)
 
-    Each version has a list that says which version holds each bucket, so the rest of the table stays
-    where it is. The number of buckets is fixed for the life of a table. A bucket is written by up to
-    ``salts`` tasks, which may differ from merge to merge.
-    """
-
-    done = "buckets.json"
+    def read(self) -> DataFrame:
+        return self._stored().drop("of", "bucket")
+
+    def tokens(self) -> list[str]:
+        """Tokens of the finished merges, ascending."""
+        return list_names(self.spark, f"{self.root}/done")
+
+    def recover(self) -> None:
+        """Finish what was staged whole, and clear away what was not."""
+        for token in list_names(self.spark, f"{self.root}/pending"):
+            if path_exists(self.spark, f"{self.root}/pending/{token}/_SUCCESS"):
+                self._finish(token)
+            else:
+                drop_path(self.spark, f"{self.root}/pending/{token}")
+
+    def _finish(self, token: str) -> None:
+        pending = f"{self.root}/pending/{token}"
+        self._overwrite(self._parts(pending))
+        fs, path = _fs(self.spark, f"{self.root}/done/{token}")
+        fs.create(path, True).close()
+        drop_path(self.spark, pending)
+
+    def _overwrite(self, rows: DataFrame) -> None:
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("of", "bucket").parquet(self.rows)
 
-    def __init__(
-        self,
-        spark: SparkSession,
-        root: str,
-        ddl: str,
-        key: str,
-        buckets: int = 64,
-        wait_seconds: float = 600.0,
-        salts: int = 16,
+    def merge(
+        self, plan: Callable[[DataFrame], DataFrame], token: str, batch: DataFrame | None = None
     ) -> None:
-        super().__init__(spark, root, ddl, wait_seconds)
-        self.key, self.buckets, self.salts = key, buckets, salts
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        """Replace the rows of the touched buckets by ``plan(those rows)``, unless the token is done.
 
-    def places(self, name: str) -> dict[int, str]:
-        """Bucket to the version directory that holds it."""
-        text = self.spark.read.text(f"{self.root}/{name}/{self.done}", wholetext=True).first()[0]
-        return {int(bucket): where for bucket, where in json.loads(text).items()}
-
-    def _read_buckets(self, places: dict[int, str]) -> DataFrame:
-        paths = [f"{self.root}/{where}/bucket={bucket}" for bucket, where in sorted(places.items())]
-        if not paths:
-            return self.spark.createDataFrame([], self.ddl)
-        return self.spark.read.schema(self.ddl).parquet(*paths)
-
-    def _read_version(self, name: str) -> DataFrame:
-        return self._read_buckets(self.places(name))
-
-    def _write_version(
-        self, plan: Callable[[DataFrame], DataFrame], name: str, batch: DataFrame | None
-    ) -> None:
-        found = self.versions()
-        places = self.places(found[-1]) if found else {}
-        touched = set(range(self.buckets))
+        ``batch`` has the keys that the plan may change or add; without it all buckets are touched."""
+        self.recover()
+        if token in self.tokens():
+            return
+        buckets = self.buckets()
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(buckets)).cast("int")
+        stored = self._stored()
         if batch is not None:  # at most as many rows as there are buckets
-            touched = {row[0] for row in batch.select(self._bucket()).distinct().collect()}
-        current = self._read_buckets({b: where for b, where in places.items() if b in touched})
-        rows = conform(plan(current), self.ddl).withColumn("bucket", self._bucket())
-        target = f"{self.root}/{name}"
+            touched = [row[0] for row in batch.select(bucket).distinct().collect()]
+            stored = stored.filter(F.col("bucket").isin(touched))
+        merged = conform(plan(stored.drop("of", "bucket")), self.ddl)
+        placed = merged.withColumns({"of": F.lit(buckets), "bucket": bucket})
         salt = F.pmod(F.xxhash64(F.lit("salt"), self.key), F.lit(self.salts))
-        rows.repartition("bucket", salt).write.mode("overwrite").partitionBy("bucket").parquet(target)
-        written = {int(d.split("=")[1]) for d in list_names(self.spark, target) if d.startswith("bucket=")}
-        kept = {b: where for b, where in places.items() if b not in touched}
-        fs, path = _fs(self.spark, f"{target}/{self.done}")
-        out = fs.create(path, True)
-        try:
-            out.write(json.dumps(kept | dict.fromkeys(written, name)).encode())
-        finally:
-            out.close()
-
-    def drop_old(self, keep: int) -> None:
-        """Delete buckets that none of the newest ``keep`` versions holds, and the lists before."""
-        found = self.versions()
-        if keep <= 0 or len(found) <= keep:
-            return
-        held = {(where, b) for name in found[-keep:] for b, where in self.places(name).items()}
-        for name in found[:-keep]:
-            used = {b for where, b in held if where == name}
-            names = list_names(self.spark, f"{self.root}/{name}")
-            for part in names:
-                if part == self.done or part.startswith("bucket=") and int(part.split("=")[1]) not in used:
-                    drop_path(self.spark, f"{self.root}/{name}/{part}")
-            if not used:
-                drop_path(self.spark, f"{self.root}/{name}")
+        staged = placed.repartition("bucket", salt).write.mode("overwrite").partitionBy("of", "bucket")
+        staged.parquet(f"{self.root}/pending/{token}")
+        self._finish(token)
 
 
 class AppendTable:
-    """Rows are only ever added; every append is a directory named by its token."""
+    """Rows are only ever added; every append is a directory named by its token, written once."""
 
     def __init__(self, spark: SparkSession, root: str, ddl: str) -> None:
         self.spark, self.root, self.ddl = spark, root.rstrip("/"), ddl
@@ -248,9 +162,14 @@ class AppendTable:
         parts = self.spark.read.schema(f"{self.ddl}, part string").parquet(self.root)
         return parts.drop("part")
 
+    def has(self, token: str) -> bool:
+        return path_exists(self.spark, f"{self.root}/part={token}/_SUCCESS")
+
     def append(self, df: DataFrame, token: str | None = None) -> None:
+        """Nothing happens if the token has been appended before."""
         part = token or uuid.uuid4().hex
-        conform(df, self.ddl).write.mode("overwrite").parquet(f"{self.root}/part={part}")
+        if not self.has(part):
+            conform(df, self.ddl).write.mode("overwrite").parquet(f"{self.root}/part={part}")
 
 
 def mark_applied(table: AppendTable, postings: DataFrame, notes: str = "") -> None:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from rolesift.operators.identity import drop_applied, first_arrivals, mark_new
 from rolesift.operators.upsert import upsert_postings
-from rolesift.plans.daily import KEPT_VERSIONS, rank_scored, scored_postings
-from rolesift.plans.state import AppendTable, VersionedTable, drop_path, list_names
+from rolesift.plans.daily import rank_scored, scored_postings
+from rolesift.plans.state import AppendTable, KeyedTable, drop_path, list_names, path_exists
 from rolesift.schema import ARRIVAL, PAYLOAD_DDL
 from rolesift.settings import Settings
 from rolesift.sources import normalize
@@ -28,9 +28,23 @@ def _upserted(stored: DataFrame, ranked: DataFrame) -> DataFrame:
     return upsert_postings(stored, ranked, first_seen=first)
 
 
+def _staged_batches(spark: SparkSession, staging: str, checkpoint: str) -> list[int]:
+    """Batches that are written whole and that Spark counts as done.
+
+    Spark keeps the newest entries of its commit log only, and commits in order, so the last one tells."""
+    commits = [int(name) for name in list_names(spark, f"{checkpoint}/commits") if name.isdigit()]
+    last = max(commits, default=-1)
+    numbers = [int(name[1:]) for name in list_names(spark, staging)]
+    return [n for n in numbers if n <= last and path_exists(spark, f"{_batch_path(staging, n)}/_SUCCESS")]
+
+
+def _batch_path(staging: str, number: int) -> str:
+    return f"{staging}/b{number:09d}"
+
+
 def merge_stream(
     source: DataFrame,
-    state: VersionedTable,
+    state: KeyedTable,
     checkpoint: str,
     prepare: Callable[[DataFrame], DataFrame],
     rank: Callable[[DataFrame, DataFrame], DataFrame],
@@ -40,26 +54,34 @@ def merge_stream(
     A micro-batch only writes its prepared rows beside the checkpoint, under its number, so one that
     is replayed replaces itself. Whatever looks across rows, the cap per company above all, sees the
     rows of the whole trigger at once; the result does not depend on how files fall into batches.
-    Rows that a broken-off trigger has staged are merged first. Seen hashes are kept in the state
-    without a time limit; a watermarked dedupe would forget them.
+    Seen hashes are kept in the state without a time limit; a watermarked dedupe would forget them.
 
-    The version token is the query's id with the number of the last batch, so a trigger is merged
-    once, and a second stream into the same table, or a new checkpoint, has tokens of its own.
+    Every batch is merged exactly once. A merge takes the batches that are written whole and in Spark's own
+    commit log, and its token names them: the query's id, the first and the last. Batches are merged in order,
+    so those up to the last one that a token of this query names are merged, and only wait to be
+    deleted. A batch that failed while it was written, or that Spark will do again, is left to its replay.
+    A second stream into the same table, or a new checkpoint, has another query id.
     """
-    spark, staging = state.spark, f"{checkpoint.rstrip('/')}-staged"
+    spark, checkpoint = state.spark, checkpoint.rstrip("/")
+    staging = f"{checkpoint}-staged"
 
     def finish() -> None:
-        names = list_names(spark, staging)
-        if not names:
+        if not list_names(spark, staging):
             return
-        prepared = spark.read.option("mergeSchema", "false").parquet(*[f"{staging}/{n}" for n in names])
-        token = f"{_query_id(spark, checkpoint)}{names[-1]}"
-        state.merge(lambda stored: _upserted(stored, rank(prepared, stored)), token, prepared)
-        drop_path(spark, staging)
-        state.drop_old(KEPT_VERSIONS)
+        query_id = _query_id(spark, checkpoint)
+        state.recover()
+        merged = [int(t.split("-")[2]) for t in state.tokens() if t.startswith(f"{query_id}-")]
+        batches = _staged_batches(spark, staging, checkpoint)
+        fresh = [n for n in batches if n > max(merged, default=-1)]
+        if fresh:
+            prepared = spark.read.option("mergeSchema", "false").parquet(*[_batch_path(staging, n) for n in fresh])
+            token = f"{query_id}-{fresh[0]:09d}-{fresh[-1]:09d}"
+            state.merge(lambda stored: _upserted(stored, rank(prepared, stored)), token, prepared)
+        for n in batches:
+            drop_path(spark, _batch_path(staging, n))
 
     def stage_batch(batch: DataFrame, batch_id: int) -> None:
-        prepare(batch).write.mode("overwrite").parquet(f"{staging}/b{batch_id:09d}")
+        prepare(batch).write.mode("overwrite").parquet(_batch_path(staging, batch_id))
 
     finish()
     query = (
@@ -80,7 +102,7 @@ def payload_stream(spark: SparkSession, path: str, files_per_batch: int = 1000)
 
 def ingest_payloads(
     source: DataFrame,
-    state: VersionedTable,
+    state: KeyedTable,
     applied: AppendTable,
     checkpoint: str,
     settings: Settings,
