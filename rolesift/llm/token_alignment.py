@@ -16,9 +16,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -38,8 +41,9 @@ PIECE = 256
 #: Pieces merged in step with each other.
 BLOCK_PIECES = 4_096
 SLICE_TEXT_BYTES = 1 << 20
-#: Words whose ids a worker keeps.
+#: Words whose ids a worker keeps from one slice to the next.
 CACHED_WORDS = 1 << 18
+CACHED_CHARS = 64
 #: The second id is striped into columns; a stripe has so many ids.
 STRIPES = 4
 #: Pairs of ids whose counts are broadcast at a time (17 bytes each), one second id at least.
@@ -71,9 +75,9 @@ def _byte_symbols() -> dict[str, int]:
 
 
 class Encoder(NamedTuple):
-    """Ids of one piece of text, and whether pieces between single spaces may be encoded one by one."""
+    """Ids of pieces of text, and whether pieces between single spaces may be encoded one by one."""
 
-    encode: Callable[[str], list[int]]
+    encode: Callable[[list[str]], list[list[int]]]
     vocabulary: Vocabulary
     by_words: bool
 
@@ -91,8 +95,12 @@ def byte_level(definition: bytes) -> Encoder:
     # with the GPT-2 split no match spans a space between two characters that are not white space
     spec = json.loads(definition)
     plain = (spec.get("pre_tokenizer") or {}) == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-    run = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-    return Encoder(run, _vocabulary(entries), plain and spec.get("normalizer") is None)
+
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return Encoder(encode, _vocabulary(entries), plain and spec.get("normalizer") is None)
 
 
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -111,31 +119,36 @@ def sentence_pieces(model: bytes) -> Encoder:
     # a normalizer that changes or drops something would have to see the whole text
     probe = " aﬁ ½  b①\n c "
     kept = processor.decode(processor.encode(probe)) == probe
-    return Encoder(processor.encode, _vocabulary(entries), kept and not spans_words)
+    return Encoder(lambda texts: processor.encode(texts, num_threads=1), _vocabulary(entries), kept and not spans_words)
 
 
 class WordCache:
-    """Ids of the words of texts, encoded once each while there is room.
+    """Ids of the words of texts, as bytes; those of a slice that are not known yet are encoded together.
 
     A text is cut at single spaces between characters that are not white space. The space belongs to the word behind
-    it, which both tokenizers see: A gets it, B adds it."""
+    it, which both tokenizers see: A gets it, B adds it. A word that the tokenizer does not give back byte by byte,
+    with its space, is known as None, as its text has no tokens then."""
 
     def __init__(self, encoder: Encoder, prefix: str):
         self.encoder, self.prefix = encoder, prefix
-        self.known: dict[str, list[int]] = {}
-
-    def ids(self, words: list[str]) -> list[int]:
-        known, out = self.known, []
+        self.known: dict[str, bytes | None] = {}
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        new = list(words - self.known.keys())
+        entries = self.encoder.vocabulary.entries
+        for word, ids in zip(new, self.encoder.encode([self.prefix + word for word in new])):
+            same = b"".join([entries[i] for i in ids]) == b" " + word.encode()
+            self.known[word] = array("i", ids).tobytes() if same else None
+
+    def forget(self, words: list[str]) -> None:
         for word in words:
-            ids = known.get(word)
-            if ids is None:
-                ids = self.encoder.encode(self.prefix + word)
-                if len(word) <= 64:
-                    if len(known) >= CACHED_WORDS:
-                        known.clear()
-                    known[word] = ids
-            out += ids
-        return out
+            del self.known[word]
+
+    def ids(self, words: list[str]) -> np.ndarray | None:
+        parts = [self.known[word] for word in words]
+        return None if None in parts else np.frombuffer(b"".join(parts), dtype=np.int32)
 
 
 class Encoded(NamedTuple):
@@ -151,19 +164,20 @@ class Encoded(NamedTuple):
 def encode_both(texts: list[str | None], a: WordCache, b: WordCache) -> Encoded:
     """Texts that are null, empty, or that a tokenizer does not give back byte by byte have no tokens."""
     by_words = a.encoder.by_words and b.encoder.by_words
-    spell = [lambda ids, e=c.encoder.vocabulary.entries: b"".join([e[i] for i in ids]) for c in (a, b)]
     kept, ids_a, ids_b, counts = [], [], [], []
-    for place, text in enumerate(texts):
-        if not text:
-            continue
-        words = _SPLIT.split(text) if by_words else [text]
+    cut = [(_SPLIT.split(text) if by_words else [text]) if text else [] for text in texts]
+    every = set(chain.from_iterable(cut))
+    for cache in (a, b):
+        cache.learn(every)
+    for place, words in enumerate(cut):
         own_a, own_b = a.ids(words), b.ids(words)
-        whole = b" " + text.encode()
-        if spell[0](own_a) == whole and spell[1](own_b) == whole:
+        if words and own_a is not None and own_b is not None:
             kept.append(place)
             counts.append((len(own_a), len(own_b)))
-            ids_a.append(np.array(own_a, dtype=np.int32))
-            ids_b.append(np.array(own_b, dtype=np.int32))
+            ids_a.append(own_a)
+            ids_b.append(own_b)
+    for cache in (a, b):
+        cache.forget([word for word in every if len(word) > CACHED_CHARS])
     none = np.zeros(0, np.int32)
     sizes = np.array(counts, dtype=np.int64).reshape(-1, 2)
     return Encoded(np.array(kept, np.int64), np.concatenate([none, *ids_a]), np.concatenate([none, *ids_b]), sizes[:, 0], sizes[:, 1])
@@ -322,6 +336,7 @@ def _slices(docs: DataFrame, id_col: str, text_col: str, a_file: str, b_file: st
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = WordCache(byte_level(shared.value[0]), " "), WordCache(sentence_pieces(shared.value[1]), "")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         slot = TaskContext.get().partitionId() << 40  # numbers the rows once and for all
         for batch in slices(batches, most=SLICE_TEXT_BYTES):
             row = _slice_row(slot, batch.column("id").to_pylist(), batch.column("text").to_pylist(), a, b)
