@@ -12,14 +12,16 @@ reaches ``percent``. The join is exact up to 64-bit digests of shingles, and goe
 2. *Index.* Shingles are ordered by rarity. Of n shingles a partner shares ``need`` at least, so the
    first two shared ones are among the first n - need + 2, the extended prefix. It is what a
    document is indexed under.
-3. *Star rounds.* Under each shingle all members are held against one drawn leader, and those that
-   verify take its label. Families of near-copies come under one label this way without their pairs
-   ever being made. A shingle all of whose documents have one label has no new link to offer and
-   leaves the index.
-4. *Join.* What is left is joined in full, documents of one label excepted. A shingle that would
+3. *Star rounds.* Under each shingle all members are held against one drawn leader (later against some, as
+   far as their labels still differ), and those that verify are linked with it. A label is the component that the links so far make, so families of
+   near-copies come under one label without their pairs ever being made. A shingle all of whose
+   documents have one label has no new link to offer and leaves the index.
+4. *Join.* What is left is joined in full, documents of one label excepted: under each shingle only those
+   outside its largest label ask for partners. A shingle that would
    make few pairs is indexed by itself; a pair of sets that shares none of these in its first two
-   shares two frequent ones, so those are indexed by their combinations of two. Up to 50 percent, sets
-   that need only one common shingle are joined by single frequent ones as well.
+   shares two frequent ones, so those are indexed by their combinations of two. Two kinds of sets
+   are joined by single frequent ones: large ones, whose combinations would be too many, and, up to 50 percent,
+   those that need only one common shingle.
 5. *Verify.* Pairs that pass the bounds on length and position are verified by intersecting both
    sets. Links make components.
 """
@@ -27,6 +29,7 @@ reaches ``percent``. The join is exact up to 64-bit digests of shingles, and goe
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,16 +44,21 @@ from rolesift.llm.arrays import (
 )
 from rolesift.llm.components import components
 from rolesift.llm.packing import pack, pack_sorted, unpack, unpack_sorted
-from rolesift.llm.shared import staged
+from rolesift.llm.shared import discard, staged
 
 #: Shingles of a chunk, and of a range: what one task holds at a time.
 CHUNK_SHINGLES = 800_000
 CHUNK_DOCS = 1 << 16
 #: Pairs that a shingle may make in the join by itself; beyond that it counts as frequent.
-RARE_PAIRS = 20_000
-#: Star rounds go on while the join would make more pairs than there are documents times this.
+RARE_PAIRS = 1 << 20
+#: Star rounds go on while the join would make more pairs than there are documents times this, and each
+#: round after the second halves them at least.
 PAIRS_PER_DOC = 20
 STAR_ROUNDS = 6
+#: Leaders that are drawn under a shingle from the second round on, for those that the first one left out.
+LEADERS = 8
+#: Sets with more shingles are joined by single frequent ones: combinations grow with the square of a prefix.
+LARGE_SET = 1_000
 
 _MESSAGE = "key long, chunk long, a binary, b binary, c binary, d binary, e binary, f binary"
 _U = np.uint64
@@ -220,13 +228,15 @@ def _gather(percent: int):
         cuts = np.searchsorted(place, np.arange(len(n) + 1))
         shared = np.diff(cuts)
         need = -(-percent * n // 100)
-        sets, prefixes = [None] * len(n), [None] * len(n)
+        sets, prefixes, maps = [None] * len(n), [None] * len(n), np.zeros((len(n), 4), dtype=np.int64)
         # above 50, sets of one shingle are linked only with equal ones
         least = np.maximum(need, 1 if percent <= 50 else 2)
         for i in np.flatnonzero(sends & (shared >= least)).tolist():
             own = token[cuts[i] : cuts[i + 1]]
             prefixes[i] = own[: max(0, shared[i] - need[i] + 2)].view(np.int64)
             sets[i] = pack_sorted(np.sort(own))
+            odd = np.bincount((mix(own.astype(_U)) >> _U(56)).astype(np.int64), minlength=256) % 2
+            maps[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
         chunk = int(listed["chunk"])
         return pd.DataFrame(
             {
@@ -238,6 +248,7 @@ def _gather(percent: int):
                 "digest": prints[2],
                 "sends": sends,
                 "unshared": n - shared,
+                **{f"m{k}": maps[:, k] for k in range(4)},
                 "tokens": sets,
                 "prefix": prefixes,
             }
@@ -248,7 +259,7 @@ def _gather(percent: int):
 
 _NODES = (
     "node long, id long, n long, print_1 long, print_2 long, digest long, sends boolean, unshared long, "
-    "tokens binary, prefix array<long>"
+    "m0 long, m1 long, m2 long, m3 long, tokens binary, prefix array<long>"
 )
 
 
@@ -263,12 +274,20 @@ def shingle_nodes(docs: DataFrame, id_col: str, text_col: str, size: int, percen
 
 
 def _possible(percent: int, a: str, b: str) -> Column:
-    """The bounds on length and on position: what two sets that share this shingle can share at
-    most must be enough. Places count all shingles, the unshared ones first."""
+    """The bounds on length, on position and on difference.
+
+    What two sets that share this shingle can share at most must be enough; places count all shingles, the
+    unshared ones first. And they must not differ too much: unshared shingles are in one of two sets, and
+    a bit of their maps (the parity of the shared shingles that fall on it) differs only if a shingle does."""
     n_a, n_b, at_a, at_b = (F.col(f"{x}.{c}") for c in ("n", "at") for x in (a, b))
     most = F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b)
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (
-        (100 + percent) * most >= percent * (n_a + n_b)
+    apart = F.col(f"{a}.bits.unshared") + F.col(f"{b}.bits.unshared")
+    for k in range(4):
+        apart = apart + F.bit_count(F.col(f"{a}.bits.m{k}").bitwiseXOR(F.col(f"{b}.bits.m{k}")))
+    return (
+        (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
+        & ((100 + percent) * most >= percent * (n_a + n_b))
+        & ((100 + percent) * apart <= (100 - percent) * (n_a + n_b))
     )
 
 
@@ -278,12 +297,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacked = lru_cache(maxsize=1_024)(unpack_sorted)  # pairs of one document come together
         for batch in batches:
             n_a, n_b = (batch.column(c).to_pylist() for c in ("n_a", "n_b"))
             t_a, t_b = batch.column("t_a"), batch.column("t_b")
             keep = []
             for i in range(batch.num_rows):
-                x, y = unpack_sorted(t_a[i].as_py()), unpack_sorted(t_b[i].as_py())
+                x, y = unpacked(t_a[i].as_py()), unpacked(t_b[i].as_py())
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * same >= percent * (n_a[i] + n_b[i] - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -291,23 +311,17 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(check, "a long, b long")
 
 
-def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Every document takes the least label among its own and those it is linked with.
-
-    A label is a document that the labelled one is connected to, so equal labels mean one component,
-    though not the other way round. Star rounds need no more; components are made once, at the end.
-    """
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    offered = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
-    offered = offered.agg(F.min("comp").alias("least"))
-    found = labels.join(offered, "node", "left")
-    return staged(found.select("node", F.least("comp", "least").alias("comp")), "labels")
+def _labels(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """node, comp: the component that the links so far put a document into."""
+    found = components(links)
+    every = sets.select("node").join(found, "node", "left")
+    return staged(every.select("node", F.coalesce("component", "node").alias("comp")), "labels")
 
 
 def _with_labels(index: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Refresh ``comp`` and drop shingles whose documents all have one label."""
     fresh = index if labels is None else index.drop("comp").join(labels, "node")
-    fresh = fresh.select("token", "node", "n", "at", "comp")
+    fresh = fresh.select("token", "node", "n", "at", "bits", "comp")
     apart = fresh.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
     apart = apart.filter("least <> most").select("token")
     return staged(fresh.join(apart, "token", "left_semi"), "index")
@@ -320,43 +334,62 @@ def _pairs_to_make(index: DataFrame) -> DataFrame:
     return total.select("token", ((F.col("g") * F.col("g") - F.col("s")) / 2).cast("long").alias("pairs"))
 
 
-def _joined(index: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Pairs of documents of different labels that share a key and pass the bounds."""
-    x, y = index.alias("x"), index.alias("y")
+def _with_sides(index: DataFrame) -> DataFrame:
+    """Add ``minor``: whether a document is outside the label that most documents of its shingle have.
+
+    Of two documents with different labels one at least is minor, so a join may ask for minor ones only: members
+    of a large family are held against outsiders, and never against each other."""
+    sizes = index.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    major = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
+    return index.join(major, "token").withColumn("minor", F.col("comp") != F.col("major")).drop("major")
+
+
+def _joined(index: DataFrame, keys: list[str], percent: int, above: int = 0) -> DataFrame:
+    """Pairs of documents of different labels that share a key and pass the bounds, one of them with more
+    than ``above`` shingles."""
+    x, y = index.filter("minor").alias("x"), index.alias("y")
     on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
-    ordered = F.col("x.node") < F.col("y.node")
+    once = ~F.col("y.minor") | (F.col("x.node") < F.col("y.node"))
     apart = F.col("x.comp") != F.col("y.comp")
-    pairs = x.join(y, [*on, ordered, apart, _possible(percent, "x", "y")])
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    large = F.greatest("x.n", "y.n") > above
+    pairs = x.join(y, [*on, once, apart, large, _possible(percent, "x", "y")])
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def find_links(
-    nodes: DataFrame, percent: int, rare_pairs: int = RARE_PAIRS, star_rounds: int | None = None
+    nodes: DataFrame,
+    percent: int,
+    rare_pairs: int = RARE_PAIRS,
+    star_rounds: int | None = None,
+    large_set: int = LARGE_SET,
 ) -> DataFrame:
     """Links (a, b) between class representatives, enough to connect whatever is connected. With no
     star rounds every representative has a label of its own, no pair is skipped, and it is all links."""
     cand = nodes.filter(F.col("tokens").isNotNull())
     rep = cand.groupBy("print_1", "print_2", "n").agg(F.min("node").alias("node"))
     sets = staged(
-        cand.join(rep.select("node"), "node", "left_semi").select("node", "n", "unshared", "tokens", "prefix"),
+        cand.join(rep.select("node"), "node", "left_semi").select("node", "n", "unshared", "m0", "m1", "m2", "m3", "tokens", "prefix"),
         "sets",
     )
-    places = sets.select("node", "n", "unshared", F.posexplode("prefix").alias("i", "token"))
-    index = places.select(
-        "token", "node", "n", (F.col("unshared") + F.col("i")).alias("at"), F.col("node").alias("comp")
-    )
+    bits = F.struct("unshared", "m0", "m1", "m2", "m3").alias("bits")
+    places = sets.select("node", "n", bits, F.posexplode("prefix").alias("i", "token"))
+    at = (F.col("bits.unshared") + F.col("i")).alias("at")
+    index = places.select("token", "node", "n", at, "bits", F.col("node").alias("comp"))
     spark = nodes.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     labels = sets.select("node", F.col("node").alias("comp"))
     index = _with_labels(index, None)
     n_docs = sets.count()
+    before = None
     for turn in range(STAR_ROUNDS if star_rounds is None else star_rounds):
         to_make = _pairs_to_make(index).agg(F.sum("pairs")).first()[0] or 0
-        if to_make == 0 or (turn and to_make <= PAIRS_PER_DOC * n_docs):
+        if to_make == 0 or (turn and to_make <= PAIRS_PER_DOC * n_docs) or (turn > 1 and 2 * to_make > before):
             break
-        draw = F.struct(F.xxhash64("node", F.lit(turn)), "node")
-        leaders = index.groupBy("token").agg(F.min_by(F.struct("node", "n", "at", "comp"), draw).alias("y"))
-        members = index.select("token", F.struct("node", "n", "at", "comp").alias("x"))
+        before = to_make
+        draws = [F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)), "node") for k in range(LEADERS if turn else 1)]
+        drawn = F.array(*(F.min_by(F.struct("node", "n", "at", "bits", "comp"), d) for d in draws))
+        leaders = index.groupBy("token").agg(F.array_distinct(drawn).alias("ys")).select("token", F.explode("ys").alias("y"))
+        members = index.select("token", F.struct("node", "n", "at", "bits", "comp").alias("x"))
         pairs = members.join(leaders, "token").filter(
             (F.col("x.comp") != F.col("y.comp")) & _possible(percent, "x", "y")
         )
@@ -365,18 +398,26 @@ def find_links(
         if new.isEmpty():
             break
         links = links.union(new)
-        labels = _relabel(labels, new)
+        old = index, labels
+        labels = _labels(sets, links)
         index = _with_labels(index, labels)
+        for table in old:
+            discard(table)
     costs = _pairs_to_make(index)
+    index = _with_sides(index)
     rare = index.join(costs.filter(F.col("pairs") <= rare_pairs).select("token"), "token", "left_semi")
     frequent = index.join(costs.filter(F.col("pairs") > rare_pairs).select("token"), "token", "left_semi")
-    per_doc = frequent.groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("f"))
+    own = F.sort_array(F.collect_list(F.struct("at", "token", "minor")))
+    per_doc = frequent.filter(F.col("n") <= large_set).groupBy("node", "n", "comp").agg(F.first("bits").alias("bits"), own.alias("f"))
     combos = (
-        per_doc.select("node", "n", "comp", "f", F.posexplode("f").alias("i", "one"))
-        .select("node", "n", "comp", "one", F.explode(F.slice("f", F.col("i") + 2, F.size("f"))).alias("two"))
-        .select(F.col("one.token").alias("token"), F.col("two.token").alias("second"), "node", "n", F.col("one.at").alias("at"), "comp")
-    )
+        per_doc.select("node", "n", "bits", "comp", "f", F.posexplode("f").alias("i", "one"))
+        .select("node", "n", "bits", "comp", "one", F.explode(F.slice("f", F.col("i") + 2, F.size("f"))).alias("two"))
+        .select("one.token", F.col("two.token").alias("second"), "node", "n", "bits", "one.at", "comp", "one.minor")
+    )
+    # two similar sets, one of them large, have both more shingles than this
+    large = frequent.filter(F.col("n") * 100 > percent * large_set)
     pairs = _joined(rare, ["token"], percent).union(_joined(combos, ["token", "second"], percent))
+    pairs = pairs.union(_joined(large, ["token"], percent, above=large_set))
     if percent <= 50:  # two sets that need no more than one common shingle may have no second one
         pairs = pairs.union(_joined(frequent.filter(F.col("n") * percent <= 100), ["token"], percent))
     pairs = pairs.distinct()

@@ -43,4 +43,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     del df
     free_shuffles(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a staged table that no step still to come reads; other results stay."""
+    path = getattr(df, "_staged_path", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)

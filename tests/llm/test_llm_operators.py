@@ -380,6 +380,26 @@ def test_join_alone_finds_every_link(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in found} == dict(enumerate(plain_components(texts)[1]))
 
 
+@pytest.mark.parametrize("large_set", [0, 12, 10**6])
+def test_large_sets_are_joined_by_single_shingles(spark, monkeypatch, large_set):
+    """Whatever counts as large, and with all shingles frequent, the components are the same."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(40)]
+    texts = []
+    for _ in range(60):
+        words = base[: rng.randrange(6, 40)]
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(5)}"
+        texts.append(" ".join(words))
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 0)
+    real = jaccard_join.find_links
+    monkeypatch.setattr(jaccard_join, "find_links", lambda nodes, percent: real(nodes, percent, 0, large_set=large_set))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes, roots = plain_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()}
+    assert got == {i: (n, r) for i, (n, r) in enumerate(zip(sizes, roots))}
+
+
 @pytest.mark.parametrize("percent, rare_pairs", [(50, 10**9), (50, 0), (30, 0)])
 def test_links_by_one_common_shingle(spark, monkeypatch, percent, rare_pairs):
     monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 0)
