@@ -95,47 +95,25 @@ HEADLESS_PROVIDER = "greenhouse"
 HEADLESS_SIGNAL = r'"greenhouseId"\s*:'
 
 
-def _rule_array(rules: Sequence[Rule]) -> Column:
-    """The rules as a constant array, each once for the URL and once for the page."""
-
-    def entry(rule: Rule, in_url: bool) -> Column:
-        blocked = F.array(*[F.lit(b) for b in rule.blocked]).cast("array<string>")
-        return F.struct(
-            F.lit(rule.provider).alias("provider"),
-            F.lit(rule.needle).alias("needle"),
-            F.lit(rule.pattern).alias("pattern"),
-            F.lit(rule.identifier).alias("template"),
-            blocked.alias("blocked"),
-            F.lit(in_url).alias("in_url"),
-        )
-
-    return F.array(*[entry(rule, in_url) for rule in rules for in_url in (True, False)])
+def _rule_hit(rule: Rule, text: Column) -> Column:
+    """struct<provider,identifier> if the first match of a rule in a text names a tenant; else null."""
+    whole = F.regexp_extract(text, rule.pattern, 0)
+    # The matched piece matches again as a whole, so the groups are cut out of it alone.
+    identifier = F.regexp_replace(whole, rule.pattern, rule.identifier)
+    allowed = F.contains(text, F.lit(rule.needle)) & (identifier != "")
+    if rule.blocked:
+        allowed = allowed & ~identifier.isin(*rule.blocked)
+    return F.when(allowed, F.struct(F.lit(rule.provider).alias("provider"), identifier.alias("identifier")))
 
 
 def detect_board(html: Column, final_url: Column, rules: Sequence[Rule] = BOARD_RULES) -> Column:
     """struct<provider,identifier> of the first rule that matches, URL before page; else null.
 
-    Of each text only the first match of a rule counts. The rules are data, so the expression stays
-    small however many there are, and a pattern runs only on texts that contain its needle.
+    Of each text only the first match of a rule counts. The rules are a chain that ends at the first hit; their
+    patterns are constants, so each is compiled once, and one runs only on texts that contain its needle.
     """
     url, page = text_or_blank(final_url), text_or_blank(html)
-
-    def candidate(rule: Column) -> Column:
-        text = F.when(rule["in_url"], url).otherwise(page)
-        whole = F.call_function("regexp_extract", text, rule["pattern"], F.lit(0))
-        # The matched piece matches again as a whole, so the groups are cut out of it alone.
-        identifier = F.regexp_replace(whole, rule["pattern"], rule["template"])
-        return F.struct(
-            rule["provider"].alias("provider"),
-            F.when(F.contains(text, rule["needle"]), identifier).otherwise("").alias("identifier"),
-            rule["blocked"].alias("blocked"),
-        )
-
-    allowed = F.filter(
-        F.transform(_rule_array(rules), candidate),
-        lambda c: (c["identifier"] != "") & ~F.array_contains(c["blocked"], c["identifier"]),
-    )
-    return F.get(F.transform(allowed, lambda c: F.struct(c["provider"], c["identifier"])), F.lit(0))
+    return F.coalesce(*[_rule_hit(rule, text) for rule in rules for text in (url, page)])
 
 
 def page_digest() -> Column:
