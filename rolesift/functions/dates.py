@@ -13,6 +13,12 @@ _ISO = (
     r"(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
 )
 
+# Day of the week, day, month, year, time, offset.
+_MAIL = (
+    r"^(?:[A-Za-z]+\.?,?\s*)?(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*\.?,?[\s-]+(\d{4}|\d{2})"
+    r",?\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([+-]\d{4})?$"
+)
+
 # Zone names that mail dates may carry instead of an offset.
 MAIL_ZONES = {
     "GMT|UTC|UT|Z": "+0000",
@@ -64,11 +70,21 @@ def from_iso_text(c: Column) -> Column:
 
 
 def from_mail_text(c: Column) -> Column:
-    """RSS date ('Thu, 30 Jul 2026 15:23:41 +0000') to timestamp."""
-    text = F.regexp_replace(strip(c), r"^[A-Za-z]+,\s*", "")
+    """RSS date ('Thu, 30 Jul 2026 15:23:41 +0000') to timestamp.
+
+    Comments in parentheses go, month names may be written out, a missing zone is UTC, and of years of two digits
+    those from 69 on are in the last century."""
+    text = strip(F.regexp_replace(c, r"\([^()]*\)", " "))
     for names, offset in MAIL_ZONES.items():
         text = F.regexp_replace(text, rf"(?i)\s*\b(?:{names})$", f" {offset}")
-    return F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm[:ss] Z"))
+    part = [F.regexp_extract(text, _MAIL, k) for k in range(1, 8)]
+    day, month, year, hour, minute, second, zone = part
+    century = F.when(year < "69", "20").otherwise("19")
+    year = F.when(F.length(year) == 2, F.concat(century, year)).otherwise(year)
+    given = lambda value, absent: F.when(value != "", value).otherwise(absent)
+    clock = F.concat_ws(":", F.lpad(hour, 2, "0"), minute, given(second, "00"))
+    whole = F.concat_ws(" ", day, F.initcap(month), year, clock, given(zone, "+0000"))
+    return F.when(text.rlike(_MAIL), F.try_to_timestamp(whole, F.lit("d MMM yyyy HH:mm:ss Z")))
 
 
 def within_window(posted_at: Column, since: Column | None) -> Column:

@@ -129,3 +129,17 @@ def test_anchors(spark):
         ("/four?a=1&b=2", ""),
         ("", "blank"),
     ]
+
+
+def test_mail_dates_of_all_shapes(spark):
+    at = lambda text: spark.range(1).select(F.unix_seconds(from_mail_text(F.lit(text))).alias("s")).first().s
+    expected = 1_785_425_021  # 2026-07-30 15:23:41 UTC
+    for text in (
+        "Thu, 30 Jul 2026 15:23:41 +0000", "Thu, 30 Jul 2026 15:23:41 GMT", "30 Jul 26 15:23:41 +0000", "Thu, 30 Jul 2026 15:23:41",
+        "Thu, 30 July 2026 15:23:41 +0000 (UTC)", "30 jul 2026 11:23:41 EDT", "Thu,30 Jul 2026 17:23:41 +0200",
+    ):
+        assert at(text) == expected, text
+    assert at("30 Jul 2026 15:23 +0000") == expected - 41
+    assert at("1 Mar 99 0:00 +0000") == 920_246_400
+    for text in ("", "soon", "30 Xyz 2026 15:23 +0000", "31 Feb 2026 15:23 +0000", "30 Jul 2026", "2026-07-30"):
+        assert at(text) is None, text
