@@ -15,6 +15,7 @@ from rolesift.operators.coverage import (
     with_coverage,
 )
 from rolesift.operators.detection import (
+    BOARD_RULES,
     detect_along_links,
     detect_board,
     detection_results,
@@ -42,32 +43,45 @@ from rolesift.plans.boards import company_list_rows, enriched_rows, write_csv
 from rolesift.sources.companies import first_companies, read_companies, read_csv, read_sample_sheet
 from tests.helpers import pages, payloads, postings, values
 
-DETECTIONS = [
-    ('<a href="https://boards.greenhouse.io/acme/jobs/1">x</a>', "https://acme.com", ("greenhouse", "acme")),
-    ('<script src="https://boards.greenhouse.io/embed/job_board/js?for=obs"></script>', "https://o.ai", ("greenhouse", "obs")),
-    ("boards-api.greenhouse.io/v1/boards/acme", "", ("greenhouse", "acme")),
-    ("https://my.greenhouse.io/users/sign_in?job_board=hub", "", ("greenhouse", "hub")),
-    ("", "https://jobs.lever.co/acme", ("lever", "acme")),
-    ("https://jobs.ashbyhq.com/Jas%20AI", "", ("ashby", "Jas%20AI")),
-    ("https://careers.smartrecruiters.com/Big", "", ("smartrecruiters", "Big")),
-    ("https://nv.wd5.myworkdayjobs.com/en-US/Site", "", ("workday", "nv.wd5.myworkdayjobs.com/Site")),
-    ('"https://ac.wd103.myworkdayjobs.com/Careers/userHome"', "", ("workday", "ac.wd103.myworkdayjobs.com/Careers")),
-    ("https://acme.teamtailor.com/jobs", "", ("teamtailor", "acme")),
-    ("https://www.teamtailor.com https://acme.teamtailor.com", "", None),  # only the first match counts
-    ("https://www.bamboohr.com", "https://acme.bamboohr.com/x", ("bamboohr", "acme")),
-    ("https://acme.bamboohr.com/x", "https://www.bamboohr.com", ("bamboohr", "acme")),  # blocked URL, then the page
-    ("https://apply.workable.com/acme/j/1", "", ("workable", "acme")),
-    ("", "https://acme.recruitee.com/o/x", ("recruitee", "acme")),
-    ("https://careers-analytics.recruitee.com/t.js", "", None),
-    ('<base data-apibaseurl="https://e.fa.us2.oc.com:443" data-x="1" data-sitenumber="CX_45">', "", ("oracle_recruiting", "e.fa.us2.oc.com|CX_45")),
-    ("boards.greenhouse.io/embed jobs.lever.co/acme", "", ("lever", "acme")),
-    ("jobs.lever.co/page", "https://jobs.lever.co/url", ("lever", "url")),
-    ("jobs.lever.co/b", "https://boards.greenhouse.io/a", ("greenhouse", "a")),
-    ("plain page", "https://acme.com", None),
-    (None, None, None),
+# One text per rule, in the order of the rules, and what the tenant t42 is called by it.
+RULE_TEXTS = [
+    ("greenhouse.io/embed/job_board?for={}", "t42"),
+    ("boards.greenhouse.io/{}", "t42"),
+    ("boards-api.greenhouse.io/v1/boards/{}", "t42"),
+    ("my.greenhouse.io/users/sign_in?job_board={}", "t42"),
+    ("jobs.lever.co/{}", "t42"),
+    ("jobs.ashbyhq.com/{}", "t42"),
+    ("careers.smartrecruiters.com/{}", "t42"),
+    ("{}.wd7.myworkdayjobs.com/Openings", "t42.wd7.myworkdayjobs.com/Openings"),
+    ("{}.teamtailor.com", "t42"),
+    ("{}.bamboohr.com", "t42"),
+    ("apply.workable.com/{}", "t42"),
+    ("{}.recruitee.com", "t42"),
+    ('data-apibaseurl="https://{}" data-sitenumber="S1"', "t42|S1"),
 ]
 
 
+def _rule_cases():
+    """Per rule a hit in the page, one in the URL, a near miss, and every blocked identifier; then the order."""
+    for rule, (text, identifier) in zip(BOARD_RULES, RULE_TEXTS, strict=True):
+        hit = (rule.provider, identifier)
+        yield f"before {text.format('t42')} behind", "", hit
+        yield None, text.format("t42"), hit
+        yield f"before {text.format('')} behind", text.format(""), None
+        for blocked in rule.blocked:
+            yield text.format(blocked), "", None
+            yield text.format(blocked) + " " + text.format("t42"), "", None  # only the first match counts
+            yield text.format("t42"), text.format(blocked), hit  # the URL first, then the page
+        yield text.format("other"), text.format("t42"), hit
+    for (early, (text, identifier)), (late, _) in zip(zip(BOARD_RULES, RULE_TEXTS), RULE_TEXTS[1:]):
+        yield text.format("t42"), late.format("t42"), (early.provider, identifier)  # the order of the rules first
+    yield "no board here", "https://t42.example", None
+    yield None, None, None
+
+
+DETECTIONS = list(_rule_cases())
+
+
 def test_detection(spark):
     df = spark.createDataFrame([(i, h, u) for i, (h, u, _) in enumerate(DETECTIONS)], "i int, h string, u string")
     got = df.select("i", detect_board(F.col("h"), F.col("u")).alias("b")).orderBy("i").collect()
