@@ -153,7 +153,7 @@ def _jaccard_join(spark, sf_dir):
       l AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM e),
       c AS (SELECT source, bare, count(DISTINCT doc_id) AS n FROM l WHERE bare <> '' GROUP BY source, bare),
       t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
-      b AS (SELECT source, bare FROM c JOIN t USING (source) WHERE n >= 3 AND n > 0.05 * total),
+      b AS (SELECT source, bare FROM c JOIN t USING (source) WHERE n >= 3 AND n > 0.005::DOUBLE * total),
       m AS (SELECT l.*, b.bare IS NOT NULL AS bad FROM l LEFT JOIN b USING (source, bare)),
       r AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT bad) AS kept,
         count(*) FILTER (WHERE bare <> '') AS n_lines, count(*) FILTER (WHERE bad) AS n_dropped FROM m GROUP BY doc_id)
@@ -162,7 +162,7 @@ def _jaccard_join(spark, sf_dir):
 )
 def _line_dedup(spark, sf_dir):
     """The site of a document is its source."""
-    cut = drop_boilerplate(read(spark, sf_dir, "documents"), "source")
+    cut = drop_boilerplate(read(spark, sf_dir, "documents"), "source", max_ratio=0.005)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     return cut.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
 

@@ -105,3 +105,20 @@ def test_pipeline_against_plain_stages(spark, duck, texts):
         ids = tokenizer.encode_ordinary(left[i])
         assert (r.n_tokens, list(r.token_ids)) == (len(ids), ids)
         assert r.decoded_sha256 == hashlib.sha256(left[i].encode()).hexdigest()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="tables are not here")
+def test_boilerplate_of_the_larger_table(spark):
+    """The ratio drops the 130 lines that are on over 0.5 percent of a source's documents, three at least."""
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.1/documents.parquet'")
+    expected = con.execute(ORACLE["op5_line_dedup"]).df().set_index("doc_id").sort_index()
+    got = QUERIES["op5_line_dedup"](spark, "/root/testdata/sf0.1").toPandas().set_index("doc_id").sort_index()
+    assert (got[expected.columns] == expected).all().all()
+    lines = con.execute(
+        """WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents),
+          t AS (SELECT source, count(*) AS total FROM documents GROUP BY source)
+        SELECT count(*) FROM (SELECT source, trim(line) AS bare, count(DISTINCT doc_id) AS n FROM l
+          WHERE trim(line) <> '' GROUP BY ALL) JOIN t USING (source) WHERE n >= 3 AND n > 0.005::DOUBLE * total"""
+    ).fetchone()[0]
+    assert lines == 130 and got.n_dropped.sum() >= 3 * lines
