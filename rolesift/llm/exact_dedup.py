@@ -27,10 +27,9 @@ from rolesift.llm.shared import staged
 
 #: One entry of a run; byte order is fixed, since runs travel as bytes.
 ENTRY = np.dtype(
-    [("digest", "<u8"), ("sha", "S32"), ("n_bytes", "<i8"), ("keep", "<i8"), ("row", "<i8"),
-     ("rows", "<i8")]
+    [("digest", "<u8"), ("sha", "S32"), ("n_bytes", "<i8"), ("no_id", "?"), ("keep", "<i8"),
+     ("row", "<i8"), ("rows", "<i8")]
 )
-_NULL_ID = np.iinfo(np.int64).max
 _RUN_DDL = "owner long, entries binary"
 
 
@@ -39,27 +38,58 @@ def normal_text(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def merge_runs(runs: list[np.ndarray]) -> np.ndarray:
-    """Multiway merge: equal texts become one entry with the smallest id and all rows."""
-    rows = np.concatenate(runs)
+def _same_text(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left["digest"] == right["digest"]) & (left["sha"] == right["sha"]) & (left["n_bytes"] == right["n_bytes"])
+
+
+def _order(rows: np.ndarray) -> np.ndarray:
+    return np.lexsort((rows["row"], rows["keep"], rows["no_id"], rows["n_bytes"], rows["sha"], rows["digest"]))
+
+
+def _one_entry_a_text(rows: np.ndarray) -> np.ndarray:
+    """Neighbours that are one text as one entry, the first of them, with the rows of all."""
     if len(rows) == 0:
         return rows
-    order = np.lexsort(
-        (rows["row"], rows["keep"], rows["n_bytes"], rows["sha"], rows["digest"])
-    )
-    rows = rows[order]
-    same = np.zeros(len(rows), dtype=bool)
-    same[1:] = (
-        (rows["digest"][1:] == rows["digest"][:-1])
-        & (rows["sha"][1:] == rows["sha"][:-1])
-        & (rows["n_bytes"][1:] == rows["n_bytes"][:-1])
-    )
-    firsts = np.flatnonzero(~same)
+    firsts = np.flatnonzero(np.concatenate([[True], ~_same_text(rows[1:], rows[:-1])]))
     merged = rows[firsts]
     merged["rows"] = np.add.reduceat(rows["rows"], firsts)
     return merged
 
 
+def sorted_run(rows: np.ndarray) -> np.ndarray:
+    """A run: entries in order of digest, sha and length, one for each text."""
+    return _one_entry_a_text(rows[_order(rows)])
+
+
+def merge_two(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Two runs as one. A binary search says where the entries of the shorter run go in the longer;
+    only stretches of one digest, of at most one entry per text and run, are put in order."""
+    if len(left) < len(right):
+        left, right = right, left
+    rows = np.empty(len(left) + len(right), dtype=ENTRY)
+    places = np.searchsorted(left["digest"], right["digest"], side="right") + np.arange(len(right))
+    from_left = np.ones(len(rows), dtype=bool)
+    from_left[places] = False
+    rows[places] = right
+    rows[from_left] = left
+    tied = np.zeros(len(rows), dtype=bool)
+    tied[1:] = rows["digest"][1:] == rows["digest"][:-1]
+    tied[:-1] |= tied[1:]
+    stretch = rows[tied]
+    rows[tied] = stretch[_order(stretch)]
+    return _one_entry_a_text(rows)
+
+
+def merge_runs(runs: list[np.ndarray]) -> np.ndarray:
+    """Multiway merge of runs, neighbours first: equal texts become one entry with the smallest id
+    and all rows."""
+    if not runs:
+        return np.zeros(0, dtype=ENTRY)
+    while len(runs) > 1:
+        runs = [merge_two(*runs[i : i + 2]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+    return runs[0]
+
+
 def slice_of(digests: np.ndarray, fan_in: int, level: int) -> np.ndarray:
     """Digit ``level`` of the digests, as fractions of 2**64 written in base ``fan_in``; so the
     slices of a sorted run are contiguous."""
@@ -88,7 +118,7 @@ def _first_runs(fan_in: int, owners: int, run_rows: int):
 
         def out() -> pa.RecordBatch:
             nonlocal owner
-            sent = send(owner % owners, merge_runs(held), fan_in, 0)
+            sent = send(owner % owners, sorted_run(np.concatenate(held)), fan_in, 0)
             owner += 1
             held.clear()
             return pa.RecordBatch.from_pydict(
@@ -101,7 +131,9 @@ def _first_runs(fan_in: int, owners: int, run_rows: int):
             rows["digest"] = batch.column("digest").to_numpy(zero_copy_only=False).view(np.uint64)
             rows["sha"] = batch.column("sha").to_numpy(zero_copy_only=False)
             rows["n_bytes"] = batch.column("n_bytes").to_numpy(zero_copy_only=False)
-            rows["keep"] = batch.column("id").to_numpy(zero_copy_only=False)
+            ids = batch.column("id")
+            rows["no_id"] = ids.is_null().to_numpy(zero_copy_only=False)
+            rows["keep"] = ids.fill_null(0).to_numpy(zero_copy_only=False)
             rows["row"] = batch.column("row").to_numpy(zero_copy_only=False)
             rows["rows"] = 1
             held.append(rows)
@@ -132,7 +164,7 @@ def _last(pdf: pd.DataFrame) -> pd.DataFrame:
             "digest": run["digest"].astype(np.uint64).view(np.int64),
             "sha": [s.ljust(32, b"\0") for s in run["sha"].tolist()],
             "n_bytes": run["n_bytes"].astype(np.int64),
-            "keep_id": run["keep"].astype(np.int64),
+            "keep_id": pd.arrays.IntegerArray(run["keep"].astype(np.int64), run["no_id"].astype(bool)),
             "keep_row": run["row"].astype(np.int64),
             "group_size": run["rows"].astype(np.int64),
         }
@@ -180,13 +212,15 @@ def exact_duplicates(
     * Repeated rows, also rows with one id: exactly one row of a group stays.
     * Other columns of ``docs`` are not read, so their names cannot clash.
     * An empty table gives an empty result.
+    * Ids are read as long integers; one that is none counts as null.
+    * A text is digested whole in the scan; however long, it is never shuffled.
 
     ``fan_in`` (a power of two) runs meet in each merge; a first run has about ``run_rows``
     entries, and the number of owners grows until a last run has no more.
     """
     text = normal_text(F.col(text_col))
     slim = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), text.alias("t")
+        F.col(id_col).cast("long").alias("id"), text.alias("t")
     ).select(
         "id",
         F.xxhash64("t").alias("digest"),
@@ -201,10 +235,9 @@ def exact_duplicates(
     key = ["digest", "sha", "n_bytes"]
     answers = slim.select("chunk", *key).distinct().join(merged, key)
     found = slim.join(answers, ["chunk", *key])
-    real = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
     return found.select(
-        real("id").alias(id_col),
-        real("keep_id").alias("keep_id"),
+        F.col("id").alias(id_col),
+        "keep_id",
         "group_size",
         (F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
