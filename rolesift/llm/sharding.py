@@ -1,13 +1,13 @@
 """Sharding by a hierarchical weighted hash tree: regions, racks, shards.
 
-A shard draws ``-ln(u) / weight`` for a row, with u from a digest of the row's key and the shard's
-name. The draw of a rack is the least draw of its shards, the draw of a region the least of its
-racks. The least of such draws is again one for the summed weight, so each subtree is chosen in
-proportion to its weight, and a row descends: region, then rack in it, then shard in that.
-
-A subtree whose weights stay has the same draws as before. More weight, or one more shard, only
-makes draws in its own subtree smaller: rows move into the grown shard and nowhere else. Less weight
-moves rows out of that shard only.
+A row descends. Each region draws ``-ln(u) / weight`` for the row, with u from a digest of the row's
+key and the region's name and the summed weight of its shards, and the least draw wins. The racks of
+that region draw next, then the shards of that rack. So a row makes one draw for each child of the
+nodes it passes, not one for each shard, and every shard gets rows in proportion to its weight.
+
+A subtree whose weight stays has the same draws as before, so rows move only between subtrees whose
+weights change: more weight in a subtree takes rows into it and moves none out of it; below it the
+same holds for its own children. A new shard in a region of its own takes rows only into itself.
 """
 
 from __future__ import annotations
@@ -52,43 +52,84 @@ def _tree(shards: list[Shard]) -> dict[int, dict[int, list[Shard]]]:
     return tree
 
 
-def _least(draws: list[Column]) -> Column:
-    return draws[0] if len(draws) == 1 else F.least(*draws)
+def _weight(racks: dict[int, list[Shard]]) -> float:
+    return float(sum(s.weight for rack in racks.values() for s in rack))
 
 
-def _descend(options: list[tuple[Column, Column]]) -> Column:
-    """The value of the option with the least draw, the first on a tie."""
-    least = _least([draw for draw, _ in options])
-    *others, (_, last) = options
-    return reduce(lambda rest, o: F.when(o[0] == least, o[1]).otherwise(rest), reversed(others), last)
+def _draw(name: str, weight: float) -> Column:
+    return -F.log(unit_draw(F.col("_key"), name)) / F.lit(weight)
+
+
+def _winner(draws: dict[int, Column]) -> Column:
+    """The child with the least draw, the smallest of its numbers on a tie; an only child draws nothing."""
+    options = [F.struct(draw.alias("draw"), F.lit(child).alias("child")) for child, draw in draws.items()]
+    return F.lit(next(iter(draws))) if len(options) == 1 else F.least(*options)["child"]
+
+
+def _chosen(chosen: Column, below: dict[int, Column]) -> Column:
+    """What the chosen child says; the other children are not evaluated."""
+    (_, first), *others = below.items()
+    return reduce(lambda rest, o: F.when(chosen == o[0], o[1]).otherwise(rest), others, first)
+
+
+def _below(keyed: DataFrame, region: str, tree: dict[int, dict[int, list[Shard]]], out: str) -> DataFrame:
+    """Add ``out``, the shard that a row descends to from the region that it has chosen."""
+    racks = {
+        g: _winner({r: _draw(f"rack-{g}-{r}", _weight({r: rack})) for r, rack in of_region.items()})
+        for g, of_region in tree.items()
+    }
+    racked = keyed.select("*", _chosen(F.col(region), racks).alias("_rack"))
+    shards = {
+        g: _chosen(
+            F.col("_rack"),
+            {r: _winner({s.number: _draw(f"shard-{s.number}", float(s.weight)) for s in rack}) for r, rack in of_region.items()},
+        )
+        for g, of_region in tree.items()
+    }
+    return racked.select(*keyed.columns, _chosen(F.col(region), shards).cast("int").alias(out))
+
+
+def _keyed(df: DataFrame, key: Column) -> DataFrame:
+    return df.withColumn("_key", F.coalesce(key.cast("string"), F.lit("")))
 
 
 def place(df: DataFrame, key: Column, shards: list[Shard], out: str) -> DataFrame:
-    """Add ``out``, the shard that each row's key descends to."""
+    """Add ``out``, the shard that each row's key descends to. A null key counts as an empty one."""
     tree = _tree(shards)
     if not tree:
         raise ValueError("no shard has any weight")
-    kept = df.columns
-    keyed = df.withColumn("_key", F.coalesce(key.cast("string"), F.lit("")))
-    draw = {
-        s.number: -F.log(unit_draw(F.col("_key"), f"shard-{s.number}")) / F.lit(float(s.weight))
-        for racks in tree.values() for rack in racks.values() for s in rack
-    }
-    drawn = keyed.select(*keyed.columns, *[d.alias(f"_s{n}") for n, d in draw.items()])
-    of_shard = lambda s: F.col(f"_s{s.number}")
-    of_rack = {(g, r): _least([of_shard(s) for s in rack]) for g, racks in tree.items() for r, rack in racks.items()}
-    racked = drawn.select(*drawn.columns, *[d.alias(f"_r{g}_{r}") for (g, r), d in of_rack.items()])
+    regions = _winner({g: _draw(f"region-{g}", _weight(racks)) for g, racks in tree.items()})
+    chosen = _keyed(df, key).select("*", regions.alias("_region"))
+    return _below(chosen, "_region", tree, out).select(*df.columns, out)
 
-    def in_rack(rack: list[Shard]) -> Column:
-        return _descend([(of_shard(s), F.lit(s.number)) for s in rack])
 
-    def in_region(g: int, racks: dict[int, list[Shard]]) -> Column:
-        return _descend([(F.col(f"_r{g}_{r}"), in_rack(rack)) for r, rack in racks.items()])
+def place_grown(
+    df: DataFrame, key: Column, shards: list[Shard], grown: list[Shard], out: str, grown_out: str
+) -> DataFrame:
+    """Add ``out`` and ``grown_out``, the shards of each row before and after regions are added.
 
-    regions = [
-        (_least([F.col(f"_r{g}_{r}") for r in racks]), in_region(g, racks)) for g, racks in tree.items()
-    ]
-    return racked.select(*kept, _descend(regions).cast("int").alias(out))
+    The result is that of two calls of ``place``, but every draw is made once. The regions of
+    ``shards`` must be in ``grown`` as they are (else ValueError): only then do rows move into the
+    new regions and nowhere else.
+    """
+    tree, larger = _tree(shards), _tree(grown)
+    if not tree or any(larger.get(g) != racks for g, racks in tree.items()):
+        raise ValueError("a grown tree has the regions of the tree as they are, and further ones")
+    added = {g: racks for g, racks in larger.items() if g not in tree}
+    draws = {g: _draw(f"region-{g}", _weight(racks)) for g, racks in larger.items()}
+    drawn = _keyed(df, key).select("*", *[d.alias(f"_g{g}") for g, d in draws.items()])
+    chosen = drawn.select(
+        *df.columns, "_key",
+        _winner({g: F.col(f"_g{g}") for g in tree}).alias("_region"),
+        _winner({g: F.col(f"_g{g}") for g in larger}).alias("_grown_region"),
+    )
+    placed = _below(chosen, "_region", tree, out)
+    if not added:
+        return placed.select(*df.columns, out, F.col(out).alias(grown_out))
+    moved = F.col("_grown_region").isin(list(added))
+    placed = _below(placed, "_grown_region", added, "_new")
+    after = F.when(moved, F.col("_new")).otherwise(F.col(out))
+    return placed.select(*df.columns, out, after.alias(grown_out))
 
 
 def with_slots(df: DataFrame, shard: str, order: list[str], slice_rows: int = 100_000) -> DataFrame:
@@ -123,7 +164,9 @@ def shard_documents(
 ) -> DataFrame:
     """Put every row into one of ``shards``, and say where it would be with ``grown``.
 
-    The law is ``key``: the id and the shards decide, nothing else. Returns one row per input row:
+    The law is ``key``: the id and the shards decide, nothing else, and rows move only into what is
+    new. So ``grown`` must keep the regions of ``shards`` as they are and add further ones (else
+    ValueError). Returns one row per input row:
     ``<id_col>``, size (UTF-8 bytes of the text plus 8), text_crc32, law, shard, slot (gapless from 0
     within the shard), grown_shard.
 
@@ -132,6 +175,7 @@ def shard_documents(
     * Rows with one id share a shard, as the law demands, and still get slots of their own; equal
       rows get theirs in any order.
     * Other columns are not read. An empty table gives an empty result.
+    * A text is only measured and summed up, whole, in the scan; however long, it is never shuffled.
 
     Slots of a shard are dealt in slices (see ``with_slots``); only rows equal in id and text share
     a slice whatever their number, at 40 bytes each, which Spark sorts with spilling.
@@ -142,8 +186,7 @@ def shard_documents(
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    placed = place(slim, F.col("_id"), shards, "shard")
-    placed = place(placed, F.col("_id"), grown, "grown_shard")
+    placed = place_grown(slim, F.col("_id"), shards, grown, "shard", "grown_shard")
     # rows that repeat an id are spread as well, as long as their texts differ
     row_key = F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("")), "size", "text_crc32", F.lit("slot"))
     head = F.substring(F.md5(row_key), 1, 8)

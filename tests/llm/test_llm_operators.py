@@ -20,11 +20,11 @@ from rolesift.llm import bpe, jaccard_join, language_id, quality, toxicity, url_
 from rolesift.llm.arrays import WHITE, chain_digests, slices, text_bytes, word_bounds, word_digests
 from rolesift.llm.components import components
 from rolesift.llm.decontamination import decontaminate
-from rolesift.llm.exact_dedup import ENTRY, exact_duplicates, merge_tree, send
+from rolesift.llm.exact_dedup import ENTRY, exact_duplicates, merge_runs, merge_tree, send, sorted_run
 from rolesift.llm.jaccard_join import near_duplicates
 from rolesift.llm.line_dedup import drop_boilerplate
 from rolesift.llm.packing import pack, pack_sorted, unpack, unpack_sorted
-from rolesift.llm.sharding import Shard, even_tree, place, shard_documents
+from rolesift.llm.sharding import Shard, even_tree, place, place_grown, shard_documents
 from rolesift.llm.sample import labelled_sample
 from rolesift.llm.url_filter import DigestArray, UrlRule, judge_urls, pack_rules
 
@@ -513,6 +513,34 @@ def test_tree_keeps_the_smallest_id(spark, fan_in, run_rows):
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in found} == plain_exact(texts)
 
 
+def test_the_largest_id_is_no_null(spark):
+    top = 2**63 - 1
+    rows = [(top, "a"), (None, "a"), (None, "b"), (None, "b"), (top, "c"), (-(2**63), "c")]
+    found = exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found), key=str)
+    assert got == sorted(
+        [(top, top, 2, True), (None, top, 2, False), (None, None, 2, True), (None, None, 2, False),
+         (top, -(2**63), 2, False), (-(2**63), -(2**63), 2, True)], key=str,
+    )
+
+
+def test_merged_runs_are_the_sorted_union():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        runs = []
+        for _ in range(rng.integers(1, 9)):
+            run = np.zeros(rng.integers(0, 30), dtype=ENTRY)
+            run["digest"] = rng.integers(0, 12, len(run))  # few digests: several texts under one
+            run["sha"] = [bytes([b]) * 32 for b in rng.integers(0, 3, len(run))]
+            run["no_id"] = rng.integers(0, 2, len(run))
+            run["keep"] = np.where(run["no_id"], 0, rng.integers(-9, 9, len(run)))
+            run["row"], run["rows"] = rng.integers(0, 1000, len(run)), 1
+            runs.append(run)
+        got = merge_runs([sorted_run(r) for r in runs])
+        assert got.tolist() == sorted_run(np.concatenate(runs)).tolist()
+        assert got["rows"].sum() == sum(map(len, runs))
+
+
 def test_digests_alone_do_not_make_texts_equal(spark):
     rows = [(i, i, 5, bytes([i % 3]) * 32, 4 + i % 2) for i in range(12)]  # one digest, six texts
     slim = spark.createDataFrame(rows, "id long, row long, digest long, sha binary, n_bytes long")
@@ -619,16 +647,21 @@ def test_round_trip_is_the_library(spark):
 
 
 def plain_shard(key, shards):
-    """Descend by the least draws, as the module says."""
+    """Descend by the least draw of each level, as the module says."""
 
-    def draw(s):
-        u = (int(hashlib.md5(f"{key}:shard-{s.number}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
-        return -math.log(u) / s.weight
+    def draw(name, weight):
+        u = (int(hashlib.md5(f"{key}:{name}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
+        return -math.log(u) / weight
 
     live = [s for s in shards if s.weight > 0]
-    for level in (lambda s: s.region, lambda s: (s.region, s.rack), lambda s: s.number):
-        best = min(live, key=draw)
-        live = [s for s in live if level(s) == level(best)]
+    for name in (
+        lambda s: f"region-{s.region}", lambda s: f"rack-{s.region}-{s.rack}", lambda s: f"shard-{s.number}"
+    ):
+        weights = {}
+        for s in live:
+            weights[name(s)] = weights.get(name(s), 0) + s.weight
+        best = min(weights, key=lambda n: draw(n, weights[n]))
+        live = [s for s in live if name(s) == best]
     return live[0].number
 
 
@@ -651,10 +684,30 @@ def test_only_the_subtree_with_a_new_weight_gains_or_loses(spark):
     grown = [*tree[:1], Shard(1, 0, 0, 6.0), *tree[2:]]
     ids = spark.range(4000)
     both = place(place(ids, F.col("id"), tree, "old"), F.col("id"), grown, "new").collect()
-    assert all(r.new in (r.old, 1) for r in both)
+    # region 0 and its rack 0 weigh more, for shard 1: rows enter these and never leave them
+    allowed = {0: {0, 1}, 1: {1}, 2: {0, 1, 2}, 3: {0, 1, 2, 3}}
+    assert all(r.new in allowed[r.old] for r in both)
+    assert any(r.old == 3 and r.new != 3 for r in both) and any(r.old == 0 and r.new == 1 for r in both)
     share = [sum(r.old == s for r in both) / 4000 for s in range(4)]
     assert np.allclose(share, [1 / 8, 3 / 8, 2 / 8, 2 / 8], atol=0.03)
     regions = sum(r.new == 3 for r in both) / 4000
     assert abs(regions - 2 / 11) < 0.03
+    assert all(r.old == plain_shard(r.id, tree) and r.new == plain_shard(r.id, grown) for r in both)
     with pytest.raises(ValueError):
         place(ids, F.col("id"), [Shard(0, 0, 0, 0.0)], "x")
+    with pytest.raises(ValueError):  # a region of the tree has changed, so rows could move between its shards
+        place_grown(ids, F.col("id"), tree, grown, "old", "new")
+
+
+def test_rows_move_into_the_new_region_only_and_make_few_draws(spark):
+    ids = spark.range(20_000)
+    moved = place_grown(ids, F.col("id"), even_tree(24), even_tree(25), "old", "new")
+    rows = moved.collect()
+    assert all(r.new in (r.old, 24) for r in rows)
+    assert abs(sum(r.new == 24 for r in rows) / len(rows) - 1 / 25) < 0.006
+    apart = place(place(ids, F.col("id"), even_tree(24), "old"), F.col("id"), even_tree(25), "new").collect()
+    assert sorted(apart) == sorted(rows)
+    share = np.bincount([r.old for r in rows], minlength=24) / len(rows)
+    assert np.allclose(share, 1 / 24, atol=0.006)
+    same = place_grown(ids, F.col("id"), even_tree(24), even_tree(24), "old", "new")
+    assert same.filter("old <> new").count() == 0
