@@ -606,11 +606,20 @@ def _anchors(spark, sf_dir):
 
 ROLE_LINK_WORDS = ("En", "the", "de", "ing")
 
+# On every second page the link texts end in character references of all kinds.
+_REFERENCES = " R&#38;D &eacute;&hellip;&#x2014;&#0160;"
+_REFERENCES_READ = "CASE WHEN page_id % 2 = 0 THEN txt || ' R&D é…—' ELSE txt END"
+_READ_LINKS_SQL = f"""{ANCHOR_SQL}, decoded AS (SELECT page_id, url, href, pos, {_REFERENCES_READ} AS txt FROM links)"""
+
+
+def _with_references(html):
+    return F.when(F.col("page_id") % 2 == 0, F.replace(html, F.lit("</a>"), F.lit(f"{_REFERENCES}</a>"))).otherwise(html)
+
 
 @query(
     "page_anchors",
-    f"""WITH {ANCHOR_SQL}, named AS (
-      SELECT page_id, pos, txt, {_ORIGIN_SQL} || href AS link_url FROM links
+    f"""WITH {_READ_LINKS_SQL}, named AS (
+      SELECT page_id, pos, txt, {_ORIGIN_SQL} || href AS link_url FROM decoded
       WHERE length(txt) BETWEEN 1 AND 120 AND (contains(lower(txt), 'en') OR contains(lower(txt), 'the')
         OR contains(lower(txt), 'de') OR contains(lower(txt), 'ing')))
     SELECT page_id, txt AS link_text, link_url FROM (
@@ -618,14 +627,14 @@ ROLE_LINK_WORDS = ("En", "the", "de", "ing")
     ) WHERE nth = 1""",
 )
 def _page_anchors(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", _with_references(F.col("html")).alias("html"))
     return role_links(pages, "url", "html", ROLE_LINK_WORDS).select("page_id", "link_text", "link_url")
 
 
 @query(
     "norm_generic",
-    f"""WITH {ANCHOR_SQL}, named AS (
-      SELECT page_id, pos, txt, {_ORIGIN_SQL} || href AS link_url FROM links
+    f"""WITH {_READ_LINKS_SQL}, named AS (
+      SELECT page_id, pos, txt, {_ORIGIN_SQL} || href AS link_url FROM decoded
       WHERE length(txt) BETWEEN 1 AND 120 AND contains(lower(txt), 'en'))
     SELECT 'page ' || page_id AS company_name, txt AS title, link_url AS apply_url, FALSE AS remote,
       'generic' AS ats_platform FROM (
@@ -638,7 +647,7 @@ def _norm_generic(spark, sf_dir):
         F.col("url").alias("identifier"),
         F.concat(F.lit("page "), "page_id").alias("company_name"),
         F.lit(200).alias("http_status"),
-        F.col("html").alias("body"),
+        _with_references(F.col("html")).alias("body"),
     )
     return normalize_provider(landed, "generic", role_words=("en",)).select(
         "company_name", "title", "apply_url", "remote", "ats_platform"

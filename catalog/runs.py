@@ -41,8 +41,17 @@ _SINCE = "2024-01-15 12:00:00"
 def _since_window(spark, sf_dir):
     """Posted text in several shapes; what cannot be dated is kept."""
     kind = F.col("event_type")
+    week = F.concat(
+        F.expr("extract(YEAROFWEEK FROM ts)").cast("string"),
+        F.lit("-W"),
+        F.lpad(F.weekofyear("ts").cast("string"), 2, "0"),
+        F.lit("-"),
+        (F.weekday("ts") + 1).cast("string"),
+        F.date_format("ts", "'T'HH:mm:ss.SSSSSS'Z'"),
+    )
     text = (
         F.when(kind == "error", F.concat(F.lit("about "), F.date_format("ts", "yyyy-MM-dd")))
+        .when((kind == "view") & (F.col("event_id") % 2 == 0), week)
         .when(kind == "view", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
         .when(kind == "click", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
         .when(

@@ -13,6 +13,9 @@ _ISO = (
     r"(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
 )
 
+# Year and week, then optionally the day of the week; the rest is as in other ISO text.
+_WEEK = r"^(\d{4})(-?)W(\d{2})(?:\2(\d))?(?![\d-])"
+
 # Day of the week, day, month, year, time, offset.
 _MAIL = (
     r"^(?:[A-Za-z]+\.?,?\s*)?(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*\.?,?[\s-]+(\d{4}|\d{2})"
@@ -56,12 +59,27 @@ def stated(c: Column) -> Column:
     return F.when((c != "") & F.coalesce(c.try_cast("double") != 0, F.lit(True)), c)
 
 
+def _calendar_text(c: Column) -> Column:
+    """ISO text with a week date ('2026-W31-4') as text with the day's calendar date.
+
+    Week 1 has January 4 and starts on a Monday, and a week without a day is its Monday. Null for a
+    week or a day that the year does not have; other text stays."""
+    part = [F.regexp_extract(c, _WEEK, k) for k in (1, 3, 4)]
+    year, week, day = (F.when(p == "", F.lit(1)).otherwise(p.try_cast("int")) for p in part)
+    fourth = F.when(year >= 1, F.make_date(year, F.lit(1), F.lit(4)))
+    monday = F.date_add(fourth, (week - 1) * 7 - F.weekday(fourth))
+    given = week.between(1, 53) & day.between(1, 7) & (F.weekofyear(monday) == week)
+    date = F.when(given, F.date_format(F.date_add(monday, day - 1), "yyyy-MM-dd"))
+    return F.when(c.rlike(_WEEK), F.concat(date, F.regexp_replace(c, _WEEK, ""))).otherwise(c)
+
+
 def from_iso_text(c: Column) -> Column:
     """ISO text to timestamp; text without an offset is UTC whatever the session zone is.
 
     The pattern is checked first because a cast also takes shapes that are not ISO
     ('2026', a zone name after the time). Absent parts come out blank and are filled in.
     """
+    c = _calendar_text(c)
     text = F.regexp_replace(c, _ISO, "$1-$3-$4T$5:$6:$7.$8Z$9")
     for blank, filled in (("T:", "T00:"), ("::", ":00:"), (":.", ":00."), (".Z", ".0Z")):
         text = F.replace(text, F.lit(blank), F.lit(filled))

@@ -1,13 +1,14 @@
 import hashlib
 import random
 import re
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
+from html import unescape
 from urllib.parse import urljoin
 
 from pyspark.sql import functions as F
 
 from rolesift.functions.dates import from_iso_text, from_mail_text, within_window
-from rolesift.functions.html import anchors
+from rolesift.functions.html import anchors, decode_entities
 from rolesift.functions.text import (
     contains_any,
     first_contained,
@@ -131,6 +132,39 @@ def test_anchors(spark):
     ]
 
 
+def test_character_references(spark):
+    same = [
+        "R&#38;D &eacute;", "a&b&&c&", "&;&#;&#x;", "&#xE9;&#XE9 &#0000233;", "&#128;&#x99;&#129;", "&#x1F600;",
+        "&#0;&#xD800;&#99999999999999999999;&#1114112;", "&amp;lt;", "&hellip;&NotEqualTilde;", "&copy 2026",
+        "&nosuch;", "plain", "", "&Eacute;&EACUTE;", "trail&amp", "\u00e9&lt;\U0001f600&gt;", "&nbsp;" * 3000,
+    ]
+    assert values(spark, decode_entities, same) == [unescape(t) for t in same]
+    # a name without a semicolon stays where a link's query has a parameter of that name
+    assert values(spark, decode_entities, ["?a=1&copy=2&lt;=3", None]) == ["?a=1&copy=2<=3", None]
+
+
+def test_space_references_end_a_link_text(spark):
+    html = "<a href='?x=1&#38;y=2'>&#160;<b>Caf&eacute;&#xa0;</b> &nbsp;R&amp;amp;D&#0160;</a>"
+    rows = anchors(spark.createDataFrame([(html,)], "html string")).collect()
+    assert [(r.href, r.link_text) for r in rows] == [("?x=1&y=2", "Caf\u00e9R&amp;D")]
+
+
+def test_week_dates_like_the_standard_library(spark):
+    texts = [f"{y:04}-W{k:02}-{n}T10:11:12Z" for y in (1, 2015, 2020, 2026, 9999) for k in (0, 1, 52, 53, 54) for n in (0, 1, 7, 8)]
+    texts += ["2026W314", "2026-W31", "2026W31", "2026-W31-4", "2026-W314", "2026W31-4", "2026W314T101112+0530"]
+
+    def micros(text):
+        try:
+            at = datetime.fromisoformat(text)
+            at = at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+            return (at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+        except (ValueError, OverflowError):
+            return None
+
+    got = values(spark, lambda c: F.unix_micros(from_iso_text(c)), texts)
+    assert got == [micros(t) for t in texts]
+
+
 def test_mail_dates_of_all_shapes(spark):
     at = lambda text: spark.range(1).select(F.unix_seconds(from_mail_text(F.lit(text))).alias("s")).first().s
     expected = 1_785_425_021  # 2026-07-30 15:23:41 UTC
