@@ -127,8 +127,8 @@ def route_companies(
     """(name, priority, career_page, ats_provider, ats_identifier, last_status, page_digest) of a run.
 
     A cached, supported board skips the page. Otherwise the page decides: error, detected board,
-    or the generic reader. Companies with a cached board never reach the page join, so detection
-    runs only where it is needed.
+    or the generic reader. Pages of companies with a cached board are reduced like all others and find
+    no company to join.
 
     One row per name: the last row of the list, and of several pages of a company the first by
     URL. ``page_digest`` tells which page that was; it is null where no page was looked at.
@@ -149,19 +149,16 @@ def route_companies(
         F.lit(None).cast("long").alias("page_digest"),
     )
 
-    # Pages are wide: keep the wanted ones, reduce each to its outcome, and only then join, so
-    # that no HTML goes through the outer join.
+    # Pages are wide: each is reduced to its outcome in the scan, and only outcomes are dealt out
+    # by name. Keeping the wanted pages first would send all of them through that join.
     open_companies = companies.filter(~cached)
-    wanted = pages.withColumnRenamed("company_name", "name").join(
-        open_companies.select("name"), "name", "left_semi"
-    )
     failure = (
         F.when(F.col("error").isNotNull(), F.concat(F.lit("error: "), "error"))
         .when(F.col("http_status").isNull(), F.lit("error: not fetched"))
         .when(F.col("http_status") >= 400, F.concat(F.lit("error: HTTP "), F.col("http_status")))
     )
-    outcomes = wanted.select(
-        "name",
+    outcomes = pages.select(
+        F.col("company_name").alias("name"),
         "page_url",
         "final_url",
         page_digest().alias("page_digest"),

@@ -30,6 +30,7 @@ from rolesift.schema import APPLIED_DDL, ARRIVAL, COMPANY_DDL, POSTING_STATE_DDL
 from rolesift.settings import Settings
 from rolesift.sources import normalize
 from rolesift.sources.companies import first_companies
+from rolesift.sources.pages import role_anchors
 from rolesift.sources.registry import board_names
 
 
@@ -87,11 +88,14 @@ def company_postings(
         F.col("career_page").alias("identifier"),
         "page_digest",
     )
-    page_rows = (
-        pages.select("company_name", "http_status", F.col("html").alias("body"), page_digest().alias("page_digest"))
-        .join(open_pages, ["company_name", "page_digest"])
-        .drop("page_digest")
+    # a page is reduced to its role anchors in the scan, so that no page goes through the join
+    reduced = pages.filter(F.col("http_status") == 200).select(
+        "company_name",
+        "http_status",
+        role_anchors(F.col("html"), settings.roles.include).alias("body"),
+        page_digest().alias("page_digest"),
     )
+    page_rows = reduced.join(open_pages, ["company_name", "page_digest"]).drop("page_digest")
     from_pages = normalize(
         page_rows.withColumn("provider", F.lit("generic")),
         providers=["generic"],

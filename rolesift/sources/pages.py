@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from rolesift.functions.html import anchor_array
 from rolesift.functions.text import contains_any
@@ -32,19 +33,28 @@ def _link(url: Column, anchor: Column) -> Column:
     return F.struct(url.alias("link_url"), anchor["item_no"], anchor["link_text"])
 
 
-def role_links(pages: DataFrame, page_url: str, html: str, role_words: Sequence[str]) -> DataFrame:
-    """Anchors of any page whose text names a role, first per resolved URL of a page.
+def role_anchors(html: Column, role_words: Sequence[str]) -> Column:
+    """The anchors of a page whose text names a role, before their targets are resolved.
 
-    Adds item_no, link_text, link_url to the other columns of ``pages``.
-    """
-    kept = [c for c in pages.columns if c != html]
+    All that is needed of a page, so joins can carry this instead of the page."""
 
     def named(a: Column) -> Column:
         text = a["link_text"]
         size = F.length(text)
         return (size > 0) & (size <= _MAX_LINK_TEXT) & contains_any(F.lower(text), role_words)
 
-    wanted = F.filter(anchor_array(F.col(html)), named)
+    return F.filter(anchor_array(html), named)
+
+
+def role_links(pages: DataFrame, page_url: str, html: str, role_words: Sequence[str]) -> DataFrame:
+    """Anchors of any page whose text names a role, first per resolved URL of a page.
+
+    ``html`` is the page, or its ``role_anchors``. Adds item_no, link_text, link_url to the other
+    columns of ``pages``.
+    """
+    kept = [c for c in pages.columns if c != html]
+    reduced = isinstance(pages.schema[html].dataType, ArrayType)
+    wanted = F.col(html) if reduced else role_anchors(F.col(html), role_words)
     links = F.transform(wanted, lambda a: _link(resolve_url(F.col(page_url), a["href"]), a))
     return _first_per_url(pages, kept, links)
 

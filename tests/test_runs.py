@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from rolesift.operators.reporting import evolve_reports
 from rolesift.operators.upsert import record_checks, upsert_companies, upsert_postings
-from rolesift.plans.daily import DailyRun, rank_postings, window_start
+from rolesift.operators.detection import route_companies
+from rolesift.plans.daily import DailyRun, company_postings, rank_postings, window_start
 from rolesift.plans.state import AppendTable, KeyedTable, list_names, mark_applied, path_exists, stage
 from rolesift.schema import APPLIED_DDL, COMPANY_DDL, PAYLOAD_DDL, POSTING_STATE_DDL, REPORT_DDL, conform
 from rolesift.settings import Limits, Settings
@@ -471,3 +472,30 @@ def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert len(files) > 1 and table.read().count() == 400
+
+
+def _join_inputs(plan):
+    """Names of the columns that go into the joins of a plan."""
+    children = [plan.children().apply(i) for i in range(plan.children().size())]
+    names = set()
+    if plan.nodeName() == "Join":
+        names |= {c.output().apply(i).name() for c in children for i in range(c.output().size())}
+    return names.union(*map(_join_inputs, children))
+
+
+def test_no_page_goes_through_a_join(spark):
+    html = "<a href='/jobs/1'>AI Engineer &amp; more</a><a href='x'>Imprint</a><a href='/jobs/1'>AI Engineer again</a>"
+    places = [("Page", "https://p.com/c", 200, html), ("Gone", "https://g.com/", 410, html), ("Blank", "https://b.com/", 200, None)]
+    landed = pages(spark, *[dict(company_name=n, page_url=u, final_url=u, http_status=s, html=h) for n, u, s, h in places])
+    companies = spark.createDataFrame(
+        [(i, place[0], place[1], "high") for i, place in enumerate(places)],
+        "file_pos bigint, name string, career_page string, priority string",
+    )
+    companies = conform(companies, f"file_pos bigint, {COMPANY_DDL}")
+    routes = route_companies(companies, landed)
+    found = company_postings(spark.createDataFrame([], PAYLOAD_DDL), landed, routes, SETTINGS)
+    assert [(r.company_name, r.title, r.apply_url) for r in found.collect()] == [
+        ("Page", "AI Engineer & more", "https://p.com/jobs/1")
+    ]
+    carried = _join_inputs(found._jdf.queryExecution().optimizedPlan())
+    assert "html" not in carried and "page_digest" in carried
