@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rolesift.operators.detection import page_digest, route_companies
 from rolesift.operators.identity import dedupe_and_mark, with_hash
-from rolesift.operators.relevance import relevant_postings
+from rolesift.operators.relevance import is_relevant, relevant_postings
 from rolesift.operators.reporting import (
     OTHER,
     TOP,
@@ -30,6 +30,7 @@ from rolesift.schema import APPLIED_DDL, ARRIVAL, COMPANY_DDL, POSTING_STATE_DDL
 from rolesift.settings import Settings
 from rolesift.sources import normalize
 from rolesift.sources.companies import first_companies
+from rolesift.sources.normalize import Step
 from rolesift.sources.pages import role_anchors
 from rolesift.sources.registry import board_names
 
@@ -55,6 +56,23 @@ def scored_postings(postings: DataFrame, settings: Settings) -> DataFrame:
     return with_hash(scored.drop("description"))
 
 
+def score_items(settings: Settings) -> Step:
+    """The same scores on items, as the early step of ``normalize``: descriptions end ahead of its joins
+    and claims too. Items of no wanted role wait for a claim to be settled, but are not searched."""
+
+    def early(items: DataFrame) -> DataFrame:
+        wanted = F.when(is_relevant(F.col("title"), settings.roles), F.col("description")).otherwise("")
+        scored = score_postings(items.withColumn("description", wanted), settings.profile, settings.roles)
+        return scored.drop("description")
+
+    return early
+
+
+def relevant_scored(postings: DataFrame, settings: Settings) -> DataFrame:
+    """``scored_postings`` of postings that were scored as items."""
+    return with_hash(relevant_postings(postings, settings.roles))
+
+
 def rank_scored(
     scored: DataFrame,
     known: DataFrame,
@@ -68,9 +86,15 @@ def rank_scored(
 
 
 def company_postings(
-    payloads: DataFrame, pages: DataFrame, routes: DataFrame, settings: Settings
+    payloads: DataFrame,
+    pages: DataFrame,
+    routes: DataFrame,
+    settings: Settings,
+    early: Step | None = None,
 ) -> DataFrame:
-    """Postings of all routed companies: boards by (provider, identifier), pages by name."""
+    """Postings of all routed companies: boards by (provider, identifier), pages by name.
+
+    Neither bodies nor pages go through a join; descriptions do unless ``early`` drops them."""
     names = board_names()
     boards = routes.filter(F.col("ats_provider").isin(names)).select(
         F.col("ats_provider").alias("provider"),
@@ -79,8 +103,7 @@ def company_postings(
         F.col("priority").alias("company_priority"),
     )
     answers = payloads.filter(F.col("provider").isin(names)).drop("company_name")
-    routed = answers.join(boards, ["provider", "identifier"])
-    from_boards = normalize(routed, providers=names)
+    from_boards = normalize(answers, providers=names, early=early, routes=boards)
 
     open_pages = routes.filter(F.col("ats_provider") == "generic").select(
         F.col("name").alias("company_name"),
@@ -100,12 +123,15 @@ def company_postings(
         page_rows.withColumn("provider", F.lit("generic")),
         providers=["generic"],
         role_words=settings.roles.include,
+        early=early,
     )
     return from_boards.unionByName(from_pages)
 
 
-def feed_postings(payloads: DataFrame, since: Column | None, settings: Settings) -> DataFrame:
-    return normalize(payloads, providers=settings.feeds, since=since)
+def feed_postings(
+    payloads: DataFrame, since: Column | None, settings: Settings, early: Step | None = None
+) -> DataFrame:
+    return normalize(payloads, providers=settings.feeds, since=since, early=early)
 
 
 def window_start(reports: DataFrame, now: Column, lookback_days: int) -> Column:
@@ -164,14 +190,15 @@ class DailyRun:
         routes = stage(route_companies(listed, pages), "routes", scratch)
         earlier = self.reports.read().filter(F.col("run_started_at") < start)
         since = window_start(earlier, start, s.limits.first_run_lookback_days)
-        postings = company_postings(payloads, pages, routes, s).unionByName(
-            feed_postings(payloads, since, s)
+        early = score_items(s)
+        postings = company_postings(payloads, pages, routes, s, early).unionByName(
+            feed_postings(payloads, since, s, early)
         )
         for table in (self.companies, self.postings):
             table.recover()
         stored = self.postings.read().filter(F.col("first_run_at") < start)
         ranked = stage(
-            rank_postings(postings, stored, self.applied.read(), s).withColumn(
+            rank_scored(relevant_scored(postings, s), stored, self.applied.read(), s).withColumn(
                 "seen_at", F.coalesce("fetched_at", start)
             ),
             "ranked",

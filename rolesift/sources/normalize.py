@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +14,9 @@ from rolesift.operators.topk import first_k
 from rolesift.schema import POSTING_COLUMNS
 from rolesift.sources import boards, feeds  # noqa: F401  (fill the registry)
 from rolesift.sources.pages import page_items
-from rolesift.sources.registry import PROVIDERS, RESPONSE_COLUMNS, Provider, item_columns
+from rolesift.sources.registry import ITEM_FIELDS, PROVIDERS, RESPONSE_COLUMNS, Provider, item_columns
+
+Step = Callable[[DataFrame], DataFrame]
 
 
 def envelope(payloads: DataFrame) -> DataFrame:
@@ -70,23 +72,34 @@ def parsed_items(landed: DataFrame, providers: Sequence[Provider]) -> DataFrame:
     )
 
 
-def _canonical(items: DataFrame, since: Column | None) -> DataFrame:
-    """Drop what a reader drops and name the columns of a posting. Boards are not windowed."""
+def _fresh(since: Column | None) -> Column:
+    """What a reader keeps of its items. Boards are not windowed."""
+    return F.col("keep") & ((F.col("source_rank") == 0) | within_window(F.col("posted_at"), since))
+
+
+def _canonical(items: DataFrame) -> DataFrame:
+    """Name the columns of a posting; columns that an early step added go along."""
     is_feed = F.col("source_rank") > 0
-    fresh = ~is_feed | within_window(F.col("posted_at"), since)
     company = F.when(is_feed, F.col("company_name")).otherwise(F.col("response_company"))
     key = F.when(is_feed, "").otherwise(F.concat_ws("\x01", "response_company", "identifier"))
-    return (
-        items.filter(F.col("keep") & fresh)
-        .withColumns(
-            {
-                "company_name": text_or_blank(company),
-                "company_priority": text_or_blank(F.col("company_priority")),
-                "board_key": key,
-            }
-        )
-        .select(*POSTING_COLUMNS)
+    named = items.withColumns(
+        {
+            "company_name": text_or_blank(company),
+            "company_priority": text_or_blank(F.col("company_priority")),
+            "board_key": key,
+        }
     )
+    carried = [c for c in POSTING_COLUMNS if c in named.columns]
+    own = {*carried, *ITEM_FIELDS, *RESPONSE_COLUMNS, "_fresh"}
+    return named.select(*carried, *[c for c in named.columns if c not in own])
+
+
+def _routed(items: DataFrame, routes: DataFrame) -> DataFrame:
+    """Items of the boards in ``routes``, each with the company that is fetched from there."""
+    companies = routes.select(
+        "provider", "identifier", F.col("company_name").alias("response_company"), "company_priority"
+    )
+    return items.drop("response_company", "company_priority").join(companies, ["provider", "identifier"])
 
 
 def normalize(
@@ -94,11 +107,19 @@ def normalize(
     providers: Sequence[str] | None = None,
     since: Column | None = None,
     role_words: Sequence[str] = (),
+    early: Step | None = None,
+    routes: DataFrame | None = None,
 ) -> DataFrame:
     """Postings of the named providers (default: all that are registered).
 
     One branch for everything that is parsed, one for each provider that needs a first-wins step
     of its own. Every branch filters on ``provider``, so a table partitioned by it is pruned.
+
+    ``early`` is a step on the items of one row each (the fields of an item and the columns of its
+    response), ahead of every exchange: what it drops, say the descriptions once they are scored, is
+    shuffled nowhere. It keeps all rows. ``routes`` (provider, identifier, company_name,
+    company_priority) gives companies to the responses and drops those without one; responses
+    become items in the scan, so the join carries items and no body.
     """
     chosen = [PROVIDERS[n] for n in (PROVIDERS if providers is None else providers)]
     landed = envelope(payloads)
@@ -106,14 +127,18 @@ def normalize(
     plain = [p for p in chosen if p.body != "html" and not p.claims]
     if plain:
         branches.append(parsed_items(landed, plain))
+    branches += [page_items(landed, p, role_words) for p in chosen if p.body == "html"]
+    settle = early or (lambda items: items)
+    found = [settle(items.filter(_fresh(since))) for items in branches]
     for provider in chosen:
-        if provider.body == "html":
-            branches.append(page_items(landed, provider, role_words))
-        elif provider.claims:
+        if provider.body != "html" and provider.claims:
             # The claim spans all responses of a run and comes before the title and window tests.
-            claimed = parsed_items(landed, [provider]).filter(F.col("claim") != "")
-            branches.append(first_k(claimed, ["claim"], ["batch_no", "item_no", "response_digest"], 1))
-    return reduce(DataFrame.unionByName, [_canonical(b, since) for b in branches])
+            items = parsed_items(landed, [provider]).filter(F.col("claim") != "")
+            tested = settle(items.withColumn("_fresh", F.coalesce(_fresh(since), F.lit(False))))
+            found.append(first_k(tested, ["claim"], ["batch_no", "item_no", "response_digest"], 1).filter("_fresh"))
+    if routes is not None:
+        found = [_routed(items, routes) for items in found]
+    return reduce(DataFrame.unionByName, [_canonical(items) for items in found])
 
 
 def normalize_provider(

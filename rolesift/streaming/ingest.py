@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rolesift.operators.identity import drop_applied, first_arrivals, mark_new
 from rolesift.operators.upsert import upsert_postings
-from rolesift.plans.daily import rank_scored, scored_postings
+from rolesift.plans.daily import rank_scored, relevant_scored, score_items
 from rolesift.plans.state import AppendTable, KeyedTable, drop_path, list_names, path_exists
 from rolesift.schema import ARRIVAL, PAYLOAD_DDL
 from rolesift.settings import Settings
@@ -110,8 +110,8 @@ def ingest_payloads(
     """Landed payloads to ranked, stored postings."""
 
     def prepare(batch: DataFrame) -> DataFrame:
-        postings = normalize(batch, role_words=settings.roles.include)
-        return scored_postings(postings, settings).withColumn("seen_at", F.col("fetched_at"))
+        postings = normalize(batch, role_words=settings.roles.include, early=score_items(settings))
+        return relevant_scored(postings, settings).withColumn("seen_at", F.col("fetched_at"))
 
     def rank(prepared: DataFrame, stored: DataFrame) -> DataFrame:
         # copies of a posting may come from several fetches, of which the first and the last count

@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 from rolesift.operators.reporting import evolve_reports
 from rolesift.operators.upsert import record_checks, upsert_companies, upsert_postings
 from rolesift.operators.detection import route_companies
-from rolesift.plans.daily import DailyRun, company_postings, rank_postings, window_start
+from rolesift.plans.daily import (
+    DailyRun,
+    company_postings,
+    feed_postings,
+    rank_postings,
+    relevant_scored,
+    score_items,
+    scored_postings,
+    window_start,
+)
 from rolesift.plans.state import AppendTable, KeyedTable, list_names, mark_applied, path_exists, stage
-from rolesift.schema import APPLIED_DDL, COMPANY_DDL, PAYLOAD_DDL, POSTING_STATE_DDL, REPORT_DDL, conform
+from rolesift.schema import APPLIED_DDL, COMPANY_DDL, PAGE_DDL, PAYLOAD_DDL, POSTING_STATE_DDL, REPORT_DDL, conform
 from rolesift.settings import Limits, Settings
 from rolesift.sources import normalize
 from rolesift.streaming import ingest
@@ -359,7 +368,7 @@ def _break(*_):
 def test_a_batch_that_fails_while_it_is_staged_is_not_lost(spark, tmp_path, monkeypatch):
     """The folder of the failed batch is there, without rows or with some, and not marked as whole."""
     state, consume, stored = _broken_stream(spark, tmp_path)
-    calls, real = [], ingest.scored_postings
+    calls, real = [], ingest.relevant_scored
 
     def fail_once(postings, settings):
         calls.append(1)
@@ -369,7 +378,7 @@ def test_a_batch_that_fails_while_it_is_staged_is_not_lost(spark, tmp_path, monk
         return found
 
     with monkeypatch.context() as broken:
-        broken.setattr(ingest, "scored_postings", fail_once)
+        broken.setattr(ingest, "relevant_scored", fail_once)
         with pytest.raises(Exception, match="down"):
             consume()
     assert state.read().count() == 0
@@ -474,13 +483,14 @@ def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
     assert len(files) > 1 and table.read().count() == 400
 
 
-def _join_inputs(plan):
+def _join_inputs(plan, typed=False):
     """Names of the columns that go into the joins of a plan."""
     children = [plan.children().apply(i) for i in range(plan.children().size())]
     names = set()
     if plan.nodeName() == "Join":
-        names |= {c.output().apply(i).name() for c in children for i in range(c.output().size())}
-    return names.union(*map(_join_inputs, children))
+        for column in (c.output().apply(i) for c in children for i in range(c.output().size())):
+            names.add(f"{column.name()} {column.dataType().simpleString()}" if typed else column.name())
+    return names.union(*(_join_inputs(c, typed) for c in children))
 
 
 def test_no_page_goes_through_a_join(spark):
@@ -499,3 +509,46 @@ def test_no_page_goes_through_a_join(spark):
     ]
     carried = _join_inputs(found._jdf.queryExecution().optimizedPlan())
     assert "html" not in carried and "page_digest" in carried
+
+
+def test_no_body_and_no_description_is_shuffled_in_a_run(spark):
+    landed = payloads(spark, _capped(2, "a", 0))
+    companies = conform(spark.createDataFrame([(0, "A")], "file_pos bigint, name string"), f"file_pos bigint, {COMPANY_DDL}")
+    no_pages = spark.createDataFrame([], PAGE_DDL)
+    routes, early = route_companies(companies, no_pages), score_items(SETTINGS)
+    whole = company_postings(landed, no_pages, routes, SETTINGS)
+    assert "body string" not in _join_inputs(whole._jdf.queryExecution().optimizedPlan(), True)
+    feeds = feed_postings(landed, None, SETTINGS, early)
+    found = relevant_scored(company_postings(landed, no_pages, routes, SETTINGS, early).unionByName(feeds), SETTINGS)
+    carried = _exchanged(found._jdf.queryExecution().executedPlan())
+    assert "claim" in carried and not carried & {"html", "description"}
+
+
+def _exchanged(plan):
+    """Names of the columns that go through the exchanges of a physical plan."""
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        plan = plan.initialPlan()
+    names = set()
+    if "Exchange" in plan.nodeName():
+        names |= {plan.output().apply(i).name() for i in range(plan.output().size())}
+    children = [plan.children().apply(i) for i in range(plan.children().size())]
+    return names.union(*map(_exchanged, children))
+
+
+@pytest.mark.parametrize("provider", ["himalayas", "jobicy"])
+def test_items_scored_early_are_the_postings_scored_late(spark, provider):
+    """An item of no wanted role still claims its id."""
+    role = SETTINGS.roles.include[0]
+    titles = [f"{role} one", "Cook", f"{role} two", f"{role} last"]
+    if provider == "himalayas":
+        body = {"jobs": [{"guid": g, "title": t, "companyName": "C", "description": f"{i + 2} years python"}
+                         for i, (g, t) in enumerate(zip("abbc", titles))]}
+    else:
+        body = {"jobs": [{"jobTitle": t, "companyName": "C", "jobExcerpt": f"{i + 2} years python"} for i, t in enumerate(titles)]}
+    landed = payloads(spark, dict(provider=provider, identifier="x", http_status=200, body=json.dumps(body)))
+    late = scored_postings(feed_postings(landed, None, SETTINGS), SETTINGS)
+    early = relevant_scored(feed_postings(landed, None, SETTINGS, score_items(SETTINGS)), SETTINGS)
+    columns = sorted(late.columns)
+    assert sorted(early.columns) == columns
+    rows = [sorted(map(repr, df.select(columns).collect())) for df in (early, late)]
+    assert rows[0] == rows[1] and len(rows[0]) == (2 if provider == "himalayas" else 3)
