@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog.registry import query
@@ -540,7 +540,7 @@ def _check_update(spark, sf_dir):
     SELECT run_date, n AS total_jobs_found, NULL::BIGINT AS companies_checked, n AS sources_checked
     FROM d WHERE event_type = 'view'
     UNION ALL SELECT run_date, n, n, NULL FROM d WHERE event_type = 'click'
-    UNION ALL SELECT run_date, n, n, n FROM d WHERE event_type = 'purchase'""",
+    UNION ALL SELECT run_date, n, n, n FROM d WHERE event_type NOT IN ('view', 'click') OR event_type IS NULL""",
 )
 def _report_evolution(spark, sf_dir):
     daily = (
@@ -548,14 +548,14 @@ def _report_evolution(spark, sf_dir):
         .groupBy(F.to_date("ts").alias("run_date"), "event_type")
         .agg(F.count("*").alias("total_jobs_found"))
     )
-    n = F.col("total_jobs_found")
+    n, kind = F.col("total_jobs_found"), F.col("event_type")
 
-    def shape(kind: str, *counters: str) -> DataFrame:
-        rows = daily.filter(F.col("event_type") == kind)
-        return rows.select("run_date", n, *[n.alias(c) for c in counters])
+    def shape(test: Column, *counters: str) -> DataFrame:
+        return daily.filter(test).select("run_date", n, *[n.alias(c) for c in counters])
 
-    current = conform(shape("purchase", "companies_checked", "sources_checked"), REPORT_DDL)
-    older = [shape("view", "sources_checked"), shape("click", "companies_checked")]
+    rest = kind.isNull() | ~kind.isin("view", "click")
+    current = conform(shape(rest, "companies_checked", "sources_checked"), REPORT_DDL)
+    older = [shape(kind == "view", "sources_checked"), shape(kind == "click", "companies_checked")]
     return evolve_reports(older, current).select(
         "run_date", "total_jobs_found", "companies_checked", "sources_checked"
     )

@@ -162,16 +162,29 @@ def candidates(tasks: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str], salts: int = 8
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    spread_by: Sequence[str],
+    salts: int = 64,
+    share: int = 1000,
+    least: int = 100_000,
 ) -> DataFrame:
     """Inner join where ``left`` may be hot on a key and ``right`` has each key once.
 
-    The left rows of a key go to ``salts`` tasks, picked by the columns in ``spread_by``; the
-    right side is repeated that often, which is a fixed factor.
+    The keys of ``left`` are counted first. A key is hot if it has more than one in ``share`` of all rows
+    and more than ``least``; there are fewer than ``share`` such keys whatever the size, so their list
+    is broadcast. Rows of a hot key go to ``salts`` tasks, picked by the columns in ``spread_by``,
+    and its row of the right side is repeated that often. All other rows are left as they are.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "_salt"]).drop("_salt")
+    counts = left.groupBy(*on).agg(F.count("*").alias("_rows"))
+    total = counts.agg(F.sum("_rows").alias("_total")).scalar()
+    bar = F.greatest(total / F.lit(share), F.lit(float(least)))
+    hot = F.broadcast(counts.filter(F.col("_rows") > bar).select(*on, F.lit(salts).alias("_salts")))
+    ways = F.coalesce(F.col("_salts"), F.lit(1))
+    salted = left.join(hot, list(on), "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), ways).cast("int"))
+    repeated = right.join(hot, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), ways - 1)))
+    return salted.drop("_salts").join(repeated.drop("_salts"), [*on, "_salt"]).drop("_salt")
 
 
 def live_boards(boards: DataFrame) -> DataFrame:
@@ -193,18 +206,25 @@ def first_live(candidate_rows: DataFrame, boards: DataFrame) -> DataFrame:
 
 
 def resolve(sheet: DataFrame, seeds: DataFrame, boards: DataFrame) -> DataFrame:
-    """All sheet rows with provider, identifier, job_count or the reason why not."""
+    """All sheet rows with provider, identifier, job_count or the reason why not.
+
+    What is tried depends on the name and the stated platforms alone, so each such pair is resolved
+    once, under the first of its rows, and the outcome goes back to all of them.
+    """
     tasks = tasks_of(sheet, seeds)
-    hits = first_live(candidates(tasks, seeds), boards).select(
+    pair = ["company", "providers"]
+    once = tasks.filter("attempt").groupBy(*pair, "name_key", "attempt").agg(F.min("row_no").alias("row_no"))
+    hits = first_live(candidates(once, seeds), boards).select(
         "row_no", "provider", "identifier", "job_count"
     )
+    hits = once.select("row_no", *pair).join(hits, "row_no").drop("row_no")
     blank = F.when(F.col("ats_text") == "", F.lit("(blank)")).otherwise(F.col("ats_text"))
     reason = (
         F.when(F.col("provider").isNotNull(), F.lit(None))
         .when(F.col("attempt"), F.lit(NOT_FOUND))
         .otherwise(F.concat(F.lit(UNSUPPORTED), blank))
     )
-    return tasks.join(hits, "row_no", "left").select(
+    return tasks.join(hits, pair, "left").select(
         "row_no", "company", "provider", "identifier", "job_count", "attempt", reason.alias("reason")
     )
 

@@ -14,6 +14,7 @@ from rolesift.operators.coverage import (
     untested_providers,
     with_coverage,
 )
+from rolesift.operators import discovery
 from rolesift.operators.detection import (
     BOARD_RULES,
     detect_along_links,
@@ -201,7 +202,31 @@ def test_spread_join_equals_a_join_with_a_hot_key(spark):
     left = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'hot', concat('k', id % 50)) AS k", "'p' AS p")
     right = spark.range(40).selectExpr("concat('k', id) AS k", "'p' AS p", "id AS v").union(spark.sql("SELECT 'hot', 'p', 99L"))
     pick = lambda df: sorted((r.id, r.v) for r in df.collect())
-    assert pick(spread_join(left, right, ["k", "p"], ["id"])) == pick(left.join(right, ["k", "p"]))
+    plain = pick(left.join(right, ["k", "p"]))
+    assert pick(spread_join(left, right, ["k", "p"], ["id"])) == plain
+    # one key in five of the rows, all others in one of a hundred at most
+    assert pick(spread_join(left, right, ["k", "p"], ["id"], salts=7, share=10, least=1)) == plain
+
+
+def test_a_repeated_name_is_resolved_once(spark, monkeypatch):
+    """A name with other stated platforms is another task; each row gets the outcome of its own."""
+    texts = ["lever"] * 300 + ["ashby"] * 200 + ["none"]
+    sheet = spark.createDataFrame([(i, "Acme", t) for i, t in enumerate(texts)], "row_no bigint, company string, ats_text string")
+    sheet = sheet.union(spark.createDataFrame([(900, None, "lever"), (901, "", "lever")], sheet.schema))
+    seeds = spark.createDataFrame([], "name_key string, provider string, identifier string, seed_pos bigint")
+    boards = spark.createDataFrame([("lever", "acme", 4), ("ashby", "acmeai", 5)], "provider string, identifier string, job_count int")
+    tried, real = [], discovery.first_live
+
+    def counted(rows, live):
+        tried.append(rows.count())
+        return real(rows, live)
+
+    monkeypatch.setattr(discovery, "first_live", counted)
+    got = {r.row_no: (r.provider, r.identifier, r.job_count, r.attempt) for r in resolve(sheet, seeds, boards).collect()}
+    assert len(got) == 503 and tried[0] < 40
+    assert {got[i] for i in range(300)} == {("lever", "acme", 4, True)}
+    assert {got[i] for i in range(300, 500)} == {("ashby", "acmeai", 5, True)}
+    assert got[500] == (None, None, None, False) and got[900] == got[901] == (None, None, None, True)
 
 
 def test_payload_counts(spark):
