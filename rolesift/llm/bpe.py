@@ -113,6 +113,37 @@ def encode_texts(
     return docs.mapInArrow(run, schema)
 
 
+def encode_and_decode(
+    docs: DataFrame,
+    rank_file: str,
+    pattern: str,
+    text_col: str = "text",
+    ids_col: str = "token_ids",
+    digest_col: str = "decoded_sha256",
+) -> DataFrame:
+    """Replace ``text_col`` by ``ids_col``, the token ids as array<int>, and ``digest_col``, the lowercase hex
+    sha-256 of the bytes that they decode to. The same as ``encode_texts`` and the digest of ``decode_ids``
+    (nulls, long texts, repeated rows and empty tables too), but by one Python worker a task and without
+    sending ids or texts back for it. Columns that already have one of the two names are replaced."""
+    shared = _ranks_on_executors(docs.sparkSession, rank_file)
+    docs = docs.drop(*{ids_col, digest_col} - {text_col})
+    added = {ids_col: F.lit(None).cast("array<int>"), digest_col: F.lit(None).cast("string")}
+    schema = docs.drop(text_col).withColumns(added).schema
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = encoding(shared.value, pattern)
+        for batch in slices(batches, text_col):
+            ids = [encode(tokenizer, t or "") for t in batch.column(text_col).to_pylist()]
+            digests = [hashlib.sha256(decode(tokenizer, i)).hexdigest() for i in ids]
+            flat = np.concatenate([np.zeros(0, dtype="<u4"), *ids]).astype(np.int32)
+            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            batch = batch.drop_columns([text_col])
+            batch = batch.append_column(ids_col, pa.ListArray.from_arrays(offsets, flat))
+            yield batch.append_column(digest_col, pa.array(digests, pa.string()))
+
+    return docs.mapInArrow(run, schema)
+
+
 def decode_ids(
     encoded: DataFrame,
     rank_file: str,

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rolesift.llm.bpe import encode_texts, round_trip
+from rolesift.llm.bpe import decode_ids, encode_and_decode, encode_texts, round_trip
 from rolesift.llm.decontamination import decontaminate
 from rolesift.llm.exact_dedup import exact_duplicates
 from rolesift.llm.filtering import free_name
@@ -212,3 +212,15 @@ def test_first_stage_keeps_clean_documents_without_any_profile(spark, ids, lang)
     kept = corpus_pipeline.known_language(spark, docs, "").collect()
     assert sorted(r.text for r in kept) == sorted([f"a clean text {i}" for i in ids] + ["\u65e5\u672c"])
     assert {r.lang_pred for r in with_language(docs).collect()} == {"und"}
+
+
+def test_encoding_and_decoding_in_one_pass_equals_both(spark):
+    """Also with columns that have the names of the result, and for a table without rows."""
+    docs = documents(spark).drop("decoded").withColumns({"token_ids": F.lit("x"), "decoded_sha256": F.lit(1)})
+    both = decode_ids(encode_texts(docs, RANKS, PATTERN), RANKS, PATTERN)
+    both = both.drop("text", "decoded_sha256").withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    once = encode_and_decode(docs, RANKS, PATTERN)
+    assert sorted(once.columns) == sorted(both.columns)
+    order = sorted(both.columns)
+    assert sorted(map(repr, once.select(order).collect())) == sorted(map(repr, both.select(order).collect()))
+    assert encode_and_decode(docs.limit(0), RANKS, PATTERN).count() == 0
