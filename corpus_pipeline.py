@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesift.llm.bpe import decode_ids, encode_texts
+from rolesift.llm.bpe import encode_and_decode
 from rolesift.llm.decontamination import decontaminate
 from rolesift.llm.exact_dedup import exact_duplicates, normal_text
 from rolesift.llm.filtering import drop_all, free_name, keep_one, text_digest
@@ -55,15 +55,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, token_ids, decoded_sha256 (of the bytes the ids stand for)."""
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    encoded = encode_texts(docs, ranks, pattern).select("doc_id", "lang", "source", "token_ids")
-    decoded = decode_ids(encoded, ranks, pattern)
-    return decoded.select(
+    encoded = encode_and_decode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern)
+    return encoded.select(
         "doc_id",
         "lang",
         "source",
         F.size("token_ids").cast("long").alias("n_tokens"),
         "token_ids",
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "decoded_sha256",
     )
 
 
