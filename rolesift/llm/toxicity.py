@@ -8,6 +8,11 @@ offending spans; the sum and the maximum of the probabilities make the document'
 Labels say only which documents are toxic, so words are labelled first: in a toxic document a word
 is toxic if it has a feature that stands in toxic documents far more often than chance allows,
 given how many features there are.
+
+Few documents, or words that are merely more frequent in toxic ones, give no such feature. So the
+score has one more input, the evidence of all words together: a ridge-penalised logistic regression
+on the document's features, weighed by rarity. How much it counts is learned from documents that the
+regression was not fitted on.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ DOCS_PER_LABEL = 2_500
 #: Words of a stretch that the field is trained on, and of a block in scoring.
 STRETCH, BLOCK = 128, 64
 EPOCHS, RATE, DECAY = 60, 0.5, 1e-5
+#: Penalty and steps of the regression behind the evidence, and parts that hold out documents in turn.
+RIDGE, STEPS, PARTS = 0.1, 100, 4
 _NONE = BUCKETS  # the bucket of a feature that a word does not have; its weight is 0
 
 #: Words are letters and digits of ASCII, and all other characters.
@@ -65,20 +72,56 @@ def words_of(texts: pa.Array) -> Words:
     return Words(begins, ends, features, of_texts(begins, starts), starts)
 
 
+@dataclass(frozen=True)
+class Evidence:
+    """A regression on whole documents: rarity (0: not known) and weight of every feature, its bias and
+    what a text without known features gets, the mean of plain ones."""
+
+    rarity: np.ndarray
+    weights: np.ndarray
+    bias: float
+    plain: float
+
+    def of(self, words: Words) -> np.ndarray:
+        n = len(words.bounds) - 1
+        doc, bucket, value = _terms(words, self.rarity)
+        found = np.bincount(doc, value * self.weights[bucket], n) + self.bias
+        return np.where(np.bincount(doc, minlength=n) > 0, found, self.plain)
+
+
+def _terms(words: Words, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, bucket and value of each known feature a document has; values have unit length."""
+    buckets = words.buckets
+    known = rarity[buckets] > 0
+    owner = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
+    key = np.broadcast_to(owner, buckets.shape)[known] * (BUCKETS + 1) + buckets[known]
+    key, times = np.unique(key, return_counts=True)
+    doc, bucket = np.divmod(key, BUCKETS + 1)
+    value = np.log1p(times) * rarity[bucket]
+    length = np.sqrt(np.bincount(doc, value**2, len(words.bounds) - 1))
+    return doc, bucket, value / length[doc]
+
+
 @dataclass(frozen=True)
 class Field:
-    """Feature weights (one more for absent features), bias, tag pair weights and the weights that
-    make a document's score of 1, the log odds of its likeliest word and the log of the sum."""
+    """Feature weights (one more for absent features), bias, tag pair weights, the evidence of whole
+    documents and the weights that make a document's score of its inputs."""
 
     weights: np.ndarray
     bias: float
     pairs: np.ndarray  # [from, to], tag 1 is toxic
+    evidence: Evidence
     document: np.ndarray
 
     def emissions(self, words: Words) -> np.ndarray:
         """Log weight of the toxic tag over the plain one, per word."""
         return self.weights[words.buckets].sum(axis=0) + self.bias
 
+    def scores(self, words: Words, p: np.ndarray) -> np.ndarray:
+        """Scores of documents whose words are toxic with probabilities ``p``."""
+        inputs = np.column_stack([document_inputs(p, words.bounds), self.evidence.of(words)])
+        return _logistic(inputs @ self.document)
+
 
 def _blocks(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cut each text into blocks: first word, number of words and text of every block."""
@@ -228,28 +271,9 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(sample: pa.Table, seed: int = 5) -> Field:
-    """Label words, fit the field on stretches of labelled words, then fit the documents' score.
-
-    Without toxic documents, or without others, nothing is a toxic word, and every score is the
-    share of toxic documents."""
-    labels = np.array([int(x) for x in sample.column("label").to_pylist()], dtype=np.int64)
-    rows = np.array(sample.column("n").to_pylist(), dtype=np.float64)
-    size = [float(rows[labels == c].max()) if (labels == c).any() else 0.0 for c in (0, 1)]
-    nothing = np.zeros(BUCKETS + 1, dtype=np.float32)
-    prior = (size[1] + 0.5) / (size[0] + size[1] + 1.0)
-    start = np.array([np.log(prior / (1 - prior)), 0.0, 0.0])
-    if not all(size):
-        return Field(nothing, -10.0, np.zeros((2, 2)), start)
-
-    batch = pa.record_batch([sample.column("text").combine_chunks()], names=["text"])
-    parts, flags, at = [], [], 0
-    for piece in slices([batch]):
-        parts.append(words_of(piece.column("text")))
-        flags.append(labels[at : at + piece.num_rows] == 1)
-        at += piece.num_rows
-    toxic = toxic_features(parts, flags, float((labels == 1).mean()))
-    rng = np.random.default_rng(seed)
+def _fit_field(parts: list[Words], flags: list[np.ndarray], rng: np.random.Generator) -> tuple[np.ndarray, float, np.ndarray]:
+    """Feature weights, bias and tag pair weights, fitted on stretches of labelled words."""
+    toxic = toxic_features(parts, flags, float(np.concatenate(flags).mean()))
     buckets, tags, lives = [], [], []
     for part, flag in zip(parts, flags):
         if not len(part.begins):
@@ -271,7 +295,7 @@ def train(sample: pa.Table, seed: int = 5) -> Field:
         tags.append(tag[chosen])
         lives.append(live[chosen])
     if not tags or not any(tag.any() for tag in tags):
-        return Field(nothing, -10.0, np.zeros((2, 2)), start)
+        return np.zeros(BUCKETS + 1), -10.0, np.zeros((2, 2))
     bucket, tag, live = np.concatenate(buckets, axis=1), np.concatenate(tags), np.concatenate(lives)
 
     weights, squares = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-6)
@@ -297,11 +321,89 @@ def train(sample: pa.Table, seed: int = 5) -> Field:
         bias -= RATE * wrong.sum() / np.sqrt(bias_square)
         pairs -= RATE * pair_slope / np.sqrt(pair_squares)
     weights[_NONE] = 0.0
-    field = Field(weights.astype(np.float32), float(bias), pairs, start)
+    return weights, float(bias), pairs
+
+
+def _regression(doc, bucket, value, toxic: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias by accelerated gradient steps; both labels weigh the same in all."""
+    n = len(toxic)
+    share = toxic.mean()
+    weight = np.where(toxic, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
+    # weights sum to n at most and rows are no longer than sqrt(2), so this bounds the curvature
+    rate = 1.0 / (0.5 * n + RIDGE)
+    w, at = np.zeros((2, BUCKETS + 1))
+    bias = at_bias = 0.0
+    pace = 1.0
+    for _ in range(STEPS):
+        wrong = weight * (_logistic(np.bincount(doc, value * at[bucket], n) + at_bias) - toxic)
+        new = at - rate * (np.bincount(bucket, value * wrong[doc], BUCKETS + 1) + RIDGE * at)
+        new_bias = at_bias - rate * wrong.sum()
+        faster = (1 + np.sqrt(1 + 4 * pace**2)) / 2
+        at, at_bias = new + (pace - 1) / faster * (new - w), new_bias + (pace - 1) / faster * (new_bias - bias)
+        w, bias, pace = new, new_bias, faster
+    return w, bias
+
+
+def fit_evidence(words: list[Words], toxic: np.ndarray) -> tuple[Evidence, np.ndarray]:
+    """The evidence, and that of each learned document by a regression that did not see it."""
+    n_docs = np.zeros(BUCKETS + 1)
+    everything = np.ones(BUCKETS + 1)
+    everything[_NONE] = 0.0
+    for part in words:
+        n_docs += np.bincount(_terms(part, everything)[1], minlength=BUCKETS + 1)
+    # a feature of one document tells nothing of others
+    rarity = np.where(n_docs >= 2, np.log((len(toxic) + 1) / (n_docs + 0.5)), 0.0).clip(0)
+    terms, base = [], 0
+    for part in words:
+        doc, bucket, value = _terms(part, rarity)
+        terms.append((doc + base, bucket, value))
+        base += len(part.bounds) - 1
+    doc, bucket, value = (np.concatenate(c) for c in zip(*terms))
+    own_part = np.zeros(len(toxic), dtype=np.int64)
+    for label in (True, False):
+        own_part[toxic == label] = np.arange((toxic == label).sum()) % PARTS
+    unseen = np.zeros(len(toxic))
+    for k in range(PARTS):
+        learn = own_part != k
+        if not learn.any():
+            continue
+        place, own = np.cumsum(learn) - 1, learn[doc]
+        w, bias = _regression(place[doc[own]], bucket[own], value[own], toxic[learn])
+        unseen[~learn] = (np.bincount(doc, value * w[bucket], len(toxic)) + bias)[~learn]
+    known = np.bincount(doc, minlength=len(toxic)) > 0
+    plain = float(unseen[known & ~toxic].mean()) if (known & ~toxic).any() else 0.0
+    w, bias = _regression(doc, bucket, value, toxic)
+    return Evidence(rarity, w, bias, plain), np.where(known, unseen, plain)
+
+
+def train(sample: pa.Table, seed: int = 5) -> Field:
+    """Label words, fit the field on stretches of labelled words, then fit the documents' score.
+
+    Without toxic documents, or without others, nothing is a toxic word, and every score is the
+    share of toxic documents."""
+    labels = np.array([int(x) for x in sample.column("label").to_pylist()], dtype=np.int64)
+    rows = np.array(sample.column("n").to_pylist(), dtype=np.float64)
+    size = [float(rows[labels == c].max()) if (labels == c).any() else 0.0 for c in (0, 1)]
+    nothing = np.zeros(BUCKETS + 1, dtype=np.float32)
+    prior = (size[1] + 0.5) / (size[0] + size[1] + 1.0)
+    start = np.array([np.log(prior / (1 - prior)), 0.0, 0.0, 0.0])
+    if not all(size):
+        return Field(nothing, -10.0, np.zeros((2, 2)), Evidence(nothing, nothing, 0.0, 0.0), start)
+
+    batch = pa.record_batch([sample.column("text").combine_chunks()], names=["text"])
+    parts, flags, at = [], [], 0
+    for piece in slices([batch]):
+        parts.append(words_of(piece.column("text")))
+        flags.append(labels[at : at + piece.num_rows] == 1)
+        at += piece.num_rows
+    weights, bias, pairs = _fit_field(parts, flags, np.random.default_rng(seed))
+    evidence, unseen = fit_evidence(parts, labels == 1)
+    field = Field(weights.astype(np.float32), bias, pairs, evidence, start)
 
     inputs = np.concatenate(
         [document_inputs(marginals(field.emissions(p), p.bounds, pairs), p.bounds) for p in parts]
     )
+    inputs = np.column_stack([inputs, unseen])
     # each label weighs as much as all its rows do, not only the sampled ones
     weight = np.where(labels == 1, size[1] / (labels == 1).sum(), size[0] / (labels == 0).sum())
     weight /= weight.sum()
@@ -309,9 +411,9 @@ def train(sample: pa.Table, seed: int = 5) -> Field:
     for _ in range(60):  # Newton's method with a small ridge
         p = _logistic(inputs @ document)
         slope = inputs.T @ (weight * (p - labels)) + 1e-4 * document
-        curve = (inputs * (weight * p * (1 - p))[:, None]).T @ inputs + 1e-4 * np.eye(3)
+        curve = (inputs * (weight * p * (1 - p))[:, None]).T @ inputs + 1e-4 * np.eye(len(document))
         document -= np.linalg.solve(curve, slope)
-    return Field(field.weights, field.bias, pairs, document)
+    return Field(field.weights, field.bias, pairs, evidence, document)
 
 
 def _spans(words: Words, p: np.ndarray, texts: pa.Array, row: int) -> list[dict]:
@@ -368,7 +470,7 @@ def score_toxicity(
             texts = batch.column("text")
             words = words_of(texts)
             p = marginals(field.emissions(words), words.bounds, field.pairs)
-            scores = _logistic(document_inputs(p, words.bounds) @ field.document)
+            scores = field.scores(words, p)
             spans = [_spans(words, p, texts, row) for row in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(span))],

@@ -256,6 +256,28 @@ def test_field_finds_spans_and_leaves_clean_texts_alone(spark):
         assert spans == bad
 
 
+def test_toxicity_ranks_held_out_rows_of_few_labels(spark):
+    """No word stands in enough of a dozen toxic documents to be beyond chance, yet scores must rank."""
+    rng = random.Random(7)
+    bad = [f"Schuft{k}" for k in range(8)]
+    rows, labels = [], []
+    for i in range(100):
+        words = prose(rng, rng.randrange(40, 200), 400).split()
+        toxic = i % 6 == 0
+        for word in rng.sample(bad, 3) if toxic else []:
+            words.insert(rng.randrange(len(words) + 1), word)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    rows += [(100, ""), (101, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = toxicity.score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    score = {r.doc_id: r.score for r in found}
+    held = [r.doc_id for r in found if r.held_out and r.doc_id < 100]
+    pairs = [(score[x], score[y]) for x in held if x % 6 == 0 for y in held if y % 6]
+    assert pairs and sum((x > y) + (x == y) / 2 for x, y in pairs) >= 0.9 * len(pairs)
+    assert score[100] == score[101] < min(score[i] for i in range(0, 100, 6))
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
