@@ -20,6 +20,8 @@ from catalog.views import (
     applied,
     hashed,
     known,
+    posting_columns,
+    posting_rows,
     postings,
     ranked,
     table,
@@ -408,9 +410,14 @@ _STATE_UNTIL, _BATCH_FROM = "1999-01-01", "1998-01-01"
 
 
 def _stamped(spark, sf_dir, keep, seen: str) -> DataFrame:
-    """Scored first arrivals of a part of the view with a fetch time."""
-    scored = score_postings(postings(spark, sf_dir).filter(keep), P, R).drop("description")
-    return first_arrivals(with_hash(scored), ORDER).withColumn("seen_at", F.lit(seen).cast("timestamp"))
+    """Scored first arrivals of a part of the view with a fetch time.
+
+    Arrivals are sorted and exchanged as rows of the tables with their hash; columns of the view and scores, which
+    are several times as wide, are made of the first ones only."""
+    rows = posting_rows(spark, sf_dir)
+    part = with_hash(rows.select("*", *posting_columns()).filter(keep)).select(*rows.columns, "job_hash")
+    first = first_arrivals(part, ORDER).select(*posting_columns(), *ORDER, "job_hash")
+    return score_postings(first, P, R).drop("description").withColumn("seen_at", F.lit(seen).cast("timestamp"))
 
 
 _UPSERT_SQL = f"""{SCORED},

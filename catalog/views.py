@@ -41,22 +41,27 @@ def tier() -> Column:
     return F.when(balance >= 5000, "Tier 1").when(balance >= 0, "Tier 2").otherwise("Tier 3")
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One posting per line item; the dimension sides go by size, as Spark sees fit."""
+def posting_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with what their postings are made of; the dimension sides go by size, as Spark sees fit."""
     lines = table(spark, sf_dir, "lineitem").select(
         *ORDER, "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate"
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    sellers = (
-        table(spark, sf_dir, "supplier")
-        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", "s_name", "s_acctbal", "n_name")
-    )
-    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(
-        sellers, F.col("l_suppkey") == F.col("s_suppkey")
+    sellers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal", "s_nationkey")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    # one by one: the size of a joined side is only guessed, as a product, and would keep it from being broadcast
+    rows = (
+        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
     )
+    return rows.drop("p_partkey", "s_suppkey", "s_nationkey", "n_nationkey")
+
+
+def posting_columns() -> list[Column]:
+    """The view's columns over ``posting_rows``, but for the order."""
     flag, years = F.col("l_returnflag"), F.col("l_quantity").cast("int")
-    return rows.select(
+    return [
         F.when(F.col("l_linenumber") == 1, F.concat(F.lit("  "), F.upper("s_name")))
         .otherwise(F.col("s_name"))
         .alias("company_name"),
@@ -80,8 +85,12 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(flag == "A", "greenhouse").when(flag == "N", "generic").alias("ats_platform"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("posted_date"),
         tier().alias("company_priority"),
-        *ORDER,
-    )
+    ]
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One posting per line item."""
+    return posting_rows(spark, sf_dir).select(*posting_columns(), *ORDER)
 
 
 POSTS_SQL = """

@@ -552,3 +552,15 @@ def test_items_scored_early_are_the_postings_scored_late(spark, provider):
     assert sorted(early.columns) == columns
     rows = [sorted(map(repr, df.select(columns).collect())) for df in (early, late)]
     assert rows[0] == rows[1] and len(rows[0]) == (2 if provider == "himalayas" else 3)
+
+
+def test_state_merge_exchanges_rows_of_the_tables(spark):
+    """Texts and scores are made of first arrivals only, and no side is exchanged for its guessed size."""
+    from catalog import QUERIES
+
+    plan = QUERIES["upsert_postings"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    before, after = plan.split("Exchange hashpartitioning(job_hash", 1)
+    assert "stack overlap" in before and "jobs.example.com" in before
+    below = after.split("Project [coalesce", 1)[0].split("SortMergeJoin", 1)[0].split("Window [", 1)[0]
+    assert "stack overlap" not in below.split("struct(company_name", 1)[0]
+    assert "hashpartitioning(l_suppkey" not in plan
