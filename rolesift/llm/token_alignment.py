@@ -18,7 +18,6 @@ import hashlib
 import json
 import os
 import re
-from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -137,17 +136,40 @@ class WordCache:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         new = list(words - self.known.keys())
-        entries = self.encoder.vocabulary.entries
-        for word, ids in zip(new, self.encoder.encode([self.prefix + word for word in new])):
-            same = b"".join([entries[i] for i in ids]) == b" " + word.encode()
-            self.known[word] = array("i", ids).tobytes() if same else None
+        if not new:
+            return
+        found = self.encoder.encode([self.prefix + word for word in new])
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
+        raw, cuts = flat.tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
+        parts = [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
+        for n in np.flatnonzero(~self._given_back(new, counts, flat)).tolist():
+            parts[n] = None
+        self.known.update(zip(new, parts))
+
+    def _given_back(self, words: list[str], counts: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """Of which words the ids stand for a space and the word, byte by byte; all words are compared at once."""
+        vocabulary = self.encoder.vocabulary
+        spaced = [b" " + word.encode() for word in words]
+        wanted = np.fromiter(map(len, spaced), np.int64, len(spaced))
+        total = np.concatenate([[0], np.cumsum(vocabulary.lengths[flat])])
+        ends = np.cumsum(counts)
+        same = total[ends] - total[ends - counts] == wanted
+        # words of the right length line up
+        own = b"".join([vocabulary.entries[i] for i in flat[np.repeat(same, counts)].tolist()])
+        other = b"".join(spaced if same.all() else [word for word, ok in zip(spaced, same.tolist()) if ok])
+        if own != other:
+            differs = np.frombuffer(own, np.uint8) != np.frombuffer(other, np.uint8)
+            starts = np.cumsum(wanted[same]) - wanted[same]
+            same[np.flatnonzero(same)[np.add.reduceat(differs.astype(np.int64), starts) > 0]] = False
+        return same
 
     def forget(self, words: list[str]) -> None:
         for word in words:
             del self.known[word]
 
     def ids(self, words: list[str]) -> np.ndarray | None:
-        parts = [self.known[word] for word in words]
+        parts = list(map(self.known.__getitem__, words))
         return None if None in parts else np.frombuffer(b"".join(parts), dtype=np.int32)
 
 
@@ -176,8 +198,9 @@ def encode_both(texts: list[str | None], a: WordCache, b: WordCache) -> Encoded:
             counts.append((len(own_a), len(own_b)))
             ids_a.append(own_a)
             ids_b.append(own_b)
+    long = [word for word in every if len(word) > CACHED_CHARS]
     for cache in (a, b):
-        cache.forget([word for word in every if len(word) > CACHED_CHARS])
+        cache.forget(long)
     none = np.zeros(0, np.int32)
     sizes = np.array(counts, dtype=np.int64).reshape(-1, 2)
     return Encoded(np.array(kept, np.int64), np.concatenate([none, *ids_a]), np.concatenate([none, *ids_b]), sizes[:, 0], sizes[:, 1])

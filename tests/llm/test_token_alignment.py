@@ -148,3 +148,21 @@ def test_repeated_rows_null_ids_and_empty_tables(spark, tokenizers_of):
         (repr(i), *p) for (i, _), p in zip(rows, plain([t for _, t in rows], tokenizers_of))
     )
     assert ta.align_tokens(docs.limit(0), A_FILE, B_FILE).isEmpty()
+
+
+def test_words_are_compared_with_their_ids_all_at_once():
+    """Words of the wrong length, of the right length with other bytes, and without ids among right ones."""
+    entries = [b" a", b"b", b" ab", b" xy", b""]
+    told = {"a": [0], "ab": [0, 1], "abb": [2, 1], "ba": [3], "b": [4], "": [], "abbb": [2, 1, 1]}
+    calls = []
+
+    def encode(words):
+        calls.append(len(words))
+        return [told[w] for w in words]
+
+    cache = ta.WordCache(ta.Encoder(encode, ta._vocabulary(entries), True), "")
+    cache.learn(set(told))
+    known = {w: None if ids is None else np.frombuffer(ids, np.int32).tolist() for w, ids in cache.known.items()}
+    assert known == {w: ids if b"".join(entries[i] for i in ids) == b" " + w.encode() else None for w, ids in told.items()}
+    cache.learn(set(told))
+    assert calls == [len(told)]  # nothing is encoded when all words are known
