@@ -59,6 +59,8 @@ STAR_ROUNDS = 6
 LEADERS = 8
 #: Sets with more shingles are joined by single frequent ones: combinations grow with the square of a prefix.
 LARGE_SET = 1_000
+#: Earlier keys that a row of the join carries, so that a pair is made under its first common key, not under all.
+EARLIER = 48
 
 _MESSAGE = "key long, chunk long, a binary, b binary, c binary, d binary, e binary, f binary"
 _U = np.uint64
@@ -344,6 +346,19 @@ def _with_sides(index: DataFrame) -> DataFrame:
     return index.join(major, "token").withColumn("minor", F.col("comp") != F.col("major")).drop("major")
 
 
+def _with_earlier(index: DataFrame) -> DataFrame:
+    """Add ``earlier``: the first ``EARLIER`` tokens of the document here that come before this one.
+
+    Tokens are in the same order in all documents. Of two documents, the first token they share has no common
+    earlier ones, so a pair is made there; where they share an earlier one, it need not be made again."""
+    per_doc = index.groupBy("node", "n", "comp", "minor").agg(
+        F.first("bits").alias("bits"), F.sort_array(F.collect_list(F.struct("at", "token"))).alias("f")
+    )
+    each = per_doc.select("node", "n", "comp", "minor", "bits", "f", F.posexplode("f").alias("i", "own"))
+    earlier = F.slice("f.token", F.lit(1), F.least("i", F.lit(EARLIER))).alias("earlier")
+    return each.select("own.token", "node", "n", "own.at", "bits", "comp", "minor", earlier)
+
+
 def _joined(index: DataFrame, keys: list[str], percent: int, above: int = 0) -> DataFrame:
     """Pairs of documents of different labels that share a key and pass the bounds, one of them with more
     than ``above`` shingles."""
@@ -352,6 +367,7 @@ def _joined(index: DataFrame, keys: list[str], percent: int, above: int = 0) ->
     once = ~F.col("y.minor") | (F.col("x.node") < F.col("y.node"))
     apart = F.col("x.comp") != F.col("y.comp")
     large = F.greatest("x.n", "y.n") > above
+    on += [~F.arrays_overlap("x.earlier", "y.earlier")] if "earlier" in index.columns else []
     pairs = x.join(y, [*on, once, apart, large, _possible(percent, "x", "y")])
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
@@ -416,7 +432,7 @@ def find_links(
     )
     # two similar sets, one of them large, have both more shingles than this
     large = frequent.filter(F.col("n") * 100 > percent * large_set)
-    pairs = _joined(rare, ["token"], percent).union(_joined(combos, ["token", "second"], percent))
+    pairs = _joined(_with_earlier(rare), ["token"], percent).union(_joined(combos, ["token", "second"], percent))
     pairs = pairs.union(_joined(large, ["token"], percent, above=large_set))
     if percent <= 50:  # two sets that need no more than one common shingle may have no second one
         pairs = pairs.union(_joined(frequent.filter(F.col("n") * percent <= 100), ["token"], percent))

@@ -1,5 +1,6 @@
 """Each operator against a plain version of it, on small made inputs."""
 
+import collections
 import hashlib
 import itertools
 import math
@@ -284,6 +285,25 @@ def test_toxicity_without_labels(spark):
     assert [r.predicted for r in toxicity.score_toxicity(docs, none).collect()] in ([0, 0], [1, 1])
 
 
+def test_join_makes_a_pair_under_its_first_common_shingle_only(spark):
+    rng = random.Random(3)
+    held = {node: sorted(rng.sample(range(200), 70)) for node in range(40)}
+    rows = [(t, n, 70, i, (0, 0, 0, 0, 0), n, True) for n, own in held.items() for i, t in enumerate(own)]
+    bits = "struct<unshared:long,m0:long,m1:long,m2:long,m3:long>"
+    index = spark.createDataFrame(rows, f"token long, node long, n long, at long, bits {bits}, comp long, minor boolean")
+    carried = jaccard_join._with_earlier(index)
+    assert carried.count() == len(rows)
+    assert carried.agg(F.max(F.size("earlier"))).first()[0] == jaccard_join.EARLIER
+    x, y = carried.alias("x"), carried.alias("y")
+    met = x.join(y, [F.col("x.token") == F.col("y.token"), F.col("x.node") < F.col("y.node"), ~F.arrays_overlap("x.earlier", "y.earlier")])
+    found = collections.Counter((r.a, r.b) for r in met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).collect())
+    pairs = {(a, b) for a in held for b in held if a < b and set(held[a]) & set(held[b])}
+    assert set(found) == pairs and max(found.values()) == 1
+    assert {(r.a, r.b) for r in jaccard_join._joined(carried, ["token"], 1).collect()} == {
+        (r.a, r.b) for r in jaccard_join._joined(index, ["token"], 1).collect()
+    }
+
+
 # decontamination
 
 
