@@ -351,12 +351,12 @@ def _with_earlier(index: DataFrame) -> DataFrame:
 
     Tokens are in the same order in all documents. Of two documents, the first token they share has no common
     earlier ones, so a pair is made there; where they share an earlier one, it need not be made again."""
-    per_doc = index.groupBy("node", "n", "comp", "minor").agg(
-        F.first("bits").alias("bits"), F.sort_array(F.collect_list(F.struct("at", "token"))).alias("f")
+    per_doc = index.groupBy("node", "n", "comp").agg(
+        F.first("bits").alias("bits"), F.sort_array(F.collect_list(F.struct("at", "token", "minor"))).alias("f")
     )
-    each = per_doc.select("node", "n", "comp", "minor", "bits", "f", F.posexplode("f").alias("i", "own"))
+    each = per_doc.select("node", "n", "comp", "bits", "f", F.posexplode("f").alias("i", "own"))
     earlier = F.slice("f.token", F.lit(1), F.least("i", F.lit(EARLIER))).alias("earlier")
-    return each.select("own.token", "node", "n", "own.at", "bits", "comp", "minor", earlier)
+    return each.select("own.token", "node", "n", "own.at", "bits", "comp", "own.minor", earlier)
 
 
 def _joined(index: DataFrame, keys: list[str], percent: int, above: int = 0) -> DataFrame:
