@@ -260,12 +260,12 @@ def test_field_finds_spans_and_leaves_clean_texts_alone(spark):
 def test_toxicity_ranks_held_out_rows_of_few_labels(spark):
     """No word stands in enough of a dozen toxic documents to be beyond chance, yet scores must rank."""
     rng = random.Random(7)
-    bad = [f"Schuft{k}" for k in range(8)]
+    bad = [f"{k}schuft" for k in range(14)]
     rows, labels = [], []
     for i in range(100):
         words = prose(rng, rng.randrange(40, 200), 400).split()
         toxic = i % 6 == 0
-        for word in rng.sample(bad, 3) if toxic else []:
+        for word in rng.sample(bad, 4) if toxic else []:
             words.insert(rng.randrange(len(words) + 1), word)
         rows.append((i, " ".join(words)))
         labels.append((i, int(toxic)))
